@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, packing
+from . import bpe, common, fingerprint, packing
 
 
 def _vocab(name: str = "byte_bpe_50k.json") -> str:
@@ -19,12 +19,16 @@ def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), _vocab())
 
 
+def op3_imatch_lexicon_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(common.table(spark, sf_dir, "documents"))
+
+
 def op4_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.table(spark, sf_dir, "documents"), _vocab())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op4_pair_index_bpe)}
+    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_imatch_lexicon_subsets, op4_pair_index_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
