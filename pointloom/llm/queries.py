@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, fingerprint, packing
+from . import bpe, common, fingerprint, packing, urls, warc
 
 
 def _vocab(name: str = "byte_bpe_50k.json") -> str:
@@ -27,9 +27,53 @@ def op4_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.table(spark, sf_dir, "documents"), _vocab())
 
 
+def op5_warc_segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(common.table(spark, sf_dir, "pages"))
+
+
+#: The rules of the contract (host, path prefix, verdict).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op6_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(common.table(spark, sf_dir, "pages"), rules)
+
+
+QUERIES = (op2_cost_balanced_packing, op3_imatch_lexicon_subsets, op4_pair_index_bpe, op5_warc_segment_reassembly, op6_blocked_bloom_urls)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_imatch_lexicon_subsets, op4_pair_index_bpe)}
+    return {f.__name__: f for f in QUERIES}
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+d AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT, 1), '' ORDER BY k) AS b32
+      FROM (SELECT DISTINCT h FROM p), range(32) t(k) GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, b32 AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to, true AS complete
+FROM f JOIN d USING (h)
+"""
+
+URL_SQL = f"""
+WITH r(host, path, verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+m AS (SELECT p.*, r.host || r.path AS rule, r.verdict,
+             row_number() OVER (PARTITION BY page_id ORDER BY length(r.host) + length(r.path) DESC NULLS LAST, length(r.host) DESC) AS k
+      FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_segment_reassembly": WARC_SQL, "op6_blocked_bloom_urls": URL_SQL}
