@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, fingerprint, packing, urls, warc
+from . import bpe, common, fingerprint, html, media, packing, urls, warc
 
 
 def _vocab(name: str = "byte_bpe_50k.json") -> str:
@@ -15,6 +15,10 @@ def _vocab(name: str = "byte_bpe_50k.json") -> str:
         return f.read()
 
 
+def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(common.table(spark, sf_dir, "documents"))
+
+
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), _vocab())
 
@@ -46,7 +50,11 @@ def op6_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(common.table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = (op2_cost_balanced_packing, op3_imatch_lexicon_subsets, op4_pair_index_bpe, op5_warc_segment_reassembly, op6_blocked_bloom_urls)
+def op7_two_pass_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(common.table(spark, sf_dir, "pages"))
+
+
+QUERIES = (op1_interleaved_media, op2_cost_balanced_packing, op3_imatch_lexicon_subsets, op4_pair_index_bpe, op5_warc_segment_reassembly, op6_blocked_bloom_urls, op7_two_pass_blocks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
