@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, common, fingerprint, html, media, neardup, packing, quality, substrings, urls, warc
 
 
-def _vocab(name: str = "byte_bpe_50k.json") -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     with open(public_tokenizers.path(name), encoding="utf-8") as f:
         return f.read()
 
@@ -20,7 +20,7 @@ def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(common.table(spark, sf_dir, "documents"), _vocab())
+    return packing.pack(common.table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op3_imatch_lexicon_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op3_imatch_lexicon_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(common.table(spark, sf_dir, "documents"), _vocab())
+    return bpe.round_trip(common.table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op5_warc_segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,9 @@ QUERIES = (op1_interleaved_media, op2_cost_balanced_packing, op3_imatch_lexicon_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    import corpus_pipeline  # it imports this module
+
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 WARC_SQL = """
