@@ -1,20 +1,17 @@
 """Byte-level BPE: encoding by a pair occurrence index, decoding by vocabulary bytes.
 
 A vocabulary file (the ``tokenizers`` JSON format) is read once on the driver, a few
-MB at any corpus size, and travels to the tasks as a broadcast value.
-
-Texts are cut before every space that a non-space character follows. The splitting
-pattern never matches across such a cut, so the pieces can be encoded one by one and
-each distinct piece only once per task.
+MB at any corpus size, and travels to the tasks as a broadcast value. Each distinct word
+of a task's texts is merged once.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,8 +21,8 @@ from . import common
 #: The splitting pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Distinct pieces a task remembers before it starts afresh; bounds its memory.
-MEMORY = 400_000
+#: Distinct words a worker remembers before it starts afresh; bounds its memory.
+MEMORY = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -47,127 +44,129 @@ class Vocabulary:
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.of_byte = [ids[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
         merges = [m.split(" ") if isinstance(m, str) else m for m in j["model"]["merges"]]
-        #: pair of ids -> (rank, id of the joined token)
-        self.ranks = {(ids[a], ids[b]): (r, ids[a + b]) for r, (a, b) in enumerate(merges)}
+        #: by rank: the id that the merge makes
+        self.news = np.array([ids[x + y] for x, y in merges] + [-1], dtype=np.int64)
+        packed = np.array([ids[x] << 20 | ids[y] for x, y in merges], dtype=np.int64)
+        self._order = np.argsort(packed, kind="stable")
+        self._pairs = np.append(packed[self._order], np.int64(1) << 62)
+        self._order = np.append(self._order, NEVER)
         self.pattern = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
 
-def merge_words(vocab: Vocabulary, words: list[bytes]) -> list[list[int]]:
-    """Token ids of each word, all words of the partition merged together.
-
-    ``places`` maps every mergeable pair to the list of all its positions. Ranks that
-    occur are taken in ascending order from a heap; each merge links its neighbours
-    anew and lists the pairs it makes. A token exists only from its own merge on, so a
-    new pair's rank is always above the rank being applied and one sweep is enough."""
-    ranks, of_byte = vocab.ranks, vocab.of_byte
-    sym: list[int] = []
-    for w in words:
-        sym += [of_byte[b] for b in w]
-        sym.append(-1)
-    n = len(sym)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    places: dict[int, list[int]] = {}
-    joined: dict[int, tuple[int, int, int]] = {}
-    for i in range(n - 1):
-        if (hit := ranks.get((sym[i], sym[i + 1]))) is not None:
-            if hit[0] in places:
-                places[hit[0]].append(i)
-            else:
-                places[hit[0]] = [i]
-                joined[hit[0]] = (sym[i], sym[i + 1], hit[1])
-    active = list(places)
-    heapq.heapify(active)
-    while active:
-        rank = heapq.heappop(active)
-        a, b, new = joined[rank]
-        for i in sorted(places.pop(rank)):
-            j = after[i]
-            if sym[i] != a or sym[j] != b:
-                continue  # an overlapping merge took one of the two
-            k = after[j]
-            sym[i], sym[j], after[i] = new, -2, k
-            if k < n:
-                before[k] = i
-            for left, right in ((before[i], i), (i, k)):
-                if left >= 0 and right < n and (hit := ranks.get((sym[left], sym[right]))) is not None:
-                    if hit[0] in places:
-                        places[hit[0]].append(left)
-                    else:
-                        places[hit[0]] = [left]
-                        joined[hit[0]] = (sym[left], sym[right], hit[1])
-                        heapq.heappush(active, hit[0])
-    out, word = [], []
-    for s in sym:
-        if s >= 0:
-            word.append(s)
-        elif s == -1:
-            out.append(word)
-            word = []
-    return out
-
-
-#: A space before white space or at the end: there the cut at spaces isn't exact.
-_ODD_SPACE = regex.compile(r" (?=\s|\Z)")
-
-
-def pieces(text: str, special: Iterable[str]) -> list[str] | None:
-    """The text's pieces between single spaces, or None where it must stay whole."""
-    if _ODD_SPACE.search(text) or any(s in text for s in special):
-        return None
-    return text.split(" ")
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, ``NEVER`` where the pair doesn't merge."""
+        pair = left << 20 | right
+        at = np.searchsorted(self._pairs, pair)
+        return np.where(self._pairs[at] == pair, self._order[at], NEVER)
+
+
+#: Above every rank; the symbol between words.
+NEVER, END = 1 << 30, (1 << 20) - 1
+
+
+def merge_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after the other, number of ids of each word).
+
+    All words are merged together. The index has the rank of the pair at every position:
+    sorted by rank it maps each pair to all its positions. Words don't touch each other,
+    so a sweep takes each word's lowest active rank, applies the active ranks in ascending
+    order, each at all its positions at once, and then lists the affected neighbours anew.
+    A merge makes only pairs of higher rank, so within a word ranks rise from sweep to
+    sweep. Finished words leave the index."""
+    of_byte = np.array(vocab.of_byte, dtype=np.int64)
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum(sizes + 1) - 1
+    sym = np.full(len(data) + len(words), END, dtype=np.int64)
+    inside = np.ones(len(sym), dtype=bool)
+    inside[ends] = False
+    sym[inside] = of_byte[data]
+    rank = np.full(len(sym), NEVER, dtype=np.int64)
+    rank[:-1] = vocab.ranks(sym[:-1], sym[1:])
+    number, sizes = np.arange(len(words)), sizes + 1  # the active words
+    done_ids, done_words, done_sizes = [], [], []
+    while len(number):
+        starts = np.cumsum(sizes) - sizes
+        lowest = np.minimum.reduceat(rank, starts)
+        ready = lowest == NEVER
+        if ready.any():
+            out = np.repeat(ready, sizes)
+            done_ids.append(sym[out & (sym != END)])
+            done_words.append(number[ready])
+            done_sizes.append(sizes[ready] - 1)
+            sym, rank, number, sizes, lowest = sym[~out], rank[~out], number[~ready], sizes[~ready], lowest[~ready]
+            if not len(number):
+                break
+        spots = np.flatnonzero(rank == np.repeat(lowest, sizes))
+        # the pair's positions in ascending order of rank; of overlapping ones (a run of
+        # one symbol) every second goes, from the left
+        run = np.flatnonzero(np.diff(spots, prepend=-2) != 1)
+        within = np.arange(len(spots)) - np.repeat(run, np.diff(run, append=len(spots)))
+        spots = spots[within % 2 == 0]
+        spots = spots[np.argsort(rank[spots], kind="stable")]
+        sym[spots] = vocab.news[rank[spots]]
+        gone = np.zeros(len(sym), dtype=bool)
+        gone[spots + 1] = True
+        word = np.repeat(np.arange(len(number)), sizes)
+        sizes = sizes - np.bincount(word[spots], minlength=len(number))
+        place = np.cumsum(~gone) - 1
+        sym, rank, spots = sym[~gone], rank[~gone], np.sort(place[spots])
+        rank[spots] = vocab.ranks(sym[spots], sym[spots + 1])
+        left = spots[spots > 0] - 1
+        rank[left] = vocab.ranks(sym[left], sym[left + 1])
+    if not done_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ids, order, counts = np.concatenate(done_ids), np.concatenate(done_words), np.concatenate(done_sizes)
+    back = np.argsort(order, kind="stable")
+    starts = (np.cumsum(counts) - counts)[back]
+    counts = counts[back]
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
+    return ids[at], counts
 
 
 class IndexedEncoder:
-    """Encodes batches of texts to id lists; remembers distinct pieces and words."""
+    """Encodes batches of texts; remembers each distinct word's ids as text and as bytes."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.words, self.known = vocab, {}, {}
-
-    def _segments(self, text: str) -> Iterator[str | int]:
-        at = 0
-        for m in self.vocab.specials.finditer(text) if self.vocab.specials else ():
-            yield text[at : m.start()]
-            yield self.vocab.special[m[0]]
+        self.vocab, self.words = vocab, {}
+        self.text_of = {i: f"{i}," for i in vocab.bytes_of}
+
+    def _split(self, text: str) -> list[str]:
+        if not self.vocab.specials or not self.vocab.specials.search(text):
+            return self.vocab.pattern.findall(text)
+        at, out = 0, []
+        for m in self.vocab.specials.finditer(text):
+            out += [*self.vocab.pattern.findall(text[at : m.start()]), m[0]]
             at = m.end()
-        yield text[at:]
-
-    def learn(self, texts: Iterable[str]) -> dict[str, list[int]]:
-        """Ids of each text; the words not met before are merged in one go."""
-        split, fresh = {}, set()
-        for t in texts:
-            split[t] = [s if isinstance(s, int) else self.vocab.pattern.findall(s) for s in self._segments(t)]
-            for s in split[t]:
-                if not isinstance(s, int):
-                    fresh.update(w for w in s if w not in self.words)
-        if len(self.words) > 2 * MEMORY:
-            self.words, fresh = {}, {w for x in split.values() for s in x if not isinstance(s, int) for w in s}
+        return out + self.vocab.pattern.findall(text[at:])
+
+    def batch(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """For each text its ids, each in decimal and followed by a comma, and the bytes
+        that they decode to."""
+        split = [self._split(t) for t in texts]
+        fresh: set[str] = set()
+        for words in split:
+            fresh.update(words)
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        fresh.difference_update(self.words)
+        for special in fresh & self.vocab.special.keys():
+            self._learn(special, [self.vocab.special[special]])
+            fresh.discard(special)
         if fresh:
             order = list(fresh)
-            self.words.update(zip(order, merge_words(self.vocab, [w.encode() for w in order]), strict=True))
-        return {t: [i for s in x for i in ([s] if isinstance(s, int) else (i for w in s for i in self.words[w]))] for t, x in split.items()}
-
-
-def encode_batch(texts: list[str], special: Iterable[str], known: dict, learn: Callable[[list[str]], dict]) -> Iterator[list]:
-    """For each text the remembered values of its pieces, in order. ``learn`` turns new
-    pieces into values; pieces after the first carry their leading space."""
-    if len(known) > MEMORY:
-        known.clear()
-    cut = [pieces(t, special) for t in texts]
-    new: set[str] = set()
-    for t, p in zip(texts, cut, strict=True):
-        if p is None:
-            continue
-        new.add(p[0]) if p[0] not in known else None
-        rest = set(p[1:])
-        new.update(s for s in map(" ".__add__, rest) if s not in known) if rest else None
-    if new:
-        known.update(learn(list(new)))
-    for t, p in zip(texts, cut, strict=True):
-        if p is None:
-            yield [learn([t])[t]]
-        else:
-            yield [known[p[0]], *map(known.__getitem__, map(" ".__add__, p[1:]))]
+            ids, counts = merge_words(self.vocab, [w.encode() for w in order])
+            ids, at = ids.tolist(), 0
+            for w, n in zip(order, counts.tolist(), strict=True):
+                self._learn(w, ids[at : at + n])
+                at += n
+        for words in split:
+            found = [self.words[w] for w in words]
+            yield "".join([f[0] for f in found]), b"".join([f[1] for f in found])
+
+    def _learn(self, word: str, ids: list[int]) -> None:
+        self.words[word] = ("".join([self.text_of[i] for i in ids]), b"".join([self.vocab.bytes_of[i] for i in ids]))
 
 
 def round_trip(docs: DataFrame, vocab_spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,18 +178,13 @@ def round_trip(docs: DataFrame, vocab_spec: str, id_col: str = "doc_id", text_co
     schema = f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(spec.value)
-        encoder, known = IndexedEncoder(vocab), {}
-
-        def learn(new: list[str]) -> dict[str, tuple]:
-            return {t: (len(ids), "".join([f"{i}," for i in ids]), b"".join([vocab.bytes_of[i] for i in ids])) for t, ids in encoder.learn(new).items()}
-
+        encoder = common.per_worker("bpe", spec.value, lambda s: IndexedEncoder(Vocabulary(s)))
         for batch in common.in_batches(batches, 2000):
             out: list[list] = [[], [], []]
-            for got in encode_batch(batch.column(1).to_pylist(), vocab.special, known, learn):
-                out[0].append(sum([g[0] for g in got]))
-                out[1].append(sha256("".join([g[1] for g in got])[:-1].encode()).hexdigest())
-                out[2].append(sha256(b"".join([g[2] for g in got]).decode("utf-8", "replace").encode()).hexdigest())
+            for ids, data in encoder.batch(batch.column(1).to_pylist()):
+                out[0].append(ids.count(","))
+                out[1].append(sha256(ids[:-1].encode()).hexdigest())
+                out[2].append(sha256(data.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     picked = docs.select(docs[id_col].cast("long").alias(id_col), common.whole(docs[text_col]).alias("text"))
@@ -202,9 +196,9 @@ def encode(docs: DataFrame, vocab_spec: str, id_col: str = "doc_id", text_col: s
     spec = docs.sparkSession.sparkContext.broadcast(vocab_spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = IndexedEncoder(Vocabulary(spec.value)), {}
+        encoder = common.per_worker("bpe", spec.value, lambda s: IndexedEncoder(Vocabulary(s)))
         for batch in common.in_batches(batches, 2000):
-            ids = [[i for g in got for i in g] for got in encode_batch(batch.column(1).to_pylist(), encoder.vocab.special, known, encoder.learn)]
+            ids = [[int(i) for i in found[:-1].split(",")] if found else [] for found, _ in encoder.batch(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     picked = docs.select(docs[id_col].cast("long").alias(id_col), common.whole(docs[text_col]).alias("text"))

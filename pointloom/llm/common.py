@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import builtins
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import sha256
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +58,13 @@ def in_batches(rows: Iterator, max_rows: int) -> Iterator:
     for batch in rows:
         for at in range(0, batch.num_rows, max_rows):
             yield batch.slice(at, max_rows)
+
+
+def per_worker(name: str, spec: str, make: Callable[[str], Any]) -> Any:
+    """``make(spec)``, kept for the later tasks of this Python worker (the latest per name)."""
+    kept = builtins.__dict__.setdefault("_kept_per_worker", {})
+    digest = sha256(spec.encode()).digest()
+    if kept.get(name, (None,))[0] != digest:
+        kept.pop(name, None)
+        kept[name] = (digest, make(spec))
+    return kept[name][1]
