@@ -1,11 +1,646 @@
-"""Registry of the point-cloud queries and their SQL."""
+"""Registry of the point-cloud queries and their SQL.
+
+Values are rounded to six digits on both sides; ties are ordered by id.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import spatial
+from ..functions.lineage import stored
+from ..operators import compose, geometry, graph, neighbors, registration, sampling, smoothing
+from ..sources import shapes, views
+
+R, K = 0.15, 20
+POSE = registration.axis_angle([1.0, 2.0, 3.0], 0.7, [1.0, -2.0, 0.5])
+SMALL = registration.axis_angle([0.0, 0.0, 1.0], 0.01, [0.004, -0.003, 0.002])
+PLANE = (1.0, 1.0, 1.0, -0.1)
+SWEEPS = 5
+VOXEL = 0.1
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, without negative zeros."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# SQL shared by the oracles: plain self joins and windows, no grid cells.
+D2 = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)"
+PTS = """pts AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label AS cls, (vec_id % 2)::INT AS cloud FROM embeddings)"""
+LPTS = """lpts AS (SELECT o_orderkey AS id, o_totalprice/1000/500 AS x, o_custkey::DOUBLE/(SELECT max(o_custkey) FROM orders) AS y, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE/2404 AS z FROM orders)"""
+
+
+def _near(a: str, b: str, r2: str, k: int, name: str = "nbr") -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rn FROM (SELECT a.id AS src, b.id AS dst, {D2} AS d2, a.x AS sx, a.y AS sy, a.z AS sz, b.x AS tx, b.y AS ty, b.z AS tz FROM {a} a, {b} b) WHERE d2 < {r2}) WHERE rn <= {k})"""
+
+
+NBR = f"{PTS}, {_near('pts', 'pts', '0.0225::DOUBLE', K)}"
+EDGES = f"{NBR}, adj AS (SELECT *, exp(-1) AS w FROM nbr)"
+GAUSS = f"{NBR}, adj AS (SELECT *, exp(-d2) AS w FROM nbr WHERE d2 > 0)"
+SUMS = "s AS (SELECT src, any_value(sx) AS x, any_value(sy) AS y, any_value(sz) AS z, count(*) AS k, sum(w) AS d, sum(w*tx) AS wx, sum(w*ty) AS wy, sum(w*tz) AS wz FROM adj GROUP BY src)"
+SCORE = f"{EDGES}, m AS (SELECT src AS id, any_value(sx) AS x, any_value(sy) AS y, any_value(sz) AS z, count(*) AS k, avg(tx) AS mx, avg(ty) AS my, avg(tz) AS mz FROM nbr GROUP BY src), sc AS (SELECT id, k, exp(-2)*k*k*((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz)) AS score FROM m)"
+NORM = f"{SCORE}, nm AS (SELECT id, k, score, (score-(SELECT min(score) FROM sc))/((SELECT max(score) FROM sc)-(SELECT min(score) FROM sc)) AS norm FROM sc), cl AS (SELECT *, CASE WHEN norm > 0.6 THEN 1.0 ELSE norm END AS g FROM nm)"
+PAIR = f"{PTS}, pa AS (SELECT * FROM pts WHERE cloud = 0), pb AS (SELECT * FROM pts WHERE cloud = 1)"
+
+
+def _gap(a: str, b: str, name: str) -> str:
+    return f"{name} AS (SELECT a.id, sqrt(min({D2})) AS d FROM {a} a, {b} b GROUP BY a.id)"
+
+
+def _own(a: str, name: str) -> str:
+    return f"{name} AS (SELECT a.id, sqrt(min({D2})) AS d FROM {a} a JOIN {a} b ON a.id <> b.id GROUP BY a.id)"
+
+
+NN = f"{PAIR}, {_own('pts', 'nn')}"
+GAPS = f"{PAIR}, {_gap('pa', 'pb', 'ab')}, {_gap('pb', 'pa', 'ba')}"
+COV = f"""{NBR}, cov AS (SELECT src AS id, count(*) AS k, {", ".join(f"CASE WHEN count(*) < 3 THEN {1.0 if p[0] == p[1] else 0.0} ELSE covar_pop(t{p[0]}, t{p[1]}) END AS {p}" for p in geometry.PAIRS)} FROM nbr GROUP BY src)"""
+CURV = f"""{COV}, e1 AS (SELECT *, (xx+yy+zz)/3 AS q FROM cov), e2 AS (SELECT *, sqrt(((xx-q)*(xx-q)+(yy-q)*(yy-q)+(zz-q)*(zz-q)+2*(xy*xy+xz*xz+yz*yz))/6) AS p FROM e1),
+e3 AS (SELECT *, (xx-q)/p AS a, (yy-q)/p AS b, (zz-q)/p AS c, xy/p AS dd, xz/p AS e, yz/p AS f FROM e2),
+e4 AS (SELECT *, acos(least(greatest((a*(b*c-f*f)-dd*(dd*c-f*e)+e*(dd*f-b*e))/2, -1.0), 1.0))/3 AS phi FROM e3),
+curv AS (SELECT id, coalesce((CASE WHEN p = 0 THEN q ELSE q+2*p*cos(phi+{2 * math.pi / 3!r}) END)/(xx+yy+zz), 0) AS c FROM e4)"""
+
+
+def _linear(m: list[list[float]]) -> str:
+    return ", ".join(f"round({r[0]!r}::DOUBLE*x+{r[1]!r}::DOUBLE*y+{r[2]!r}::DOUBLE*z+{r[3]!r}::DOUBLE, 6) AS {c}" for r, c in zip(m, "xyz", strict=False))
+
+
+def _r(cols: str, digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) + 0.0::DOUBLE AS {c}" for c in cols.split())
+
+
+pts, lpts = views.pts, views.lpts
+
+
+def pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = pts(spark, d)
+    return compose.split_cloud(p, 0), compose.split_cloud(p, 1)
+
+
+def near(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edges(pts(spark, d), R, K)
+
+
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    return graph.high_pass_score(pts(spark, d), R, K)
+
+
+def clamped(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.normalize_clamp(scores(spark, d))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(scores(spark, d).orderBy(F.desc("score"), "id").limit(20))
+
+
+# Projections, sources
+
+PARTS = "SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y, p_partkey::DOUBLE AS z, (p_partkey % 65536)::INT AS red, (p_size * 1000)::INT AS green, (p_size * 7 % 65536)::INT AS blue FROM part"
+
+
+@query(f"WITH p AS ({PARTS}) SELECT id, {_r('x y z')}, round(red/65535.0::DOUBLE, 6) AS r, round(green/65535.0::DOUBLE, 6) AS g, round(blue/65535.0::DOUBLE, 6) AS b FROM p")
+def project_rgb(spark, d):
+    p = views.table(spark, d, "part")
+    rec = p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), F.col("p_partkey").cast("double").alias("z"), (F.col("p_partkey") % 65536).cast("int").alias("red"), (F.col("p_size") * 1000).cast("int").alias("green"), (F.col("p_size") * 7 % 65536).cast("int").alias("blue"))
+    return rounded(compose.project_rgb(rec))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '(\d{3})', 1) AS scan_id FROM pages WHERE regexp_extract(url, '(\d{3})', 1) <> ''")
+def scan_id(spark, d):
+    return compose.scan_ids(views.table(spark, d, "pages"), "url", r"\d{3}").select("page_id", "scan_id")
+
+
+@query(f"""WITH u AS (SELECT id, (id+0.5::DOUBLE)*{shapes.STEPS[0]!r}::DOUBLE AS a, (id+0.5::DOUBLE)*{shapes.STEPS[1]!r}::DOUBLE AS b FROM range(20000) t(id)),
+h AS (SELECT id, 1.0::DOUBLE-2.0::DOUBLE*(a-floor(a)) AS h, {2 * math.pi!r}::DOUBLE*(b-floor(b)) AS a FROM u)
+SELECT id, round(10*sqrt(greatest(1-h*h, 0))*cos(a), 6) AS x, round(10*sqrt(greatest(1-h*h, 0))*sin(a), 6) AS y, round(10*h, 6) AS z FROM h""")
+def gen_sphere(spark, d):
+    return rounded(shapes.sphere(spark, 20_000))
+
+
+# Neighbour search
+
+
+@query(f"WITH {NBR} SELECT src, dst, rn, round(d2, 6) AS d2 FROM nbr")
+def hybrid_neighbors(spark, d):
+    return near(spark, d).select("src", "dst", F.col("rn").cast("long").alias("rn"), F.round("d2", 6).alias("d2"))
+
+
+@query(f"WITH {PTS}, {_near('pts', 'pts', '1e300', 2)} SELECT src AS id, round(d2, 6) AS d2 FROM nbr WHERE rn = 2")
+def knn2(spark, d):
+    return neighbors.knn(pts(spark, d), 2).where("rn = 2").select(F.col("src").alias("id"), F.round("d2", 6).alias("d2"))
+
+
+@query(f"WITH {PTS} SELECT a.id AS src, b.id AS dst, round({D2}, 6) AS d2 FROM pts a, pts b WHERE {D2} < 0.0225::DOUBLE")
+def radius_join(spark, d):
+    return rounded(neighbors.radius_join(pts(spark, d), R).select("src", "dst", "d2"))
+
+
+@query(f"WITH {NN} SELECT id, round(d, 6) AS d FROM nn")
+def nn_distance(spark, d):
+    return rounded(neighbors.nearest_other(pts(spark, d)))
+
+
+@query(f"WITH {GAPS} SELECT id, round(d, 6) AS d FROM ab")
+def cloud_distance(spark, d):
+    return rounded(neighbors.cloud_distance(*pair(spark, d)))
+
+
+@query(f"WITH {GAPS} SELECT round(sqrt(avg(d*d)), 6) AS rms FROM ab")
+def p2p_rms(spark, d):
+    return rounded(neighbors.rms_distance(*pair(spark, d)))
+
+
+@query("""WITH f AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings),
+p AS (SELECT a.id AS id0, b.id AS id1, list_distance(a.f, b.f) AS dist FROM f a, f b WHERE a.id % 2 = 0 AND b.id % 2 = 1)
+SELECT id0, id1, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY id0 ORDER BY dist, id1) AS n FROM p) WHERE n = 1""")
+def feature_match(spark, d):
+    f = views.feat(spark, d)
+    return rounded(neighbors.feature_match(f.where("cloud = 0"), f.where("cloud = 1")))
+
+
+@query(f"WITH {PTS} SELECT id, cls FROM pts WHERE cls IN (0, 1, 2)")
+def class_semi(spark, d):
+    return compose.of_classes(pts(spark, d), [0, 1, 2]).select("id", "cls")
+
+
+@query(f"WITH {PTS} SELECT id, cls FROM pts WHERE cls NOT IN (0, 1, 2, 9, 10, 11)")
+def class_anti(spark, d):
+    return compose.of_classes(pts(spark, d), [0, 1, 2, 9, 10, 11], keep=False).select("id", "cls")
+
+
+@query(f"WITH {PTS} SELECT id, cls, {_r('x y z')} FROM pts WHERE cloud = 1")
+def split_cloud(spark, d):
+    return rounded(compose.split_cloud(pts(spark, d), 1).select("id", "cls", "x", "y", "z"))
+
+
+@query(f"WITH {PTS} SELECT {_r('x y z')}, NULL::DOUBLE AS r, NULL::DOUBLE AS g, NULL::DOUBLE AS b FROM pts UNION ALL SELECT {_r('x y z')}, NULL, NULL, NULL FROM pts WHERE cloud = 0")
+def merge_clouds(spark, d):
+    p = pts(spark, d)
+    return rounded(compose.merge(p.withColumns({c: F.lit(0.5) for c in "rgb"}), compose.split_cloud(p, 0)))
+
+
+@query(f"WITH {LPTS} SELECT id, floor((row_number() OVER (ORDER BY id) - 1)/1000)::BIGINT AS batch FROM lpts")
+def batch_split(spark, d):
+    return sampling.batch_split(lpts(spark, d), 1000).select("id", "batch")
+
+
+# Graphs and scores
+
+
+@query(f"WITH {EDGES} SELECT src, dst, round(w, 6) AS w FROM adj")
+def adjacency_const(spark, d):
+    return rounded(graph.adjacency(pts(spark, d), R, K).select("src", "dst", "w"))
+
+
+@query(f"WITH {GAUSS} SELECT src, dst, round(w, 6) AS w FROM adj")
+def adjacency_gauss(spark, d):
+    return rounded(graph.adjacency(pts(spark, d), R, K, "gauss").select("src", "dst", "w"))
+
+
+_KI = "n AS (SELECT src, count(*) AS ki FROM nbr GROUP BY src)"
+
+
+@query(f"WITH {CURV}, {_KI} SELECT e.src, e.dst, round(exp(-(d2*exp(-c*c)*exp(-ki*ki/30.0::DOUBLE))), 6) AS w FROM nbr e JOIN n USING (src) JOIN curv ON curv.id = e.src WHERE d2 > 0")
+def adjacency_curv(spark, d):
+    return rounded(graph.adjacency(pts(spark, d), R, K, "curv").select("src", "dst", "w"))
+
+
+@query(f"WITH {CURV}, {_KI} SELECT e.src, e.dst, round(exp(-(d2*(0.2*exp(-c*c/0.005::DOUBLE)+0.8*ki/20.0::DOUBLE))), 6) AS w FROM nbr e JOIN n USING (src) JOIN curv ON curv.id = e.src WHERE d2 > 0")
+def adjacency_blend(spark, d):
+    return rounded(graph.adjacency(pts(spark, d), R, K, "blend").select("src", "dst", "w"))
+
+
+@query(f"WITH {EDGES} SELECT src AS id, round(sum(w), 6) AS degree FROM adj GROUP BY src")
+def degree(spark, d):
+    return rounded(graph.degree(graph.adjacency(pts(spark, d), R, K)))
+
+
+def _filtered(spark, d, kind, weight="const"):
+    p = pts(spark, d)
+    return graph.filtered(p, graph.adjacency(p, R, K, weight), kind)
+
+
+@query(f"WITH {GAUSS}, {SUMS} SELECT p.id, coalesce(k, 0) AS k, {', '.join(f'round(coalesce(d*p.{c}-w{c}, 0), 6) AS f{c}' for c in 'xyz')} FROM pts p LEFT JOIN s ON s.src = p.id")
+def laplacian_apply(spark, d):
+    return rounded(_filtered(spark, d, "high", "gauss").select("id", "k", "fx", "fy", "fz"))
+
+
+@query(f"WITH {EDGES}, {SUMS} SELECT src AS id, {', '.join(f'round({c}-w{c}/d, 6) AS f{c}' for c in 'xyz')} FROM s")
+def laplacian_rw(spark, d):
+    return rounded(_filtered(spark, d, "rw").select("id", "fx", "fy", "fz"))
+
+
+@query(f"WITH {EDGES}, {SUMS} SELECT src AS id, {', '.join(f'round(w{c}/d, 6) AS f{c}' for c in 'xyz')} FROM s")
+def lowpass_mean(spark, d):
+    return rounded(_filtered(spark, d, "low").select("id", "fx", "fy", "fz"))
+
+
+@query(f"WITH {PTS} SELECT id, round(x*x+y*y+z*z, 6) AS score FROM pts")
+def score_allpass(spark, d):
+    return rounded(graph.score(_filtered(spark, d, "all")).select("id", "score"))
+
+
+@query(f"WITH {SCORE} SELECT id, k, round(score, 6) AS score FROM sc")
+def score_high(spark, d):
+    return rounded(scores(spark, d))
+
+
+@query(f"WITH {SCORE} SELECT id, k, round(sqrt(score), 6) AS score FROM sc")
+def score_norm(spark, d):
+    return rounded(graph.score(_filtered(spark, d, "high"), "norm"))
+
+
+@query(f"WITH {SCORE} SELECT id, k, round(score*k*k, 6) AS score FROM sc")
+def score_density(spark, d):
+    return rounded(graph.score(_filtered(spark, d, "high"), "density"))
+
+
+@query(f"""WITH {SCORE}, n AS (SELECT floor(0.3*count(*))::BIGINT AS n FROM sc), o AS (SELECT id, row_number() OVER (ORDER BY score, id) AS lo, row_number() OVER (ORDER BY score DESC, id) AS hi FROM sc)
+SELECT o.id, 'low' AS part, round(mx, 6) AS x, round(my, 6) AS y, round(mz, 6) AS z FROM o JOIN m USING (id), n WHERE lo <= n
+UNION ALL SELECT o.id, 'high', {_r('x y z')} FROM o JOIN m USING (id), n WHERE hi <= n""")
+def split_low_high(spark, d):
+    return rounded(sampling.split_low_high(_filtered(spark, d, "low"), stored(scores(spark, d))))
+
+
+def _band(skip: float, take: float) -> str:
+    return f"{SCORE}, o AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rn, floor({skip}*count(*) OVER ())::BIGINT AS a, floor({take}*count(*) OVER ())::BIGINT AS b FROM sc), band AS (SELECT id, rn > a AND rn <= a + b AS feature FROM o)"
+
+
+@query(f"WITH {_band(0, 0.1)} SELECT * FROM band")
+def feature_top10(spark, d):
+    return sampling.feature_band(stored(scores(spark, d)), 0.0, 0.1).select("id", "feature")
+
+
+@query(f"WITH {_band(0, 0.3)} SELECT * FROM band")
+def feature_top30(spark, d):
+    return sampling.feature_band(stored(scores(spark, d)), 0.0, 0.3).select("id", "feature")
+
+
+@query(f"WITH {_band(0.001, 0.1)} SELECT * FROM band")
+def feature_band(spark, d):
+    return sampling.feature_band(stored(scores(spark, d))).select("id", "feature")
+
+
+@query()
+def haar_low_pass(spark, d):
+    p = pts(spark, d)
+    return rounded(graph.haar_low_pass(p, graph.adjacency(p, R, K), 10))
+
+
+@query()
+def graph_fourier(spark, d):
+    p = pts(spark, d)
+    return graph.fourier(p, graph.adjacency(p, R, K), 20).select("n", F.round("eigenvalue", 6).alias("eigenvalue"))
+
+
+# Local geometry
+
+
+@query(f"WITH {COV} SELECT id, k, {_r(' '.join(geometry.PAIRS))} FROM cov")
+def local_cov(spark, d):
+    return rounded(geometry.covariance(near(spark, d)))
+
+
+@query(f"WITH {CURV} SELECT id, round(c, 6) + 0.0::DOUBLE AS curvature FROM curv")
+def curvature(spark, d):
+    return rounded(geometry.curvature(near(spark, d)))
+
+
+@query()
+def normals(spark, d):
+    return rounded(geometry.normals(near(spark, d)))
+
+
+@query(f"WITH {NN} SELECT round(least(min(d)*2.0, max(d)*0.5), 6) AS radius FROM nn")
+def resolution(spark, d):
+    return rounded(geometry.resolution(pts(spark, d), 2.0, 0.5))
+
+
+@query(f"WITH {NN} SELECT round(var_pop(d), 6) AS variance, round(avg(d), 6) AS mean FROM nn")
+def uniformity(spark, d):
+    return rounded(geometry.uniformity(pts(spark, d)))
+
+
+@query(f"WITH {NN}, m AS (SELECT quantile_cont(d*d, 0.5) AS m FROM nn) SELECT id FROM nn, m WHERE d*d > m.m")
+def density_select(spark, d):
+    return geometry.density_select(pts(spark, d)).select("id")
+
+
+@query(f"WITH {PTS} SELECT round(greatest(max(x)-min(x), max(y)-min(y), max(z)-min(z)), 6) AS bandwidth FROM pts")
+def bandwidth(spark, d):
+    return rounded(geometry.bandwidth(pts(spark, d)))
+
+
+_SYM = "(SELECT greatest((SELECT sqrt(avg(d*d)) FROM ab), (SELECT sqrt(avg(d*d)) FROM ba)))"
+
+
+@query(f"WITH {GAPS} SELECT round({_SYM}, 6) AS distance")
+def sym_distance(spark, d):
+    return rounded(geometry.symmetric_distance(*pair(spark, d)))
+
+
+@query(f"WITH {GAPS}, w AS (SELECT greatest(max(x)-min(x), max(y)-min(y), max(z)-min(z)) AS w FROM pts) SELECT round(10*log10(w*w/({_SYM}*{_SYM})), 6) AS psnr FROM w")
+def psnr_geom(spark, d):
+    return rounded(geometry.psnr(pts(spark, d), *pair(spark, d)))
+
+
+@query(f"WITH {GAPS} SELECT round(((SELECT quantile_cont(d, 0.5) FROM ab)+(SELECT quantile_cont(d, 0.5) FROM ba))/2, 6) AS gap")
+def median_gap(spark, d):
+    return rounded(geometry.median_gap(*pair(spark, d)))
+
+
+@query(f"WITH {PTS}, {_near('pts', 'pts', '1e300', 20)}, f AS (SELECT src AS id, avg(sqrt(d2)) AS n FROM nbr GROUP BY src) SELECT id FROM f WHERE n <= (SELECT avg(n)+2.0*stddev_samp(n) FROM f)")
+def outlier_removal(spark, d):
+    return geometry.outliers(pts(spark, d), 20, 2.0).select("id")
+
+
+# Selection, sampling, histograms
+
+
+@query(f"WITH {NORM} SELECT id, round(norm, 6) AS norm, round(g, 6) AS g FROM cl")
+def normalize_clamp(spark, d):
+    return rounded(clamped(spark, d).select("id", "norm", "g"))
+
+
+@query(f"WITH {SCORE}, w AS (SELECT id, least(score, 6.0*(SELECT avg(score) FROM sc)) AS w FROM sc) SELECT id, round((w-(SELECT min(w) FROM w))/((SELECT max(w) FROM w)-(SELECT min(w) FROM w)), 6) AS norm FROM w")
+def winsorize(spark, d):
+    return rounded(sampling.winsorize(scores(spark, d)).select("id", "norm"))
+
+
+@query(f"WITH {NORM} SELECT id, round(g, 6) AS g FROM cl WHERE g <> 1 ORDER BY cl.g DESC, id LIMIT 50")
+def topk_band(spark, d):
+    return rounded(sampling.topk(clamped(spark, d), 50).select("id", "g"))
+
+
+@query(f"WITH {SCORE} SELECT id FROM (SELECT id FROM sc ORDER BY score DESC, id LIMIT 30) UNION ALL SELECT id FROM (SELECT id FROM sc ORDER BY score, id LIMIT 60)")
+def topk_extremes(spark, d):
+    return sampling.topk_extremes(scores(spark, d), 30).select("id")
+
+
+@query()
+def weighted_sample(spark, d):
+    return sampling.weighted_sample(clamped(spark, d), 50, "g", seed=7).select("id")
+
+
+def _voxels(table: str, size: float, name: str = "v") -> str:
+    return f"{name} AS (SELECT floor((x-o.x0)/{size!r}::DOUBLE)::BIGINT AS cx, floor((y-o.y0)/{size!r}::DOUBLE)::BIGINT AS cy, floor((z-o.z0)/{size!r}::DOUBLE)::BIGINT AS cz, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {table}, (SELECT min(x)-{size / 2!r}::DOUBLE AS x0, min(y)-{size / 2!r}::DOUBLE AS y0, min(z)-{size / 2!r}::DOUBLE AS z0 FROM {table}) o GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {LPTS}, {_voxels('lpts', 0.05)} SELECT cx, cy, cz, n, {_r('x y z', 9)} FROM v")
+def voxel_downsample(spark, d):
+    return rounded(sampling.voxel_downsample(lpts(spark, d), 0.05), 9)
+
+
+@query(f"""WITH {LPTS}, o AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0, pow((max(x)-min(x))*(max(y)-min(y))*(max(z)-min(z))/greatest(1, floor(count(*)*0.1)), 1.0::DOUBLE/3) AS s FROM lpts)
+SELECT id, {_r('x y z', 9)} FROM (SELECT lpts.*, row_number() OVER (PARTITION BY floor((x-x0)/s), floor((y-y0)/s), floor((z-z0)/s) ORDER BY id) AS n FROM lpts, o) WHERE n = 1""")
+def voxel_pick(spark, d):
+    return rounded(sampling.voxel_pick(lpts(spark, d), 0.1), 9)
+
+
+@query(f"WITH {LPTS}, c AS (SELECT *, floor(x/0.05::DOUBLE)::BIGINT AS cx, floor(y/0.05::DOUBLE)::BIGINT AS cy, floor(z/0.05::DOUBLE)::BIGINT AS cz FROM lpts) SELECT cx, cy, cz, id, {_r('x y z', 9)} FROM (SELECT *, row_number() OVER (PARTITION BY cx, cy, cz ORDER BY id) AS n FROM c) WHERE n = 1")
+def voxel_quantize(spark, d):
+    return rounded(sampling.voxel_quantize(lpts(spark, d), 0.05), 9)
+
+
+@query(f"WITH {NORM} SELECT id, round(g, 6) AS g FROM cl WHERE g < 0.6")
+def select_main(spark, d):
+    return rounded(sampling.color_select(clamped(spark, d)).select("id", "g"))
+
+
+@query(f"WITH {GAPS} SELECT id, {_r('x y z')} FROM pa WHERE id IN (SELECT id FROM ab WHERE d < 0.15)")
+def overlap_select(spark, d):
+    a, b = pair(spark, d)
+    return rounded(sampling.overlap_select(a, neighbors.cloud_distance(a, b)).select("id", "x", "y", "z"))
+
+
+@query(f"WITH {LPTS} SELECT id, round(z, 6) AS z FROM lpts ORDER BY z, id")
+def sort_z(spark, d):
+    return sampling.sort_z(lpts(spark, d)).select("id", F.round("z", 6).alias("z"))
+
+
+@query(f"""WITH {LPTS}, b AS (SELECT id, y AS v, least(floor(y*256), 255) AS b FROM lpts), c AS (SELECT *, count(*) OVER (PARTITION BY b) AS n FROM b),
+u AS (SELECT id, v, CASE WHEN n >= 60 OR v NOT BETWEEN 0 AND 1 OR v = 1 THEN v ELSE 1.0 END AS u FROM c), s AS (SELECT min(u) AS lo, max(u) AS hi FROM u WHERE u <> 1)
+SELECT id, round(CASE WHEN u = 1 THEN 1.0 WHEN hi > lo THEN (u-lo)/(hi-lo) ELSE u END, 6) AS out FROM u, s""")
+def hist_stretch(spark, d):
+    return rounded(sampling.hist_stretch(lpts(spark, d).select("id", F.col("y").alias("v")), 60).select("id", "out"))
+
+
+def _cdf(table: str, name: str, value: str) -> str:
+    return f"{name} AS (SELECT v AS {value}, sum(n) OVER (ORDER BY v)::DOUBLE/(SELECT count(*) FROM {table}) AS q FROM (SELECT v, count(*) AS n FROM {table} GROUP BY v))"
+
+
+@query(f"""WITH {LPTS}, a AS (SELECT id, z AS v FROM lpts WHERE id % 2 = 0), b AS (SELECT x*x AS v FROM lpts WHERE id % 2 = 1), {_cdf('a', 's', 's')}, {_cdf('b', 't0', 't')},
+t AS (SELECT max_by(t, q) AS t, max(q) AS q FROM t0 GROUP BY floor(q*4096)), k AS (SELECT t, q, lead(t) OVER (ORDER BY q) AS t1, lead(q) OVER (ORDER BY q) AS q1 FROM t),
+m AS (SELECT s.s, s.q, k.* EXCLUDE (q), k.q AS q0 FROM s ASOF LEFT JOIN k ON s.q >= k.q)
+SELECT a.id, round(CASE WHEN m.t IS NULL THEN (SELECT min_by(t, q) FROM t) WHEN m.q1 IS NULL THEN m.t ELSE m.t+(m.t1-m.t)*(m.q-m.q0)/(m.q1-m.q0) END, 6) AS out FROM a JOIN m ON a.v = m.s""")
+def hist_match(spark, d):
+    p = lpts(spark, d)
+    return rounded(sampling.hist_match(p.where("id % 2 = 0").select("id", F.col("z").alias("v")), p.where("id % 2 = 1").select((F.col("x") * F.col("x")).alias("v"))).select("id", "out"))
+
+
+@query(f"WITH {PAIR}, {_own('pa', 'na')}, {_own('pb', 'nb')} SELECT round(greatest(greatest((SELECT quantile_cont(d, 0.5) FROM na), (SELECT quantile_cont(d, 0.5) FROM nb))*0.6, 0.04), 6) AS size")
+def voxel_size(spark, d):
+    return rounded(compose.voxel_size(*pair(spark, d)))
+
+
+# Smoothing
+
+
+def _smooth_sql(n: int) -> str:
+    """Unrolled Jacobi sweeps over the band's mask."""
+    m = "CASE WHEN feature THEN 0.9*1.8 ELSE 0.9*0.8 END"
+    out = f"{_band(0.001, 0.1)}, fx AS (SELECT p.id, x, y, z, {m} AS m, coalesce((SELECT sum(w) FROM adj WHERE src = p.id AND dst <> src), 0) AS ws FROM pts p JOIN band USING (id)), x0 AS (SELECT id, x, y, z FROM pts)"
+    for k in range(n):
+        out += f", n{k} AS (SELECT src, sum(w*x.x) AS nx, sum(w*x.y) AS ny, sum(w*x.z) AS nz FROM adj JOIN x{k} x ON x.id = dst WHERE src <> dst GROUP BY src), x{k + 1} AS (SELECT id, {', '.join(f'(m*{c}+0.1*coalesce(n{c}, 0))/(m+0.1*ws) AS {c}' for c in 'xyz')} FROM fx LEFT JOIN n{k} ON src = id)"
+    return out
+
+
+def _smoothed(spark, d):
+    p = pts(spark, d)
+    mask = sampling.feature_band(stored(scores(spark, d)))
+    return smoothing.smooth(p, graph.adjacency(p, R, K), mask, sweeps=SWEEPS)
+
+
+@query(f"WITH {_smooth_sql(SWEEPS)} SELECT id, {_r('x y z')} FROM x{SWEEPS}")
+def smooth_tv(spark, d):
+    return rounded(_smoothed(spark, d))
+
+
+@query()
+def smooth_feature(spark, d):
+    p = pts(spark, d)
+    mask = sampling.feature_band(stored(scores(spark, d)), 0.0, 0.3)
+    return rounded(smoothing.smooth_squared(p, graph.adjacency(p, R, K), mask, steps=15, tolerance=1e-8))
+
+
+@query(f"WITH {_smooth_sql(SWEEPS)}, ft AS (SELECT * FROM pts WHERE id IN (SELECT id FROM band WHERE feature)), {_voxels('ft', VOXEL * 0.5, 'vf')}, {_voxels(f'x{SWEEPS}', VOXEL, 'vs')} SELECT 'feature' AS part, cx, cy, cz, n, {_r('x y z')} FROM vf UNION ALL SELECT 'smooth', cx, cy, cz, n, {_r('x y z')} FROM vs")
+def simplify(spark, d):
+    return rounded(compose.simplify_cloud(pts(spark, d), R, K, VOXEL, SWEEPS).select("part", "cx", "cy", "cz", "n", "x", "y", "z"))
+
+
+@query()
+def simplify_class(spark, d):
+    a, b = pair(spark, d)
+    one, two = compose.simplify_class(a, b, [0, 1, 2], R, K, 3)
+    return rounded(one.withColumn("cloud", F.lit(0)).unionByName(two.withColumn("cloud", F.lit(1))))
+
+
+@query()
+def class_merge(spark, d):
+    return rounded(compose.class_merge(pts(spark, d), [0, 1, 2], [9, 10, 11], R, K, VOXEL, 3))
+
+
+# Registration
+
+
+@query(f"WITH {PTS} SELECT id, {_linear(POSE)} FROM pts")
+def transform(spark, d):
+    return rounded(registration.transform(pts(spark, d).select("id", "x", "y", "z"), POSE))
+
+
+@query(f"WITH {PTS} SELECT id, {_linear(registration.inverse(POSE))} FROM pts")
+def inverse_transform(spark, d):
+    return rounded(registration.transform(pts(spark, d).select("id", "x", "y", "z"), registration.inverse(POSE)))
+
+
+_PCA = ("xx", "yy", "zz", "xy", "xz", "yz")
+
+
+@query(f"WITH {PTS} SELECT {', '.join(f'round(avg({c}), 6) AS m{c}' for c in 'xyz')}, {', '.join(f'round(covar_samp({p[0]}, {p[1]}), 6) AS {p}' for p in _PCA)} FROM pts")
+def pca_cov(spark, d):
+    return rounded(registration.pca(pts(spark, d)))
+
+
+@query(f"WITH {PAIR}, {_near('pa', 'pb', '0.0225::DOUBLE', 1)} SELECT count(*) AS n, {', '.join(f'round(sum({p}{c}), 6) AS {p}{c}' for p in 'st' for c in 'xyz')}, {', '.join(f'round(sum(s{a}*t{b}), 6) AS h{a}{b}' for a in 'xyz' for b in 'xyz')}, round(sum(d2), 6) AS d2 FROM nbr")
+def icp_cross_cov(spark, d):
+    a, b = pair(spark, d)
+    return rounded(registration.cross_covariance(registration.correspondences(a, b, R)))
+
+
+@query(f"WITH {PAIR}, {_near('pa', 'pb', '0.2::DOUBLE*0.2::DOUBLE', 1)} SELECT round(count(*)::DOUBLE/(SELECT count(*) FROM pa), 6) AS fitness, round(coalesce(sqrt(avg(d2)), 0), 6) AS inlier_rmse FROM nbr")
+def eval_registration(spark, d):
+    return rounded(registration.evaluate(*pair(spark, d), 0.2))
+
+
+_ICP_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, round({v!r}::DOUBLE, 4))" for i, r in enumerate(SMALL) for j, v in enumerate(r)) + ") t(i, j, v)"
+
+
+def _icp(spark, d, run) -> DataFrame:
+    """The motion back onto the cloud that a known small motion was applied to."""
+    p = stored(pts(spark, d).select("id", "x", "y", "z"))
+    m = run(p, stored(registration.transform(p, SMALL)))
+    return spark.createDataFrame([(i, j, round(v, 4) + 0.0) for i, r in enumerate(m) for j, v in enumerate(r)], "i int, j int, v double")
+
+
+@query(_ICP_SQL)
+def icp_point(spark, d):
+    return _icp(spark, d, lambda s, t: registration.icp(s, t, 0.1, iterations=30)[0])
+
+
+@query(_ICP_SQL)
+def icp_plane(spark, d):
+    def run(s, t):
+        n = geometry.normals(neighbors.knn(t, 12))
+        return registration.icp(s, stored(t.join(n, "id")), 0.1, iterations=30, method="plane")[0]
+
+    return _icp(spark, d, run)
+
+
+@query(_ICP_SQL)
+def icp_color(spark, d):
+    def run(s, t):
+        e = stored(neighbors.knn(t, 12))
+        shade = (F.col("id") % 97 / 97).alias("i")
+        colored = stored(t.select("*", shade).join(geometry.normals(e), "id"))
+        return registration.icp(s.select("*", shade), stored(registration.color_gradients(colored, e)), 0.1, iterations=30, method="color")[0]
+
+    return _icp(spark, d, run)
+
+
+@query(_ICP_SQL)
+def icp_two_stage(spark, d):
+    return _icp(spark, d, lambda s, t: registration.two_stage_icp(s, t, 0.1, 0.15, iterations=20)[0])
+
+
+@query(_ICP_SQL)
+def coarse_registration(spark, d):
+    """Descriptors are the whole embeddings; every source row's match is itself."""
+    f = views.feat(spark, d).drop("cloud")
+    return _icp(spark, d, lambda s, t: registration.coarse_registration(s.join(f, "id"), t.join(f, "id")))
+
+
+_ANGLES = "a AS (SELECT s_suppkey AS scan, s_suppkey*0.01::DOUBLE AS f, s_suppkey*0.013::DOUBLE AS t FROM supplier)"
+
+
+@query(f"WITH {_ANGLES} SELECT scan, round(degrees(acos(greatest(-1, least(1, (2*(cos(f)*cos(t)+sin(f)*sin(t))+1-1)/2)))), 6) AS rotation_error_deg, round(sqrt(5)*abs(f-t), 6) AS translation_error FROM a")
+def pose_error(spark, d):
+    s = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("scan"), (F.col("s_suppkey") * 0.01).alias("f"), (F.col("s_suppkey") * 0.013).alias("t"))
+
+    def pose(a: str):
+        c, n, zero, one = F.cos(a), F.sin(a), F.lit(0.0), F.lit(1.0)
+        return F.array(c, -n, zero, F.col(a), n, c, zero, 2 * F.col(a), zero, zero, one, zero, zero, zero, zero, one)
+
+    return rounded(pose_errors(s.select("scan", pose("f").alias("found"), pose("t").alias("truth"))))
+
+
+def pose_errors(poses: DataFrame, found: str = "found", truth: str = "truth") -> DataFrame:
+    """Errors of inv(found) truth for rows of row-major 16-element arrays: the trace of
+    R1'R2 is the sum of the products of equal elements, and a rotation keeps lengths."""
+    rotation = [4 * i + j for i in range(3) for j in range(3)]
+    trace = sum((F.col(found)[k] * F.col(truth)[k] for k in rotation), F.lit(0.0))
+    gap = sum(((F.col(truth)[4 * i + 3] - F.col(found)[4 * i + 3]) ** 2 for i in range(3)), F.lit(0.0))
+    rest = [c for c in poses.columns if c not in (found, truth)]
+    return poses.select(*rest, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2)))).alias("rotation_error_deg"), F.sqrt(gap).alias("translation_error"))
+
+
+@query(f"WITH {PTS}, q AS (SELECT id, abs(x+y+z-0.1)/sqrt(3) AS distance FROM pts) SELECT id, round(distance, 6) AS distance FROM q WHERE distance < 0.1")
+def plane_inliers(spark, d):
+    return rounded(registration.plane_inliers(pts(spark, d), PLANE, 0.1).select("id", "distance"))
+
+
+@query()
+def ransac_planes(spark, d):
+    found = registration.ransac_planes(pts(spark, d), 0.05, 50, 50, 3, 1)
+    return spark.createDataFrame([(k, f["inliers"]) for k, f in enumerate(found)], "plane int, inliers long")
+
+
+@query("WITH v AS (SELECT p_partkey AS id, p_size, (p_size-11.0::DOUBLE)*255/37.0::DOUBLE AS i FROM part WHERE p_size BETWEEN 11 AND 48) SELECT id, " + ", ".join(f"round(round_even(sin(i*0.024::DOUBLE+{k})*127+128, 0)/255, 6) AS {c}" for c, k in zip("rgb", (0, 2, 4), strict=True)) + " FROM v")
+def colormap(spark, d):
+    p = views.table(spark, d, "part").where("p_size BETWEEN 11 AND 48")
+    return rounded(p.select(F.col("p_partkey").alias("id"), *spatial.colormap(F.col("p_size").cast("double"))))
+
+
+@query()
+def registration_compare(spark, d):
+    p = stored(pts(spark, d).select("id", "x", "y", "z"))
+    t = stored(registration.transform(p, SMALL))
+
+    def thin(c):
+        return stored(sampling.voxel_quantize(c, 0.05).select("id", "x", "y", "z"))
+
+    return rounded(compose.compare(p, t, thin(p), thin(t), SMALL, iterations=8))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
