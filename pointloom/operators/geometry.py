@@ -23,7 +23,7 @@ def curvature(edges: DataFrame, form: str = "share") -> DataFrame:
     """(id, curvature). share: least eigenvalue over their sum. spread: l1 - l2/l0 of the
     ascending eigenvalues. A neighbourhood without extent has curvature 0."""
     low, mid, high = spatial.eigenvalues(*[F.col(p) for p in PAIRS])
-    value = {"share": low / (low + mid + high), "spread": mid - high / low}[form]
+    value = {"share": F.try_divide(low, low + mid + high), "spread": mid - F.try_divide(high, low)}[form]
     return covariance(edges).select("id", F.coalesce(value, F.lit(0.0)).alias("curvature"))
 
 
@@ -87,7 +87,7 @@ def symmetric_distance(a: DataFrame, b: DataFrame) -> DataFrame:
 def psnr(reference: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """One row ``psnr``: 10 log10 of squared bandwidth over squared symmetric distance."""
     both = bandwidth(reference).crossJoin(symmetric_distance(a, b))
-    return both.select((10 * F.log10(F.col("bandwidth") ** 2 / F.col("distance") ** 2)).alias("psnr"))
+    return both.select((10 * F.log10(F.try_divide(F.col("bandwidth") ** 2, F.col("distance") ** 2))).alias("psnr"))
 
 
 def median_gap(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def filtered(points: DataFrame, adj: DataFrame, kind: str = "high") -> DataFrame
     p = points.select("id", "x", "y", "z").join(s, "id", "left")
 
     def out(c: str):
-        own, mean = F.col(c), F.col(f"w{c}") / F.col("d")
+        own, mean = F.col(c), F.try_divide(F.col(f"w{c}"), F.col("d"))
         return {
             "high": F.coalesce(F.col("d") * own - F.col(f"w{c}"), F.lit(0.0)),
             "rw": F.coalesce(own - mean, F.lit(0.0)),

@@ -218,7 +218,7 @@ def evaluate(source: DataFrame, target: DataFrame, threshold: float = 0.2) -> Da
     than ``threshold``, and the root mean square of their distances (0 without any)."""
     pairs = correspondences(source, target, threshold)
     hits = pairs.agg(F.count(F.lit(1)).alias("hits"), F.avg("d2").alias("mean"))
-    return hits.crossJoin(source.agg(F.count(F.lit(1)).alias("n"))).select((F.col("hits") / F.col("n")).alias("fitness"), F.coalesce(F.sqrt("mean"), F.lit(0.0)).alias("inlier_rmse"))
+    return hits.crossJoin(source.agg(F.count(F.lit(1)).alias("n"))).select(F.coalesce(F.try_divide("hits", "n"), F.lit(0.0)).alias("fitness"), F.coalesce(F.sqrt("mean"), F.lit(0.0)).alias("inlier_rmse"))
 
 
 def solve_matches(matches: DataFrame, rounds: int = 20, scale: float = 0.5) -> Matrix:
