@@ -1,11 +1,4 @@
 """Training-data operators: media, packing, fingerprints, BPE, WARC, URLs, HTML, dedup, quality.
 
-Nothing else in the library imports this subpackage. Its functions travel to the
-executors by value, so the cluster needs no copy of the repository.
+Nothing else in the library imports this subpackage.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

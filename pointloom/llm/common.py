@@ -1,10 +1,8 @@
-"""Shared helpers: table access, the cluster's shared folder, lineage cuts."""
+"""Shared helpers: table access, partitions, what a worker keeps."""
 
 from __future__ import annotations
 
 import builtins
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 from typing import Any
@@ -12,35 +10,16 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import stored
+
+__all__ = ["in_batches", "per_worker", "spread", "stored", "table", "whole"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set, read by Spark only (any Hadoop path works)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where the session names
-    one, else the checkpoint folder already set, else (tests) a new temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage; the files survive the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when the scan gives fewer partitions than there are cores (small
     inputs in one file); larger inputs keep their scan partitions and are not shuffled."""

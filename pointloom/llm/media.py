@@ -13,7 +13,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
-from html import escape, unescape
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +166,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 png = to_png(padded(data))
                 digest = sha256(png).hexdigest()
                 out["n_bytes"].append(len(data))
-                out["html"].append(f'<article><h1>Document {i}</h1><figure><img src="sha256:{digest}" alt="samples"><figcaption>{escape(f"{len(data)} bytes of document {i}")}</figcaption></figure></article>')
+                out["html"].append(f'<article><h1>Document {i}</h1><figure><img src="sha256:{digest}" alt="samples"><figcaption>{len(data)} bytes</figcaption></figure></article>')
                 out["digest"].append(digest)
                 out["media"].append(png)
             types = {"n_bytes": pa.int64(), "media": pa.binary()}
