@@ -79,7 +79,7 @@ def knn(queries: DataFrame, k: int, targets: DataFrame | None = None) -> DataFra
     box = cloud.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{p}{c}") for c in spatial.XYZ for p, f in (("lo", F.min), ("hi", F.max))]).first()
     if not box.n or box.lox is None:
         return _ranked(radius_join(queries, 1.0, cloud), k)
-    reach = queries.agg(*[f(c).alias(f"{p}{c}") for c in spatial.XYZ for p, f in (("lo", F.min), ("hi", F.max))]).first()
+    reach = box if targets is None else queries.agg(*[f(c).alias(f"{p}{c}") for c in spatial.XYZ for p, f in (("lo", F.min), ("hi", F.max))]).first()
     if reach.lox is None:
         return _ranked(radius_join(queries, 1.0, cloud), k)
     spans = [max(box[f"hi{c}"], reach[f"hi{c}"]) - min(box[f"lo{c}"], reach[f"lo{c}"]) for c in spatial.XYZ]
@@ -87,14 +87,14 @@ def knn(queries: DataFrame, k: int, targets: DataFrame | None = None) -> DataFra
     sides = [max(s, widest / 1e4) for s in spans]
     size = min(widest, (math.prod(sides) * k / box.n) ** (1 / 3))
     want = min(k, box.n)
-    done, left = [], stored(queries.select("id", *spatial.XYZ), "open")
+    done, left = [], queries.select("id", *spatial.XYZ)
     while True:
         found = stored(_ranked(radius_join(left, size, cloud), k), "near")
         full = found.where(F.col("rn") == want).select(F.col("src").alias("id"))
         done.append(found if size >= widest else found.join(full, F.col("src") == F.col("id"), "left_semi"))
         if size >= widest:
             break
-        left = stored(left.join(full, "id", "left_anti"), "open")
+        left = left.join(full, "id", "left_anti")
         if left.isEmpty():
             break
         size = min(2 * size, widest)
