@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import builtins
+import pickle
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import stored
 
-__all__ = ["in_batches", "per_worker", "spread", "stored", "table", "whole"]
+__all__ = ["in_batches", "opened", "per_worker", "share", "spread", "stored", "table", "whole"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +49,12 @@ def per_worker(name: str, spec: str, make: Callable[[str], Any]) -> Any:
         kept.pop(name, None)
         kept[name] = (digest, make(spec))
     return kept[name][1]
+
+
+def share(spark: SparkSession, value: Any) -> Broadcast:
+    """Broadcast an object of this package by value, class and all."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(held: Broadcast) -> Any:
+    return pickle.loads(held.value)

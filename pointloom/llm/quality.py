@@ -152,13 +152,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``score_`` (double), from the whole texts alone."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = common.share(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def score(texts):
         import pandas as pd
 
-        out = [held.value.score(texts.iloc[k : k + 500].tolist()) for k in range(0, len(texts), 500)]
+        model = common.opened(held)
+        out = [model.score(texts.iloc[k : k + 500].tolist()) for k in range(0, len(texts), 500)]
         return pd.Series(np.concatenate(out).astype(float) if out else np.zeros(0))
 
     return docs.withColumn("score_", score(common.whole(docs[text_col])))

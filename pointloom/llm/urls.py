@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import opened, share, whole
 
 #: Bits a key and the most listed keys that a filter is built for (32 MB at 16 bits each);
 #: longer lists go to the exact join alone, which needs no bound.
@@ -80,11 +80,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     tried = rows.select("row", "id", "host", "path", F.posexplode_outer(F.when(F.col("host") != "", keys)).alias("at", "key"))
     if shape.n <= MOST_LISTED:
         hashes = np.array([r.h for r in listed.select(F.xxhash64("key").alias("h")).toLocalIterator()], dtype=np.int64)
-        bloom = spark.sparkContext.broadcast(BlockedBloom(hashes))
+        bloom = share(spark, BlockedBloom(hashes))
 
         @F.pandas_udf("boolean")
         def may_hold(h: pd.Series) -> pd.Series:
-            return pd.Series(bloom.value.may_hold(h.to_numpy(dtype=np.int64)))
+            return pd.Series(opened(bloom).may_hold(h.to_numpy(dtype=np.int64)))
 
         tried = tried.withColumn("maybe", may_hold(F.xxhash64("key")))
     else:
