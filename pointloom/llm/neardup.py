@@ -6,9 +6,9 @@ weighted Jaccard similarity) gives a sketch; bands of the sketch propose pairs a
 exact weighted Jaccard similarity of the whole texts decides them.
 
 Texts of equal shingle weights are one node from the start, so copies never pair up. Nodes
-whose unshared weight rules links out leave their buckets. The others are compared with a
-leader only; nodes unlike their leader choose further leaders, in rounds, until each has one
-or is one.
+whose unshared weight rules links out leave their buckets. Two rounds of comparisons with
+leaders join most of the others; then all pairs of a bucket that no links join yet are
+compared, block by block.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ BANDS, ROWS = 12, 4
 FLOOR, LEAST_IDF = 0.5, 0.5
 #: Bytes of text hashed at once.
 BLOCK = 400_000
+#: Rounds with leaders; they spare comparisons and decide nothing.
+LEADER_ROUNDS = 2
+#: Weight of the sets on each side of a block of comparisons (8 to 24 bytes a unit).
+BLOCK_WEIGHT = 400_000
 
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -318,25 +322,27 @@ def unshared(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified (leader, node) links of bucket members (band, key, node).
+    """Verified (leader, node) links of bucket members (band, key, node): any two nodes of a
+    bucket that reach the threshold are joined by a path of links.
 
     Each round first drops nodes whose unshared weight alone rules a link out (an exact
     bound; it clears buckets that a common passage or heavily edited copies fill), and
     buckets left with one node. Then each bucket's open nodes put up 4^(n-1) leaders, those
     with the least unshared weight, and every node of the bucket is compared with them.
-    Nodes like a leader, and leaders, are settled; buckets with none open are done. A round
+    Nodes like a leader, and leaders, are settled; buckets with none open sit out. A round
     makes at most the bucket's size times its leaders of pairs, and only pairs that their
-    unshared weights don't rule out; copies and near-copies of one text settle first."""
+    unshared weights don't rule out. After the rounds ``crossing`` compares what they left."""
     bucket = ["band", "key"]
     found: list[DataFrame] = []
-    open_, lead = members.withColumn("open", F.lit(True)), 1
-    while True:
+    open_, lead, first = members.withColumn("open", F.lit(True)), 1, None
+    for _ in range(LEADER_ROUNDS):
         shares = common.stored(unshared(sets, open_.select("node").distinct()), "shares")
         able = open_.join(shares.where(F.col("rare") <= 1 - SIMILARITY + 1e-6), "node")
         busy = able.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any")
         able = common.stored(able.join(busy.select(*bucket), bucket, "left_semi").select(*bucket, "node", "open", "rare", "total"), "able")
         if able.isEmpty():
             break
+        first = first or able
         part = F.pmod(F.xxhash64("node"), F.lit(lead)).alias("part")
         heads = able.where("open").groupBy(*bucket, part).agg(F.min(F.struct("rare", "node", "total")).alias("h")).select(*bucket, F.col("h.node").alias("leader"), (F.col("h.total") * (1 - F.col("h.rare"))).alias("ls"), F.col("h.total").alias("lt"))
         # what the two can share at most must reach the threshold over what both have
@@ -353,9 +359,84 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
         after = able.join(settled, [*bucket, "node"], "left").select(*bucket, "node", (F.col("open") & F.col("done").isNull()).alias("open"))
         open_ = common.stored(after, "open")
         lead *= 4
-    if not found:
+    if first is None:
         return members.sparkSession.createDataFrame([], "leader binary, node binary")
-    return reduce(DataFrame.unionByName, found).distinct()
+    joined = reduce(DataFrame.unionByName, found).distinct()
+    return joined.unionByName(crossing(first.select(*bucket, "node"), sets, components(joined)))
+
+
+def crossing(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (leader, node) between members of a bucket whose labels differ.
+
+    In each bucket the nodes outside its largest component are rows and all nodes are
+    columns; both are dealt by hash into parts of about BLOCK_WEIGHT, and every part of the
+    rows meets every part of the columns. Of a pair of different components one is a row, so
+    each such pair is compared, unless links found meanwhile join the two. Sets move once per
+    part of the other side, pairs never become rows of a table."""
+    bucket = ["band", "key"]
+
+    def mixed_ones(held: DataFrame) -> DataFrame:
+        sizes = held.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n"))
+        return sizes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1").select(*bucket, F.col("most.label").alias("main"))
+
+    named = members.join(labels, "node", "left").select(*bucket, "node", F.coalesce("label", "node").alias("label"))
+    named = common.stored(named.join(mixed_ones(named), bucket, "left_semi"), "mixed")
+    shares = common.stored(unshared(sets, named.select("node").distinct()), "shares").where(F.col("rare") <= 1 - SIMILARITY + 1e-6)
+    able = common.stored(named.join(shares, "node"), "able")
+    placed = able.join(mixed_ones(able), bucket)
+    parts = lambda w: F.greatest(F.lit(1), F.ceil(w / BLOCK_WEIGHT)).cast("int")
+    minor = F.col("label") != F.col("main")
+    sizes = placed.groupBy(*bucket).agg(parts(F.sum(F.when(minor, F.col("total")))).alias("down"), parts(F.sum("total")).alias("across"))
+    placed = common.stored(placed.join(sizes, bucket), "placed")
+    alone = (F.col("down") == 1) & (F.col("across") == 1)
+    kept = [*bucket, "node", "label", "main", "rare", "total"]
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = placed.select(*kept, spot("across").alias("j"), (alone & minor).alias("row"), F.lit(True).alias("col"), every("down").alias("i"))
+    rows = placed.where(~alone & minor).select(*kept, spot("down").alias("i"), F.lit(True).alias("row"), F.lit(False).alias("col"), every("across").alias("j"))
+    met = columns.unionByName(rows).join(sets.select("node", "shingles", "weights"), "node")
+
+    def compared(block: pa.Table) -> pa.Table:
+        out = _compared({c: block.column(c).to_pylist() for c in ("node", "label", "main", "rare", "row", "col", "shingles", "weights")})
+        return pa.table({"leader": pa.array([a for a, _ in out], pa.binary()), "node": pa.array([b for _, b in out], pa.binary())})
+
+    return common.stored(met.groupBy(*bucket, "i", "j").applyInArrow(compared, "leader binary, node binary").distinct(), "crossing")
+
+
+def _compared(c: dict[str, list]) -> list[tuple[bytes, bytes]]:
+    """Links of a block's rows with its columns, one for each two components they join."""
+    s = [np.frombuffer(x, np.uint64) for x in c["shingles"]]
+    sizes = np.array([len(x) for x in s])
+    starts = np.cumsum(sizes) - sizes
+    place = np.unique(np.concatenate(s), return_inverse=True)[1].reshape(-1)
+    w = np.concatenate([np.frombuffer(x, np.float32) if x else np.ones(n, np.float32) for x, n in zip(c["weights"], sizes, strict=True)]).astype(float)
+    total = np.add.reduceat(w, starts)
+    most = total * (1 - np.array(c["rare"]))
+    number = {x: k for k, x in enumerate(dict.fromkeys([c["main"][0], *c["label"]]))}
+    part = np.array([number[x] for x in c["label"]])
+    main, cols = 0, np.flatnonzero(c["col"])
+    own, out = np.zeros(int(place.max()) + 1), []
+    for a in np.flatnonzero(c["row"]).tolist():
+        if part[a] == main:
+            continue
+        # the same bound as in the rounds
+        shared = np.minimum(most[a], most[cols])
+        others = cols[(part[cols] != part[a]) & (shared >= (SIMILARITY - 1e-6) * (total[a] + total[cols] - shared))]
+        if not len(others):
+            continue
+        mine = slice(starts[a], starts[a] + sizes[a])
+        own[place[mine]] = w[mine]
+        ends = np.cumsum(sizes[others])
+        at = np.repeat(starts[others] - ends + sizes[others], sizes[others]) + np.arange(ends[-1])
+        least = np.add.reduceat(np.minimum(own[place[at]], w[at]), ends - sizes[others])
+        own[place[mine]] = 0
+        like = others[least / (total[a] + total[others] - least) >= SIMILARITY]
+        for b in like.tolist():
+            if part[b] != part[a]:
+                out.append((c["node"][a], c["node"][b]))
+                keep, gone = min(part[a], part[b]), max(part[a], part[b])
+                part[part == gone] = keep
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

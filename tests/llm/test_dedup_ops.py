@@ -112,6 +112,43 @@ def test_classes_are_right_on_random_edits(spark):
                 assert label[a] == label[b]
 
 
+def bucket_of(spark, found):
+    """Members of one bucket and sets for {name: shingles}."""
+    members = spark.createDataFrame([(0, 0, bytearray(n)) for n in found], "band int, key long, node binary")
+    sets = spark.createDataFrame([(bytearray(n), bytearray(np.array(sorted(s), np.uint64).tobytes()), None, float(len(s))) for n, s in found.items()], "node binary, shingles binary, weights binary, total double")
+    return members, sets
+
+
+def brute_components(found):
+    label = {n: n for n in found}
+    for a in found:
+        for b in found:
+            if len(found[a] & found[b]) >= 0.8 * len(found[a] | found[b]):
+                x, y = label[a], label[b]
+                label = {n: min(x, y) if v in (x, y) else v for n, v in label.items()}
+    return label
+
+
+def test_link_between_nodes_of_different_leaders(spark):
+    # x is like a, y is like the b's, and only x and y join the two groups
+    found = {b"a": set(range(100)), b"a2": set(range(99)), b"x": set(range(10, 110)), b"y": set(range(20, 120)), b"b": set(range(30, 130))}
+    found |= {f"b{k:02d}".encode(): found[b"b"] - {60 + k} for k in range(24)}
+    labels = neardup.components(neardup.links(*bucket_of(spark, found)))
+    assert {bytes(r.label) for r in labels.collect()} == {b"a"} and labels.count() == len(found)
+
+
+@pytest.mark.parametrize("weight", [400_000, 600])
+def test_links_join_what_brute_force_joins(spark, monkeypatch, weight):
+    monkeypatch.setattr(neardup, "BLOCK_WEIGHT", weight)
+    rng, found = random.Random(8), {}
+    for k in range(90):
+        at = rng.randrange(150)
+        found[f"n{k:02d}".encode()] = set(range(at, at + 100)) - set(rng.sample(range(at, at + 100), 3))
+    want = brute_components(found)
+    label = {n: n for n in found} | {bytes(r.node): bytes(r.label) for r in neardup.components(neardup.links(*bucket_of(spark, found))).collect()}
+    assert label == want
+
+
 def test_sampling_follows_weighted_jaccard():
     rng = np.random.default_rng(1)
     s = np.sort(rng.integers(0, 2**48, 400, dtype=np.uint64))
