@@ -460,7 +460,9 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, class_size, th): each row's near-duplicate class, named by its least id.
+    """(id, class_id, class_th, class_size, th): each row's near-duplicate class, named by its
+    least id and the hash of that row's text, so that classes with null or repeated ids
+    stay apart.
 
     Classes are the components of the verified links. Texts without words (null and empty
     ones too) are near-duplicates of equal texts only. Repeated rows are members of one
@@ -480,14 +482,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         sets = common.stored(weighted_sets(rows, idf, wanted), "sets")
         labels = components(links(members.select("band", "key", "node"), sets))
         labelled = kept.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
-    named = labelled.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return labelled.join(named, "class").select(F.col("id").alias(id_col), "class_id", "class_size", "th")
+    named = labelled.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"), F.count(F.lit(1)).alias("class_size"))
+    return labelled.join(named, "class").select(F.col("id").alias(id_col), F.col("k.id").alias("class_id"), F.col("k.th").alias("class_th"), "class_size", "th")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the least id of their class, one row per class."""
     found = classes(docs, id_col, text_col)
-    firsts = found.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "th")).alias("k")).select(F.col("k.id").alias("keep_id"), F.col("k.th").alias("keep_th"))
+    firsts = found.select(F.col("class_id").alias("keep_id"), F.col("class_th").alias("keep_th")).distinct()
     marked = docs.withColumn("keep_th_", F.xxhash64(common.whole(docs[text_col])))
     kept = marked.join(firsts, marked[id_col].cast("long").eqNullSafe(F.col("keep_id")) & (F.col("keep_th_") == F.col("keep_th")))
     one = F.row_number().over(Window.partitionBy("keep_id", "keep_th").orderBy("keep_th_"))

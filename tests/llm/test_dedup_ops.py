@@ -149,6 +149,17 @@ def test_links_join_what_brute_force_joins(spark, monkeypatch, weight):
     assert label == want
 
 
+def test_unlike_texts_of_null_or_equal_ids_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (7, text(2)), (7, text(3)), (8, text(3)), (None, "..."), (None, "?!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in neardup.keep_one(df).collect())
+    assert kept == sorted([(-1, text(0)), (-1, text(1)), (7, text(2)), (7, text(3)), (-1, "..."), (-1, "?!")])
+    got = neardup.classes(df).collect()
+    assert sorted(r.class_size for r in got) == [1, 1, 1, 1, 2, 2, 2, 2]
+    assert len({(r.class_id, r.class_th) for r in got}) == 6
+
+
 def test_sampling_follows_weighted_jaccard():
     rng = np.random.default_rng(1)
     s = np.sort(rng.integers(0, 2**48, 400, dtype=np.uint64))
