@@ -60,7 +60,8 @@ def encoder(spec: str) -> Callable[[str], bytes]:
     """Text to little-endian 32-bit ids, as ``tokenizers`` gives them for this file.
 
     Where ids follow merge order, the same merges run faster as byte ranks in tiktoken;
-    other vocabularies, and texts that spell out a special token, go to tokenizers."""
+    other vocabularies, texts that spell out a special token, and texts that tiktoken
+    refuses (its pattern matcher gives up on very long white space), go to tokenizers."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_str(spec)
@@ -77,7 +78,16 @@ def encoder(spec: str) -> Callable[[str], bytes]:
 
         ranks = {t: i for i, t in vocab.bytes_of.items() if i not in vocab.special.values()}
         fast = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: exact(text) if any(s in text for s in vocab.special) else fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+        def quick(text: str) -> bytes:
+            if any(s in text for s in vocab.special):
+                return exact(text)
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:
+                return exact(text)
+
+        return quick
     return exact
 
 

@@ -88,6 +88,12 @@ def test_packing_is_exact(spark, tokenizer):
     assert packing.pack(df.where("doc_id < 0"), queries.vocabulary()).count() == 0
 
 
+def test_very_long_white_space_is_encoded(tokenizer):
+    encode = packing.encoder(queries.vocabulary())
+    for text in ("a" + " " * 1_200_000 + "b", "\n" * 1_200_000, "a b" * 10):
+        assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_assignment_balances_cost():
     lengths = [900, 700, 600, 500, 400, 300, 200, 100, 50]
     placed = packing.assign(lengths, 2048)
