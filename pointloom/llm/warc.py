@@ -113,28 +113,37 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Of equal payloads the one with the largest id is the response and the others revisit
     it. Digests are grouped with partial counts and decisions are joined by id, so a
     payload that many pages share moves as short rows only. Null html is an empty payload,
-    null ids come before all others; of wholly equal rows one is the response."""
+    null ids come before all others. Of rows of equal id and payload one, with the least
+    URL, is the response: equal rows have no name of their own, so they are counted, and
+    one response and the other revisits are written from the counts."""
     rows = pages.select(pages[id_col].cast("long").alias("id"), whole(pages[url_col]).alias("uri"), whole(pages[html_col]).cast("binary").alias("html")).withColumn("sha", F.sha1("html"))
     copies = rows.groupBy("sha", "id").agg(F.count(F.lit(1)).alias("copies"))
     firsts = copies.groupBy("sha").agg(F.max(F.coalesce("id", F.lit(-(2**63)))).alias("top"))
-    decided = copies.join(firsts, "sha").select("id", "sha", "copies", (F.coalesce("id", F.lit(-(2**63))) == F.col("top")).alias("first"))
+    decided = stored(copies.join(firsts, "sha").select("id", "sha", "copies", (F.coalesce("id", F.lit(-(2**63))) == F.col("top")).alias("first")), "decided")
     joined = rows.alias("r").join(decided.alias("d"), F.col("r.id").eqNullSafe(F.col("d.id")) & (F.col("r.sha") == F.col("d.sha"))).select("r.id", "uri", "html", F.col("r.sha").alias("sha"), "first", "copies")
+    repeats = F.col("first") & (F.col("copies") > 1)
+    if not decided.where(repeats).isEmpty():
+        same = joined.where(repeats)
+        counts = stored(same.groupBy("id", "sha", "uri").agg(F.count(F.lit(1)).alias("n")), "counts")
+        least = counts.groupBy("id", "sha").agg(F.min("uri").alias("least"))
+        others = counts.alias("c").join(least.alias("l"), F.col("c.id").eqNullSafe(F.col("l.id")) & (F.col("c.sha") == F.col("l.sha"))).withColumn("others", F.col("n") - (F.col("uri") == F.col("least")).cast("long")).where("others > 0")
+        revisits = others.select("c.id", "uri", F.lit(b"").alias("html"), F.col("c.sha").alias("sha"), F.lit(False).alias("first"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("others"))).alias("copies"))
+        response = same.groupBy("id", "sha").agg(F.min("uri").alias("uri"), F.first("html").alias("html")).select("id", "uri", "html", "sha", F.lit(True).alias("first"), F.lit(1).cast("long").alias("copies"))
+        joined = joined.where(~repeats).unionByName(response).unionByName(revisits)
+    joined = joined.drop("copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, stretch, size, seen, parts, row = TaskContext.get().partitionId(), 0, 0, set(), [], 0
+        task, stretch, size, parts, row = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def flushed() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"archive": pa.array([f"part-{task:06d}.warc.gz"]), "stretch": pa.array([stretch], pa.int32()), "content": pa.array([b"".join(parts)], pa.binary())})
 
         for batch in in_batches(batches, 500):
-            for i, uri, html, sha, first, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, uri, html, sha, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row += 1
                 digest = bytes.fromhex(sha)
                 answer = _urn(digest)  # a payload has one response
                 named = {"WARC_Target_URI": " ".join(uri.split()) or None, "WARC_Payload_Digest": f"sha1:{b32(digest)}", "WARC_Page_ID": i, "Content_Type": "application/http; msgtype=response"}
-                if first and copies > 1:
-                    first = (i, sha) not in seen
-                    seen.add((i, sha))
                 if first:
                     block = HEAD + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(html)
                     made = segmented(answer, block, segment, **named)

@@ -28,6 +28,24 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages(spark, [(1, "a", "b", "c", "d")]).where("page_id = 0")).count() == 0
 
 
+def test_equal_rows_in_different_tasks(spark, tmp_path):
+    big = "<p>" + "x" * 30_000 + "</p>"
+    rows = [(9, "dup", big), (9, "dup", big), (9, "other", big), (8, "u", big), (None, "n", "lone"), (None, "n", "lone"), (5, "v", "one")]
+    rng = np.random.default_rng(1)
+    for k, r in enumerate(rows):
+        others = [(100 + 30 * k + j, "f", rng.bytes(15_000).hex()) for j in range(30)]
+        pages(spark, [(*x, "d", "k") for x in [r, *others]]).coalesce(1).write.parquet(f"{tmp_path}/t/part={k}")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    # the rows are too many to broadcast, the decisions are not: the join stays where the rows are
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        got = [r for r in warc.round_trip(read).collect() if (r.page_id or 0) < 100]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got) == sorted([("9", "response", "None"), ("9", "revisit", "9"), ("9", "revisit", "9"), ("8", "revisit", "9"), ("None", "response", "None"), ("None", "revisit", "None"), ("5", "response", "None")])
+    assert all(r.complete for r in got) and {r.payload_bytes for r in got if r.page_id in (8, 9)} == {len(big)}
+
+
 def test_segments_are_ordered_and_verified(spark):
     block = warc.HEAD + b"Transfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"payload " * 50)
     parts = list(warc.segmented("<urn:a>", block, 100, WARC_Page_ID=1))
