@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The band: a lexicon term occurs in at least LEAST and at most MOST of the documents.
-LEAST, MOST = 0.002, 0.2
+#: The band: a lexicon term occurs in at least LEAST and at most MOST of the documents. A
+#: group of copies may hold a third of all rows, and its terms must stay in the band.
+LEAST, MOST = 0.002, 0.5
+#: Terms kept of a text for the case that none of its terms is in the lexicon.
+SPARE = 16
 #: Subsets of each level and the levels' rates.
 EACH, RATES = 8, (1 / 4, 1 / 16, 1 / 64, 1 / 256, 1 / 1024)
 SUBSETS = EACH * len(RATES)
@@ -34,6 +37,11 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(text), r"[^\p{L}\p{N}]+")))
 
 
+def spare(t: Column) -> Column:
+    """The least hashes of a text's terms: an edit elsewhere leaves them as they were."""
+    return F.slice(F.sort_array(F.transform(F.slice(t, 2, 2**30), lambda x: F.xxhash64(x))), 1, SPARE)
+
+
 def lexicon(docs: DataFrame, n_docs: int, text_col: str = "text", least: float = LEAST, most: float = MOST) -> DataFrame:
     """(term, mask): hashes of the terms in the band and the subsets that hold them.
 
@@ -62,12 +70,17 @@ def _levels(held: str) -> list[Column]:
     return [F.filter(F.col(held), _holds((2**EACH - 1) << (EACH * v))).alias(f"{held}{v}") for v in range(len(RATES))]
 
 
-def _components(held: str, fallback: str) -> Column:
+def _components(held: str, fallback: str, spares: str) -> Column:
     """The subset hashes of sorted (term, mask) structs, null where a subset holds none.
-    A text with no lexicon term has the hash of the whole text in every place."""
+    A text with no lexicon term has its spare terms, each in the place that its hash names,
+    on the first level and the hash of the whole text in every other place; a text with no
+    term at all has the latter everywhere."""
     inside = [F.filter(F.col(f"{held}{k // EACH}"), _holds(1 << k)) for k in range(SUBSETS)]
     own = F.array(*[F.when(F.size(s) > 0, F.xxhash64(s, F.lit(k))) for k, s in enumerate(inside)])
-    return F.when(F.size(held) > 0, own).otherwise(F.array_repeat(F.col(fallback), SUBSETS))
+    placed = F.transform(F.sequence(F.lit(0), F.lit(EACH - 1)), lambda k: F.array_min(F.filter(F.col(spares), lambda h: F.pmod(h, F.lit(EACH)) == k)))
+    coarse = F.array_repeat(F.col(fallback), SUBSETS)
+    finer = F.concat(placed, F.slice(coarse, 1, SUBSETS - EACH))
+    return F.when(F.size(held) > 0, own).when(F.size(spares) > 0, finer).otherwise(coarse)
 
 
 def _pairs(a: str, b: str) -> Column:
@@ -115,15 +128,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprints of every whole text and of its edited text, and their likenesses.
 
     The edited text has its last floor(n/2) code points replaced by the first as many
-    (or all) of the next document. A null text is an empty one; texts without lexicon
-    terms (empty ones too) are like only to equal texts. Repeated rows give repeated
+    (or all) of the next document. A null text is an empty one; texts without
+    terms are like only to equal texts, those without lexicon terms are told by their
+    spare terms. Repeated rows give repeated
     results; a document alone is its own next. Other columns are ignored."""
     n_docs = docs.count()
     held = F.broadcast(lexicon(docs, n_docs, text_col))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     rows = with_next(docs, id_col, text_col).withColumn("edited", edited)
-    own = F.struct("id", "guest", "th", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.xxhash64("edited").alias("eh"))
+    own = F.struct("id", "guest", "th", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.xxhash64("edited").alias("eh"), spare(terms(F.col("text"))).alias("sa"), spare(terms(F.col("edited"))).alias("sb"))
     both = F.array(F.struct(F.lit(0).alias("of"), terms(F.col("text")).alias("t")), F.struct(F.lit(1).alias("of"), terms(F.col("edited")).alias("t")))
     split = rows.select("part", F.monotonically_increasing_id().alias("row"), own.alias("own"), both.alias("both"))
     one = split.select("part", "row", "own", F.explode("both").alias("b")).select("part", "row", "own", F.col("b.of").alias("of"), F.explode("b.t").alias("t"))
@@ -134,7 +148,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_sort(F.collect_list(F.when((F.col("of") == 1) & real, entry))).alias("b"),
         F.first("own", ignorenulls=True).alias("own"),
     )
-    made = listed.select("part", "own.*", "a", "b", *_levels("a"), *_levels("b")).select("part", "id", "guest", "th", "n_chars", "sha", _components("a", "th").alias("a"), _components("b", "eh").alias("b"))
+    made = listed.select("part", "own.*", "a", "b", *_levels("a"), *_levels("b")).select("part", "id", "guest", "th", "n_chars", "sha", _components("a", "th", "sa").alias("a"), _components("b", "eh", "sb").alias("b"))
     made = made.withColumn("c", F.lead("a").over(Window.partitionBy("part").orderBy("guest", F.col("id").asc_nulls_first(), "th")))
     return made.where("guest = 0").select("*", _pairs("a", "b").alias("edit_pairs"), _pairs("a", "c").alias("next_pairs")).select(
         F.col("id").alias(id_col),

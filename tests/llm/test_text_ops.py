@@ -128,6 +128,17 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(df.where("doc_id = 3")).count() == 1
 
 
+def test_near_copies_in_the_largest_group_and_of_rare_terms(spark):
+    rng = np.random.default_rng(4)
+    text = lambda name, k: " ".join([*(f"{name}{j}" for j in range(60)), f"only{name}{k}"])
+    third = [(k, text("g", k)) for k in range(40)] + [(100 + k, " ".join(f"w{j}" for j in rng.integers(0, 300, 60))) for k in range(80)]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(third, "doc_id long, text string")).collect()}
+    assert all(got[k].near_next > 0.5 for k in range(39)) and got[39].near_next < 0.5
+    rare = [(k, text("r", k)) for k in range(2)] + [(10, text("q", 0))] + [(100 + k, "filler") for k in range(2000)]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rare, "doc_id long, text string")).collect()}
+    assert got[0].near_next > 0.5 and got[1].near_next < 0.5 and got[0].fingerprint != got[1].fingerprint
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("doc_id = -5")
     assert bpe.round_trip(none, queries.vocabulary()).count() == 0
