@@ -4,20 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The steps written within the innermost ``scratch``.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` where the session names one, else the checkpoint folder in
-    force, else (tests) a new temporary folder."""
+    force. Only a local master, whose tasks all see the driver's disk, gets a temporary
+    folder; on a cluster a missing folder is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        master = sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        held = sc._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
 
 
@@ -26,4 +37,32 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if (written := _written.get()) is not None:
+        written.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete steps that no later plan reads."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Steps written inside are deleted at the end, but for those whose frames (as
+    ``stored`` returned them) are put in the list, which an enclosing ``scratch`` takes over."""
+    held: list[str] = []
+    kept: list[DataFrame] = []
+    token = _written.set(held)
+    try:
+        yield kept
+    finally:
+        _written.reset(token)
+        stay = {getattr(df, "_stored_at", None) for df in kept}
+        discard(spark, *(p for p in held if p not in stay))
+        if (outer := _written.get()) is not None:
+            outer += [p for p in held if p in stay]
