@@ -6,12 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The steps written within the innermost ``scratch``.
-_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+#: The steps written within each open ``scratch`` of the driver, the innermost last.
+_written: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,8 +36,8 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if (written := _written.get()) is not None:
-        written.append(path)
+    if _written:
+        _written[-1].append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -55,14 +54,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Steps written inside are deleted at the end, but for those whose frames (as
     ``stored`` returned them) are put in the list, which an enclosing ``scratch`` takes over."""
-    held: list[str] = []
     kept: list[DataFrame] = []
-    token = _written.set(held)
+    _written.append([])
     try:
         yield kept
     finally:
-        _written.reset(token)
-        stay = {getattr(df, "_stored_at", None) for df in kept}
+        held, stay = _written.pop(), {getattr(df, "_stored_at", None) for df in kept}
         discard(spark, *(p for p in held if p not in stay))
-        if (outer := _written.get()) is not None:
-            outer += [p for p in held if p in stay]
+        if _written:
+            _written[-1].extend(p for p in held if p in stay)
