@@ -12,9 +12,9 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import stored
+from ..functions.lineage import scratch, stored
 
-__all__ = ["in_batches", "opened", "per_worker", "share", "spread", "stored", "table", "whole"]
+__all__ = ["columns", "in_batches", "opened", "per_worker", "scratch", "share", "spread", "stored", "table", "unused", "whole"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,23 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def in_batches(rows: Iterator, max_rows: int) -> Iterator:
     """Cut Arrow record batches to at most ``max_rows`` rows."""
     for batch in rows:
@@ -57,4 +74,7 @@ def share(spark: SparkSession, value: Any) -> Broadcast:
 
 
 def opened(held: Broadcast) -> Any:
-    return pickle.loads(held.value)
+    """The shared object, unpickled once for all batches of a task."""
+    if "_opened" not in held.__dict__:
+        held._opened = pickle.loads(held.value)
+    return held._opened

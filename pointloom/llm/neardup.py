@@ -19,6 +19,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +29,16 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bands and samples in a band: a pair of similarity 0.8 meets in a band with a
 #: probability of 99.8 %, one of 0.85 with 99.99 %, one of 0.3 with 9 %.
 BANDS, ROWS = 12, 4
-#: Shingles in up to this share of the documents have the full inverse document frequency
-#: 1, more common ones less (by logarithm), down to LEAST_IDF for one in all documents. A
-#: group of near-copies that holds a third of the corpus thus keeps its similarities. Only
-#: shingles above FLOOR need their exact counts, and there are at most (mean distinct
-#: shingles of a document) / FLOOR of them.
-FLOOR, LEAST_IDF = 0.5, 0.5
+#: Inverse document frequencies fall with the logarithm of a shingle's document frequency,
+#: from 1 at a share of FLOOR of the documents (and below) to LEAST_IDF at all of them. So
+#: boilerplate weighs less than unique text, and near-copies in a group that holds a third
+#: of the corpus are still alike.
+FLOOR, LEAST_IDF = 1 / 256, 0.5
+#: Document frequencies are counted in a sketch of COUNTER_ROWS rows of 2^COUNTER_BITS
+#: counters, 4 MB at any corpus size. It never counts too few; it counts too many by (mean
+#: distinct shingles of a document) / 2^COUNTER_BITS of the documents on average (0.1 % for
+#: 560 shingles), which lies below FLOOR. It moves in rows of SLOT counters.
+COUNTER_BITS, COUNTER_ROWS, SLOT = 19, 2, 1024
 #: Bytes of text hashed at once.
 BLOCK = 400_000
 #: Rounds with leaders; they spare comparisons and decide nothing.
@@ -46,6 +51,10 @@ _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _SHINGLE = _rng.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SAMPLE = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_COUNTER = _rng.integers(0, 2**63, COUNTER_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Variates come from tables of 2^TABLE_BITS entries: two shingles share an entry with a
+#: probability of one in a million, which can only propose a pair or pass one over in one
+#: sample; similarities are computed on the shingles themselves.
 TABLE_BITS = 20
 
 
@@ -135,59 +144,62 @@ def blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa
             yield batch.slice(at), texts[at:]
 
 
-def common_shingles(docs: DataFrame, n_docs: int, floor: float = FLOOR) -> dict[int, float]:
-    """Inverse document frequencies below 1 of the shingles in over ``floor`` of ``docs``.
+def counters(s: np.ndarray) -> list[np.ndarray]:
+    """The places of shingles in the rows of the sketch, the rows one after the other."""
+    size = 1 << COUNTER_BITS
+    return [((s * _COUNTER[r]) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64) + r * size for r in range(COUNTER_ROWS)]
 
-    A shingle that common in all documents is as common in some task's share of them, so
-    each task names its own candidates; a second pass counts those over all documents.
-    Both results have a size that doesn't grow with the corpus."""
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, n = Shingler(), [], 0
-
-        def named() -> pa.RecordBatch:
-            s, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(s[c > floor * n].astype(np.int64))], names=["shingle"])
+def document_frequencies(docs: DataFrame) -> np.ndarray:
+    """The count sketch of all documents (column ``text``): every task fills its own, sums by
+    slot follow, and the driver gets one sketch."""
+    width = COUNTER_ROWS << COUNTER_BITS
 
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, total, held, n = Shingler(), np.zeros(width, dtype=np.uint32), [], 0
+        any_rows = False
         for _, texts in blocks(batches, 0):
+            any_rows = True
             held.append(shingler.weighted(texts)[1])
-            n += len(texts)
-            if sum(map(len, held)) > 4_000_000 and n >= 500:
-                yield named()
+            n += len(held[-1])
+            if n > 1_000_000:
+                total += np.bincount(np.concatenate(counters(np.concatenate(held))), minlength=width).astype(np.uint32)
                 held, n = [], 0
         if held:
-            yield named()
-
-    found = [r.shingle for r in docs.select("text").mapInArrow(candidates, "shingle long").distinct().toLocalIterator()]
-    if not found:
-        return {}
-    sought = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(found, dtype=np.uint64)))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, total = Shingler(), np.zeros(len(sought.value), dtype=np.int64)
-        for _, texts in blocks(batches, 0):
-            s = shingler.weighted(texts)[1]
-            at = np.minimum(np.searchsorted(sought.value, s), len(sought.value) - 1)
-            total += np.bincount(at[sought.value[at] == s], minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(sought.value.astype(np.int64)), pa.array(total)], names=["shingle", "df"])
-
-    counts = docs.select("text").mapInArrow(counted, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > floor * n_docs)
-    return {r.shingle: float(LEAST_IDF + (1 - LEAST_IDF) * np.log(n_docs / r.df) / np.log(1 / floor)) for r in counts.toLocalIterator()}
+            total += np.bincount(np.concatenate(counters(np.concatenate(held))), minlength=width).astype(np.uint32)
+        if any_rows:
+            rows = total.reshape(-1, SLOT)
+            used = np.flatnonzero(rows.any(axis=1))
+            for at in range(0, len(used), 256):
+                some = used[at : at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[k].tobytes() for k in some], pa.binary())], names=["slot", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                more = np.frombuffer(counts, np.uint32).astype(np.uint64)
+                held[slot] = held[slot] + more if slot in held else more
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["slot", "counts"])
+
+    parts = docs.select("text").mapInArrow(filled, "slot int, counts binary").repartition("slot").mapInArrow(summed, "slot int, counts binary").toArrow()
+    out = np.zeros(width, dtype=np.uint64).reshape(-1, SLOT)
+    for slot, counts in zip(parts["slot"].to_pylist(), parts["counts"].to_pylist(), strict=True):
+        out[slot] = np.frombuffer(counts, np.uint64)
+    return out.reshape(-1)
 
 
 class Weights:
-    """TF-IDF weights: term frequency times the (mostly full) inverse document frequency."""
+    """TF-IDF weights: term frequency times the inverse document frequency of the sketch."""
 
-    def __init__(self, idf: dict[int, float]):
-        order = sorted(idf)
-        self.shingles = np.array(order, dtype=np.uint64)
-        self.idf = np.array([idf[s] for s in order], dtype=np.float32)
+    def __init__(self, frequencies: np.ndarray, n_docs: int):
+        share = np.maximum(frequencies / max(n_docs, 1), FLOOR)
+        idf = LEAST_IDF + (1 - LEAST_IDF) * np.log(np.minimum(share, 1.0)) / np.log(FLOOR)
+        self.idf = idf.astype(np.float32)
 
     def __call__(self, s: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        if not len(self.shingles) or not len(s):
-            return tf
-        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
-        return tf * np.where(self.shingles[at] == s, self.idf[at], np.float32(1))
+        # the row with the least count has the highest frequency's inverse
+        return tf * reduce(np.maximum, [self.idf.take(at) for at in counters(s)])
 
 
 class Sampler:
@@ -222,9 +234,8 @@ class Sampler:
         return out.view(np.uint32)
 
 
-def sketches(docs: DataFrame, idf: dict[int, float]) -> DataFrame:
+def sketches(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """(id, th, node, bands): node names the weighted set (or, without words, the text)."""
-    shared = common.share(docs.sparkSession, Weights(idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = common.opened(shared)
@@ -253,9 +264,8 @@ def sketches(docs: DataFrame, idf: dict[int, float]) -> DataFrame:
     return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, node binary, bands array<long>")
 
 
-def weighted_sets(docs: DataFrame, idf: dict[int, float], wanted: DataFrame) -> DataFrame:
+def weighted_sets(docs: DataFrame, shared: Broadcast, wanted: DataFrame) -> DataFrame:
     """(node, shingles, weights, total) of the ``wanted`` (node, id, th): one whole text each."""
-    shared = common.share(docs.sparkSession, Weights(idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, shingler = common.opened(shared), Shingler()
@@ -335,8 +345,9 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     bucket = ["band", "key"]
     found: list[DataFrame] = []
     open_, lead, first = members.withColumn("open", F.lit(True)), 1, None
+    # of all members: what no other member has, no other node of a later round has either
+    shares = common.stored(unshared(sets, members.select("node").distinct()), "shares")
     for _ in range(LEADER_ROUNDS):
-        shares = common.stored(unshared(sets, open_.select("node").distinct()), "shares")
         able = open_.join(shares.where(F.col("rare") <= 1 - SIMILARITY + 1e-6), "node")
         busy = able.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any")
         able = common.stored(able.join(busy.select(*bucket), bucket, "left_semi").select(*bucket, "node", "open", "rare", "total"), "able")
@@ -379,7 +390,7 @@ def crossing(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFram
         sizes = held.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n"))
         return sizes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1").select(*bucket, F.col("most.label").alias("main"))
 
-    named = members.join(labels, "node", "left").select(*bucket, "node", F.coalesce("label", "node").alias("label"))
+    named = members.join(labels.select("node", "label"), "node", "left").select(*bucket, "node", F.coalesce("label", "node").alias("label"))
     named = common.stored(named.join(mixed_ones(named), bucket, "left_semi"), "mixed")
     shares = common.stored(unshared(sets, named.select("node").distinct()), "shares").where(F.col("rare") <= 1 - SIMILARITY + 1e-6)
     able = common.stored(named.join(shares, "node"), "able")
@@ -440,7 +451,7 @@ def _compared(c: dict[str, list]) -> list[tuple[bytes, bytes]]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each component, by label spreading with shortcuts;
+    """(node, label, ...): the least node of each component, by label spreading with shortcuts;
     every step cuts its lineage in the shared folder."""
     both = common.stored(edges.select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(edges.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "edges")
     labels = common.stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
@@ -448,9 +459,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("next"), "label")
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = common.stored(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), F.col("label").alias("old")), "labels")
-        labels = new.select("node", "label")
-        if new.where(F.col("label") != F.col("old")).isEmpty():
+        labels = common.stored(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), F.col("label").alias("old")), "labels")
+        if labels.where(F.col("label") != F.col("old")).isEmpty():
             return labels
 
 
@@ -469,28 +479,40 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     class; null ids are members but name a class only if it has no other. ``th`` is a hash
     of the text that tells rows of one id apart."""
     rows = _prepared(docs, id_col, text_col)
-    idf = common_shingles(rows, rows.count())
-    kept = common.stored(sketches(rows, idf), "sketches")
+    shared = common.share(rows.sparkSession, Weights(document_frequencies(rows), rows.count()))
+    kept = common.stored(sketches(rows, shared), "sketches")
+    labels = _labels(rows, shared, kept)
+    labelled = kept.withColumn("class", F.col("node")) if labels is None else kept.join(labels.select("node", "label"), "node", "left").withColumn("class", F.coalesce("label", "node"))
+    named = labelled.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"), F.count(F.lit(1)).alias("class_size"))
+    return labelled.join(named, "class").select(F.col("id").alias(id_col), F.col("k.id").alias("class_id"), F.col("k.th").alias("class_th"), "class_size", "th")
+
+
+def _labels(rows: DataFrame, shared: Broadcast, kept: DataFrame) -> DataFrame | None:
+    """(node, label) of the nodes that have links; None if no two nodes share a bucket."""
     nodes = kept.groupBy("node").agg(F.min(F.struct("id", "th")).alias("of"), F.first("bands").alias("bands"))
     spread = nodes.where(F.col("bands").isNotNull()).select("node", "of", F.posexplode("bands").alias("band", "key"))
     crowded = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = common.stored(spread.join(crowded, ["band", "key"]).select("band", "key", "node", "of"), "members")
-    if members.isEmpty():
-        labelled = kept.withColumn("class", F.col("node"))
-    else:
+    with common.scratch(rows.sparkSession) as stay:
+        members = common.stored(spread.join(crowded, ["band", "key"]).select("band", "key", "node", "of"), "members")
+        if members.isEmpty():
+            return None
         wanted = members.select("node", "of.id", "of.th").distinct()
-        sets = common.stored(weighted_sets(rows, idf, wanted), "sets")
+        sets = common.stored(weighted_sets(rows, shared, wanted), "sets")
         labels = components(links(members.select("band", "key", "node"), sets))
-        labelled = kept.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
-    named = labelled.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"), F.count(F.lit(1)).alias("class_size"))
-    return labelled.join(named, "class").select(F.col("id").alias(id_col), F.col("k.id").alias("class_id"), F.col("k.th").alias("class_th"), "class_size", "th")
+        stay.append(labels)
+    return labels
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the least id of their class, one row per class."""
+    """The rows of ``docs`` with the least id of their class, one row per class, with all
+    their columns, whatever these are called.
+
+    Null and empty texts are near-duplicates of each other; null ids stay only if their class
+    has no other; of repeated rows one stays; an empty table stays empty."""
     found = classes(docs, id_col, text_col)
-    firsts = found.select(F.col("class_id").alias("keep_id"), F.col("class_th").alias("keep_th")).distinct()
-    marked = docs.withColumn("keep_th_", F.xxhash64(common.whole(docs[text_col])))
-    kept = marked.join(firsts, marked[id_col].cast("long").eqNullSafe(F.col("keep_id")) & (F.col("keep_th_") == F.col("keep_th")))
-    one = F.row_number().over(Window.partitionBy("keep_id", "keep_th").orderBy("keep_th_"))
-    return kept.withColumn("keep_n_", one).where("keep_n_ = 1").select(*docs.columns)
+    own, th, n, first_id, first_th = common.unused(docs, "own_id", "own_th", "own_n", "first_id", "first_th")
+    firsts = found.select(F.col("class_id").alias(first_id), F.col("class_th").alias(first_th)).distinct()
+    marked = docs.withColumns({own: docs[id_col].cast("long"), th: F.xxhash64(common.whole(docs[text_col]))})
+    kept = marked.join(firsts, F.col(own).eqNullSafe(F.col(first_id)) & (F.col(th) == F.col(first_th)))
+    one = F.row_number().over(Window.partitionBy(first_id, first_th).orderBy(th))
+    return kept.withColumn(n, one).where(F.col(n) == 1).select(*common.columns(docs))

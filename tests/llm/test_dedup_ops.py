@@ -112,6 +112,61 @@ def test_classes_are_right_on_random_edits(spark):
                 assert label[a] == label[b]
 
 
+def brute_classes(rows, weights):
+    """Components of all pairs of exact weighted Jaccard similarity 0.8 or more."""
+    sh = neardup.Shingler()
+    sets = []
+    for _, t in rows:
+        _, s, tf = sh.weighted([t or ""])
+        sets.append(dict(zip(s.tolist(), weights(s, tf).astype(float).tolist(), strict=True)))
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            least = sum(min(w, sets[b][x]) for x, w in sets[a].items() if x in sets[b])
+            union = sum(sets[a].values()) + sum(sets[b].values()) - least
+            if rows[a][1] == rows[b][1] or (union and least / union >= 0.8):
+                x, y = label[a], label[b]
+                label = [x if v == y else v for v in label]
+    return sorted(sorted(str(rows[k][0]) for k in range(len(rows)) if label[k] == v) for v in set(label))
+
+
+def test_classes_equal_brute_force_on_weighted_sets(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    line = [word() for _ in range(40)]  # boilerplate of most documents, so its weight is low
+    rows = []
+    for g in range(30):
+        base = [word() for _ in range(90)]
+        for j in range(7):  # edits on both sides of the threshold, some words repeated
+            t = list(base)
+            for _ in range(rng.randrange(6)):
+                t[rng.randrange(90)] = word()
+            t = t[:50] + t[:10] + t[50:]
+            rows.append((10 * g + j, " ".join((line if g % 4 else []) + t)))
+    rows += [(900 + k, " ".join(line + [word() for _ in range(12)])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neardup.document_frequencies(df)
+    weights = neardup.Weights(found, len(rows))
+    assert found.sum() == 2 * sum(len(set(neardup.Shingler().weighted([t])[1].tolist())) for _, t in rows)
+    common = neardup.Shingler().weighted([" ".join(line)])[1]
+    assert (weights(common, np.ones(len(common), np.float32)) < 0.7).all()
+    want = brute_classes(rows, weights)
+    got = {}
+    for r in neardup.classes(df).collect():
+        got.setdefault((r.class_id, r.class_th), []).append(str(r.doc_id))
+    assert sorted(map(sorted, got.values())) == want
+    assert len([c for c in want if len(c) > 1]) > 20 and len(want) > 60
+
+
+def test_odd_column_names_and_a_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, long, 5, 6, 7, 8, 9), (2, long + " x", 5, 6, 7, 8, 9), (3, "a b", 5, 6, 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id long, keep_th_ long, first_id long, own_th long, `a.b` int")
+    got = neardup.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in (rows[0], rows[2]))
+
+
 def bucket_of(spark, found):
     """Members of one bucket and sets for {name: shingles}."""
     members = spark.createDataFrame([(0, 0, bytearray(n)) for n in found], "band int, key long, node binary")
