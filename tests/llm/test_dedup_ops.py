@@ -31,17 +31,25 @@ def brute_repeats(rows, length=400):
     return sorted(out)
 
 
-@pytest.mark.parametrize("crowd", [2000, 5])
-def test_repeats_equal_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "load", "length"), [(2000, 1 << 22, 400), (5, 1 << 22, 400), (2000, 3000, 400), (2000, 1 << 22, 100)])
+def test_repeats_equal_brute_force(spark, monkeypatch, crowd, load, length):
     monkeypatch.setattr(substrings, "CROWD", crowd)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", load)
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("abc de") for _ in range(n))
     a = word(900)
     rows = [(1, "a" * 3000), (2, None), (3, ""), (4, "ab" * 700), (5, a), (6, a[:500] + "X" + a[501:]), (7, "z" + a[100:650] + "y"), (8, a), (8, a), (9, "é" * 450), (10, "ü" * 399 + "x" + "é" * 210), (11, a[:399]), (12, "q" * 400), (13, "Q" + a[200:599]), (14, "Q" + a[200:600]), (None, word(500)), (15, "no" * 199)]
     rows += [(100 + k, word(300) + a[:390] + word(300)) for k in range(30)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, rank long, spans_n int")
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digests(df).collect())
-    assert got == brute_repeats(rows)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digests(df, length=length).collect())
+    assert got == brute_repeats(rows, length)
+
+
+def test_cut_keeps_odd_columns(spark):
+    t = "".join(random.Random(1).choice("abcdef ") for _ in range(500))
+    df = spark.createDataFrame([(1, "x" + t, 1, 2, 3, 4), (2, t + "y", 1, 2, 3, 4)], "doc_id long, text string, spans_ int, k1 int, k1_ int, `to.1` int")
+    got = substrings.without_repeats(df)
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [(1, "x", 1, 2, 3, 4), (2, "y", 1, 2, 3, 4)]
 
 
 def test_cut_keeps_columns(spark):
