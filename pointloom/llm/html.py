@@ -1,15 +1,18 @@
 """Main-text extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by where they
-stand (menus, footers, adverts ... against the article) and else by link density, length
-and stop-word density; the second gives each short block left open the label of its nearest
-decided neighbours.
+A page is cut into blocks at block-level tags; elements that are wholly beside the text (by
+tag, role or an unmistakable name: menus, footers, forms, adverts, comments) leave the
+sequence. The first pass rates each other block by its length, the density of stop words
+and the density of links; a mark of the article and doubtful names are features that add to
+the rating. What the rating leaves open, short blocks above all, gets the label of its
+nearest decided neighbour in the second pass.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,23 +37,30 @@ STOP_WORDS = frozenset(
 )
 # Tags that end a block; whose content is no text; that stand beside the text.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center col colgroup dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li link main menu meta nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-SILENT_TAGS = frozenset("script style noscript template iframe object embed svg math canvas audio video select textarea button datalist title head applet map noframes".split())
+SILENT_TAGS = frozenset("script style template iframe embed svg select textarea button datalist title head applet noframes".split())
 BESIDE_TAGS = frozenset("nav footer aside form menu dialog header fieldset".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDED_BY_BLOCK = frozenset("p li dt dd option tr td th".split())
-# Roles, and words of class or id names, of what stands beside the text.
+# Roles; names (words of class or id) of elements that are wholly beside the
+# text, also as the first or last word of a longer name; words that only raise a doubt; tags
+# of content, which no name takes away.
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-BESIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|sidebars?|side|menus?|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommended|comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|footers?|footnav|masthead|login|signin|signup|subscribe|newsletter|widgets?|pagination|pager|toolbar|skip|disclaimer|copyright|search|topbar)(?=$|[\s_\d-])",
-    re.I,
-)
+BESIDE_NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion promos cookie cookies consent gdpr popup popups modal sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus respond footer footnav masthead login signin signup subscribe newsletter pagination pager topbar".split())
+DOUBTFUL_NAMES = frozenset("notice notices alert alerts banner banners overlay side share sharing social related recommended reply replies discussion widget widgets toolbar skip disclaimer copyright search".split())
+CONTENT_TAGS = frozenset("article main table tbody thead tfoot tr td th caption figure figcaption pre blockquote h1 h2 h3 h4 h5 h6 dl dt dd details summary body html".split())
+# Words that make a longer name one of content (article-footer aside).
+CONTENT_WORDS = frozenset("article content body main text post entry story".split())
 MAIN_NAMES = re.compile(r"articlebody|mainentity", re.I)
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
-#: Thresholds: most link share; least characters of a long block; stop-word shares.
-LINKS, SHORT, LONG, STOPS_LOW, STOPS_HIGH, NEAR = 0.5, 40, 140, 0.2, 0.32, 200
+#: Thresholds: most link share of running text; least characters of a block that isn't short
+#: and of a long one; share of stop words from which text counts as running.
+LINKS, SHORT, LONG, STOPS = 0.5, 40, 140, 0.2
+#: Features: an article's mark inside and outside of it; a doubtful name of a heading or of
+#: running text, and of other text.
+INSIDE, OUTSIDE, DOUBT, DOUBT_SHORT = 2, -4, -2, -4
 
 
 @dataclass
@@ -60,32 +70,52 @@ class Block:
     beside: bool
     main: bool
     heading: bool
+    doubt: bool = False
 
     @property
     def link_share(self) -> float:
         return self.link_chars / max(1, len(self.text))
 
+    @property
+    def running(self) -> bool:
+        """Whether stop words are as frequent as in running text."""
+        words = self.text.lower().split()
+        return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) >= STOPS * len(words)
+
+
+def _named(names: str) -> tuple[bool, bool]:
+    """(wholly beside the text, doubtful) by the words of class and id."""
+    beside = doubt = False
+    for name in names.lower().split():
+        words = re.split(r"[-_\d]+", name)
+        if len(words) == 1 or not ({words[0], words[-1]} & CONTENT_WORDS):
+            beside |= words[0] in BESIDE_NAMES or words[-1] in BESIDE_NAMES
+            doubt |= len(words) <= 2 and (words[0] in DOUBTFUL_NAMES or words[-1] in DOUBTFUL_NAMES)
+    return beside, doubt
+
 
 def blocks(page: str) -> list[Block]:
-    """The non-empty text blocks of a page in order."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, stands beside the text, is the article
+    """The non-empty text blocks of a page in order; linear in its length."""
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, stands beside the text, is the article, doubtful
+    opened: Counter[str] = Counter()
     out: list[Block] = []
     parts: list[str] = []
     links = depth = 0
     heading = False
     at = 0
 
-    def close(text_beside: bool, text_main: bool) -> None:
+    def where() -> tuple[bool, bool, bool]:
+        return stack[-1][1:] if stack else (False, False, False)
+
+    def close() -> None:
         nonlocal links, heading
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, min(links, len(text)), text_beside, text_main, heading))
+            beside, main, doubt = where()
+            out.append(Block(text, min(links, len(text)), beside, main, heading, doubt))
         parts.clear()
         links, heading = 0, False
 
-    def where() -> tuple[bool, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, False)
-
     def text_to(end: int) -> None:
         nonlocal links
         if end > at:
@@ -94,89 +124,129 @@ def blocks(page: str) -> list[Block]:
             if depth:
                 links += len("".join(piece.split()))
 
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     while m := TOKEN.search(page, at):
         text_to(m.start())
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        closing = bool(m[1] or m[4])
+        closing, rest = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in SILENT_TAGS and not closing:
             if tag in BLOCK_TAGS:
-                close(*where())
-            if tag not in VOID_TAGS and not (m[3] or m[6] or "").endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                stop = re.compile(r"<body\b", re.I).search(page, at) if tag == "head" else None
-                at = stop.start() if stop and (not end or stop.start() < end.start()) else end.end() if end else at if tag in ("head", "title") else len(page)
+                close()
+            if tag not in VOID_TAGS and not rest.endswith("/"):
+                at = _after_silent(page, tag, at)
             continue
         if tag == "a":
             depth = max(0, depth - 1) if closing else depth + 1
         if tag == "br":
             parts.append(" ")
+        if tag not in BLOCK_TAGS:
             continue
-        block = tag in BLOCK_TAGS
-        if not block and tag not in ("span", "b", "i", "a", "em", "strong", "u"):
-            block = tag in ("center",)
-        if block:
-            close(*where())
-            depth = 0 if tag != "a" else depth
+        close()
+        depth = 0
         if tag in VOID_TAGS:
             continue
         if closing:
-            if any(t == tag for t, _, _ in stack) and block:
-                while stack.pop()[0] != tag:
+            if opened[tag]:
+                while pop() != tag:
                     pass
             continue
-        if not block:
-            continue
         if stack and stack[-1][0] in ENDED_BY_BLOCK and (tag == stack[-1][0] or stack[-1][0] == "p"):
-            stack.pop()
-        beside, main = where()
-        named = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3] or m[6] or "")} if (m[3] or m[6]) else {}
-        names = f"{named.get('class', '')} {named.get('id', '')}"
-        if tag in ("article", "main") or named.get("role", "").lower() in ("main", "article") or MAIN_NAMES.search(named.get("itemprop", "")):
+            pop()
+        beside, main, doubt = where()
+        named = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if "=" in rest else {}
+        role = named.get("role", "").lower()
+        by_name, doubtful = _named(f"{named.get('class', '')} {named.get('id', '')}")
+        if tag in ("article", "main") or role in ("main", "article") or MAIN_NAMES.search(named.get("itemprop", "")):
             main = True
-            stack.append((tag, beside or bool(names.strip() and BESIDE_NAMES.search(names)), main))
-        else:
-            aside = tag in BESIDE_TAGS or named.get("role", "").lower() in BESIDE_ROLES or "hidden" in named or (tag not in ("body", "html") and bool(names.strip()) and bool(BESIDE_NAMES.search(names)))
-            stack.append((tag, beside or aside, main))
+        elif tag in BESIDE_TAGS or role in BESIDE_ROLES or re.search(r"(?:^|\s)hidden(?:\s|=|$)", rest) or (by_name and tag not in CONTENT_TAGS):
+            beside = True
+        stack.append((tag, beside, main, doubt or (doubtful and tag not in CONTENT_TAGS)))
+        opened[tag] += 1
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     text_to(len(page))
-    close(*where())
+    close()
+    return out
+
+
+def _after_silent(page: str, tag: str, at: int) -> int:
+    """Where the text goes on after an element whose content is no text."""
+    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+    if tag == "head":  # an unclosed one ends with the body's start
+        start = re.compile(r"<body\b", re.I).search(page, at)
+        if start and not (end and end.end() <= start.start()):
+            return start.start()
+    return end.end() if end else at if tag in ("head", "title") else len(page)
+
+
+def rated(b: Block, has_main: bool) -> bool | None:
+    """First pass: the label that length, stop words, links and marks give, or None.
+
+    Running text of LONG characters rates 2, as other running text does inside a marked
+    article; mostly links rate -2. From 2 on a block is text, down from -2 it is not."""
+    rate = 0
+    if b.link_share > LINKS:
+        rate -= 2
+    elif len(b.text) >= LONG:
+        rate += 2 if b.running else -1 if b.link_share > 0.2 else 0
+    elif len(b.text) >= SHORT and not b.running:
+        rate -= 1
+    if has_main:
+        rate += INSIDE if b.main else OUTSIDE
+    if b.doubt:
+        rate += DOUBT if b.heading or (len(b.text) >= SHORT and b.running) else DOUBT_SHORT
+    return True if rate >= 2 else False if rate <= -2 else None
+
+
+def nearest(first: list[bool | None]) -> list[tuple[int | None, bool | None, int | None, bool | None]]:
+    """For every block the distance and label of the last decided block before it and of the
+    next one after it."""
+    out: list[tuple] = [(None, None)] * len(first)
+    at, label = None, None
+    for k, own in enumerate(first):
+        out[k] = (None if at is None else k - at, label)
+        if own is not None:
+            at, label = k, own
+    at, label = None, None
+    for k in range(len(first) - 1, -1, -1):
+        out[k] += (None if at is None else at - k, label)
+        if first[k] is not None:
+            at, label = k, first[k]
     return out
 
 
 def labels(found: list[Block]) -> list[bool]:
-    """Whether each block is main text."""
+    """Whether each block is main text.
+
+    Second pass: an open block has the label of its nearest decided neighbour by number of
+    blocks. A heading belongs to what follows it, so the next one decides, and the last one
+    only if none follows. At equal distance from unlike neighbours running text is text and
+    the rest isn't. Where nothing is decided, blocks without links are text."""
     has_main = any(b.main and not b.beside for b in found)
-    first: list[bool | None] = []
-    for b in found:
-        if b.beside or b.link_share > LINKS:
-            first.append(False)
-        elif has_main:
-            first.append(b.main)  # where a page marks its article, the mark decides
+    there = [k for k, b in enumerate(found) if not b.beside]
+    first = [rated(found[k], has_main) for k in there]
+    out = [False] * len(found)
+    for k, own, (back, before, ahead, after) in zip(there, first, nearest(first), strict=True):
+        b = found[k]
+        if own is not None:
+            out[k] = own
+        elif back is None and ahead is None:
+            out[k] = b.link_chars == 0
+        elif b.heading and ahead is not None:
+            out[k] = bool(after)
+        elif back is None or (ahead is not None and ahead < back):
+            out[k] = bool(after)
+        elif ahead is None or back < ahead or before == after:
+            out[k] = bool(before)
         else:
-            words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-            if len(b.text) < SHORT:
-                first.append(None if b.link_chars == 0 else False)
-            elif stops >= STOPS_HIGH:
-                first.append(True if len(b.text) >= LONG else None)
-            elif stops >= STOPS_LOW:
-                first.append(True if len(b.text) >= LONG else None)
-            else:
-                first.append(False if b.link_share > 0.2 or len(b.text) < LONG else None)
-    second: list[bool] = []
-    for k, label in enumerate(first):
-        if label is None:
-            before = next((x for x in reversed(first[:k]) if x is not None), None)
-            after = next((x for x in first[k + 1 :] if x is not None), None)
-            # both sides agree, or one is missing; between unlike ones a heading goes
-            # with what follows it and other text with what stands before it
-            label = before if after is None else after if before is None or before == after or found[k].heading else before
-            label = bool(label) if before is not None or after is not None else len(found[k].text) >= SHORT
-        second.append(label)
-    return second
+            out[k] = b.running
+    return out
 
 
 def main_text(page: str) -> str:
@@ -186,7 +256,9 @@ def main_text(page: str) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page. Null html is an empty page with empty text;
-    a null URL stays null. Repeated rows give repeated results; other columns are ignored."""
+    a null URL stays null. Repeated rows give repeated results; other columns are ignored,
+    whatever they are called. Very long pages are read whole, in linear time; an empty
+    table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.in_batches(batches, 500):

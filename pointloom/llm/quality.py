@@ -1,7 +1,7 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are bigrams of character classes and a few binned shape statistics
-(repetition, length, case). TF-IDF weights and a truncated singular value decomposition,
+A text's terms are bigrams of character classes (not words, so that any language and any
+vocabulary is read alike) and a few binned shape statistics (repetition, length, case). TF-IDF weights and a truncated singular value decomposition,
 fitted on labelled rows, give short vectors. Every document's vector is compared with all
 labelled vectors by blocked matrix products, and the nearest ones vote with their labels,
 weighted by similarity.
@@ -134,11 +134,16 @@ def fold(id_col: str) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
     """Fit on at most ``fit_rows`` labelled rows outside the held-out fold, the first by a
-    hash of the id. Several labels of one id count as their mean, null labels not at all;
-    of several rows of one id each is used."""
+    hash of the id. Several labels of one id count as their mean, null labels not at all; of
+    several rows of one id the text with the least hash is used, so ``fit_rows`` bounds what
+    the driver gets."""
     known = labels.where(F.col(label_col).isNotNull() & (fold(id_col) != 0)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     rows = docs.select(docs[id_col].cast("long").alias("id"), common.whole(docs[text_col]).alias("text")).join(F.broadcast(chosen), "id")
+    # the least hash first, as short rows; then that text once (equal ones are one group)
+    least = rows.groupBy("id").agg(F.min(F.xxhash64("text")).alias("least"))
+    rows = rows.join(F.broadcast(least), "id").where(F.xxhash64("text") == F.col("least"))
+    rows = rows.groupBy("id").agg(F.first("text").alias("text"), F.first("label").alias("label"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.in_batches(batches, 1000):
@@ -150,8 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(tf, np.array(found["label"].to_pylist(), dtype=np.float32))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score_`` (double), from the whole texts alone."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score_") -> DataFrame:
+    """All columns of ``docs`` and the score (double), from the whole texts alone."""
     held = common.share(docs.sparkSession, model)
 
     @F.pandas_udf("double")
@@ -162,7 +167,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         out = [model.score(texts.iloc[k : k + 500].tolist()) for k in range(0, len(texts), 500)]
         return pd.Series(np.concatenate(out).astype(float) if out else np.zeros(0))
 
-    return docs.withColumn("score_", score(common.whole(docs[text_col])))
+    return docs.withColumn(name, score(common.whole(docs[text_col])))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,5 +181,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their columns."""
-    return scored(docs, train(docs, labels, id_col, text_col), text_col).where(F.col("score_") >= KEEP).drop("score_")
+    """The rows of ``docs`` that the classifier doesn't reject, with all their columns,
+    whatever these are called.
+
+    Null texts score as empty ones, null ids have no label, repeated rows share a fate; an
+    empty table stays empty, and without labels every row stays."""
+    (name,) = common.unused(docs, "score")
+    return scored(docs, train(docs, labels, id_col, text_col), text_col, name).where(F.col(name) >= KEEP).select(*common.columns(docs))

@@ -1,6 +1,8 @@
 """WARC, URL filter, HTML extraction."""
 
 import base64
+import os
+import time
 from hashlib import sha1
 
 import numpy as np
@@ -127,3 +129,66 @@ def test_broken_markup():
     assert html.main_text("<article><p>cut off <a href='x") == "cut off"
     assert html.main_text("<article><p>a &am b<script>x") == "a &am b"
     assert html.main_text("<p" * 2000 + ">") == ""
+
+
+RUNNING = "the of and in it is a " * 8
+
+
+def brute_second_pass(found, first):
+    """Labels by measuring the distance to every decided block."""
+    out = []
+    for k, (b, own) in enumerate(zip(found, first, strict=True)):
+        decided = [j for j, x in enumerate(first) if x is not None]
+        if own is not None:
+            out.append(own)
+        elif not decided:
+            out.append(b.link_chars == 0)
+        else:
+            least = min(abs(j - k) for j in decided)
+            near = {first[j] for j in decided if abs(j - k) == least}
+            later = [j for j in decided if j > k]
+            if b.heading and later:
+                out.append(first[min(later)])
+            else:
+                out.append(b.running if len(near) > 1 else near.pop())
+    return out
+
+
+def test_second_pass_equals_brute_force():
+    rng = np.random.default_rng(3)
+    kinds = [("ab cd", 0), ("the of", 0), (RUNNING, 0), ("a link of many words", 20), ("the plain words of some block that has a length in between", 0)]
+    for _ in range(300):
+        found = [html.Block(t, n, False, False, bool(rng.random() < 0.2)) for t, n in (kinds[k] for k in rng.choice(5, rng.integers(1, 14), p=[0.4, 0.2, 0.1, 0.1, 0.2]))]
+        first = [html.rated(b, False) for b in found]
+        assert html.labels(found) == brute_second_pass(found, first)
+
+
+def test_names_inside_an_article_take_nothing_away():
+    page = f'<article><p>{RUNNING}</p><table class="side-by-side"><tr><td>left cell</td><td>right cell</td></tr></table><section class="discussion"><h2>Discussion</h2><p>{RUNNING}</p></section><p><a href="x">a paragraph that is one link</a></p><noscript>plain copy</noscript><div class="share">Share</div><div class="comments"><p>{RUNNING}</p></div></article>'
+    run = RUNNING.strip()
+    assert html.main_text(page).split("\n\n") == [run, "left cell", "right cell", "Discussion", run, "a paragraph that is one link", "plain copy"]
+
+
+def test_link_list_beside_a_short_block():
+    page = "<ul><li><a href=x>a link with a few words</a></li></ul><div>Short</div>" + "<div>ab</div>" * 5 + f"<div>{RUNNING}</div>"
+    assert "Short" not in html.main_text(page) and html.main_text(page).endswith("ab\n\n" + RUNNING.strip())
+
+
+def test_pages_without_the_article_mark_give_the_same_text():
+    duckdb = pytest.importorskip("duckdb")
+    found = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(found):
+        pytest.skip("no test data")
+    for (page,) in duckdb.sql(f"SELECT html FROM '{found}'").fetchall():
+        assert html.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")) == html.main_text(page) != ""
+
+
+def test_long_pages_are_read_in_linear_time():
+    def seconds(page):
+        began = time.perf_counter()
+        html.main_text(page)
+        return time.perf_counter() - began
+
+    for make in (lambda n: "<body>" + "<div>ab</div>" * n, lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: "<p>" + "</i>" * n):
+        seconds(make(1000))
+        assert seconds(make(64_000)) < 4 + 30 * seconds(make(8_000))
