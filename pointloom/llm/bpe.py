@@ -2,7 +2,7 @@
 
 A vocabulary file (the ``tokenizers`` JSON format) is read once on the driver, a few
 MB at any corpus size, and travels to the tasks as a broadcast value. Each distinct word
-of a task's texts is merged once.
+of a task's texts is merged once, in an index from pairs to all their positions.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from hashlib import sha256
+from heapq import heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ class Vocabulary:
         merges = [m.split(" ") if isinstance(m, str) else m for m in j["model"]["merges"]]
         #: by rank: the id that the merge makes
         self.news = np.array([ids[x + y] for x, y in merges] + [-1], dtype=np.int64)
+        #: by rank: the ids that it merges
+        self.left, self.right = ([ids[m[k]] for m in merges] for k in (0, 1))
         packed = np.array([ids[x] << 20 | ids[y] for x, y in merges], dtype=np.int64)
         self._order = np.argsort(packed, kind="stable")
         self._pairs = np.append(packed[self._order], np.int64(1) << 62)
@@ -61,68 +65,101 @@ class Vocabulary:
         return np.where(self._pairs[at] == pair, self._order[at], NEVER)
 
 
-#: Above every rank; the symbol between words.
+#: Above every rank; the symbol between words and of a place that was merged away.
 NEVER, END = 1 << 30, (1 << 20) - 1
 
 
+class PairIndex:
+    """The positions of every pair that can merge, over all words of a partition's batch.
+
+    ``sym`` has the words one after the other, END between them; ``after`` and ``before``
+    link the symbols that are left. A pair is named by its rank. Its positions are one slice
+    of the first sort and the lists that merges have added since; ``active`` is a heap of the
+    ranks that have any. An entry whose symbols have changed meanwhile is passed over when
+    its rank's turn comes."""
+
+    def __init__(self, vocab: Vocabulary, sym: np.ndarray):
+        self.vocab, self.sym = vocab, sym
+        n = len(sym)
+        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = vocab.ranks(sym[:-1], sym[1:])
+        spots = np.flatnonzero(rank != NEVER)
+        rank = rank[spots]
+        order = np.argsort(rank, kind="stable")
+        self.spots, rank = spots[order], rank[order]
+        first = np.flatnonzero(np.diff(rank, prepend=-1))
+        names = rank[first].tolist()
+        bounds = [*first.tolist(), len(rank)]
+        self.slices = dict(zip(names, pairwise(bounds), strict=True))
+        self.added: dict[int, list[np.ndarray]] = {}
+        self.active = names  # ascending, so a heap
+
+    def positions(self, rank: int) -> np.ndarray:
+        """The pair's positions, ascending, as they stand."""
+        lists = self.added.pop(rank, [])
+        if rank in self.slices:
+            a, b = self.slices.pop(rank)
+            lists.append(self.spots[a:b])
+        at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+        left, right = self.vocab.left[rank], self.vocab.right[rank]
+        at = at[self.sym[at] == left]
+        at = at[self.sym[self.after[at]] == right]
+        if left == right and len(at) > 1:
+            # of overlapping places (a run of one symbol) every second goes, from the left
+            run = np.flatnonzero(np.append(True, self.after[at[:-1]] != at[1:]))
+            within = np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))
+            at = at[within % 2 == 0]
+        return at
+
+    def add(self, at: np.ndarray) -> None:
+        """List the pairs that now begin at the places ``at``."""
+        rank = self.vocab.ranks(self.sym[at], self.sym[self.after[at]])
+        some = rank != NEVER
+        at, rank = at[some], rank[some]
+        if not len(at):
+            return
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        first = np.flatnonzero(np.diff(rank, prepend=-1))
+        for name, places in zip(rank[first].tolist(), np.split(at, first[1:]), strict=True):
+            if name in self.added:
+                self.added[name].append(places)
+            else:
+                self.added[name] = [places]
+                if name not in self.slices:
+                    heappush(self.active, name)
+
+    def merge(self) -> None:
+        """Apply all active ranks in ascending order. A merge makes pairs of higher ranks
+        only (its result is a part of them), so every word sees its own order of merges."""
+        sym, after, before = self.sym, self.after, self.before
+        while self.active:
+            rank = heappop(self.active)
+            at = self.positions(rank)
+            if not len(at):
+                continue
+            gone = after[at]
+            follows = after[gone]
+            sym[at], sym[gone] = self.vocab.news[rank], END
+            after[at], before[follows] = follows, at
+            near = before[at]
+            self.add(np.unique(np.concatenate([near[near >= 0], at])))
+
+
 def merge_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words one after the other, number of ids of each word).
-
-    All words are merged together. The index has the rank of the pair at every position:
-    sorted by rank it maps each pair to all its positions. Words don't touch each other,
-    so a sweep takes each word's lowest active rank, applies the active ranks in ascending
-    order, each at all its positions at once, and then lists the affected neighbours anew.
-    A merge makes only pairs of higher rank, so within a word ranks rise from sweep to
-    sweep. Finished words leave the index."""
-    of_byte = np.array(vocab.of_byte, dtype=np.int64)
+    """(ids of all words one after the other, number of ids of each word), by one
+    :class:`PairIndex` over all words."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     data = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum(sizes + 1) - 1
-    sym = np.full(len(data) + len(words), END, dtype=np.int64)
+    sym = np.full(len(data) + len(words) + 1, END, dtype=np.int64)
     inside = np.ones(len(sym), dtype=bool)
-    inside[ends] = False
-    sym[inside] = of_byte[data]
-    rank = np.full(len(sym), NEVER, dtype=np.int64)
-    rank[:-1] = vocab.ranks(sym[:-1], sym[1:])
-    number, sizes = np.arange(len(words)), sizes + 1  # the active words
-    done_ids, done_words, done_sizes = [], [], []
-    while len(number):
-        starts = np.cumsum(sizes) - sizes
-        lowest = np.minimum.reduceat(rank, starts)
-        ready = lowest == NEVER
-        if ready.any():
-            out = np.repeat(ready, sizes)
-            done_ids.append(sym[out & (sym != END)])
-            done_words.append(number[ready])
-            done_sizes.append(sizes[ready] - 1)
-            sym, rank, number, sizes, lowest = sym[~out], rank[~out], number[~ready], sizes[~ready], lowest[~ready]
-            if not len(number):
-                break
-        spots = np.flatnonzero(rank == np.repeat(lowest, sizes))
-        # the pair's positions in ascending order of rank; of overlapping ones (a run of
-        # one symbol) every second goes, from the left
-        run = np.flatnonzero(np.diff(spots, prepend=-2) != 1)
-        within = np.arange(len(spots)) - np.repeat(run, np.diff(run, append=len(spots)))
-        spots = spots[within % 2 == 0]
-        spots = spots[np.argsort(rank[spots], kind="stable")]
-        sym[spots] = vocab.news[rank[spots]]
-        gone = np.zeros(len(sym), dtype=bool)
-        gone[spots + 1] = True
-        word = np.repeat(np.arange(len(number)), sizes)
-        sizes = sizes - np.bincount(word[spots], minlength=len(number))
-        place = np.cumsum(~gone) - 1
-        sym, rank, spots = sym[~gone], rank[~gone], np.sort(place[spots])
-        rank[spots] = vocab.ranks(sym[spots], sym[spots + 1])
-        left = spots[spots > 0] - 1
-        rank[left] = vocab.ranks(sym[left], sym[left + 1])
-    if not done_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ids, order, counts = np.concatenate(done_ids), np.concatenate(done_words), np.concatenate(done_sizes)
-    back = np.argsort(order, kind="stable")
-    starts = (np.cumsum(counts) - counts)[back]
-    counts = counts[back]
-    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
-    return ids[at], counts
+    inside[ends] = inside[-1] = False
+    sym[inside] = np.array(vocab.of_byte, dtype=np.int64)[data]
+    PairIndex(vocab, sym).merge()
+    left = np.concatenate([[0], np.cumsum(sym != END)])
+    bounds = left[np.concatenate([[0], ends + 1])]
+    return sym[sym != END], np.diff(bounds)
 
 
 class IndexedEncoder:

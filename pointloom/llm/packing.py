@@ -56,12 +56,25 @@ def assign(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: fl
     return out
 
 
-def encoder(spec: str) -> Callable[[str], bytes]:
+def follows_merges(spec: str) -> bool:
+    """Whether byte ranks say the same as the file's merges: ids ascend in merge order after
+    those of single bytes, and the bytes of every entry merge to that entry alone."""
+    vocab = bpe.Vocabulary(spec)
+    made = vocab.news[:-1]
+    if not len(made) or max(vocab.of_byte) >= made[0] or (np.diff(made) <= 0).any():
+        return False
+    entries = {i: t for i, t in vocab.bytes_of.items() if i not in vocab.special.values()}
+    ids, counts = bpe.merge_words(vocab, list(entries.values()))
+    return bool((counts == 1).all()) and ids.tolist() == list(entries)
+
+
+def encoder(spec: str, ranked: bool | None = None) -> Callable[[str], bytes]:
     """Text to little-endian 32-bit ids, as ``tokenizers`` gives them for this file.
 
-    Where ids follow merge order, the same merges run faster as byte ranks in tiktoken;
-    other vocabularies, texts that spell out a special token, and texts that tiktoken
-    refuses (its pattern matcher gives up on very long white space), go to tokenizers."""
+    Where the file passes :func:`follows_merges` (``ranked``: already known), the same
+    merges run faster as byte ranks in tiktoken; other vocabularies, texts that spell out a
+    special token, and texts that tiktoken refuses (its pattern matcher gives up on very
+    long white space), go to tokenizers."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_str(spec)
@@ -72,8 +85,7 @@ def encoder(spec: str) -> Callable[[str], bytes]:
     def exact(text: str) -> bytes:
         return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    made = vocab.news[:-1]
-    if len(made) and max(vocab.of_byte) < made[0] and (np.diff(made) > 0).all():
+    if follows_merges(spec) if ranked is None else ranked:
         import tiktoken
 
         ranks = {t: i for i, t in vocab.bytes_of.items() if i not in vocab.special.values()}
@@ -98,6 +110,7 @@ def pack(docs: DataFrame, vocab_spec: str, capacity: int = 2048, end_id: int = 1
     their own. Sequence numbers are unique across tasks; offsets in a sequence have no
     gaps. ``with_ids`` adds the piece's ids; other columns are ignored."""
     spec = docs.sparkSession.sparkContext.broadcast(vocab_spec)
+    ranked = common.per_worker("ranked", vocab_spec, follows_merges)
     schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
 
     def block(ids: list, tokens: list[bytes], base: int) -> tuple[pa.RecordBatch, int]:
@@ -115,7 +128,7 @@ def pack(docs: DataFrame, vocab_spec: str, capacity: int = 2048, end_id: int = 1
         return pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)]), len(taken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = common.per_worker("packing", spec.value, encoder)
+        encode = common.per_worker("packing", spec.value, lambda s: encoder(s, ranked))
         end = np.array([end_id], "<u4").tobytes()
 
         base, ids, tokens, size = TaskContext.get().partitionId() << 40, [], [], 0

@@ -1,5 +1,6 @@
 """Tokenization, packing, fingerprints, media: exact round trips and brute force."""
 
+import time
 import zlib
 from hashlib import sha256
 
@@ -58,6 +59,46 @@ def test_pair_index_on_runs():
     assert bpe.merge_words(vocab, [])[0].tolist() == []
 
 
+def test_random_strings_encode_as_in_the_library(tokenizer):
+    rng = np.random.default_rng(6)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "é", "漢", "🙂", "'s", "'LL", "1", "23", "the", "ing", "<|endoftext|>", ".", "!!", "\u2003", "Ti", "tion", "\x00", "_", "ſ"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(2000)]
+    texts += ["".join(chr(c) for c in rng.integers(1, 0x2FFF, 30)) for _ in range(500)]
+    spec = queries.vocabulary()
+    assert packing.follows_merges(spec)
+    index, packed = bpe.IndexedEncoder(bpe.Vocabulary(spec)), packing.encoder(spec)
+    for t, (ids, data) in zip(texts, index.batch(texts), strict=True):
+        want = tokenizer.encode(t, add_special_tokens=False).ids
+        assert [int(i) for i in ids[:-1].split(",") if i] == want
+        assert packed(t) == np.array(want, "<u4").tobytes() and data.decode() == t
+
+
+def test_pair_index_equals_greedy_merges():
+    vocab = bpe.Vocabulary(queries.vocabulary())
+    pairs = {(a, b): k for k, (a, b) in enumerate(zip(vocab.left, vocab.right, strict=True))}
+
+    def greedy(word):
+        sym = [vocab.of_byte[c] for c in word]
+        while found := [(pairs[p], k) for k, p in enumerate(zip(sym, sym[1:], strict=False)) if p in pairs]:
+            rank, k = min(found)
+            sym[k : k + 2] = [int(vocab.news[rank])]
+        return sym
+
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.choice(list(b"aabbcdetinos "), rng.integers(1, 40)).astype(np.uint8)) for _ in range(400)]
+    ids, counts = bpe.merge_words(vocab, words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [greedy(w) for w in words]
+
+
+def test_very_long_words_merge_fast(tokenizer):
+    vocab = bpe.Vocabulary(queries.vocabulary())
+    word = bytes(np.random.default_rng(1).choice(list(b"abcdefghijklmnopqrstuvwxyz"), 80_000).astype(np.uint8))
+    began = time.perf_counter()
+    ids, _ = bpe.merge_words(vocab, [word])
+    assert time.perf_counter() - began < 1  # 0.06 s alone; one sweep a merge takes over 1 s
+    assert ids.tolist() == tokenizer.encode(word.decode(), add_special_tokens=False).ids
+
+
 def check_packing(rows, tokens, capacity):
     held, places = {}, {}
     for r in rows:

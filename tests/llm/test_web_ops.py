@@ -96,12 +96,19 @@ def test_no_rules(spark):
     assert urls.judge(pages(spark, [(1, "http://a.com/", None, "", "")]), none).first().verdict == "allow"
 
 
-def test_bloom_has_no_false_negatives():
+def test_bloom_has_no_false_negatives(spark, monkeypatch):
     rng = np.random.default_rng(0)
     keys = rng.integers(-(2**63), 2**63, 20_000, dtype=np.int64)
-    bloom = urls.BlockedBloom(keys)
-    assert bloom.may_hold(keys).all()
-    assert bloom.may_hold(rng.integers(-(2**63), 2**63, 20_000, dtype=np.int64)).mean() < 0.02
+    other = rng.integers(-(2**63), 2**63, 20_000, dtype=np.int64)
+    bloom = urls.BlockedBloom(urls.BlockedBloom.size(len(keys)))
+    bloom.add(keys)
+    assert bloom.may_hold(keys).all() and bloom.may_hold(other).mean() < 0.02
+    monkeypatch.setattr(urls, "SEGMENT", 100)
+    held = spark.createDataFrame([(int(k),) for k in keys], "h long")
+    assert (urls.built(held, len(keys)).blocks == bloom.blocks).all()
+    monkeypatch.setattr(urls, "MOST_BLOCKS", 300)  # fewer bits a key: passes more, loses none
+    small = urls.built(held, len(keys))
+    assert len(small.blocks) == 300 and small.may_hold(keys).all()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
