@@ -28,8 +28,11 @@ EACH, RATES = 8, (1 / 4, 1 / 16, 1 / 64, 1 / 256, 1 / 1024)
 SUBSETS = EACH * len(RATES)
 #: A level with fewer subsets in use than this counts as if it had so many.
 FEWEST = 4
-#: Ranges of ids that are dealt out, at most: also bounds the table of first rows.
-MOST_RANGES, RANGE_ROWS = 16_384, 64
+#: Ranges of rows that are dealt out: about RANGE_ROWS rows each, LEVEL x LEVEL ranges at
+#: most (which bounds the tables of bounds and first rows), SAMPLED keys drawn for each.
+LEVEL, RANGE_ROWS, SAMPLED = 128, 64, 8
+#: Lexicon entries (16 bytes each) up to which the lexicon is broadcast.
+BROADCAST_TERMS = 1_000_000
 
 
 def terms(text: Column) -> Column:
@@ -100,27 +103,48 @@ def _text_form(components: str) -> Column:
     return F.array_join(F.transform(F.col(components), lambda x: F.coalesce(F.lower(F.right(F.lpad(F.hex(x), 16, "0"), F.lit(8))), F.lit("-"))), ".")
 
 
+def _key(id_col: str, th: str) -> Column:
+    """A text that sorts as (id, hash) do, null ids first."""
+    def digits(c: str) -> Column:
+        return F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+
+    return F.concat(F.when(F.col(id_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), digits(id_col))), digits(th))
+
+
+def _placed(rows: DataFrame, bounds: list[str]) -> DataFrame:
+    """``rows`` with ``own``: the number of ``bounds`` up to their key, found on two levels."""
+
+    def upto(some: Column) -> Column:
+        return F.size(F.filter(some, lambda b: (b != "") & (b <= F.col("key"))))
+
+    coarse, fine = (F.split(F.lit(",".join(b)), ",") for b in (bounds[LEVEL - 1 :: LEVEL], bounds))
+    return rows.withColumn("at", upto(coarse) * LEVEL).withColumn("own", F.col("at") + upto(F.slice(fine, F.col("at") + 1, F.lit(LEVEL)))).drop("at")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, guest, id, text, next_text): each row beside the next by ascending id, the
     last beside the first. Rows with guest = 1 are copies that only serve the row before.
 
-    The id range is cut into equal parts of about ``RANGE_ROWS`` rows, ``MOST_RANGES`` at
-    most; each part is a window of its own, and the first row of a part is copied to the
-    part before. Null ids come first. Rows of equal id are ordered by a hash of the text."""
-    rows = docs.select(docs[id_col].cast("long").alias("id"), common.whole(docs[text_col]).alias("text"))
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    parts = min(MOST_RANGES, max(1, math.ceil(n / RANGE_ROWS)))
-    width = (high - low) / parts + 1e-9
-    part = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.least(F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(width)), F.lit(parts - 1))).cast("long")
-    firsts = rows.groupBy(part.alias("own")).agg(F.min("id").alias("first_id"))
+    Rows are ordered by id (nulls first) and a hash of the text, and dealt out in ranges
+    whose bounds come from a sample of these keys, so far or repeated ids don't crowd one
+    range; only rows equal in id and text stay together. Each range is a window of its own,
+    and its first row is copied to the range before."""
+    text = common.whole(docs[text_col])
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("th")).withColumn("key", _key("id", "th"))
+    n = rows.count()
+    parts = min(LEVEL * LEVEL, max(1, math.ceil(n / RANGE_ROWS)))
+    drawn = rows.where(F.pmod(F.xxhash64("id", "th", F.lit(1)), F.lit(max(1, n // (SAMPLED * parts)))) == 0).select("key").distinct()
+    keys = sorted(r.key for r in drawn.toLocalIterator()) if parts > 1 else []
+    rows = _placed(rows, sorted({keys[len(keys) * k // parts] for k in range(1, parts)} if keys else ()))
+    firsts = rows.groupBy("own").agg(F.min("key").alias("first_key"))
     over = Window.orderBy("own")
     last = Window.orderBy("own").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select("own", "first_id", F.coalesce(F.lag("own").over(over), F.last("own").over(last)).alias("target"))
-    placed = rows.withColumn("own", part).join(F.broadcast(firsts.withColumnRenamed("own", "o")), (F.col("own") == F.col("o")) & F.col("id").eqNullSafe(F.col("first_id")), "left")
+    # one short row for each range, LEVEL x LEVEL at most
+    firsts = firsts.select(F.col("own").alias("o"), "first_key", F.coalesce(F.lag("own").over(over), F.last("own").over(last)).alias("target"))
+    placed = rows.join(F.broadcast(firsts), (F.col("own") == F.col("o")) & (F.col("key") == F.col("first_key")), "left")
     home = F.struct(F.col("own").alias("part"), F.lit(0).alias("guest"))
     away = F.struct(F.col("target").alias("part"), F.lit(1).alias("guest"))
-    dealt = placed.select("id", "text", F.explode(F.when(F.col("target").isNull(), F.array(home)).otherwise(F.array(home, away))).alias("to")).select("to.part", "to.guest", "id", "text", F.xxhash64("text").alias("th"))
+    dealt = placed.select("id", "text", "th", F.explode(F.when(F.col("target").isNull(), F.array(home)).otherwise(F.array(home, away))).alias("to")).select("to.part", "to.guest", "id", "text", "th")
     return dealt.withColumn("next_text", F.lead("text").over(Window.partitionBy("part").orderBy("guest", F.col("id").asc_nulls_first(), "th")))
 
 
@@ -132,8 +156,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     terms are like only to equal texts, those without lexicon terms are told by their
     spare terms. Repeated rows give repeated
     results; a document alone is its own next. Other columns are ignored."""
-    n_docs = docs.count()
-    held = F.broadcast(lexicon(docs, n_docs, text_col))
+    held = common.stored(lexicon(docs, docs.count(), text_col), "lexicon")
+    if held.count() <= BROADCAST_TERMS:
+        held = F.broadcast(held)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     rows = with_next(docs, id_col, text_col).withColumn("edited", edited)

@@ -1,7 +1,9 @@
 """Tokenization, packing, fingerprints, media: exact round trips and brute force."""
 
+import re
 import time
 import zlib
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -169,6 +171,62 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(df.where("doc_id = 3")).count() == 1
 
 
+def brute_fingerprint(text, masks):
+    """Subset hashes of one text by definition, over the lexicon's {term: mask}."""
+    found = sorted({t for t in re.findall("[a-z0-9]+", text.lower()) if t in masks})
+    return [tuple(t for t in found if masks[t] >> k & 1) or None for k in range(fingerprint.SUBSETS)]
+
+
+def brute_likeness(a, b):
+    best = 0.0
+    for v in range(len(fingerprint.RATES)):
+        level = range(v * fingerprint.EACH, (v + 1) * fingerprint.EACH)
+        used = sum(a[k] is not None or b[k] is not None for k in level)
+        same = sum(a[k] is not None and a[k] == b[k] for k in level)
+        best = max(best, same / max(used, fingerprint.FEWEST))
+    return best
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [f"term{k}" for k in range(80)]
+    rows = [(3 * k, " ".join(rng.choice(words, rng.integers(20, 50)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.h: r.w for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) h").collect()}
+    lex = fingerprint.lexicon(df, len(rows)).collect()
+    share = {w: sum(w in t.split() for _, t in rows) / len(rows) for w in words}
+    masks = {hashes[r.term]: r.mask for r in lex if r.term in hashes}
+    assert set(masks) == {w for w, p in share.items() if fingerprint.LEAST <= p <= fingerprint.MOST}
+    texts = [t for _, t in rows]
+    edited = [t[: len(t) - len(t) // 2] + texts[(k + 1) % len(texts)][: len(t) // 2] for k, t in enumerate(texts)]
+    own, cut = ([brute_fingerprint(t, masks) for t in ts] for ts in (texts, edited))
+    got = {r.doc_id: r for r in fingerprint.fingerprints(df).collect()}
+    printed = {}
+    for k, (i, _) in enumerate(rows):
+        r = got[i]
+        assert r.near_edited == pytest.approx(brute_likeness(own[k], cut[k]))
+        assert r.near_next == pytest.approx(brute_likeness(own[k], own[(k + 1) % len(own)]))
+        for n, (part, sub) in enumerate(zip(r.fingerprint.split("."), own[k], strict=True)):
+            assert (part == "-") == (sub is None) and printed.setdefault((n, sub), part) == part
+    assert np.mean([r.near_edited for r in got.values()]) > 1.3 * np.mean([r.near_next for r in got.values()])
+
+
+def test_far_and_repeated_ids_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "LEVEL", 8)
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 40)
+    rows = [(k, f"text {k}") for k in range(600)] + [(2**62, "far"), (-(2**62), "low")] + [(300, f"same id {k}") for k in range(1500)] + [(None, f"none {k}") for k in range(90)] + [(700, "equal")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = fingerprint.with_next(df).where("guest = 0").collect()
+    assert len(held) == len(rows)
+    sizes = Counter(r.part for r in held)
+    assert len(sizes) > 40 and max(sizes.values()) < 160
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    order = [t for _, _, t in sorted((-(2**63) if i is None else i, hashes[t], t) for i, t in rows)]
+    follows = Counter(zip(order, order[1:], strict=False))
+    assert Counter((r.text, r.next_text) for r in held if r.next_text is not None) - follows in (Counter(), Counter([(order[-1], order[0])]))
+    assert all(r.next_text is not None for r in held)
+
+
 def test_near_copies_in_the_largest_group_and_of_rare_terms(spark):
     rng = np.random.default_rng(4)
     text = lambda name, k: " ".join([*(f"{name}{j}" for j in range(60)), f"only{name}{k}"])
