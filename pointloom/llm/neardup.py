@@ -19,6 +19,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,15 +134,15 @@ class Shingler:
 def blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Stretches of batches with about BLOCK bytes of text (at least one row, at most 2^15)."""
     for batch in batches:
-        texts = batch.column(text_at).to_pylist()
+        sizes = pc.binary_length(batch.column(text_at)).to_numpy()
         at, size = 0, 0
-        for k, t in enumerate(texts):
-            if k > at and (size + len(t) > BLOCK or k - at >= 2**15):
-                yield batch.slice(at, k - at), texts[at:k]
+        for k, n in enumerate(sizes.tolist()):
+            if k > at and (size + n > BLOCK or k - at >= 2**15):
+                yield batch.slice(at, k - at), batch.column(text_at).slice(at, k - at).to_pylist()
                 at, size = k, 0
-            size += len(t)
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
+            size += n
+        if at < len(sizes):
+            yield batch.slice(at), batch.column(text_at).slice(at).to_pylist()
 
 
 def counters(s: np.ndarray) -> list[np.ndarray]:
@@ -162,7 +163,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
             any_rows = True
             held.append(shingler.weighted(texts)[1])
             n += len(held[-1])
-            if n > 1_000_000:
+            if n > 500_000:
                 total += np.bincount(np.concatenate(counters(np.concatenate(held))), minlength=width).astype(np.uint32)
                 held, n = [], 0
         if held:
