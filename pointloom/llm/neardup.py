@@ -348,7 +348,7 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     open_, lead, first = members.withColumn("open", F.lit(True)), 1, None
     # of all members: what no other member has, no other node of a later round has either
     shares = common.stored(unshared(sets, members.select("node").distinct()), "shares")
-    for _ in range(LEADER_ROUNDS):
+    for round_ in range(LEADER_ROUNDS):
         able = open_.join(shares.where(F.col("rare") <= 1 - SIMILARITY + 1e-6), "node")
         busy = able.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any")
         able = common.stored(able.join(busy.select(*bucket), bucket, "left_semi").select(*bucket, "node", "open", "rare", "total"), "able")
@@ -365,6 +365,8 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = met.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
         judged = common.stored(verified(pairs, sets), "judged").where("like").select("leader", "node")
         found.append(judged)
+        if round_ == LEADER_ROUNDS - 1:
+            break
         both = judged.unionByName(judged.select(F.col("node").alias("leader"), F.col("leader").alias("node")))
         liked = met.join(both, ["leader", "node"], "left_semi").select(*bucket, "node")
         settled = liked.unionByName(heads.select(*bucket, F.col("leader").alias("node"))).distinct().withColumn("done", F.lit(True))
@@ -394,7 +396,7 @@ def crossing(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFram
     named = members.join(labels.select("node", "label"), "node", "left").select(*bucket, "node", F.coalesce("label", "node").alias("label"))
     named = common.stored(named.join(mixed_ones(named), bucket, "left_semi"), "mixed")
     shares = common.stored(unshared(sets, named.select("node").distinct()), "shares").where(F.col("rare") <= 1 - SIMILARITY + 1e-6)
-    able = common.stored(named.join(shares, "node"), "able")
+    able = named.join(shares, "node")
     placed = able.join(mixed_ones(able), bucket)
     parts = lambda w: F.greatest(F.lit(1), F.ceil(w / BLOCK_WEIGHT)).cast("int")
     minor = F.col("label") != F.col("main")
@@ -453,14 +455,20 @@ def _compared(c: dict[str, list]) -> list[tuple[bytes, bytes]]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label, ...): the least node of each component, by label spreading with shortcuts;
-    every step cuts its lineage in the shared folder."""
+    every second step cuts its lineage in the shared folder."""
     both = common.stored(edges.select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(edges.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "edges")
-    labels = common.stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    while True:
+
+    def step(labels: DataFrame) -> DataFrame:
+        """The least label of a node and its neighbours, then that label's own label."""
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("next"), "label")
+        next_ = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("next"), "old")
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        labels = common.stored(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), F.col("label").alias("old")), "labels")
+        return next_.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), "old")
+
+    first = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
+    labels = common.stored(step(first.withColumn("old", F.lit(None).cast("binary"))), "labels")
+    while True:
+        labels = common.stored(step(step(labels.withColumn("old", F.col("label")))), "labels")
         if labels.where(F.col("label") != F.col("old")).isEmpty():
             return labels
 
