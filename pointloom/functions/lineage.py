@@ -31,11 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
-def stored(df: DataFrame, what: str = "step") -> DataFrame:
+def stored(df: DataFrame, what: str = "step", files: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps start from files that
-    outlive any executor."""
+    outlive any executor. ``files``: as many at most, for tables of a known small size. No
+    success marker is written, as the caller waits for the job."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df if files is None else df.coalesce(max(1, files))
+    out.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     if _written:
         _written[-1].append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
