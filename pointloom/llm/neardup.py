@@ -40,6 +40,8 @@ FLOOR, LEAST_IDF = 1 / 256, 0.5
 #: distinct shingles of a document) / 2^COUNTER_BITS of the documents on average (0.1 % for
 #: 560 shingles), which lies below FLOOR. It moves in rows of SLOT counters.
 COUNTER_BITS, COUNTER_ROWS, SLOT = 19, 2, 1024
+#: Rows of one file of the steps that are short rows.
+FILE_ROWS = 50_000
 #: Bytes of text hashed at once.
 BLOCK = 400_000
 #: Rounds with leaders; they spare comparisons and decide nothing.
@@ -347,11 +349,12 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     found: list[DataFrame] = []
     open_, lead, first = members.withColumn("open", F.lit(True)), 1, None
     # of all members: what no other member has, no other node of a later round has either
-    shares = common.stored(unshared(sets, members.select("node").distinct()), "shares")
+    files = -(-members.count() // FILE_ROWS)
+    shares = common.stored(unshared(sets, members.select("node").distinct()), "shares", files)
     for round_ in range(LEADER_ROUNDS):
         able = open_.join(shares.where(F.col("rare") <= 1 - SIMILARITY + 1e-6), "node")
         busy = able.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any")
-        able = common.stored(able.join(busy.select(*bucket), bucket, "left_semi").select(*bucket, "node", "open", "rare", "total"), "able")
+        able = common.stored(able.join(busy.select(*bucket), bucket, "left_semi").select(*bucket, "node", "open", "rare", "total"), "able", files)
         if able.isEmpty():
             break
         first = first or able
@@ -371,7 +374,7 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
         liked = met.join(both, ["leader", "node"], "left_semi").select(*bucket, "node")
         settled = liked.unionByName(heads.select(*bucket, F.col("leader").alias("node"))).distinct().withColumn("done", F.lit(True))
         after = able.join(settled, [*bucket, "node"], "left").select(*bucket, "node", (F.col("open") & F.col("done").isNull()).alias("open"))
-        open_ = common.stored(after, "open")
+        open_ = common.stored(after, "open", files)
         lead *= 4
     if first is None:
         return members.sparkSession.createDataFrame([], "leader binary, node binary")
@@ -394,14 +397,15 @@ def crossing(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFram
         return sizes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1").select(*bucket, F.col("most.label").alias("main"))
 
     named = members.join(labels.select("node", "label"), "node", "left").select(*bucket, "node", F.coalesce("label", "node").alias("label"))
-    named = common.stored(named.join(mixed_ones(named), bucket, "left_semi"), "mixed")
-    shares = common.stored(unshared(sets, named.select("node").distinct()), "shares").where(F.col("rare") <= 1 - SIMILARITY + 1e-6)
+    files = -(-members.count() // FILE_ROWS)
+    named = common.stored(named.join(mixed_ones(named), bucket, "left_semi"), "mixed", files)
+    shares = common.stored(unshared(sets, named.select("node").distinct()), "shares", files).where(F.col("rare") <= 1 - SIMILARITY + 1e-6)
     able = named.join(shares, "node")
     placed = able.join(mixed_ones(able), bucket)
     parts = lambda w: F.greatest(F.lit(1), F.ceil(w / BLOCK_WEIGHT)).cast("int")
     minor = F.col("label") != F.col("main")
     sizes = placed.groupBy(*bucket).agg(parts(F.sum(F.when(minor, F.col("total")))).alias("down"), parts(F.sum("total")).alias("across"))
-    placed = common.stored(placed.join(sizes, bucket), "placed")
+    placed = common.stored(placed.join(sizes, bucket), "placed", files)
     alone = (F.col("down") == 1) & (F.col("across") == 1)
     kept = [*bucket, "node", "label", "main", "rare", "total"]
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -466,9 +470,9 @@ def components(edges: DataFrame) -> DataFrame:
         return next_.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), "old")
 
     first = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
-    labels = common.stored(step(first.withColumn("old", F.lit(None).cast("binary"))), "labels")
+    labels = common.stored(step(first.withColumn("old", F.lit(None).cast("binary"))), "labels", files)
     while True:
-        labels = common.stored(step(step(labels.withColumn("old", F.col("label")))), "labels")
+        labels = common.stored(step(step(labels.withColumn("old", F.col("label")))), "labels", files)
         if labels.where(F.col("label") != F.col("old")).isEmpty():
             return labels
 
