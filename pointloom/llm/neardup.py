@@ -461,6 +461,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label, ...): the least node of each component, by label spreading with shortcuts;
     every second step cuts its lineage in the shared folder."""
     both = common.stored(edges.select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(edges.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "edges")
+    files = -(-both.count() // FILE_ROWS)
 
     def step(labels: DataFrame) -> DataFrame:
         """The least label of a node and its neighbours, then that label's own label."""
