@@ -6,9 +6,9 @@ weighted Jaccard similarity) gives a sketch; bands of the sketch propose pairs a
 exact weighted Jaccard similarity of the whole texts decides them.
 
 Texts of equal shingle weights are one node from the start, so copies never pair up. Nodes
-whose unshared weight rules links out leave their buckets. Two rounds of comparisons with
-leaders join most of the others; then all pairs of a bucket that no links join yet are
-compared, block by block.
+whose unshared weight rules links out leave their buckets. Comparisons with leaders thin
+out heavy buckets; then all pairs of a bucket that no links join yet are compared, block by
+block.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ COUNTER_BITS, COUNTER_ROWS, SLOT = 19, 2, 1024
 FILE_ROWS = 50_000
 #: Bytes of text hashed at once.
 BLOCK = 400_000
-#: Rounds with leaders; they spare comparisons and decide nothing.
-LEADER_ROUNDS = 2
+#: Rounds with leaders in heavy buckets; they spare comparisons and decide nothing.
+LEADER_ROUNDS = 3
 #: Weight of the sets on each side of a block of comparisons (8 to 24 bytes a unit).
 BLOCK_WEIGHT = 400_000
 
@@ -338,26 +338,37 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified (leader, node) links of bucket members (band, key, node): any two nodes of a
     bucket that reach the threshold are joined by a path of links.
 
-    Each round first drops nodes whose unshared weight alone rules a link out (an exact
-    bound; it clears buckets that a common passage or heavily edited copies fill), and
-    buckets left with one node. Then each bucket's open nodes put up 4^(n-1) leaders, those
-    with the least unshared weight, and every node of the bucket is compared with them.
-    Nodes like a leader, and leaders, are settled; buckets with none open sit out. A round
-    makes at most the bucket's size times its leaders of pairs, and only pairs that their
-    unshared weights don't rule out. After the rounds ``crossing`` compares what they left."""
+    First go nodes whose unshared weight alone rules a link out (an exact bound; it clears
+    buckets that a common passage or heavily edited copies fill), buckets left with one node,
+    and all but one of the buckets with the same nodes. Buckets too heavy for one block of
+    comparisons are thinned by ``leaders``; then ``crossing`` compares what no links join."""
     bucket = ["band", "key"]
-    found: list[DataFrame] = []
-    open_, lead, first = members.withColumn("open", F.lit(True)), 1, None
-    # of all members: what no other member has, no other node of a later round has either
     files = -(-members.count() // FILE_ROWS)
     shares = common.stored(unshared(sets, members.select("node").distinct()), "shares", files)
+    able = members.join(shares.where(F.col("rare") <= 1 - SIMILARITY + 1e-6), "node")
+    same = ["n", "one", "two"]
+    busy = able.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"), F.sum("total").alias("weight")).where("n > 1")
+    first = busy.groupBy(*same).agg(F.min(F.struct(*bucket, "weight")).alias("b")).select("b.*")
+    able = common.stored(able.join(first, bucket).select(*bucket, "node", "rare", "total", "weight"), "able", files)
+    heavy = able.where(F.col("weight") > BLOCK_WEIGHT).drop("weight")
+    if heavy.isEmpty():
+        return crossing(able, sets, None)
+    found = leaders(heavy, sets, files)
+    return found.unionByName(crossing(able, sets, components(found)))
+
+
+def leaders(members: DataFrame, sets: DataFrame, files: int) -> DataFrame:
+    """Verified (leader, node) links within heavy buckets, at most (the bucket's size times
+    its leaders) of pairs a round.
+
+    In round n each bucket's open nodes put up 4^(n-1) leaders, those with the least unshared
+    weight, and every node of the bucket is compared with them, unless their unshared
+    weights rule a link out. Nodes like a leader, and leaders, are settled; buckets with
+    none open sit out. This spares comparisons and decides nothing."""
+    bucket = ["band", "key"]
+    found: list[DataFrame] = []
+    able, lead = members.withColumn("open", F.lit(True)), 1
     for round_ in range(LEADER_ROUNDS):
-        able = open_.join(shares.where(F.col("rare") <= 1 - SIMILARITY + 1e-6), "node")
-        busy = able.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any")
-        able = common.stored(able.join(busy.select(*bucket), bucket, "left_semi").select(*bucket, "node", "open", "rare", "total"), "able", files)
-        if able.isEmpty():
-            break
-        first = first or able
         part = F.pmod(F.xxhash64("node"), F.lit(lead)).alias("part")
         heads = able.where("open").groupBy(*bucket, part).agg(F.min(F.struct("rare", "node", "total")).alias("h")).select(*bucket, F.col("h.node").alias("leader"), (F.col("h.total") * (1 - F.col("h.rare"))).alias("ls"), F.col("h.total").alias("lt"))
         # what the two can share at most must reach the threshold over what both have
@@ -373,17 +384,18 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
         both = judged.unionByName(judged.select(F.col("node").alias("leader"), F.col("leader").alias("node")))
         liked = met.join(both, ["leader", "node"], "left_semi").select(*bucket, "node")
         settled = liked.unionByName(heads.select(*bucket, F.col("leader").alias("node"))).distinct().withColumn("done", F.lit(True))
-        after = able.join(settled, [*bucket, "node"], "left").select(*bucket, "node", (F.col("open") & F.col("done").isNull()).alias("open"))
-        open_ = common.stored(after, "open", files)
+        after = able.join(settled, [*bucket, "node"], "left").select(*bucket, "node", "rare", "total", (F.col("open") & F.col("done").isNull()).alias("open"))
+        going = after.groupBy(*bucket).agg(F.max("open").alias("any")).where("any").select(*bucket)
+        able = common.stored(after.join(going, bucket, "left_semi"), "open", files)
+        if able.isEmpty():
+            break
         lead *= 4
-    if first is None:
-        return members.sparkSession.createDataFrame([], "leader binary, node binary")
-    joined = reduce(DataFrame.unionByName, found).distinct()
-    return joined.unionByName(crossing(first.select(*bucket, "node"), sets, components(joined)))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
-def crossing(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links (leader, node) between members of a bucket whose labels differ.
+def crossing(members: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Links (leader, node) between members (band, key, node, rare, total) of a bucket whose
+    labels differ; without ``labels`` each node is its own.
 
     In each bucket the nodes outside its largest component are rows and all nodes are
     columns; both are dealt by hash into parts of about BLOCK_WEIGHT, and every part of the
@@ -391,21 +403,16 @@ def crossing(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFram
     each such pair is compared, unless links found meanwhile join the two. Sets move once per
     part of the other side, pairs never become rows of a table."""
     bucket = ["band", "key"]
-
-    def mixed_ones(held: DataFrame) -> DataFrame:
-        sizes = held.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n"))
-        return sizes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1").select(*bucket, F.col("most.label").alias("main"))
-
-    named = members.join(labels.select("node", "label"), "node", "left").select(*bucket, "node", F.coalesce("label", "node").alias("label"))
-    files = -(-members.count() // FILE_ROWS)
-    named = common.stored(named.join(mixed_ones(named), bucket, "left_semi"), "mixed", files)
-    shares = common.stored(unshared(sets, named.select("node").distinct()), "shares", files).where(F.col("rare") <= 1 - SIMILARITY + 1e-6)
-    able = named.join(shares, "node")
-    placed = able.join(mixed_ones(able), bucket)
+    if labels is None:
+        named = members.withColumn("label", F.col("node"))
+    else:
+        named = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = named.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("load"))
     parts = lambda w: F.greatest(F.lit(1), F.ceil(w / BLOCK_WEIGHT)).cast("int")
+    mixed = counts.groupBy(*bucket).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label", "load")).alias("most"), F.sum("load").alias("all")).where("labels > 1")
+    sizes = mixed.select(*bucket, F.col("most.label").alias("main"), parts(F.col("all") - F.col("most.load")).alias("down"), parts(F.col("all")).alias("across"))
     minor = F.col("label") != F.col("main")
-    sizes = placed.groupBy(*bucket).agg(parts(F.sum(F.when(minor, F.col("total")))).alias("down"), parts(F.sum("total")).alias("across"))
-    placed = common.stored(placed.join(sizes, bucket), "placed", files)
+    placed = named.join(sizes, bucket)
     alone = (F.col("down") == 1) & (F.col("across") == 1)
     kept = [*bucket, "node", "label", "main", "rare", "total"]
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -492,13 +499,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ones too) are near-duplicates of equal texts only. Repeated rows are members of one
     class; null ids are members but name a class only if it has no other. ``th`` is a hash
     of the text that tells rows of one id apart."""
-    rows = _prepared(docs, id_col, text_col)
+    labelled, named = _classes(_prepared(docs, id_col, text_col))
+    return labelled.join(named, "class").select(F.col("id").alias(id_col), F.col("k.id").alias("class_id"), F.col("k.th").alias("class_th"), "class_size", "th")
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, th, class) of all rows and (class, k, class_size) of all classes."""
     shared = common.share(rows.sparkSession, Weights(document_frequencies(rows), rows.count()))
     kept = common.stored(sketches(rows, shared), "sketches")
     labels = _labels(rows, shared, kept)
-    labelled = kept.withColumn("class", F.col("node")) if labels is None else kept.join(labels.select("node", "label"), "node", "left").withColumn("class", F.coalesce("label", "node"))
-    named = labelled.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"), F.count(F.lit(1)).alias("class_size"))
-    return labelled.join(named, "class").select(F.col("id").alias(id_col), F.col("k.id").alias("class_id"), F.col("k.th").alias("class_th"), "class_size", "th")
+    labelled = kept.select("id", "th", F.col("node").alias("class")) if labels is None else kept.join(labels.select("node", "label"), "node", "left").select("id", "th", F.coalesce("label", "node").alias("class"))
+    # partial aggregates: a large class sends one row from each task
+    return labelled, labelled.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"), F.count(F.lit(1)).alias("class_size"))
 
 
 def _labels(rows: DataFrame, shared: Broadcast, kept: DataFrame) -> DataFrame | None:
@@ -523,9 +535,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Null and empty texts are near-duplicates of each other; null ids stay only if their class
     has no other; of repeated rows one stays; an empty table stays empty."""
-    found = classes(docs, id_col, text_col)
+    _, named = _classes(_prepared(docs, id_col, text_col))
     own, th, n, first_id, first_th = common.unused(docs, "own_id", "own_th", "own_n", "first_id", "first_th")
-    firsts = found.select(F.col("class_id").alias(first_id), F.col("class_th").alias(first_th)).distinct()
+    firsts = named.select(F.col("k.id").alias(first_id), F.col("k.th").alias(first_th))
     marked = docs.withColumns({own: docs[id_col].cast("long"), th: F.xxhash64(common.whole(docs[text_col]))})
     kept = marked.join(firsts, F.col(own).eqNullSafe(F.col(first_id)) & (F.col(th) == F.col(first_th)))
     one = F.row_number().over(Window.partitionBy(first_id, first_th).orderBy(th))
