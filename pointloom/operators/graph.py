@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 from . import geometry, neighbors
 
 
-def edges(points: DataFrame, radius: float, k: int) -> DataFrame:
-    return neighbors.hybrid(points, radius, k)
+def edges(points: DataFrame, radius: float, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    return neighbors.hybrid(points, radius, k, by=by)
 
 
-def adjacency(points: DataFrame, radius: float, k: int, weight: str = "const") -> DataFrame:
-    """Edges with weight ``w``.
+def adjacency(points: DataFrame, radius: float, k: int, weight: str = "const", by: tuple[str, ...] = ()) -> DataFrame:
+    """Edges with weight ``w``; with ``by``, within points equal in these columns (batches).
 
     const: exp(-1) for every edge, self edge included. gauss: exp(-d2). curv: d2 is scaled
     by exp(-c^2) exp(-k_i^2/30) with the curvature c and neighbour count k_i of the source.
     blend: d2 times 0.2 exp(-c^2/0.005) + 0.8 k_i/k. In the last three, edges of length 0
     are absent."""
-    e = edges(points, radius, k)
+    e = edges(points, radius, k, by)
     if weight == "const":
         return e.withColumn("w", F.lit(math.exp(-1)))
     if weight == "gauss":
@@ -84,30 +84,42 @@ def score(flt: DataFrame, form: str = "squared") -> DataFrame:
     return flt.select("id", "k", forms[form].alias("score"))
 
 
-def high_pass_score(points: DataFrame, radius: float, k: int) -> DataFrame:
+def high_pass_score(points: DataFrame, radius: float, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(id, k, score) of the constant-weight graph in one aggregate: with the mean m of the
     k neighbours, score = exp(-2) k^2 |x - m|^2. Every point is its own neighbour."""
-    e = edges(points, radius, k)
+    e = edges(points, radius, k, by)
     m = e.groupBy("src", "sx", "sy", "sz").agg(F.count(F.lit(1)).alias("k"), *[F.avg(f"t{c}").alias(f"m{c}") for c in "xyz"])
     sq = sum(((F.col(f"s{c}") - F.col(f"m{c}")) * (F.col(f"s{c}") - F.col(f"m{c}")) for c in "xyz"), F.lit(0.0))
     return m.select(F.col("src").alias("id"), "k", (F.lit(math.exp(-2)) * F.col("k") * F.col("k") * sq).alias("score"))
 
 
-def haar_low_pass(points: DataFrame, adj: DataFrame, steps: int = 30) -> DataFrame:
-    """X + A X / lambda_max; the largest-magnitude eigenvalue by power iteration, whose every
-    step is one join and one aggregate with only a norm on the driver."""
+def largest_eigenvalue(points: DataFrame, adj: DataFrame, tolerance: float = 1e-9, steps: int = 10_000) -> float:
+    """Magnitude of the adjacency's largest eigenvalue by power iteration from the vector of
+    ones: every write holds PER_WRITE products, each a join and an aggregate, and the driver
+    gets one norm. Ends when the estimate changes by less than ``tolerance`` of itself; it is
+    an error to reach ``steps``. 0 without edges."""
     from ..functions.lineage import stored
+    from .smoothing import PER_WRITE
 
     held = stored(adj.select("src", "dst", "w"), "adjacency")
-    v = stored(points.select("id", F.lit(1.0).alias("v")), "vector")
-    norm = 1.0
-    for _ in range(steps):
-        new = held.join(v, held["dst"] == v["id"]).groupBy("src").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-        new = stored(new.select(F.col("src").alias("id"), "v"), "vector")
+    n = points.count()
+    v, last = points.select("id", F.lit(1 / math.sqrt(max(1, n))).alias("v")), -1.0
+    for _ in range(-(-steps // PER_WRITE)):
+        new = v
+        for _ in range(PER_WRITE):
+            new = held.join(new, held["dst"] == new["id"]).groupBy("src").agg(F.sum(F.col("w") * F.col("v")).alias("v")).withColumnRenamed("src", "id")
+        new = stored(new, "vector")
         norm = math.sqrt(new.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0)
-        if norm == 0:
-            break
-        v = new.withColumn("v", F.col("v") / F.lit(norm))
+        value = norm ** (1 / PER_WRITE)
+        if not norm or abs(value - last) <= tolerance * value:
+            return value
+        v, last = new.withColumn("v", F.col("v") / F.lit(norm)), value
+    raise RuntimeError("the power iteration doesn't converge")
+
+
+def haar_low_pass(points: DataFrame, adj: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """X + A X / lambda, with the adjacency's eigenvalue of largest magnitude."""
+    norm = largest_eigenvalue(points, adj, tolerance)
     s = _sums(adj).select(F.col("src").alias("id"), "wx", "wy", "wz")
     p = points.select("id", "x", "y", "z").join(s, "id", "left")
     scale = F.lit(1 / norm if norm else 0.0)

@@ -2,38 +2,56 @@
 
 A radius search explodes each query point over the 27 cells around it and joins on the
 cell, which plans as a hash or sort-merge join; adaptive execution splits skewed cells.
-A search for the k nearest starts at a fine grid and goes on at twice the cell size with
-the queries that are still short, so dense regions never meet at the coarse size.
+
+A search for the nearest uses cells of several sizes: a query starts at the largest size at
+which no cell around it is crowded, and goes on at larger ones while it has too few
+neighbours. So a dense region, a far point or a uniform cloud only
+ever meets cells of its own scale. Where cells are crowded, places are searched instead of
+points: of the points at one place only the k with the least ids can be among the nearest,
+and all queries at one place have the same answer.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spatial
 from ..functions.lineage import stored
 
-#: Points in the fullest cell beyond which a search for k neighbours starts finer.
+#: Points of a cell from which it is crowded (or 8 k, if that is more).
 DENSE = 512
+#: A level's cells are a STEP-th of the level's before; a crowd that LEVELS of them don't part
+#: is searched as it is.
+STEP, LEVELS = 4, 20
+#: Queries left over from which on they are compared with all points directly.
+FEW = 200
 
 
-def _side(points: DataFrame, prefix: str, key: str) -> DataFrame:
-    return points.select(F.col("id").alias(key), *[F.col(c).cast("double").alias(f"{prefix}{c}") for c in spatial.XYZ])
+def _side(points: DataFrame, prefix: str, key: str, by: tuple[str, ...] = ()) -> DataFrame:
+    return points.select(F.col("id").alias(key), *by, *[F.col(c).cast("double").alias(f"{prefix}{c}") for c in spatial.XYZ])
 
 
-def radius_join(queries: DataFrame, radius: float, targets: DataFrame | None = None) -> DataFrame:
-    """All (src, dst) with squared distance d2 < radius^2, a point itself included.
+def radius_join(queries: DataFrame, radius: float, targets: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """All (src, dst) with squared distance d2 < radius^2, a point itself included; with
+    ``by``, only points that are equal in these columns.
 
     Points with a null coordinate have no neighbours; empty clouds give no rows."""
-    q = _side(queries, "s", "src").select("*", *spatial.cell(radius, prefix="s"))
-    t = _side(queries if targets is None else targets, "t", "dst").select("*", *spatial.cell(radius, prefix="t"))
+    t = _side(queries if targets is None else targets, "t", "dst", by).select("*", *spatial.cell(radius, prefix="t"))
+    probes = _probes(_side(queries, "s", "src", by), radius, "s")
+    met = probes.join(t, ["cx", "cy", "cz", *by]).withColumn("d2", spatial.sq_dist("s", "t"))
+    return met.where(F.col("d2") < F.lit(radius * radius)).select("src", "dst", "d2", "sx", "sy", "sz", "tx", "ty", "tz", *by)
+
+
+def _probes(points: DataFrame, size: float, prefix: str = "") -> DataFrame:
+    """``points`` once for each of the 27 cells around them (cx, cy, cz)."""
+    own = points.select("*", *spatial.cell(size, prefix=prefix))
     around = F.array(*[F.struct(*[(F.col(f"c{c}") + o).alias(f"c{c}") for c, o in zip(spatial.XYZ, off, strict=True)]) for off in [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]])
-    probes = q.select("src", "sx", "sy", "sz", F.explode(around).alias("n")).select("src", "sx", "sy", "sz", "n.*")
-    met = probes.join(t, ["cx", "cy", "cz"]).withColumn("d2", spatial.sq_dist("s", "t"))
-    return met.where(F.col("d2") < F.lit(radius * radius)).select("src", "dst", "d2", "sx", "sy", "sz", "tx", "ty", "tz")
+    return own.select(*points.columns, F.explode(around).alias("near_")).select(*points.columns, "near_.*")
 
 
 def _ranked(edges: DataFrame, k: int) -> DataFrame:
@@ -42,66 +60,133 @@ def _ranked(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
 
 
-def fullest_cell(points: DataFrame, size: float) -> int:
-    counts = points.select(*spatial.cell(size)).groupBy("cx", "cy", "cz").count()
-    return counts.agg(F.max("count")).first()[0] or 0
+def _crowded(points: DataFrame, size: float, limit: int, by: tuple[str, ...]) -> DataFrame:
+    cells = points.select(*by, *spatial.cell(size)).groupBy("cx", "cy", "cz", *by).agg(F.count(F.lit(1)).alias("n"))
+    return cells.where(F.col("n") > limit).drop("n")
+
 
+def _located(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return points.select("id", *by, *spatial.XYZ).where(" AND ".join(f"{c} IS NOT NULL" for c in spatial.XYZ))
 
-def hybrid(queries: DataFrame, radius: float, k: int, targets: DataFrame | None = None, start: float | None = None) -> DataFrame:
-    """The at most k nearest within ``radius``: edges with rank ``rn``.
 
-    If some cell is crowded, the search starts with smaller cells: a query with k hits
-    nearer than a cell's size is answered, the others go on with twice the size."""
-    cloud = queries if targets is None else targets
-    size = start or radius
-    if start is None:
-        while fullest_cell(cloud, size) > max(DENSE, 8 * k) and size > radius / 64:
-            size /= 2
-    done, left = [], queries
-    while size < radius:
-        found = stored(_ranked(radius_join(left, size, cloud), k), "near")
-        full = found.where(F.col("rn") == k).select(F.col("src").alias("id"))
-        done.append(found.join(full, F.col("src") == F.col("id"), "left_semi"))
-        left = left.join(full, "id", "left_anti")
+def _by_level(queries: DataFrame, cloud: DataFrame, base: float, limit: int, by: tuple[str, ...]) -> list[DataFrame]:
+    """The queries by the level (``base`` over STEP to its power) at which the cells around
+    them are no longer crowded. Each level looks at the crowded part of the level before only."""
+    out, size = [], base
+    while len(out) < LEVELS:
+        cells = _crowded(cloud, size, limit, by)
+        if cells.isEmpty():
+            break
+        cells = stored(cells, "cells")
+        hit = stored(_probes(queries, size).join(cells, ["cx", "cy", "cz", *by], "left_semi").select("id").distinct(), "hit")
+        out.append(queries.join(hit, "id", "left_anti"))
+        queries = stored(queries.join(hit, "id", "left_semi"), "queries")
+        cloud = stored(cloud.select("*", *spatial.cell(size)).join(cells, ["cx", "cy", "cz", *by], "left_semi").select("id", *by, *spatial.XYZ), "crowd")
+        size /= STEP
+    return [*out, queries]
+
+
+def _search(queries: DataFrame, cloud: DataFrame, k: int, base: float, want: int | None = None, widest: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The at most k nearest within ``base``; with ``widest``, the search goes on beyond
+    until every query has ``want``."""
+    limit = max(DENSE, 8 * k)
+    points, groups = queries, [queries]
+    crowded = not _crowded(cloud, base, limit, by).isEmpty()
+    if crowded:
+        order = Window.partitionBy(*by, *spatial.XYZ).orderBy("id")
+        cloud = stored(cloud.withColumn("n_", F.row_number().over(order)).where(F.col("n_") <= k).drop("n_"), "cloud")
+        places = stored(queries.groupBy(*by, *spatial.XYZ).agg(F.min("id").alias("id")).select("id", *by, *spatial.XYZ), "places")
+        groups = _by_level(places, cloud, base, limit, by)
+    done, left, size = [], None, base / STEP ** (len(groups) - 1)
+    while groups:
+        active = groups.pop() if left is None else left.unionByName(groups.pop())
+        found = _ranked(radius_join(active, size, cloud, by), k)
+        if not groups and widest is None:
+            done.append(found)
+            break
+        left, full = _split(active, found, want or k)
+        done.append(full)
+        size = size * STEP if groups else 2 * size
+    while widest is not None:
+        n = left.limit(FEW + 1).count()
+        if n <= FEW:
+            if n:
+                done.append(_direct(left, cloud, k))
+            break
+        if size >= widest:
+            done.append(_ranked(radius_join(left, widest, cloud), k))
+            break
+        left, full = _split(left, _ranked(radius_join(left, size, cloud), k), want or k)
+        done.append(full)
         size *= 2
-    out = _ranked(radius_join(left, radius, cloud), k)
-    for part in done:
+    out = done[0]
+    for part in done[1:]:
         out = out.unionByName(part)
-    return out
+    if not crowded:
+        return out
+    return out.drop("src").join(_side(points, "s", "src", by), ["sx", "sy", "sz", *by]).select("src", "dst", "d2", "sx", "sy", "sz", "tx", "ty", "tz", *by, "rn")
+
+
+def _split(active: DataFrame, found: DataFrame, want: int) -> tuple[DataFrame, DataFrame]:
+    """(queries that are short of neighbours, edges of the others)."""
+    found = stored(found, "near")
+    full = found.where(F.col("rn") == want).select(F.col("src").alias("id"))
+    return stored(active.join(full, "id", "left_anti"), "left"), found.join(full, F.col("src") == F.col("id"), "left_semi")
+
+
+def _direct(queries: DataFrame, cloud: DataFrame, k: int) -> DataFrame:
+    """The k nearest of at most FEW queries: each task keeps its own k best of all its
+    points, so what it returns doesn't grow with the cloud."""
+    held = [(r.id, r.x, r.y, r.z) for r in queries.toLocalIterator()]
+    ids, at = np.array([h[0] for h in held], dtype=np.int64), np.array([h[1:] for h in held], dtype=float)
+
+    def run(batches):
+        best: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 3)))] * len(ids)
+        for batch in batches:
+            dst = batch.column(0).to_numpy()
+            p = np.stack([batch.column(c).to_numpy().astype(float) for c in (1, 2, 3)], axis=1)
+            for q, own in enumerate(at):
+                d = own - p
+                d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+                kept = np.flatnonzero(d2 <= best[q][0][-1]) if len(best[q][0]) == k else np.arange(len(d2))
+                both, names, places = np.concatenate([best[q][0], d2[kept]]), np.concatenate([best[q][1], dst[kept]]), np.concatenate([best[q][2], p[kept]])
+                first = np.lexsort((names, both))[:k]
+                best[q] = both[first], names[first], places[first]
+        for q, (d2, names, places) in enumerate(best):
+            n = len(d2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ids[q])), pa.array(names), pa.array(d2), *(pa.array(np.full(n, v)) for v in at[q]), *(pa.array(places[:, c]) for c in range(3))], names=["src", "dst", "d2", "sx", "sy", "sz", "tx", "ty", "tz"])
+
+    return _ranked(cloud.select("id", *spatial.XYZ).mapInArrow(run, "src long, dst long, d2 double, sx double, sy double, sz double, tx double, ty double, tz double"), k)
+
+
+def hybrid(queries: DataFrame, radius: float, k: int, targets: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The at most k nearest within ``radius``: edges with rank ``rn``, ties to the lower id.
+    With ``by``, only points that are equal in these columns are neighbours.
+
+    Points with a null coordinate have no neighbours; ids are unique."""
+    q = _located(queries, by)
+    return _search(q, q if targets is None else _located(targets, by), k, radius, by=by)
 
 
 def knn(queries: DataFrame, k: int, targets: DataFrame | None = None) -> DataFrame:
-    """The k nearest of each query (fewer only if the cloud is smaller), self included.
-
-    Cells start at the size that holds about k points on average and double until every
-    query has k neighbours nearer than the cell size."""
-    cloud = queries if targets is None else targets
-    box = cloud.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{p}{c}") for c in spatial.XYZ for p, f in (("lo", F.min), ("hi", F.max))]).first()
-    if not box.n or box.lox is None:
-        return _ranked(radius_join(queries, 1.0, cloud), k)
-    reach = box if targets is None else queries.agg(*[f(c).alias(f"{p}{c}") for c in spatial.XYZ for p, f in (("lo", F.min), ("hi", F.max))]).first()
-    if reach.lox is None:
-        return _ranked(radius_join(queries, 1.0, cloud), k)
+    """The k nearest of each query (fewer only if the cloud is smaller), self included, ties to
+    the lower id. Points with a null coordinate have no neighbours; ids are unique.
+
+    Cells start at the size that holds about k points where the middle 98 % of the cloud
+    lies, whatever lies outside."""
+    q = _located(queries)
+    cloud = q if targets is None else _located(targets)
+    ends = [f(c).alias(f"{p}{c}") for c in spatial.XYZ for p, f in (("lo", F.min), ("hi", F.max))]
+    box = cloud.agg(F.count(F.lit(1)).alias("n"), *ends, *[F.percentile_approx(c, [0.01, 0.99], 1000).alias(f"q{c}") for c in spatial.XYZ]).first()
+    reach = box if targets is None else q.agg(*ends).first()
+    if not box.n or reach.lox is None:
+        return _ranked(radius_join(q, 1.0, cloud), k)
     spans = [max(box[f"hi{c}"], reach[f"hi{c}"]) - min(box[f"lo{c}"], reach[f"lo{c}"]) for c in spatial.XYZ]
     widest = math.sqrt(sum(s * s for s in spans)) * 1.001 + 1e-9
-    sides = [max(s, widest / 1e4) for s in spans]
-    size = min(widest, (math.prod(sides) * k / box.n) ** (1 / 3))
-    want = min(k, box.n)
-    done, left = [], queries.select("id", *spatial.XYZ)
-    while True:
-        found = stored(_ranked(radius_join(left, size, cloud), k), "near")
-        full = found.where(F.col("rn") == want).select(F.col("src").alias("id"))
-        done.append(found if size >= widest else found.join(full, F.col("src") == F.col("id"), "left_semi"))
-        if size >= widest:
-            break
-        left = left.join(full, "id", "left_anti")
-        if left.isEmpty():
-            break
-        size = min(2 * size, widest)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    sides = [box[f"q{c}"][1] - box[f"q{c}"][0] for c in spatial.XYZ]
+    least = (max(sides) or widest) / 1e4
+    base = min(widest, (math.prod(max(s, least) for s in sides) * k / box.n) ** (1 / 3))
+    return _search(q, cloud, k, base, min(k, box.n), widest)
 
 
 def nearest_other(points: DataFrame) -> DataFrame:
@@ -120,40 +205,88 @@ def rms_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     return d.agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms"))
 
 
-def feature_match(a: DataFrame, b: DataFrame, feature: str = "feature", block: int = 1024, subsample: int = -1, seed: int = 0) -> DataFrame:
-    """(id0, id1, dist): the row of ``b`` nearest in feature space to each row of ``a``.
+#: Rows of a resident block and of a stream that passes it, in feature matching.
+RESIDENT, STREAM = 16_384, 262_144
+
 
-    Both sides are cut into blocks; a block of ``a`` meets a block of ``b`` in one dense
-    product, each keeps its best per row and the bests are reduced by key, so no task
-    holds more than two blocks. With 0 < subsample < rows of ``a``, both sides are sampled
-    without replacement first."""
-    import numpy as np
-    import pyarrow as pa
+def feature_match(a: DataFrame, b: DataFrame, feature: str = "feature", subsample: int = -1, seed: int = 0) -> DataFrame:
+    """(id0, id1, dist): the row of ``b`` nearest in feature space to each row of ``a``, ties
+    to the lower id.
 
+    ``a`` is cut into blocks that stay in a task while the rows of a part of ``b`` stream
+    past in batches of dense products; the parts' bests are reduced by key. A block is
+    copied once for each STREAM rows of ``b``, a row of ``b`` once for each RESIDENT rows of
+    ``a``, and a task holds one block. Products only choose candidates: all within their
+    rounding error are measured exactly. With 0 < subsample < rows of ``a``, both sides are
+    sampled without replacement first. Null features have no match and are none's."""
     if 0 < subsample < a.count():
         a, b = (s.orderBy(F.rand(seed)).limit(subsample) for s in (a, b))
 
-    def blocks(side: DataFrame, name: str) -> DataFrame:
-        n = max(1, -(-side.count() // block))
-        dealt = side.select(F.col("id"), F.col(feature).cast("array<double>").alias("f"), (F.xxhash64("id") % n + n) % n)
-        return dealt.toDF("id", "f", name).groupBy(name).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("f").alias(f"{name}_f"))
+    def side(rows: DataFrame) -> tuple[DataFrame, int]:
+        held = rows.where(F.col(feature).isNotNull()).select("id", F.col(feature).cast("array<double>").alias("f"))
+        return held, held.count()
 
-    left, right = blocks(a, "p"), blocks(b, "q")
+    (left, n), (right, m) = side(a), side(b)
+    blocks, parts = max(1, -(-n // RESIDENT)), max(1, -(-m // STREAM))
+    spot = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    one = left.select(spot(blocks).alias("p"), every(parts).alias("q"), F.lit(0).alias("side"), "id", "f")
+    two = right.select(every(blocks).alias("p"), spot(parts).alias("q"), F.lit(1).alias("side"), "id", "f")
+
+    def run(batches):
+        key, block, ids, f = None, [], None, None
+        best_d = best_i = None
+
+        def made():
+            known = best_i >= 0
+            return pa.RecordBatch.from_arrays([pa.array(ids[known]), pa.array(best_i[known]), pa.array(best_d[known])], names=["id0", "id1", "dist"])
 
-    def best(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                p, q = np.array(row["p_f"]), np.array(row["q_f"])
-                ids = np.array(row["q_ids"])
-                order = np.argsort(ids, kind="stable")
-                q, ids = q[order], ids[order]
-                d2 = np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T, 0)
-                at = d2.argmin(axis=1)
-                exact = np.sqrt(((p - q[at]) ** 2).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(row["p_ids"], pa.int64()), pa.array(ids[at], pa.int64()), pa.array(exact)], names=["id0", "id1", "dist"])
-
-    every = right.select("q").distinct().agg(F.collect_list("q").alias("qs"))
-    tried = left.crossJoin(F.broadcast(every)).select("p", "p_ids", "p_f", F.explode("qs").alias("q"))  # block numbers only
-    pairs = tried.join(right, "q").select("p_ids", "p_f", "q_ids", "q_f")
-    found = pairs.mapInArrow(best, "id0 long, id1 long, dist double")
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                some = batch.slice(lo, hi - lo)
+                if key != tuple(keys[lo, :2]):
+                    if best_i is not None:
+                        yield made()
+                    key, block, best_i = tuple(keys[lo, :2]), [], None
+                names = some.column(3).to_numpy()
+                rows = np.array(some.column(4).to_pylist(), dtype=float)
+                if keys[lo, 2] == 0:
+                    block.append((names, rows))
+                    continue
+                if best_i is None:
+                    if not block:
+                        continue
+                    ids, f = np.concatenate([x[0] for x in block]), np.concatenate([x[1] for x in block])
+                    best_d, best_i = np.full(len(ids), np.inf), np.full(len(ids), -1, dtype=np.int64)
+                for at in range(0, len(names), 1024):
+                    _improve(f, best_d, best_i, names[at : at + 1024], rows[at : at + 1024])
+        if best_i is not None:
+            yield made()
+
+    dealt = one.unionByName(two).repartition("p", "q").sortWithinPartitions("p", "q", "side")
+    found = dealt.mapInArrow(run, "id0 long, id1 long, dist double")
     return found.groupBy("id0").agg(F.min(F.struct("dist", "id1")).alias("m")).select("id0", F.col("m.id1").alias("id1"), F.col("m.dist").alias("dist"))
+
+
+def _improve(f: np.ndarray, best_d: np.ndarray, best_i: np.ndarray, names: np.ndarray, rows: np.ndarray) -> None:
+    """Lower the best distances of the rows ``f`` by those to ``rows``."""
+    own = (rows * rows).sum(axis=1)
+    slack = 8 * (f.shape[1] + 4) * np.finfo(float).eps
+    for at in range(0, len(f), 1024):
+        p = f[at : at + 1024]
+        size = (p * p).sum(axis=1)
+        d2 = size[:, None] + own[None, :] - 2 * p @ rows.T
+        near = d2 <= (d2.min(axis=1) + slack * (size + own.max()))[:, None]
+        i, j = np.nonzero(near)
+        for lo in range(0, len(i), 1 << 18):
+            u, v = i[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)]
+            dist = np.sqrt(((p[u] - rows[v]) ** 2).sum(axis=1))
+            order = np.lexsort((names[v], dist, u))
+            first = order[np.flatnonzero(np.diff(u[order], prepend=-1))]
+            u, dist, name = u[first] + at, dist[first], names[v[first]]
+            better = (dist < best_d[u]) | ((dist == best_d[u]) & (name < best_i[u]))
+            best_d[u[better]], best_i[u[better]] = dist[better], name[better]

@@ -6,6 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spatial
+from ..functions.lineage import stored
+
+
+def running(df: DataFrame, order: list, measure: Column | None = None, name: str = "rank_") -> DataFrame:
+    """``df`` with the running sum of ``measure`` (default: 1 a row) in the given order.
+
+    A range partitioning, a window inside each range, and the ranges' offsets (one short row
+    each): never one global window, and no limit on the number of rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("m_", F.lit(1).cast("long") if measure is None else measure)
+    ranged = stored(ranged.repartitionByRange(n, *order).withColumn("part_", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("part_").agg(F.sum("m_").alias("t_"))
+    before = F.sum("t_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("part_", F.coalesce(before, F.lit(0)).alias("before_"))  # a row per range
+    inside = F.sum("m_").over(Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranged.withColumn("r_", inside).join(F.broadcast(offsets), "part_").withColumn(name, F.col("before_") + F.col("r_")).drop("part_", "r_", "before_", "m_")
 
 
 def normalize_clamp(scores: DataFrame, cut: float = 0.6, col: str = "score") -> DataFrame:
@@ -52,40 +68,22 @@ def sample_points(scores: DataFrame, n: int, method: str = "topk", by: str = "g"
 
 def feature_band(scores: DataFrame, skip: float = 0.001, take: float = 0.1, by: str = "score") -> DataFrame:
     """Adds ``feature``: whether the row's rank by descending score (ties: the lower id) lies
-    past the first int(skip n) and within the next int(take n).
+    past the first int(skip n) and within the next int(take n). Null scores come last.
 
-    The limits come from the sorted scores by two limited sorts, not from a global
-    window, so ranking isn't a single task."""
+    Ranks are running counts over ranges of scores, so ranking isn't a single task."""
     n = scores.count()
     first, last = int(skip * n), int(skip * n) + int(take * n)
-
-    def bound(m: int) -> DataFrame | None:
-        """The last row of the top m."""
-        if m <= 0:
-            return None
-        top = scores.select(by, "id").orderBy(F.desc(by), "id").limit(m)
-        return top.agg(F.max(F.struct((-F.col(by)).alias("s"), F.col("id").alias("i"))).alias("b"))
-
-    def within(b: str) -> Column:
-        return (-F.col(by) < F.col(f"{b}.s")) | ((-F.col(by) == F.col(f"{b}.s")) & (F.col("id") <= F.col(f"{b}.i")))
-
-    out, low, high = scores, bound(first), bound(last)
-    if high is None or last <= first:
-        return out.withColumn("feature", F.lit(False))
-    out = out.crossJoin(F.broadcast(high.withColumnRenamed("b", "high_")))
-    mark = within("high_")
-    if low is not None:
-        out = out.crossJoin(F.broadcast(low.withColumnRenamed("b", "low_")))
-        mark = mark & ~within("low_")
-    return out.withColumn("feature", F.coalesce(mark, F.lit(False))).drop("high_", "low_")
+    ranked = running(scores, [F.desc(by), F.asc("id")])
+    return ranked.withColumn("feature", (F.col("rank_") > first) & (F.col("rank_") <= last) & F.col(by).isNotNull()).drop("rank_")
 
 
 def split_low_high(filtered_low: DataFrame, scores: DataFrame, share: float = 0.3) -> DataFrame:
     """(id, part, x, y, z): low-pass points of the lowest share of the scores above the raw
-    points of the highest share. ``filtered_low`` has fx, fy, fz beside x, y, z."""
+    points of the highest share (ties: the lower id). ``filtered_low`` has fx, fy, fz beside
+    x, y, z."""
     n = int(share * scores.count())
-    low = scores.orderBy("score", "id").limit(n).select("id")
-    high = scores.orderBy(F.desc("score"), "id").limit(n).select("id")
+    low = running(scores.select("id", "score"), [F.asc("score"), F.asc("id")]).where(F.col("rank_") <= n)
+    high = running(scores.select("id", "score"), [F.desc("score"), F.asc("id")]).where(F.col("rank_") <= n)
     smooth = filtered_low.join(low, "id", "left_semi").select("id", F.lit("low").alias("part"), F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("fz").alias("z"))
     raw = filtered_low.join(high, "id", "left_semi").select("id", F.lit("high").alias("part"), "x", "y", "z")
     return smooth.unionByName(raw)
@@ -141,21 +139,9 @@ def sort_z(points: DataFrame) -> DataFrame:
 
 
 def batch_split(points: DataFrame, batch_size: int, by: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Adds ``batch``: slices of ``batch_size`` rows in the order of ``by``.
-
-    Row numbers come from per-range counts: a range partitioning, a window inside each
-    range, and the ranges' offsets (one short row each), never one global window."""
-    spark = points.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from ..functions.lineage import stored
-
-    ranged = stored(points.repartitionByRange(n, *by).withColumn("part_", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("part_", F.coalesce(before, F.lit(0)).alias("before_"))  # a row per range
-    inside = F.row_number().over(Window.partitionBy("part_").orderBy(*by))
-    out = ranged.withColumn("rn_", inside).join(F.broadcast(offsets), "part_")
-    return out.withColumn("batch", F.floor((F.col("before_") + F.col("rn_") - 1) / batch_size)).drop("part_", "rn_", "before_")
+    """Adds ``batch``: slices of ``batch_size`` rows in the order of ``by``."""
+    ranked = running(points, [F.asc(c) for c in by])
+    return ranked.withColumn("batch", F.floor((F.col("rank_") - 1) / batch_size)).drop("rank_")
 
 
 def hist_stretch(values: DataFrame, threshold: int, col: str = "v", bins: int = 256) -> DataFrame:
@@ -174,39 +160,31 @@ def hist_stretch(values: DataFrame, threshold: int, col: str = "v", bins: int =
     return held.crossJoin(F.broadcast(span)).withColumn("out", out).drop("bin_", "n_", "u_", "lo_", "hi_")
 
 
-def hist_match(source: DataFrame, target: DataFrame, col: str = "v", bins: int = 4096) -> DataFrame:
-    """``source`` with ``out``: values mapped so that their distribution follows the
-    target's, by linear interpolation of target quantiles.
-
-    Distinct values with counts give both step functions; the target's is reduced to at
-    most ``bins`` quantile knots (exact if it has no more distinct values), which bounds the
-    broadcast."""
-
-    def cdf(df: DataFrame, value: str) -> DataFrame:
-        counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias(value)).agg(F.count(F.lit(1)).alias("n"))
-        # per-bucket running sums: buckets in order of value, offsets from bucket totals
-        span = counts.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("n").alias("all")).first()
-        lo, width = span.lo or 0.0, ((span.hi or 0.0) - (span.lo or 0.0)) / 1024 or 1.0
-        bucket = F.least(F.floor((F.col(value) - F.lit(lo)) / F.lit(width)), F.lit(1023))
-        counts = counts.withColumn("bk", bucket)
-        totals = counts.groupBy("bk").agg(F.sum("n").alias("t"))
-        ahead = F.coalesce(F.sum("t").over(Window.orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        inside = F.sum("n").over(Window.partitionBy("bk").orderBy(value))
-        joined = counts.withColumn("run", inside).join(F.broadcast(totals.select("bk", ahead.alias("ahead"))), "bk")
-        return joined.select(value, ((F.col("ahead") + F.col("run")) / F.lit(float(span.all or 1))).alias("q"))
-
-    src, knots = cdf(source, "s"), cdf(target, "t")
-    # one knot per quantile bin, then for every bin its own, the last before and the next
-    knots = knots.groupBy(F.floor(F.col("q") * bins).alias("bin")).agg(F.max(F.struct("q", "t")).alias("own"))
-    every = source.sparkSession.range(bins + 1).withColumnRenamed("id", "bin").join(knots, "bin", "left")
-    before = F.last("own", ignorenulls=True).over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("own", ignorenulls=True).over(Window.orderBy("bin").rowsBetween(1, Window.unboundedFollowing))
-    table = every.select("bin", "own", before.alias("before"), after.alias("after"))
-    q = F.col("q")
-    past = F.col("own").isNotNull() & (q >= F.col("own.q"))
-    low = F.when(past, F.col("own")).otherwise(F.col("before"))
-    high = F.when(past | F.col("own").isNull(), F.col("after")).otherwise(F.col("own"))
-    met = src.withColumn("bin", F.floor(q * bins)).join(F.broadcast(table), "bin").select("s", "q", low.alias("lo"), high.alias("hi"))
-    line = F.col("lo.t") + (F.col("hi.t") - F.col("lo.t")) * (q - F.col("lo.q")) / (F.col("hi.q") - F.col("lo.q"))
-    mapped = met.select("s", F.when(F.col("lo").isNull(), F.col("hi.t")).when(F.col("hi").isNull(), F.col("lo.t")).otherwise(line).alias("out"))
-    return source.join(mapped, source[col] == mapped["s"], "left").drop("s")
+def hist_match(source: DataFrame, target: DataFrame, col: str = "v") -> DataFrame:
+    """``source`` with ``out``: values mapped so that their distribution follows the target's,
+    by linear interpolation between the target's quantiles.
+
+    Exact: both cumulative distributions over all distinct values are merged by quantile in
+    ranges; each range is a window of its own, and the last and first target values of the
+    ranges around it (one short row a range) carry over. Null values stay null."""
+
+    def cdf(df: DataFrame, kind: int) -> DataFrame:
+        counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+        total = counts.agg(F.sum("n").alias("all_"))
+        return running(counts, [F.asc("u")], F.col("n"), "run").crossJoin(F.broadcast(total)).select((F.col("run") / F.col("all_")).alias("q"), F.lit(kind).alias("kind"), "u")
+
+    spark = source.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    merged = cdf(target, 0).unionByName(cdf(source, 1))
+    ranged = stored(merged.repartitionByRange(n, "q", "kind").withColumn("part_", F.spark_partition_id()), "merged")
+    knot = F.when(F.col("kind") == 0, F.struct("q", "u"))
+    ends = ranged.withColumn("knot", knot).groupBy("part_").agg(F.min("knot").alias("first_"), F.max("knot").alias("last_"))
+    back = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("part_").rowsBetween(1, Window.unboundedFollowing)
+    around = ends.select("part_", F.last("last_", ignorenulls=True).over(back).alias("before_"), F.first("first_", ignorenulls=True).over(ahead).alias("after_"))
+    inside = Window.partitionBy("part_").orderBy("q", "kind")
+    held = ranged.withColumn("knot", knot).withColumns({"lo": F.last("knot", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "hi": F.first("knot", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing))})
+    met = held.where("kind = 1").join(F.broadcast(around), "part_").select(F.col("u").alias("s_"), "q", F.coalesce("lo", "before_").alias("lo"), F.coalesce("hi", "after_").alias("hi"))
+    line = F.col("lo.u") + (F.col("hi.u") - F.col("lo.u")) * (F.col("q") - F.col("lo.q")) / (F.col("hi.q") - F.col("lo.q"))
+    mapped = met.select("s_", F.when(F.col("lo").isNull(), F.col("hi.u")).when(F.col("hi").isNull(), F.col("lo.u")).otherwise(line).alias("out"))
+    return source.join(mapped, source[col].cast("double") == mapped["s_"], "left").drop("s_")

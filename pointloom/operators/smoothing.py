@@ -1,7 +1,7 @@
 """Feature-preserving smoothing: linear systems on the graph, solved by joins.
 
-Every sweep is one join on dst and one aggregate by src; the state is written to the shared
-folder, so a sweep's plan never contains the sweeps before it.
+Every sweep is one join on dst and one aggregate by src; every few sweeps the state is
+written to the shared folder, so plans stay short.
 """
 
 from __future__ import annotations
@@ -13,36 +13,48 @@ from ..functions.lineage import stored
 from . import sampling
 
 
-def smooth(points: DataFrame, adj: DataFrame, mask: DataFrame, gamma: float = 0.1, feature_weight: float = 1.0, data_weight: float = 0.8, sweeps: int = 50, tolerance: float = 0.0) -> DataFrame:
+#: Sweeps between two writes of the state.
+PER_WRITE = 4
+
+
+def smooth(points: DataFrame, adj: DataFrame, mask: DataFrame | None, gamma: float = 0.1, feature_weight: float = 1.0, data_weight: float = 0.8, tolerance: float = 1e-12, sweeps: int = 10_000) -> DataFrame:
     """Solves (gamma L + (1-gamma)(feature_weight S + data_weight I)) X = (the same weights) P
-    by Jacobi sweeps; S marks ``feature`` rows of ``mask``.
+    by Jacobi sweeps; S marks ``feature`` rows of ``mask`` (none without a mask).
 
     Rows of L sum to 0 with no positive entry beside the diagonal, so the matrix is
-    diagonally dominant and the sweeps converge. Points without edges stay where they are.
-    With a tolerance, sweeps end when no coordinate moves further."""
+    diagonally dominant and the sweeps converge; they end when no coordinate moves by more
+    than ``tolerance`` between two writes. ``sweeps`` only guards against an endless run: it
+    is an error to reach it. Points without edges stay where they are."""
+    marked = points.select("id", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    marked = marked.withColumn("feature", F.lit(False)) if mask is None else marked.join(mask.select("id", "feature"), "id", "left")
     m = (1 - gamma) * (F.when(F.col("feature"), feature_weight).otherwise(0.0) + data_weight)
-    fixed = points.select("id", *[F.col(c).alias(f"p{c}") for c in "xyz"]).join(mask.select("id", "feature"), "id", "left").select("id", "px", "py", "pz", m.alias("m"))
+    fixed = marked.select("id", "px", "py", "pz", m.alias("m"))
     e = stored(adj.where("src <> dst").select("src", "dst", "w"), "edges")
     fixed = stored(fixed.join(e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("wsum")), "id", "left").fillna(0.0, ["wsum"]), "fixed")
     x = fixed.select("id", *[F.col(f"p{c}").alias(c) for c in "xyz"])
-    for _ in range(sweeps):
+
+    def sweep(x: DataFrame) -> DataFrame:
         near = e.join(x, e["dst"] == x["id"]).groupBy("src").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"n{c}") for c in "xyz"])
-        new = fixed.join(near, F.col("id") == F.col("src"), "left").select("id", *[((F.col("m") * F.col(f"p{c}") + gamma * F.coalesce(f"n{c}", F.lit(0.0))) / (F.col("m") + gamma * F.col("wsum"))).alias(c) for c in "xyz"])
-        new = stored(new, "sweep")
-        if tolerance:
-            moved = new.join(x.select("id", *[F.col(c).alias(f"o{c}") for c in "xyz"]), "id").agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"o{c}")) for c in "xyz"]))).first()[0]
-            x = new
-            if moved is None or moved <= tolerance:
-                break
-        x = new
-    return x
-
-
-def smooth_squared(points: DataFrame, adj: DataFrame, mask: DataFrame | None = None, gamma: float = 0.05, steps: int = 60, tolerance: float = 1e-10) -> DataFrame:
+        return fixed.join(near, F.col("id") == F.col("src"), "left").select("id", *[((F.col("m") * F.col(f"p{c}") + gamma * F.coalesce(f"n{c}", F.lit(0.0))) / (F.col("m") + gamma * F.col("wsum"))).alias(c) for c in "xyz"])
+
+    for _ in range(-(-sweeps // PER_WRITE)):
+        new = x
+        for _ in range(PER_WRITE):
+            new = sweep(new)
+        new = new.join(x.select("id", *[F.col(c).alias(f"o{c}") for c in "xyz"]), "id")
+        new = stored(new.select("id", *"xyz", F.greatest(*[F.abs(F.col(c) - F.col(f"o{c}")) for c in "xyz"]).alias("moved")), "sweep")
+        x, moved = new.select("id", *"xyz"), new.agg(F.max("moved")).first()[0]
+        if moved is None or moved <= tolerance:
+            return x
+    raise RuntimeError("the sweeps don't converge")
+
+
+def smooth_squared(points: DataFrame, adj: DataFrame, mask: DataFrame | None = None, gamma: float = 0.05, tolerance: float = 1e-9, steps: int = 10_000) -> DataFrame:
     """Solves (gamma L'L + (1-gamma)(S + I)) X = (1-gamma)(S + I) P by conjugate gradients.
 
     L'L isn't diagonally dominant, so Jacobi isn't safe. A product is two joins; the driver
-    holds three inner products per axis. Without a mask S is 0."""
+    holds three inner products per axis. Steps end when the residual's norm is at most
+    ``tolerance``; it is an error to reach ``steps``. Without a mask S is 0."""
     e = adj.select("src", "dst", "w")
     deg = e.groupBy(F.col("src").alias("dst")).agg(F.sum("w").alias("w"))
     lap = e.select("src", "dst", (-F.col("w")).alias("l")).unionByName(deg.select(F.col("dst").alias("src"), "dst", F.col("w").alias("l")))
@@ -75,14 +87,16 @@ def smooth_squared(points: DataFrame, adj: DataFrame, mask: DataFrame | None = N
         beta = [n / r if r else 0.0 for n, r in zip(new, rr, strict=True)]
         state = stored(step.select("id", *[f"s{c}" for c in "xyz"], *[f"r{c}" for c in "xyz"], *[(F.col(f"r{c}") + F.lit(b) * F.col(f"v{c}")).alias(f"v{c}") for c, b in zip("xyz", beta, strict=True)]), "cg")
         rr = new
+    else:
+        raise RuntimeError("the conjugate gradients don't converge")
     return state.select("id", *[F.col(f"s{c}").alias(c) for c in "xyz"])
 
 
-def simplify(points: DataFrame, adj: DataFrame, scores: DataFrame, voxel: float, gamma: float = 0.1, sweeps: int = 50) -> DataFrame:
+def simplify(points: DataFrame, adj: DataFrame, scores: DataFrame, voxel: float, gamma: float = 0.1) -> DataFrame:
     """(part, cx, cy, cz, n, x, y, z): feature points thinned at half a voxel, with the
     smoothed cloud thinned at a voxel."""
     mask = stored(sampling.feature_band(scores), "mask")
-    soft = smooth(points, adj, mask, gamma, sweeps=sweeps)
+    soft = smooth(points, adj, mask, gamma)
     sharp = points.join(mask.where("feature").select("id"), "id", "left_semi")
     one = sampling.voxel_downsample(sharp, voxel * 0.5).withColumn("part", F.lit("feature"))
     two = sampling.voxel_downsample(soft, voxel).withColumn("part", F.lit("smooth"))

@@ -20,7 +20,8 @@ R, K = 0.15, 20
 POSE = registration.axis_angle([1.0, 2.0, 3.0], 0.7, [1.0, -2.0, 0.5])
 SMALL = registration.axis_angle([0.0, 0.0, 1.0], 0.01, [0.004, -0.003, 0.002])
 PLANE = (1.0, 1.0, 1.0, -0.1)
-SWEEPS = 5
+#: Sweeps that the SQL unrolls: past these no sixth digit moves.
+SWEEPS = 48
 VOXEL = 0.1
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,7 +302,62 @@ def feature_band(spark, d):
 @query()
 def haar_low_pass(spark, d):
     p = pts(spark, d)
-    return rounded(graph.haar_low_pass(p, graph.adjacency(p, R, K), 10))
+    return rounded(graph.haar_low_pass(p, graph.adjacency(p, R, K)))
+
+
+@query(f"WITH {PTS}, bt AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 200 AS batch FROM pts), nbr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rn FROM (SELECT a.id AS src, b.id AS dst, {D2} AS d2, a.x AS sx, a.y AS sy, a.z AS sz, b.x AS tx, b.y AS ty, b.z AS tz FROM bt a JOIN bt b USING (batch)) WHERE d2 < 0.0225::DOUBLE) WHERE rn <= {K}), {NORM.split(NBR + ', ', 1)[1]} SELECT id, round(score, 6) AS score, round(norm, 6) AS norm, round(g, 6) AS g FROM cl")
+def score_batches(spark, d):
+    return rounded(compose.score_cloud(pts(spark, d), R, K, 200).select("id", "score", "norm", "g"))
+
+
+@query(f"WITH {NORM}, c45 AS (SELECT id, norm, CASE WHEN norm > 0.45 THEN 1.0 ELSE norm END AS g FROM nm) SELECT id, round(norm, 6) AS norm, round(g, 6) AS g FROM c45")
+def clamp_low(spark, d):
+    return rounded(sampling.normalize_clamp(scores(spark, d), 0.45).select("id", "norm", "g"))
+
+
+@query(f"WITH {NORM} SELECT id, round(score, 6) AS score FROM sc WHERE score < 1 ORDER BY sc.score DESC, id LIMIT 50")
+def topk_below(spark, d):
+    return rounded(sampling.topk(scores(spark, d), 50, "score", "below_one").select("id", "score"))
+
+
+@query(f"WITH {NORM} SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(g, 6) AS g FROM cl JOIN pts USING (id) WHERE g <> 1 ORDER BY cl.g DESC, id LIMIT 100")
+def sample_cloud(spark, d):
+    return rounded(compose.sample_cloud(pts(spark, d), R, K, 100).select("id", "x", "y", "z", "g"))
+
+
+@query(f"WITH {CURV}, ev AS (SELECT id, CASE WHEN p = 0 THEN q ELSE q+2*p*cos(phi) END AS hi, CASE WHEN p = 0 THEN q ELSE q+2*p*cos(phi+{2 * math.pi / 3!r}) END AS lo, q FROM e4) SELECT id, round(lo, 4) + 0.0::DOUBLE AS low, round(3*q-lo-hi, 4) + 0.0::DOUBLE AS mid, round(hi, 4) + 0.0::DOUBLE AS high FROM ev")
+def eigenvalues(spark, d):
+    """What both forms of curvature are made of."""
+    low, mid, high = spatial.eigenvalues(*[F.col(p) for p in geometry.PAIRS])
+    return rounded(geometry.covariance(near(spark, d)).select("id", low.alias("low"), mid.alias("mid"), high.alias("high")), 4)
+
+
+@query(f"WITH {PTS} SELECT id, round(x, 6) AS x, 0.2::DOUBLE AS r, 0.4::DOUBLE AS g, 0.6::DOUBLE AS b FROM pts")
+def paint(spark, d):
+    return rounded(compose.paint(pts(spark, d), (0.2, 0.4, 0.6)).select("id", "x", "r", "g", "b"))
+
+
+@query("SELECT c_custkey AS id, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def lookup(spark, d):
+    c = views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key"))
+    return compose.lookup(c, views.table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), "key").select("id", "name")
+
+
+@query(f"WITH {PTS}, bt AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 100 AS batch FROM pts) SELECT batch, count(*) AS n, round(avg(x), 6) AS x FROM bt GROUP BY batch")
+def map_batches(spark, d):
+    import pandas as pd
+
+    p = sampling.batch_split(pts(spark, d), 100)
+    return rounded(compose.map_batches(p, lambda b: pd.DataFrame({"batch": [b.batch.iloc[0]], "n": [len(b)], "x": [b.x.mean()]}), "batch long, n long, x double"))
+
+
+@query(f"WITH {PTS} SELECT {', '.join(f'round(avg({c}), 6) AS m{c}' for c in 'xyz')}, {', '.join(f'round(covar_pop({p[0]}, {p[1]}), 6) AS {p}' for p in geometry.PAIRS)}, round(0, 6)::DOUBLE AS residual FROM pts")
+def plane_fit(spark, d):
+    """The sums behind the plane; its residual against the covariance's least eigenvector."""
+    p = pts(spark, d)
+    a, b, c, e = geometry.plane_fit(p)
+    off = F.avg(a * F.col("x") + b * F.col("y") + c * F.col("z") + e)  # a fitted plane holds the centroid
+    return rounded(p.agg(*[F.avg(v).alias(f"m{v}") for v in "xyz"], *[F.covar_pop(v[0], v[1]).alias(v) for v in geometry.PAIRS], off.alias("residual")))
 
 
 @query()
@@ -447,7 +503,7 @@ def _cdf(table: str, name: str, value: str) -> str:
 
 
 @query(f"""WITH {LPTS}, a AS (SELECT id, z AS v FROM lpts WHERE id % 2 = 0), b AS (SELECT x*x AS v FROM lpts WHERE id % 2 = 1), {_cdf('a', 's', 's')}, {_cdf('b', 't0', 't')},
-t AS (SELECT max_by(t, q) AS t, max(q) AS q FROM t0 GROUP BY floor(q*4096)), k AS (SELECT t, q, lead(t) OVER (ORDER BY q) AS t1, lead(q) OVER (ORDER BY q) AS q1 FROM t),
+t AS (SELECT t, q FROM t0), k AS (SELECT t, q, lead(t) OVER (ORDER BY q) AS t1, lead(q) OVER (ORDER BY q) AS q1 FROM t),
 m AS (SELECT s.s, s.q, k.* EXCLUDE (q), k.q AS q0 FROM s ASOF LEFT JOIN k ON s.q >= k.q)
 SELECT a.id, round(CASE WHEN m.t IS NULL THEN (SELECT min_by(t, q) FROM t) WHEN m.q1 IS NULL THEN m.t ELSE m.t+(m.t1-m.t)*(m.q-m.q0)/(m.q1-m.q0) END, 6) AS out FROM a JOIN m ON a.v = m.s""")
 def hist_match(spark, d):
@@ -463,48 +519,60 @@ def voxel_size(spark, d):
 # Smoothing
 
 
-def _smooth_sql(n: int) -> str:
+def _smooth_sql(n: int, gamma: float = 0.1, feature: float = 1.8, other: float = 0.8) -> str:
     """Unrolled Jacobi sweeps over the band's mask."""
-    m = "CASE WHEN feature THEN 0.9*1.8 ELSE 0.9*0.8 END"
-    out = f"{_band(0.001, 0.1)}, fx AS (SELECT p.id, x, y, z, {m} AS m, coalesce((SELECT sum(w) FROM adj WHERE src = p.id AND dst <> src), 0) AS ws FROM pts p JOIN band USING (id)), x0 AS (SELECT id, x, y, z FROM pts)"
+    m = f"CASE WHEN feature THEN {1 - gamma}*{feature} ELSE {1 - gamma}*{other} END"
+    out = f"{_band(0.001, 0.1)}, fx AS MATERIALIZED (SELECT p.id, x, y, z, ({m})::DOUBLE AS m, coalesce((SELECT sum(w) FROM adj WHERE src = p.id AND dst <> src), 0) AS ws FROM pts p JOIN band USING (id)), ad AS MATERIALIZED (SELECT src, dst, w FROM adj WHERE src <> dst), x0 AS (SELECT id, x, y, z FROM pts)"
     for k in range(n):
-        out += f", n{k} AS (SELECT src, sum(w*x.x) AS nx, sum(w*x.y) AS ny, sum(w*x.z) AS nz FROM adj JOIN x{k} x ON x.id = dst WHERE src <> dst GROUP BY src), x{k + 1} AS (SELECT id, {', '.join(f'(m*{c}+0.1*coalesce(n{c}, 0))/(m+0.1*ws) AS {c}' for c in 'xyz')} FROM fx LEFT JOIN n{k} ON src = id)"
+        out += f", n{k} AS (SELECT src, sum(w*x.x) AS nx, sum(w*x.y) AS ny, sum(w*x.z) AS nz FROM ad JOIN x{k} x ON x.id = dst GROUP BY src), x{k + 1} AS MATERIALIZED (SELECT id, {', '.join(f'(m*{c}+{gamma}*coalesce(n{c}, 0))/(m+{gamma}*ws) AS {c}' for c in 'xyz')} FROM fx LEFT JOIN n{k} ON src = id)"
     return out
 
 
-def _smoothed(spark, d):
-    p = pts(spark, d)
-    mask = sampling.feature_band(stored(scores(spark, d)))
-    return smoothing.smooth(p, graph.adjacency(p, R, K), mask, sweeps=SWEEPS)
+def _mask(spark, d) -> DataFrame:
+    return sampling.feature_band(stored(scores(spark, d)))
 
 
 @query(f"WITH {_smooth_sql(SWEEPS)} SELECT id, {_r('x y z')} FROM x{SWEEPS}")
 def smooth_tv(spark, d):
-    return rounded(_smoothed(spark, d))
+    p = pts(spark, d)
+    return rounded(smoothing.smooth(p, graph.adjacency(p, R, K), _mask(spark, d)))
+
+
+@query(f"WITH {_smooth_sql(80, 0.2, 5.0, 1.0)} SELECT id, {_r('x y z')} FROM x80")
+def smooth_strong(spark, d):
+    """Feature weight 4 beside data weight 1."""
+    p = pts(spark, d)
+    return rounded(smoothing.smooth(p, graph.adjacency(p, R, K), _mask(spark, d), 0.2, 4.0, 1.0))
+
+
+@query()
+def smooth_plain(spark, d):
+    p = pts(spark, d)
+    return rounded(smoothing.smooth_squared(p, graph.adjacency(p, R, K), None, 0.06))
 
 
 @query()
 def smooth_feature(spark, d):
     p = pts(spark, d)
     mask = sampling.feature_band(stored(scores(spark, d)), 0.0, 0.3)
-    return rounded(smoothing.smooth_squared(p, graph.adjacency(p, R, K), mask, steps=15, tolerance=1e-8))
+    return rounded(smoothing.smooth_squared(p, graph.adjacency(p, R, K), mask))
 
 
 @query(f"WITH {_smooth_sql(SWEEPS)}, ft AS (SELECT * FROM pts WHERE id IN (SELECT id FROM band WHERE feature)), {_voxels('ft', VOXEL * 0.5, 'vf')}, {_voxels(f'x{SWEEPS}', VOXEL, 'vs')} SELECT 'feature' AS part, cx, cy, cz, n, {_r('x y z')} FROM vf UNION ALL SELECT 'smooth', cx, cy, cz, n, {_r('x y z')} FROM vs")
 def simplify(spark, d):
-    return rounded(compose.simplify_cloud(pts(spark, d), R, K, VOXEL, SWEEPS).select("part", "cx", "cy", "cz", "n", "x", "y", "z"))
+    return rounded(compose.simplify_cloud(pts(spark, d), R, K, VOXEL).select("part", "cx", "cy", "cz", "n", "x", "y", "z"))
 
 
 @query()
 def simplify_class(spark, d):
     a, b = pair(spark, d)
-    one, two = compose.simplify_class(a, b, [0, 1, 2], R, K, 3)
+    one, two = compose.simplify_class(a, b, [0, 1, 2], R, K)
     return rounded(one.withColumn("cloud", F.lit(0)).unionByName(two.withColumn("cloud", F.lit(1))))
 
 
 @query()
 def class_merge(spark, d):
-    return rounded(compose.class_merge(pts(spark, d), [0, 1, 2], [9, 10, 11], R, K, VOXEL, 3))
+    return rounded(compose.class_merge(pts(spark, d), [0, 1, 2], [9, 10, 11], R, K, VOXEL))
 
 
 # Registration
@@ -600,6 +668,11 @@ def pose_error(spark, d):
     return rounded(pose_errors(s.select("scan", pose("f").alias("found"), pose("t").alias("truth"))))
 
 
+@query(f"WITH {_ANGLES} SELECT scan, round(acos(greatest(-1, least(1, (2*(cos(f)*cos(t)+sin(f)*sin(t))+1-1)/2))), 6) AS rotation_error_rad, round(sqrt(5)*abs(f-t), 6) AS translation_difference FROM a")
+def pose_error_rad(spark, d):
+    return rounded(pose_error(spark, d).select("scan", F.radians("rotation_error_deg").alias("rotation_error_rad"), F.col("translation_error").alias("translation_difference")))
+
+
 def pose_errors(poses: DataFrame, found: str = "found", truth: str = "truth") -> DataFrame:
     """Errors of inv(found) truth for rows of row-major 16-element arrays: the trace of
     R1'R2 is the sum of the products of equal elements, and a rotation keeps lengths."""
@@ -638,6 +711,23 @@ def registration_compare(spark, d):
     return rounded(compose.compare(p, t, thin(p), thin(t), SMALL, iterations=8))
 
 
+@query()
+def coarse_run(spark, d):
+    """Random pose, outlier removal, alignment by features, error; descriptors are the whole
+    embeddings, so the motion is known."""
+    p = pts(spark, d).select("id", "x", "y", "z").join(views.feat(spark, d).drop("cloud"), "id")
+    p = stored(p)
+    _, errors = compose.coarse_run(p, stored(registration.transform(p, SMALL)), registration.random_pose(3, 2.0), SMALL)
+    return rounded(spark.createDataFrame([(k, v) for k, v in errors.items()], "error string, value double"))
+
+
+@query()
+def fine_registration(spark, d):
+    p = stored(pts(spark, d).select("id", "x", "y", "z", *[(F.col("id") % m / m).alias(c) for c, m in zip("rgb", (97, 89, 83), strict=True)]))
+    t = stored(registration.transform(p, SMALL))
+    return rounded(compose.fine_registration(p, t, p, t, registration.IDENTITY, SMALL, radius=R, k=K, iterations=30), 4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

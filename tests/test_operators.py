@@ -32,9 +32,10 @@ def brute(q, t, radius, k):
     return out
 
 
-@pytest.mark.parametrize("radius,k,start", [(0.3, 5, None), (0.3, 5, 0.05), (0.2, 50, 0.1), (2.0, 3, 0.02)])
-def test_hybrid_equals_brute_force(spark, random_xyz, radius, k, start):
-    got = {(r.src, r.dst, r.rn) for r in neighbors.hybrid(cloud(spark, random_xyz), radius, k, start=start).collect()}
+@pytest.mark.parametrize("radius,k,dense", [(0.3, 5, 512), (0.3, 5, 10), (0.2, 50, 2), (2.0, 3, 4)])
+def test_hybrid_equals_brute_force(spark, monkeypatch, random_xyz, radius, k, dense):
+    monkeypatch.setattr(neighbors, "DENSE", dense)
+    got = {(r.src, r.dst, r.rn) for r in neighbors.hybrid(cloud(spark, random_xyz), radius, k).collect()}
     assert got == brute(random_xyz, random_xyz, radius, k)
 
 
@@ -51,6 +52,89 @@ def test_dense_cell_starts_finer(spark, monkeypatch):
     assert got == brute(xyz, xyz, 0.3, 2)
 
 
+@pytest.mark.parametrize("kind", ["outlier", "cluster", "coinciding"])
+def test_search_on_uneven_clouds(spark, monkeypatch, kind):
+    monkeypatch.setattr(neighbors, "DENSE", 30)
+    rng = np.random.default_rng(5)
+    more = {"outlier": np.array([[1e6, -1e6, 0.0]]), "cluster": rng.random((150, 3)) * 1e-3 + 0.5, "coinciding": np.full((150, 3), 0.25)}[kind]
+    xyz = np.vstack([rng.random((150, 3)), more])
+    got = {(r.src, r.dst, r.rn) for r in neighbors.knn(cloud(spark, xyz), 4).collect()}
+    assert got == brute(xyz, xyz, 1e9, 4)
+    got = {(r.src, r.dst, r.rn) for r in neighbors.hybrid(cloud(spark, xyz), 0.2, 4).collect()}
+    assert got == brute(xyz, xyz, 0.2, 4)
+
+
+def test_coinciding_points_are_linear(spark):
+    p = cloud(spark, np.full((5000, 3), 2.0))
+    assert neighbors.knn(p, 3).groupBy("dst").count().orderBy("dst").collect() == [(0, 5000), (1, 5000), (2, 5000)]
+
+
+def test_feature_match_at_near_ties(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "RESIDENT", 40)
+    monkeypatch.setattr(neighbors, "STREAM", 30)
+    rng = np.random.default_rng(2)
+    far = 1e8 + rng.integers(0, 3, (100, 4))  # products cancel there
+    a = spark.createDataFrame([(k, v.astype(float).tolist()) for k, v in enumerate(far[:60])] + [(900, None)], "id long, feature array<double>")
+    b = spark.createDataFrame([(k, v.astype(float).tolist()) for k, v in enumerate(far[40:])], "id long, feature array<double>")
+    got = {r.id0: (r.id1, r.dist) for r in neighbors.feature_match(a, b).collect()}
+    want = {}
+    for k, v in enumerate(far[:60]):
+        d = np.sqrt(((v - far[40:]) ** 2).sum(axis=1))
+        want[k] = (int(d.argmin()), float(d.min()))
+    assert got == want
+    assert neighbors.feature_match(a, b.where("id < 0")).count() == 0
+
+
+def test_ranks_and_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    v, t = rng.integers(0, 40, 300) / 7, np.exp(rng.normal(size=500) * 3)  # ties; a heavy tail
+    df = spark.createDataFrame([(k, float(x)) for k, x in enumerate(v)], "id long, score double")
+    order = sorted(range(300), key=lambda k: (-v[k], k))
+    assert {r.id for r in sampling.feature_band(df, 0.01, 0.3).where("feature").collect()} == set(order[3:93])
+    s, n = np.unique(v, return_counts=True)
+    u, m = np.unique(t, return_counts=True)
+    mapped = dict(zip(s.tolist(), np.interp(np.cumsum(n) / 300, np.cumsum(m) / 500, u).tolist(), strict=True))
+    got = sampling.hist_match(df.withColumnRenamed("score", "v"), spark.createDataFrame([(float(x),) for x in t], "v double")).collect()
+    assert len(got) == 300 and all(r.out == pytest.approx(mapped[r.v]) for r in got)
+
+
+def test_largest_eigenvalue_and_haar(spark, random_xyz):
+    p, w = cloud(spark, random_xyz), dense(random_xyz, 0.3, 8)
+    top = np.abs(np.linalg.eigvals(w)).max()
+    adj = graph.adjacency(p, 0.3, 8)
+    assert graph.largest_eigenvalue(p, adj) == pytest.approx(top, rel=1e-5)
+    assert np.allclose(matrix(graph.haar_low_pass(p, adj)), random_xyz + w @ random_xyz / top, atol=1e-5)
+
+
+def test_batches_lookup_and_paint(spark, random_xyz):
+    p = cloud(spark, random_xyz)
+    got = compose.score_cloud(p, 0.4, 6, 50)
+    parts = [compose.score_cloud(p.where(f"id >= {a} AND id < {a + 50}"), 0.4, 6) for a in (0, 50, 100)]
+    want = {r.id: r.score for x in parts for r in x.collect()}
+    assert {r.id: r.score for r in got.collect()} == pytest.approx(want)
+    assert compose.sample_cloud(p, 0.4, 6, 10, batch_size=50).count() == 10
+    assert set(r.part for r in compose.sample_cloud(p, 0.4, 6, method="smooth").collect()) == {"feature", "smooth"}
+    assert compose.paint(p, (0, 0.5, 1)).select("r", "g", "b").distinct().collect() == [(0.0, 0.5, 1.0)]
+    table = spark.createDataFrame([(k, f"n{k}") for k in range(119)], "id long, name string")
+    assert compose.lookup(p.where("id < 119"), table, "id").where("name IS NOT NULL").count() == 119
+    with pytest.raises(Exception, match="no entry for 119"):
+        compose.lookup(p, table, "id").collect()
+
+
+def test_coarse_and_fine_runs_recover_a_motion(spark):
+    rng = np.random.default_rng(1)
+    xyz = rng.random((200, 3))
+    truth = registration.axis_angle([0, 0, 1], 0.02, [0.01, 0.0, -0.01])
+    p = cloud(spark, xyz).select("*", F.array("x", "y", "z", F.col("id") / 100).alias("feature"), *[(F.col("id") % m / m).alias(c) for c, m in zip("rgb", (7, 5, 3), strict=True)])
+    t = registration.transform(p, truth)
+    # every fifth match is wrong, the others are noisy
+    noisy = t.withColumns({c: F.col(c) + F.when(F.col("id") % 5 == 0, 0.5).otherwise((F.col("id") % 3 - 1) * 1e-3) for c in "xyz"})
+    _, errors = compose.coarse_run(p, noisy, registration.random_pose(2, 1.0), truth, ratios=(50.0, 50.0))
+    assert errors["rotation_error_deg"] < 3 and errors["translation_error"] < 0.1
+    runs = compose.fine_registration(p, t, p, t, registration.IDENTITY, truth, voxel=0.01, radius=0.5, k=30, iterations=30).collect()
+    assert [r.run for r in runs] == ["simplified", "whole", "colored"] and all(r.rotation_error_rad < 0.02 for r in runs)
+
+
 def test_collinear_ranks_and_ties(spark):
     line = cloud(spark, [(k, 0, 0) for k in range(5)])
     e = neighbors.hybrid(line, 1.5, 3)
@@ -111,7 +195,7 @@ def test_smoother_solves_the_system(spark, random_xyz):
     s = np.diag((np.arange(len(random_xyz)) % 7 == 0).astype(float))
     lap, eye = np.diag(w.sum(1)) - w, np.eye(len(random_xyz))
     want = np.linalg.solve(0.1 * lap + 0.9 * (s + 0.8 * eye), 0.9 * (s + 0.8 * eye) @ random_xyz)
-    assert np.allclose(matrix(smoothing.smooth(p, graph.adjacency(p, 0.25, 8), mask, sweeps=60, tolerance=1e-9)), want, atol=1e-6)
+    assert np.allclose(matrix(smoothing.smooth(p, graph.adjacency(p, 0.25, 8), mask)), want, atol=1e-6)
 
 
 def test_conjugate_gradients_solve_the_squared_system(spark, random_xyz):
@@ -119,7 +203,7 @@ def test_conjugate_gradients_solve_the_squared_system(spark, random_xyz):
     p, w = cloud(spark, xyz), dense(xyz, 0.4, 6)
     lap, eye = np.diag(w.sum(1)) - w, np.eye(len(xyz))
     want = np.linalg.solve(0.05 * lap.T @ lap + 0.95 * eye, 0.95 * xyz)
-    assert np.allclose(matrix(smoothing.smooth_squared(p, graph.adjacency(p, 0.4, 6), steps=12)), want, atol=1e-5)
+    assert np.allclose(matrix(smoothing.smooth_squared(p, graph.adjacency(p, 0.4, 6))), want, atol=1e-5)
 
 
 def test_geometry_equals_numpy(spark, random_xyz):
