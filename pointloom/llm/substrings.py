@@ -263,11 +263,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # what is left open: buckets with a single stretch beside others or folded
     unsure = places.where((F.col("single") > 0) & ((F.col("kinds") > 1) | folded))
     one = unsure.groupBy(*stretch).agg(F.min(F.struct("k1", "k2", *ASK[2:])).alias("p")).select(*stretch, "p.*")
-    loads = one.groupBy("rank").agg(F.sum(F.col("n") + length - 1).alias("load"))
+    loads = one.groupBy("rank").agg(F.sum(F.col("n") + length - 1).alias("load"), F.max("kinds").alias("kinds"))
+    heavy = common.stored(loads.where((F.col("load") > BUCKET_BYTES) | (F.col("kinds") > CROWD)).select("rank"), "heavy")
     held = common.stored(bytes_of(docs, one, length), "bytes")
-    small = (F.col("kinds") <= CROWD) & (F.col("load") <= BUCKET_BYTES)
-    held = held.join(loads, "rank")
-    parts = sorted_buckets(held.where(small).drop("load"), length).unionByName(dealt_suffixes(held.where(~small).drop("load"), length))
+    if heavy.isEmpty():
+        parts = sorted_buckets(held, length)
+    else:
+        parts = sorted_buckets(held.join(heavy, "rank", "left_anti").select(*held.columns), length).unionByName(dealt_suffixes(held.join(heavy, "rank", "left_semi").select(*held.columns), length))
     open_ = parts.select("k1", "k2", "first", F.explode("runs").alias("r")).select("k1", "k2", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + F.col("r.hi") + length - 1).alias("hi"))
     return whole.unionByName(open_)
 
