@@ -292,3 +292,78 @@ def test_pipeline(spark, graded, tmp_path):
     assert len(ids & good) > 0.97 * len(good) and len(ids - good) < 5
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
+
+
+def naive_score(model, text):
+    """The vote, neighbour by neighbour."""
+    tf = quality.counts([text])[0].astype(float)
+    w = np.log1p(tf) * model.idf
+    w = w / max(np.sqrt((w * w).sum()), 1e-9)
+    v = np.array([(w * model.basis[:, k]).sum() for k in range(model.basis.shape[1])])
+    v = v / max(np.sqrt((v * v).sum()), 1e-9)
+    near = sorted(((float((v * u).sum()), float(y)) for u, y in zip(model.vectors, model.labels, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+    weight = [max(c, 0) ** quality.POWER for c, _ in near]
+    votes = sum(a * y for a, (_, y) in zip(weight, near, strict=True))
+    return (votes + 0.05 * model.share) / (sum(weight) + 0.05)
+
+
+def test_votes_equal_brute_force(spark, graded):
+    docs, labels, _ = graded
+    model = quality.train(docs, labels)
+    some = docs.where("doc_id % 7 = 0")
+    want = {r.doc_id: naive_score(model, r.text) for r in some.collect()}
+    got = {r.doc_id: r.score for r in quality.scored(some, model, name="score").collect()}
+    assert got == pytest.approx(want, abs=2e-4)
+
+
+def test_one_repeated_id_does_not_fill_the_fit(spark, graded):
+    docs, labels, _ = graded
+    first = docs.where("doc_id = 1")
+    many = docs.unionByName(first.crossJoin(spark.range(3000)).drop("id"))
+    known = labels.where(quality.fold("doc_id") != 0).count()
+    assert len(quality.train(many, labels).labels) == known
+    assert len(quality.train(many, labels, fit_rows=20).labels) == 20
+
+
+def test_pipeline_equals_brute_force_on_odd_rows(spark, graded, tmp_path):
+    docs, labels, _ = graded
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9)))
+    prose = lambda n: ". ".join(" ".join(word() for _ in range(9)).capitalize() for _ in range(n)) + "."
+    passage = prose(8)  # over 240 bytes
+    more = [(None, prose(9)), (5000, None), (5001, ""), (5002, prose(12)), (5002, prose(12)), (5003, prose(4) + passage + prose(5)), (5004, prose(6) + passage + prose(3)), (5005, prose(7000))]
+    more += [(6000 + k, more[3][1]) for k in range(3)] + [more[5], more[5]]
+    extra = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in more], docs.schema)
+    table = docs.unionByName(extra).select("*", F.lit(1).alias("score"), F.lit(2).alias("k1"), F.lit(3).alias("own_th"), F.lit(4).alias("spans"))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda rows: sorted((str(r.doc_id), r.text or "") for r in rows)
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    (_, first), (_, second), (_, third), (_, fourth) = corpus_pipeline.STAGES
+    model = quality.train(kept, labels)
+    rows = kept.collect()
+    good = first(spark, kept, str(tmp_path))
+    assert good.columns == table.columns
+    scores = [naive_score(model, r.text or "") for r in rows]
+    assert min(abs(x - quality.KEEP) for x in scores) > 1e-3
+    rows = [r for r, x in zip(rows, scores, strict=True) if x >= quality.KEEP]
+    assert key(good.collect()) == key(rows)
+    weights = neardup.Weights(neardup.document_frequencies(neardup._prepared(good, "doc_id", "text")), len(rows))
+    texts = [(k, r.text or "") for k, r in enumerate(rows)]
+    named = lambda k: (rows[k].doc_id is None, rows[k].doc_id or 0)
+    classes_ = [[int(k) for k in c] for c in brute_classes(texts, weights)]
+    single = second(spark, good, str(tmp_path))
+    firsts = [min(named(k) for k in c) for c in classes_]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in single.collect()) == sorted(firsts)
+    held = single.collect()
+    cut = third(spark, single, str(tmp_path))
+    assert cut.columns == table.columns
+    want = {(i, n, digest) for i, n, *_, digest in brute_repeats([(r.doc_id, r.text) for r in held], corpus_pipeline.PASSAGE)}
+    got = {(str(r.doc_id), len((h.text or "").encode()), sha256((r.text or "").encode()).hexdigest()) for r in cut.collect() for h in held if (h.doc_id, (h.text or "")[:20] if r.text else None) == (r.doc_id, (r.text or "")[:20] if r.text else None) or (h.doc_id == r.doc_id and not r.text)}
+    assert got == want and any(r.n_chars is not None and r.text is not None and r.n_chars != len(r.text) for r in cut.collect()) is False
+    packed = fourth(spark, cut, str(tmp_path))
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in held}
+    none = kept.where("doc_id = -1")
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+    assert none.count() == 0
