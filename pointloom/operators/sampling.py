@@ -183,7 +183,8 @@ def hist_match(source: DataFrame, target: DataFrame, col: str = "v") -> DataFram
     ahead = Window.orderBy("part_").rowsBetween(1, Window.unboundedFollowing)
     around = ends.select("part_", F.last("last_", ignorenulls=True).over(back).alias("before_"), F.first("first_", ignorenulls=True).over(ahead).alias("after_"))
     inside = Window.partitionBy("part_").orderBy("q", "kind")
-    held = ranged.withColumn("knot", knot).withColumns({"lo": F.last("knot", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "hi": F.first("knot", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing))})
+    behind = Window.partitionBy("part_").orderBy(F.desc("q"), F.desc("kind"))  # both frames run along
+    held = ranged.withColumn("knot", knot).withColumns({"lo": F.last("knot", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "hi": F.last("knot", ignorenulls=True).over(behind.rowsBetween(Window.unboundedPreceding, -1))})
     met = held.where("kind = 1").join(F.broadcast(around), "part_").select(F.col("u").alias("s_"), "q", F.coalesce("lo", "before_").alias("lo"), F.coalesce("hi", "after_").alias("hi"))
     line = F.col("lo.u") + (F.col("hi.u") - F.col("lo.u")) * (F.col("q") - F.col("lo.q")) / (F.col("hi.q") - F.col("lo.q"))
     mapped = met.select("s_", F.when(F.col("lo").isNull(), F.col("hi.u")).when(F.col("hi").isNull(), F.col("lo.u")).otherwise(line).alias("out"))
