@@ -203,8 +203,9 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     resolved by digest: one row per document with its media element's figures.
 
     A null text is an empty one (576 bytes of padding). Payloads are stored once and read
-    back where they lie; the digest join moves references and figures only. Repeated rows
-    give repeated results; an empty table none."""
+    back where they lie; the digest join moves references and figures only. Very long texts
+    are stored whole; repeated rows give repeated results, an empty table none; other
+    columns are ignored, whatever they are called."""
     kept = common.stored(store(docs, id_col, text_col), "media")
     elements = resolve(parse(kept, id_col, "html"), read_back(kept), id_col).where("kind = 'media'")
     return elements.select(id_col, F.regexp_extract("caption", r"^(\d+) bytes", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
