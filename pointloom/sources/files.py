@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -83,21 +84,35 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     return out.select("file", "id", "x", "y", "z", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("r", "g", "b", "nx", "ny", "nz")])
 
 
-def write_ply(points: DataFrame, path: str) -> None:
-    """One ASCII PLY file on the driver's side, rows in order of id, streamed partition by
-    partition (colours are written where the cloud has them)."""
-    from pathlib import Path
+def _bodies(points: DataFrame, cols: list[str], packed: Callable[[dict[str, list]], bytes]) -> Iterator[bytes]:
+    """The rows in order of id as blocks of bytes: tasks pack them, the driver holds the
+    blocks of one range of ids at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"body": pa.array([packed(batch.to_pydict())], pa.binary())})
+
+    yield from (bytes(r.body) for r in points.orderBy("id").select(*cols).mapInArrow(run, "body binary").toLocalIterator())
 
+
+def write_ply(points: DataFrame, path: str) -> None:
+    """One ASCII PLY file on the driver's side, rows in order of id; the lines are made in
+    tasks (colours are written where the cloud has them, null ones as 0)."""
     colored = {"r", "g", "b"} <= set(points.columns)
-    cols = ["x", "y", "z", *(["r", "g", "b"] if colored else [])]
+    cols = [*"xyz", *("rgb" if colored else "")]
+
+    def packed(held: dict[str, list]) -> bytes:
+        places = [[repr(float(v)) for v in held[c]] for c in "xyz"]
+        shades = [[str(round(max(0.0, min(1.0, v or 0.0)) * 255)) for v in held[c]] for c in cols[3:]]
+        return "".join(" ".join(row) + "\n" for row in zip(*places, *shades, strict=True)).encode("ascii")
+
     out = Path(path)
     out.parent.mkdir(parents=True, exist_ok=True)
-    n = points.count()
-    head = ["ply", "format ascii 1.0", f"element vertex {n}", *(f"property double {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue") if colored), "end_header"]
-    with out.open("w", encoding="ascii") as f:
-        f.write("\n".join(head) + "\n")
-        for r in points.orderBy("id").select(*cols).toLocalIterator():
-            f.write(" ".join([repr(float(v)) for v in r[:3]] + [str(round(max(0.0, min(1.0, v or 0.0)) * 255)) for v in r[3:]]) + "\n")
+    head = ["ply", "format ascii 1.0", f"element vertex {points.count()}", *(f"property double {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue") if colored), "end_header"]
+    with out.open("wb") as f:
+        f.write("\n".join([*head, ""]).encode("ascii"))
+        for body in _bodies(points, cols, packed):
+            f.write(body)
 
 
 def write_ply_pair(a: DataFrame, b: DataFrame, folder: str, names: tuple[str, str]) -> None:
@@ -165,19 +180,35 @@ def read_las(spark: SparkSession, path: str, extra: tuple[str, ...] = (), keep_o
 
 
 def write_las(points: DataFrame, path: str, scale: float = 0.001) -> None:
-    """LAS 1.2, point format 2, on the driver's side (for fixtures and hand-off); x, y, z and
-    16-bit red, green, blue, optional classification; rows in order of id."""
+    """LAS 1.2, point format 2, on the driver's side; x, y, z and 16-bit red, green, blue
+    (null: 0), optional classification; rows in order of id, packed in tasks. Clouds beyond
+    the format's 32-bit count or 32-bit coordinates, and null coordinates, are errors."""
     cls = "classification" in points.columns
-    rows = [r for r in points.orderBy("id").select("x", "y", "z", "red", "green", "blue", *(["classification"] if cls else [])).toLocalIterator()]
+    cols = [*"xyz", "red", "green", "blue", *(["classification"] if cls else [])]
+    span = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in "xyz" for f in (F.count, F.min, F.max)]).first()
+    ends = [span[f"{f}_{c}"] or 0.0 for c in "xyz" for f in ("max", "min")]
+    if any(span[f"count_{c}"] < span["n"] for c in "xyz"):
+        raise ValueError("null coordinates")
+    if span["n"] >= 2**32 or not all(abs(v) / scale < 2**31 - 1 for v in ends):
+        raise ValueError("too many points or too far out for this scale")
+    record = np.dtype([*((c, "<i4") for c in "xyz"), ("intensity", "<u2"), ("flags", "u1"), ("classification", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2"), *((c, "<u2") for c in ("red", "green", "blue"))])
+
+    def packed(held: dict[str, list]) -> bytes:
+        rows = np.zeros(len(held["x"]), record)
+        for c, values in held.items():
+            rows[c] = np.rint(np.array(values, float) / scale) if c in "xyz" else [int(v or 0) for v in values]
+        return rows.tobytes()
+
     head = bytearray(227)
     head[:4], head[24], head[25] = b"LASF", 1, 2
     struct.pack_into("<H", head, 94, 227)
-    struct.pack_into("<IIBHI", head, 96, 227, 0, 2, 26, len(rows))
+    struct.pack_into("<IIBHI", head, 96, 227, 0, 2, record.itemsize, span["n"])
     struct.pack_into("<3d", head, 131, scale, scale, scale)
+    struct.pack_into("<6d", head, 179, *ends)
     with open(path, "wb") as f:
         f.write(head)
-        for r in rows:
-            f.write(struct.pack("<3iHBBbBHHHH", *(round(v / scale) for v in r[:3]), 0, 0, r[6] if cls else 0, 0, 0, 0, *(int(v or 0) for v in r[3:6])))
+        for body in _bodies(points, cols, packed):
+            f.write(body)
 
 
 def read_matrix(spark: SparkSession, path: str) -> list[list[list[float]]]:

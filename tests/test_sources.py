@@ -31,6 +31,25 @@ def test_las_round_trip(spark, tmp_path):
     assert files.scan_folder(spark, str(tmp_path), ".las").select("name").first()[0] == "s_8212.las"
 
 
+def test_writers_pack_all_ranges(spark, tmp_path):
+    """Many ranges of ids, null colours, an empty cloud, coordinates that don't fit."""
+    p = spark.range(5000).repartition(7).select("id", (F.col("id") / 8).alias("x"), (-F.col("id") / 4).alias("y"), F.lit(0.0).alias("z"), *[F.when(F.col("id") % 2 == 0, F.col("id")).cast("int").alias(c) for c in ("red", "green", "blue")])
+    files.write_las(p, str(tmp_path / "a.las"))
+    got = files.read_las(spark, str(tmp_path / "a.las")).orderBy("id").collect()
+    assert [(r.x, r.y, r.red) for r in got] == [(k / 8, -k / 4, k if k % 2 == 0 else 0) for k in range(5000)]
+    assert np.frombuffer((tmp_path / "a.las").read_bytes(), "<f8", 6, 179).tolist() == [4999 / 8, 0.0, 0.0, -4999 / 4, 0.0, 0.0]
+    shade = [(F.col("red") / 5000).alias(c) for c in "rgb"]
+    files.write_ply(p.select("id", "x", "y", "z", *shade), str(tmp_path / "p" / "a.ply"))
+    got = files.read_ply(spark, str(tmp_path / "p")).orderBy("id").collect()
+    assert [(r.x, r.y, r.r) for r in got] == [(k / 8, -k / 4, round(k / 5000 * 255) / 255 if k % 2 == 0 else 0.0) for k in range(5000)]
+    files.write_las(p.limit(0), str(tmp_path / "b.las"))
+    assert files.read_las(spark, str(tmp_path / "b.las")).count() == 0
+    with pytest.raises(ValueError):
+        files.write_las(p.withColumn("x", F.lit(1e9)), str(tmp_path / "c.las"))
+    with pytest.raises(ValueError):
+        files.write_las(p.withColumn("x", F.lit(None).cast("double")), str(tmp_path / "c.las"))
+
+
 def test_matrix_and_seed(spark, tmp_path):
     m = [[1.0, 0.0, 0.0, 0.5], [0.0, 1.0, 0.0, -2.0], [0.0, 0.0, 1.0, 1e-12], [0.0, 0.0, 0.0, 1.0]]
     files.write_matrix(str(tmp_path / "t.txt"), m, m)
