@@ -379,9 +379,33 @@ def curvature(spark, d):
     return rounded(geometry.curvature(near(spark, d)))
 
 
-@query()
+_DET = "(xx-l)*((yy-l)*(zz-l)-yz*yz)-xy*(xy*(zz-l)-yz*xz)+xz*(xy*yz-(yy-l)*xz)"
+_MINORS = "((xx-l)*(yy-l)-xy*xy+(xx-l)*(zz-l)-xz*xz+(yy-l)*(zz-l)-yz*yz)"
+
+
+def _cross(a: tuple[str, str, str], b: tuple[str, str, str]) -> list[str]:
+    return [f"({a[i]})*({b[j]})-({a[j]})*({b[i]})" for i, j in ((1, 2), (2, 0), (0, 1))]
+
+
+def _normals_sql(cov: str) -> str:
+    """Normals in closed form, from a chain of CTEs that ends as CURV does: the least
+    eigenvalue, polished by Newton steps on the characteristic polynomial, and the longest
+    product of two rows of the shifted matrix."""
+    rows = (("xx-l", "xy", "xz"), ("xy", "yy-l", "yz"), ("xz", "yz", "zz-l"))
+    out = f"{cov}, l0 AS (SELECT *, CASE WHEN p = 0 THEN q ELSE q+2*p*cos(phi+{2 * math.pi / 3!r}) END AS l FROM e4)"
+    for k in range(3):
+        out += f", l{k + 1} AS (SELECT * EXCLUDE (l), l+CASE WHEN {_MINORS} = 0 THEN 0 ELSE ({_DET})/{_MINORS} END AS l FROM l{k})"
+    for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+        out += f", w{k} AS (SELECT id, {', '.join(f'{v} AS {c}' for v, c in zip(_cross(rows[a], rows[b]), ('u', 'v', 'w'), strict=True))} FROM l3)"
+    out += ", ws AS (SELECT id, u, v, w, sqrt(u*u+v*v+w*w) AS m FROM (FROM w0 UNION ALL FROM w1 UNION ALL FROM w2))"
+    out += ", wn AS (SELECT id, max(m) AS m, arg_max(u, m) AS u, arg_max(v, m) AS v, arg_max(w, m) AS w FROM ws GROUP BY id)"
+    out += ", wd AS (SELECT id, m, m*sign(CASE WHEN abs(u) >= abs(v) AND abs(u) >= abs(w) THEN u WHEN abs(v) >= abs(w) THEN v ELSE w END) AS s, u, v, w FROM wn)"
+    return out + ", normal AS (SELECT id, CASE WHEN m = 0 THEN 1 ELSE u/s END AS nx, CASE WHEN m = 0 THEN 0 ELSE v/s END AS ny, CASE WHEN m = 0 THEN 0 ELSE w/s END AS nz FROM wd)"
+
+
+@query(f"WITH {_normals_sql(CURV)} SELECT id, {_r('nx ny nz', 4)} FROM normal")
 def normals(spark, d):
-    return rounded(geometry.normals(near(spark, d)))
+    return rounded(geometry.normals(near(spark, d)), 4)
 
 
 @query(f"WITH {NN} SELECT round(least(min(d)*2.0, max(d)*0.5), 6) AS radius FROM nn")
