@@ -53,8 +53,10 @@ def topk_extremes(scores: DataFrame, n: int, by: str = "score") -> DataFrame:
 
 def weighted_sample(scores: DataFrame, n: int, by: str = "score", seed: int = 0) -> DataFrame:
     """n rows without replacement with probability by weight (exponential keys); rows of
-    weight 0, null or 1 (clamped) are never drawn. The draw depends on id and seed only."""
-    u = (F.xxhash64("id", F.lit(seed)).bitwiseAND(F.lit(2**53 - 1)) + 1).cast("double") / F.lit(2.0**53 + 2)
+    weight 0, null or 1 (clamped) are never drawn. The draw depends on id and seed only: 52
+    bits of an MD5 digest, which any engine can repeat."""
+    digest = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 1).cast("double") / F.lit(2.0**52 + 2)
     return scores.where((F.col(by) > 0) & (F.col(by) != 1)).orderBy(-F.log(u) / F.col(by), "id").limit(n)
 
 

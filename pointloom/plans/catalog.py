@@ -299,10 +299,17 @@ def feature_band(spark, d):
     return sampling.feature_band(stored(scores(spark, d))).select("id", "feature")
 
 
-@query()
+#: Products after which the SQL's eigenvalue stands.
+PRODUCTS = 1500
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {SUMS}, ad AS MATERIALIZED (SELECT src, dst, w FROM adj),
+it AS (SELECT 0 AS k, id, 1.0::DOUBLE AS v FROM pts UNION ALL SELECT k+1, src, sum(w*v)/{K * math.exp(-1)!r}::DOUBLE FROM it JOIN ad ON dst = it.id WHERE k < {PRODUCTS} GROUP BY k, src),
+lam AS (SELECT {K * math.exp(-1)!r}::DOUBLE*sqrt((SELECT sum(v*v) FROM it WHERE k = {PRODUCTS})/(SELECT sum(v*v) FROM it WHERE k = {PRODUCTS - 1})) AS l)
+SELECT pts.id, {', '.join(f'round(pts.{c}+coalesce(w{c}, 0)/l, 4) + 0.0::DOUBLE AS {c}' for c in 'xyz')} FROM pts LEFT JOIN s ON src = pts.id, lam""")
 def haar_low_pass(spark, d):
     p = pts(spark, d)
-    return rounded(graph.haar_low_pass(p, graph.adjacency(p, R, K)))
+    return rounded(graph.haar_low_pass(p, graph.adjacency(p, R, K), 1e-11), 4)
 
 
 @query(f"WITH {PTS}, bt AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 200 AS batch FROM pts), nbr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rn FROM (SELECT a.id AS src, b.id AS dst, {D2} AS d2, a.x AS sx, a.y AS sy, a.z AS sz, b.x AS tx, b.y AS ty, b.z AS tz FROM bt a JOIN bt b USING (batch)) WHERE d2 < 0.0225::DOUBLE) WHERE rn <= {K}), {NORM.split(NBR + ', ', 1)[1]} SELECT id, round(score, 6) AS score, round(norm, 6) AS norm, round(g, 6) AS g FROM cl")
@@ -474,13 +481,18 @@ def topk_extremes(spark, d):
     return sampling.topk_extremes(scores(spark, d), 30).select("id")
 
 
-@query()
+@query(f"WITH {NORM} SELECT id FROM (SELECT id, g, (('0x' || substr(md5(id::VARCHAR || ':7'), 1, 13))::BIGINT+1)::DOUBLE/{2.0**52 + 2!r}::DOUBLE AS u FROM cl WHERE g > 0 AND g <> 1) ORDER BY -ln(u)/g, id LIMIT 50")
 def weighted_sample(spark, d):
     return sampling.weighted_sample(clamped(spark, d), 50, "g", seed=7).select("id")
 
 
-def _voxels(table: str, size: float, name: str = "v") -> str:
-    return f"{name} AS (SELECT floor((x-o.x0)/{size!r}::DOUBLE)::BIGINT AS cx, floor((y-o.y0)/{size!r}::DOUBLE)::BIGINT AS cy, floor((z-o.z0)/{size!r}::DOUBLE)::BIGINT AS cz, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {table}, (SELECT min(x)-{size / 2!r}::DOUBLE AS x0, min(y)-{size / 2!r}::DOUBLE AS y0, min(z)-{size / 2!r}::DOUBLE AS z0 FROM {table}) o GROUP BY 1, 2, 3)"
+def _voxels(table: str, size: float | str, name: str = "v") -> str:
+    """Voxel means; a size that SQL has to find is an expression."""
+    one = f"({size})" if isinstance(size, str) else f"{size!r}::DOUBLE"
+    half = f"{size}/2" if isinstance(size, str) else f"{size / 2!r}::DOUBLE"
+    cells = ", ".join(f"floor(({c}-o.{c}0)/{one})::BIGINT AS c{c}" for c in "xyz")
+    origin = ", ".join(f"min({c})-{half} AS {c}0" for c in "xyz")
+    return f"{name} AS (SELECT {cells}, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {table}, (SELECT {origin} FROM {table}) o GROUP BY 1, 2, 3)"
 
 
 @query(f"WITH {LPTS}, {_voxels('lpts', 0.05)} SELECT cx, cy, cz, n, {_r('x y z', 9)} FROM v")
@@ -569,32 +581,67 @@ def smooth_strong(spark, d):
     return rounded(smoothing.smooth(p, graph.adjacency(p, R, K), _mask(spark, d), 0.2, 4.0, 1.0))
 
 
-@query()
+#: Steps after which the SQL's squared smoothing stands.
+STEPS = 600
+
+
+def _squared_sql(gamma: float, band: str = "") -> str:
+    """The system's matrix as a table, solved by Richardson steps of the length that the
+    largest absolute row sum allows."""
+    weight = f"{1 - gamma!r}::DOUBLE*" + ("CASE WHEN feature THEN 2 ELSE 1 END" if band else "1")
+    return f"""WITH RECURSIVE {band or EDGES}, base AS (SELECT pts.*, {weight} AS m FROM pts {'LEFT JOIN band USING (id)' if band else ''}),
+lap AS MATERIALIZED (SELECT src, dst, sum(l) AS l FROM (SELECT src, dst, -w AS l FROM adj UNION ALL SELECT src, src, sum(w) FROM adj GROUP BY src) GROUP BY src, dst),
+sq AS (SELECT a.dst AS i, b.dst AS j, {gamma!r}::DOUBLE*sum(a.l*b.l) AS v FROM lap a JOIN lap b USING (src) GROUP BY 1, 2 UNION ALL SELECT id, id, m FROM base),
+mat AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM sq GROUP BY i, j), om AS MATERIALIZED (SELECT 2/(max(r)+{1 - gamma!r}::DOUBLE) AS o FROM (SELECT sum(abs(v)) AS r FROM mat GROUP BY i)),
+st AS MATERIALIZED (SELECT i, j, CASE WHEN i = j THEN 1 ELSE 0 END-o*v AS v, o*m*x AS cx, o*m*y AS cy, o*m*z AS cz FROM mat JOIN base ON base.id = i, om),
+it AS (SELECT 0 AS k, id, x, y, z FROM pts UNION ALL SELECT k+1, i, any_value(cx)+sum(v*x), any_value(cy)+sum(v*y), any_value(cz)+sum(v*z) FROM it JOIN st ON j = it.id WHERE k < {STEPS} GROUP BY k, i)
+SELECT id, {_r('x y z', 4)} FROM it WHERE k = {STEPS}"""
+
+
+@query(_squared_sql(0.06))
 def smooth_plain(spark, d):
     p = pts(spark, d)
-    return rounded(smoothing.smooth_squared(p, graph.adjacency(p, R, K), None, 0.06))
+    return rounded(smoothing.smooth_squared(p, graph.adjacency(p, R, K), None, 0.06, 1e-11), 4)
 
 
-@query()
+@query(_squared_sql(0.05, _band(0, 0.3)))
 def smooth_feature(spark, d):
     p = pts(spark, d)
     mask = sampling.feature_band(stored(scores(spark, d)), 0.0, 0.3)
-    return rounded(smoothing.smooth_squared(p, graph.adjacency(p, R, K), mask))
+    return rounded(smoothing.smooth_squared(p, graph.adjacency(p, R, K), mask, tolerance=1e-11), 4)
 
 
-@query(f"WITH {_smooth_sql(SWEEPS)}, ft AS (SELECT * FROM pts WHERE id IN (SELECT id FROM band WHERE feature)), {_voxels('ft', VOXEL * 0.5, 'vf')}, {_voxels(f'x{SWEEPS}', VOXEL, 'vs')} SELECT 'feature' AS part, cx, cy, cz, n, {_r('x y z')} FROM vf UNION ALL SELECT 'smooth', cx, cy, cz, n, {_r('x y z')} FROM vs")
+def _simplify_sql(size: float | str, what: str = "cx, cy, cz, n, ", before: str = "") -> str:
+    half = f"({size})*0.5" if isinstance(size, str) else size * 0.5
+    kept = "ft AS (SELECT * FROM pts WHERE id IN (SELECT id FROM band WHERE feature))"
+    ends = " UNION ALL ".join(f"SELECT '{part}' AS part, {what}{_r('x y z')} FROM {v}" for part, v in (("feature", "vf"), ("smooth", "vs")))
+    return f"WITH {_smooth_sql(SWEEPS)}{before}, {kept}, {_voxels('ft', half, 'vf')}, {_voxels(f'x{SWEEPS}', size, 'vs')} {ends}"
+
+
+def _part(sql: str, where: str) -> str:
+    """The same over a part of the cloud."""
+    return sql.replace(PTS, f"every{PTS[3:]}, pts AS (SELECT * FROM every WHERE {where})")
+
+
+@query(_simplify_sql(VOXEL))
 def simplify(spark, d):
     return rounded(compose.simplify_cloud(pts(spark, d), R, K, VOXEL).select("part", "cx", "cy", "cz", "n", "x", "y", "z"))
 
 
-@query()
+_CLASS_SIZE = f"(WITH {PTS}, ca AS (SELECT * FROM pts WHERE cls IN (0, 1, 2) AND cloud = 0), cb AS (SELECT * FROM pts WHERE cls IN (0, 1, 2) AND cloud = 1), {_own('ca', 'na')}, {_own('cb', 'nb')} SELECT greatest(greatest((SELECT quantile_cont(d, 0.5) FROM na), (SELECT quantile_cont(d, 0.5) FROM nb))*0.6, 0.04))"
+
+
+@query(" UNION ALL ".join(f"SELECT *, {n}::INT AS cloud FROM ({_part(_simplify_sql('(SELECT size FROM vsize)'), f'cls IN (0, 1, 2) AND cloud = {n}').replace('WITH ', f'WITH vsize AS MATERIALIZED (SELECT {_CLASS_SIZE} AS size), ', 1)})" for n in (0, 1)))
 def simplify_class(spark, d):
     a, b = pair(spark, d)
     one, two = compose.simplify_class(a, b, [0, 1, 2], R, K)
     return rounded(one.withColumn("cloud", F.lit(0)).unionByName(two.withColumn("cloud", F.lit(1))))
 
 
-@query()
+_PARTS = {"first": "(0, 1, 2)", "second": "(9, 10, 11)"}
+
+
+@query(" UNION ALL ".join([f"SELECT '{n}' AS part, x, y, z FROM ({_part(_simplify_sql(VOXEL), f'cls IN {codes}')})" for n, codes in _PARTS.items()] + [f"SELECT 'rest', {_r('x y z')} FROM (WITH {PTS}, rest AS (SELECT * FROM pts WHERE coalesce(cls NOT IN (0, 1, 2, 9, 10, 11), true)), {_voxels('rest', VOXEL)} SELECT * FROM v)"]))
 def class_merge(spark, d):
     return rounded(compose.class_merge(pts(spark, d), [0, 1, 2], [9, 10, 11], R, K, VOXEL))
 
