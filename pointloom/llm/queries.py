@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, fingerprint, html, media, neardup, packing, quality, substrings, urls, warc
+from . import bpe, common, fingerprint, html, media, neardup, packing, quality, substrings, tokens, urls, warc
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -66,7 +66,11 @@ def op8_blockwise_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_interleaved_media, op2_cost_balanced_packing, op3_imatch_lexicon_subsets, op4_pair_index_bpe, op5_warc_segment_reassembly, op6_blocked_bloom_urls, op7_two_pass_blocks, op8_blockwise_repeats, op9_latent_neighbour_vote, op10_icws_near_duplicates)
+def op12_patched_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = (op1_interleaved_media, op2_cost_balanced_packing, op3_imatch_lexicon_subsets, op4_pair_index_bpe, op5_warc_segment_reassembly, op6_blocked_bloom_urls, op7_two_pass_blocks, op8_blockwise_repeats, op9_latent_neighbour_vote, op10_icws_near_duplicates, op12_patched_token_files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
