@@ -1,25 +1,24 @@
 """PLY and LAS files, matrices and seeds as text, directory scans.
 
-Readers go through Spark's ``binaryFile`` and ``text`` sources, so any path that Spark reads
-works and files are parsed in parallel, each as one stream of record batches.
+Clouds are read through the data sources of :mod:`formats`, which split files. Where only
+Spark can open a path, its ``binaryFile`` source reads each file as one row.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import struct
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import formats
+
 #: Rows of a record batch.
 ROWS = 100_000
-# PLY scalar types and their numpy forms.
-PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
 
 def scan_folder(spark: SparkSession, path: str, suffix: str) -> DataFrame:
@@ -28,34 +27,17 @@ def scan_folder(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return files.select("path", F.substring_index("path", "/", -1).alias("name"), "length")
 
 
+def _columns(layout: formats.Layout, data: bytes) -> dict[str, np.ndarray]:
+    names = list(layout.fields)
+    if layout.length:
+        return formats.decoded(layout, data[layout.start : layout.start + layout.count * layout.length], names)
+    return formats.parsed(layout, data[layout.start :].split(b"\n")[: layout.count], names)
+
+
 def ply_vertices(data: bytes) -> dict[str, np.ndarray]:
     """The vertex columns of an ASCII or binary PLY file."""
-    head, end = {}, data.index(b"end_header")
-    lines = data[:end].decode("ascii", "replace").splitlines()
-    form, count, fields, current, skip = "ascii", 0, [], None, False
-    for line in lines[1:]:
-        w = line.split()
-        if not w or w[0] in ("comment", "obj_info"):
-            continue
-        if w[0] == "format":
-            form = w[1]
-        elif w[0] == "element":
-            current = w[1]
-            if current == "vertex":
-                count = int(w[2])
-            elif not fields and not skip:
-                skip = True  # an element before the vertices
-        elif w[0] == "property" and current == "vertex":
-            fields.append((w[2], PLY_TYPES[w[1]]))
-    if skip:
-        raise ValueError("vertices must come first")
-    body = data[data.index(b"\n", end) + 1 :]
-    if form == "ascii":
-        table = np.array([r.split()[: len(fields)] for r in body.decode("ascii").splitlines()[:count]], dtype=float).reshape(count, len(fields))
-        return {n: table[:, k] for k, (n, _) in enumerate(fields)} | head
-    order = "<" if form == "binary_little_endian" else ">"
-    rows = np.frombuffer(body, np.dtype([(n, order + t) for n, t in fields]), count)
-    return {n: rows[n].astype(float) for n, _ in fields}
+    layout = formats.ply_layout(lambda n, at: data[at : at + n], len(data))
+    return {c: v.astype(float) for c, v in _columns(layout, data).items()}
 
 
 def _batches(columns: dict[str, np.ndarray], path: str) -> Iterator[pa.RecordBatch]:
@@ -66,53 +48,47 @@ def _batches(columns: dict[str, np.ndarray], path: str) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_pydict({"file": pa.array([path] * size), **{k: pa.array(v) for k, v in part.items()}})
 
 
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """(file, id, x, y, z, r, g, b, nx, ny, nz): ids follow the file order; 8-bit colours are
-    scaled to [0, 1]; absent properties are null."""
+def _opens(path: str) -> bool:
+    """Whether tasks can open the path themselves."""
+    try:
+        formats.located(path)
+    except (ValueError, OSError, pa.ArrowException):
+        return False
+    return True
+
+
+PLY_COLUMNS = ("x", "y", "z", "r", "g", "b", "nx", "ny", "nz")
+
+
+def read_ply(spark: SparkSession, path: str, run_bytes: int = formats.RUN_BYTES) -> DataFrame:
+    """(file, id, x, y, z, r, g, b, nx, ny, nz): ids follow the file order; 8- and 16-bit
+    colours are scaled to [0, 1]; absent properties are null. ``path`` is a file, a folder or
+    a pattern. Files are read in runs of ``run_bytes``; of text files a first pass counts the
+    lines of each run."""
+    if _opens(path):
+        formats.register(spark)
+        bases = formats.line_bases(spark, path, run_bytes)
+        return spark.read.format("ply").option("runbytes", run_bytes).option("bases", json.dumps(bases)).load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 v = ply_vertices(data)
                 n = len(v["x"])
-                color = {s: v[w] / 255 if w in v else np.full(n, np.nan) for s, w in (("r", "red"), ("g", "green"), ("b", "blue"))}
-                held = {"id": np.arange(n), **{c: v[c] for c in "xyz"}, **color, **{c: v.get(c, np.full(n, np.nan)) for c in ("nx", "ny", "nz")}}
+                held = {"id": np.arange(n), **{c: v.get(c, np.full(n, np.nan)) for c in PLY_COLUMNS}}
                 yield from _batches(held, name)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    out = files.mapInArrow(run, "file string, id long, " + ", ".join(f"{c} double" for c in ("x", "y", "z", "r", "g", "b", "nx", "ny", "nz")))
-    return out.select("file", "id", "x", "y", "z", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("r", "g", "b", "nx", "ny", "nz")])
-
-
-def _bodies(points: DataFrame, cols: list[str], packed: Callable[[dict[str, list]], bytes]) -> Iterator[bytes]:
-    """The rows in order of id as blocks of bytes: tasks pack them, the driver holds the
-    blocks of one range of ids at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"body": pa.array([packed(batch.to_pydict())], pa.binary())})
-
-    yield from (bytes(r.body) for r in points.orderBy("id").select(*cols).mapInArrow(run, "body binary").toLocalIterator())
+    out = files.mapInArrow(run, "file string, id long, " + ", ".join(f"{c} double" for c in PLY_COLUMNS))
+    return out.select("file", "id", "x", "y", "z", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in PLY_COLUMNS[3:]])
 
 
 def write_ply(points: DataFrame, path: str) -> None:
-    """One ASCII PLY file on the driver's side, rows in order of id; the lines are made in
-    tasks (colours are written where the cloud has them, null ones as 0)."""
+    """One ASCII PLY file, rows in order of id (colours are written where the cloud has them,
+    null ones as 0). Tasks write and merge the lines; the path must lie in a mounted file
+    system. ``df.write.format("ply")`` writes a folder anywhere."""
     colored = {"r", "g", "b"} <= set(points.columns)
-    cols = [*"xyz", *("rgb" if colored else "")]
-
-    def packed(held: dict[str, list]) -> bytes:
-        places = [[repr(float(v)) for v in held[c]] for c in "xyz"]
-        shades = [[str(round(max(0.0, min(1.0, v or 0.0)) * 255)) for v in held[c]] for c in cols[3:]]
-        return "".join(" ".join(row) + "\n" for row in zip(*places, *shades, strict=True)).encode("ascii")
-
-    out = Path(path)
-    out.parent.mkdir(parents=True, exist_ok=True)
-    head = ["ply", "format ascii 1.0", f"element vertex {points.count()}", *(f"property double {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue") if colored), "end_header"]
-    with out.open("wb") as f:
-        f.write("\n".join([*head, ""]).encode("ascii"))
-        for body in _bodies(points, cols, packed):
-            f.write(body)
+    formats.saved(points.select("id", *"xyz", *("rgb" if colored else "")), path, "ply", form="ascii")
 
 
 def write_ply_pair(a: DataFrame, b: DataFrame, folder: str, names: tuple[str, str]) -> None:
@@ -120,48 +96,22 @@ def write_ply_pair(a: DataFrame, b: DataFrame, folder: str, names: tuple[str, st
     write_ply(b, f"{folder}/{names[1]}")
 
 
-# Byte offsets of red in the LAS point formats that have colours, base sizes.
-LAS_RED = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
-LAS_SIZE = {0: 20, 1: 28, 2: 26, 3: 34, 4: 57, 5: 63, 6: 30, 7: 36, 8: 38, 9: 59, 10: 67}
-# Numpy forms of the LAS extra-bytes data types 1 to 10.
-LAS_EXTRA = ("u1", "i1", "u2", "i2", "u4", "i4", "u8", "i8", "f4", "f8")
-
-
 def las_columns(data: bytes, extra: tuple[str, ...] = (), keep_offset: bool = False) -> dict[str, np.ndarray]:
     """x, y, z, classification, red, green, blue and the named extra dimensions of LAS 1.2 to
     1.4. Offsets are dropped unless asked for, so coordinates are local."""
-    if data[:4] != b"LASF":
-        raise ValueError("not a LAS file")
-    minor, header = data[25], struct.unpack_from("<H", data, 94)[0]
-    start, records, form, length, count = struct.unpack_from("<IIBHI", data, 96)
-    form &= 0x3F
-    if minor >= 4 and struct.unpack_from("<Q", data, 247)[0]:
-        count = struct.unpack_from("<Q", data, 247)[0]
-    scale, offset = struct.unpack_from("<3d", data, 131), struct.unpack_from("<3d", data, 155)
-    fields: dict[str, tuple[str, int]] = {c: ("<i4", 4 * k) for k, c in enumerate("xyz")}
-    fields["classification"] = ("u1", 16 if form >= 6 else 15)
-    if form in LAS_RED:
-        fields |= {c: ("<u2", LAS_RED[form] + 2 * k) for k, c in enumerate(("red", "green", "blue"))}
-    at, place = header, LAS_SIZE[form]
-    for _ in range(records):
-        user, number, size = data[at + 2 : at + 18].rstrip(b"\0"), *struct.unpack_from("<HH", data, at + 18)
-        if user == b"LASF_Spec" and number == 4:
-            for k in range(at + 54, at + 54 + size, 192):
-                kind, name = data[k + 2], data[k + 4 : k + 36].rstrip(b"\0").decode("ascii", "replace")
-                width = np.dtype(LAS_EXTRA[kind - 1]).itemsize if kind else data[k + 3]
-                if name in extra and kind:
-                    fields[name] = ("<" + LAS_EXTRA[kind - 1], place)
-                place += width
-        at += 54 + size
-    kind = np.dtype({"names": list(fields), "formats": [f for f, _ in fields.values()], "offsets": [o for _, o in fields.values()], "itemsize": length})
-    rows = np.frombuffer(data, kind, count, start)
-    out = {c: rows[c] * scale[k] + (offset[k] if keep_offset else 0.0) for k, c in enumerate("xyz")}
-    return out | {c: rows[c] for c in fields if c not in "xyz"}
-
-
-def read_las(spark: SparkSession, path: str, extra: tuple[str, ...] = (), keep_offset: bool = False) -> DataFrame:
+    layout = formats.las_layout(lambda n, at: data[at : at + n], len(data), keep_offset)
+    wanted = ("x", "y", "z", "classification", "red", "green", "blue", *extra)
+    return {c: v for c, v in _columns(layout, data).items() if c in wanted}
+
+
+def read_las(spark: SparkSession, path: str, extra: tuple[str, ...] = (), keep_offset: bool = False, run_bytes: int = formats.RUN_BYTES) -> DataFrame:
     """(file, id, x, y, z, classification, red, green, blue, extra ...): ids follow the file
-    order; files without colours have null ones."""
+    order; files without colours, and extra dimensions that a file hasn't, have nulls. Files
+    are read in runs of ``run_bytes``."""
+    schema = "file string, id long, x double, y double, z double, classification int, red int, green int, blue int" + "".join(f", `{c}` double" for c in extra)
+    if _opens(path):
+        formats.register(spark)
+        return spark.read.format("las").schema(schema).option("runbytes", run_bytes).option("keepoffset", str(keep_offset).lower()).load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,41 +124,24 @@ def read_las(spark: SparkSession, path: str, extra: tuple[str, ...] = (), keep_o
                 held |= {c: v[c].astype(float) if c in v else np.full(n, np.nan) for c in extra}
                 yield from _batches(held, name)
 
-    schema = "file string, id long, x double, y double, z double, classification int, red int, green int, blue int" + "".join(f", `{c}` double" for c in extra)
     out = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
     return out.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in ("red", "green", "blue")})
 
 
-def write_las(points: DataFrame, path: str, scale: float = 0.001) -> None:
-    """LAS 1.2, point format 2, on the driver's side; x, y, z and 16-bit red, green, blue
-    (null: 0), optional classification; rows in order of id, packed in tasks. Clouds beyond
-    the format's 32-bit count or 32-bit coordinates, and null coordinates, are errors."""
-    cls = "classification" in points.columns
-    cols = [*"xyz", "red", "green", "blue", *(["classification"] if cls else [])]
+def write_las(points: DataFrame, path: str, scale: float = 0.001, extra: tuple[str, ...] = ()) -> None:
+    """One LAS 1.2 file, point format 2: x, y, z and 16-bit red, green, blue (null: 0),
+    optional classification, named extra dimensions as doubles; rows in order of id. Clouds
+    beyond the format's 32-bit count or 32-bit coordinates, and null coordinates, are errors.
+    Tasks write and merge the records; the path must lie in a mounted file system.
+    ``df.write.format("las")`` writes a folder anywhere."""
+    cols = ["id", *"xyz", "red", "green", "blue", *(["classification"] if "classification" in points.columns else []), *extra]
     span = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in "xyz" for f in (F.count, F.min, F.max)]).first()
     ends = [span[f"{f}_{c}"] or 0.0 for c in "xyz" for f in ("max", "min")]
     if any(span[f"count_{c}"] < span["n"] for c in "xyz"):
         raise ValueError("null coordinates")
     if span["n"] >= 2**32 or not all(abs(v) / scale < 2**31 - 1 for v in ends):
         raise ValueError("too many points or too far out for this scale")
-    record = np.dtype([*((c, "<i4") for c in "xyz"), ("intensity", "<u2"), ("flags", "u1"), ("classification", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2"), *((c, "<u2") for c in ("red", "green", "blue"))])
-
-    def packed(held: dict[str, list]) -> bytes:
-        rows = np.zeros(len(held["x"]), record)
-        for c, values in held.items():
-            rows[c] = np.rint(np.array(values, float) / scale) if c in "xyz" else [int(v or 0) for v in values]
-        return rows.tobytes()
-
-    head = bytearray(227)
-    head[:4], head[24], head[25] = b"LASF", 1, 2
-    struct.pack_into("<H", head, 94, 227)
-    struct.pack_into("<IIBHI", head, 96, 227, 0, 2, record.itemsize, span["n"])
-    struct.pack_into("<3d", head, 131, scale, scale, scale)
-    struct.pack_into("<6d", head, 179, *ends)
-    with open(path, "wb") as f:
-        f.write(head)
-        for body in _bodies(points, cols, packed):
-            f.write(body)
+    formats.saved(points.select(*[F.col(f"`{c}`") for c in cols]), path, "las", scale=str(scale))
 
 
 def read_matrix(spark: SparkSession, path: str) -> list[list[list[float]]]:
