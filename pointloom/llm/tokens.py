@@ -230,7 +230,7 @@ class Reader:
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIGNS = r"!\"#$%&()*+,\-./:;=?@\[\]^_`{}~"
 #: Distinct words that a worker remembers at most.
-WORDS = 1_000_000
+WORDS = 400_000
 
 
 class WordEncoder:
@@ -340,7 +340,7 @@ def text_encoder(spec: str, end_id: int):
 
 _MANIFEST = "part int, file string, documents long, ids long, bytes long"
 #: Bytes of text that are encoded at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 
 
 def _in_bytes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
