@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import stored
 from . import geometry, neighbors
+from .blocked import Graph, Outbox, summed
 
 
 def edges(points: DataFrame, radius: float, k: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -98,7 +101,6 @@ def largest_eigenvalue(points: DataFrame, adj: DataFrame, tolerance: float = 1e-
     ones: every write holds PER_WRITE products, each a join and an aggregate, and the driver
     gets one norm. Ends when the estimate changes by less than ``tolerance`` of itself; it is
     an error to reach ``steps``. 0 without edges."""
-    from ..functions.lineage import stored
     from .smoothing import PER_WRITE
 
     held = stored(adj.select("src", "dst", "w"), "adjacency")
@@ -126,22 +128,129 @@ def haar_low_pass(points: DataFrame, adj: DataFrame, tolerance: float = 1e-9) ->
     return p.select("id", *[(F.col(c) + scale * F.coalesce(F.col(f"w{c}"), F.lit(0.0))).alias(c) for c in "xyz"])
 
 
-def fourier(points: DataFrame, adj: DataFrame, count: int = 100, most: int = 4096) -> DataFrame:
-    """(n, eigenvalue, x, y, z): graph Fourier coefficients of the coordinates for the
-    ``count`` largest Laplacian eigenvalues. A dense problem: at most ``most`` points."""
-    import numpy as np
-
-    ids = [r.id for r in points.select("id").orderBy("id").limit(most + 1).toLocalIterator()]
-    if len(ids) > most:
-        raise ValueError(f"the dense transform takes at most {most} points")
-    at = {i: n for n, i in enumerate(ids)}
-    w = np.zeros((len(ids), len(ids)))
-    for r in adj.select("src", "dst", "w").toLocalIterator():
-        w[at[r.src], at[r.dst]] = r.w
-    lap = np.diag(w.sum(axis=1)) - w
-    values, vectors = np.linalg.eigh((lap + lap.T) / 2)
-    pick = np.argsort(-np.abs(values), kind="stable")[:count]
-    xyz = np.array([[r.x, r.y, r.z] for r in points.select("id", "x", "y", "z").orderBy("id").toLocalIterator()]).reshape(-1, 3)
-    coef = vectors[:, pick].T @ xyz
-    rows = [(n, float(values[p]), *map(float, c)) for n, (p, c) in enumerate(zip(pick, coef, strict=True))]
-    return points.sparkSession.createDataFrame(rows, "n int, eigenvalue double, x double, y double, z double")
+#: The degree of a filter at most, what a filter may spread the columns apart at most, and
+#: columns beside those asked for.
+DEGREE, SPREAD, SPARE = 16, 1e6, 12
+
+
+def fourier(points: DataFrame, adj: DataFrame, count: int = 100, tolerance: float = 1e-7, rounds: int = 200, size: int | None = None) -> DataFrame:
+    """(n, eigenvalue, x, y, z, residual): graph Fourier coefficients of the coordinates for
+    the ``count`` eigenvalues of largest magnitude of the Laplacian D - W, made symmetric by
+    the mean with its transpose (all, if there are fewer points).
+
+    Subspace iteration: ``count`` + SPARE columns, filtered by Chebyshev polynomials that damp
+    what lies below the smallest of them, and turned to the best eigenvectors in between
+    (Rayleigh-Ritz). Products exchange border values of blocks of the cloud (see
+    :mod:`blocked`); the driver gets sums of products of the columns, (2 (count + SPARE) + 3)^2
+    numbers. Ends when the residuals ||S v - lambda v|| of all asked for are at most
+    ``tolerance`` of the largest eigenvalue; ``rounds`` guards against an endless run and is
+    an error. A coefficient's sign is that of an arbitrary direction; eigenvalues that lie
+    together share a space, and so do their coefficients.
+
+    Ids are unique; null coordinates count as 0; an empty cloud has no rows."""
+    spark, schema = points.sparkSession, "n int, eigenvalue double, x double, y double, z double, residual double"
+    off = adj.where("src <> dst").select("src", "dst", "w")
+    both = off.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d")).join(off.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("e")), "id", "full")
+    # rows' discs: no eigenvalue lies below (what leaves a point - what enters it) / 2
+    floor = min(0.0, (both.agg(F.min((F.coalesce("d", F.lit(0.0)) - F.coalesce("e", F.lit(0.0))) / 2)).first()[0] or 0.0))
+    held = points.select("id", *"xyz").join(both.select("id", F.coalesce("d", F.lit(0.0)).alias("d")), "id", "left").fillna(0.0, ["d"])
+    held = held.withColumns({f"s{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in "xyz"})
+    graph = Graph(held, off, ("d", "sx", "sy", "sz"), size)
+    try:
+        m, whole = min(graph.count, count + SPARE), graph.whole
+        if not m:
+            return spark.createDataFrame([], schema)
+
+        def noise(ids: np.ndarray, k: int, seed: int) -> np.ndarray:
+            """Numbers from -1 to 1 that depend on the id, the column and the seed."""
+            with np.errstate(over="ignore"):
+                z = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(k, dtype=np.uint64) + np.uint64(seed * k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                    z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+            return z.astype(float) / 2.0**63 - 1
+
+        def mid(block, v: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """A block's share of S v at its own points and at its border's."""
+            mine, theirs = block.transposed(v)
+            return block.data["d"][:, None] * v - (block.times(v, border) + mine) / 2, -theirs / 2
+
+        def first(block) -> Outbox:
+            v = noise(block.data["id"], m, 0)
+            return Outbox(np.concatenate([v, np.stack([block.data[f"s{c}"] for c in "xyz"], axis=1)], axis=1), v)
+
+        def product(rows: DataFrame) -> DataFrame:
+            """[V, X] to [V, X, S V]."""
+
+            def out(block, box) -> Outbox:
+                own, theirs = mid(block, box.own[:, :m], box.border)
+                return Outbox(np.concatenate([box.own, own], axis=1), scatter=theirs)
+
+            def back(block, box) -> Outbox:
+                return Outbox(np.concatenate([box.own[:, : m + 3], box.own[:, m + 3 :] + box.given], axis=1))
+
+            made = graph.step(rows, out, m + 3, m)
+            return made if whole else graph.step(made, back, 2 * m + 3, 0, m)
+
+        def filtered_by(rows: DataFrame, turn: np.ndarray, low: float, high: float, degree: int, seed: int) -> DataFrame:
+            """[V, X, S V] to [p(S) V turn, X]: the scaled Chebyshev polynomial of a degree that
+            stays within 1 from ``low`` to ``high``."""
+            centre, half = (low + high) / 2, (high - low) / 2
+
+            def begin(block, box) -> Outbox:
+                v = box.own[:, :m] @ turn
+                if v.shape[1] < m:
+                    v = np.concatenate([v, noise(block.data["id"], m - v.shape[1], seed)], axis=1)
+                state = np.concatenate([v, box.own[:, m : m + 3], np.zeros_like(v)], axis=1)
+                return alone(block, state) if whole else Outbox(state, v)
+
+            def alone(block, state: np.ndarray) -> Outbox:
+                v, before = state[:, :m], state[:, m + 3 :]
+                for k in range(degree):
+                    sv, _ = mid(block, v, np.zeros((0, m)))
+                    v, before = next_of(v, before, sv, k), v
+                return Outbox(np.concatenate([v, state[:, m : m + 3]], axis=1), v)
+
+            def next_of(v: np.ndarray, before: np.ndarray, sv: np.ndarray, k: int) -> np.ndarray:
+                new = (sv - centre * v) / half
+                return 2 * new - before if k else new
+
+            rows = graph.step(rows, begin, 2 * m + 3, 0)
+            for k in range(0 if whole else degree):
+
+                def out(block, box) -> Outbox:
+                    own, theirs = mid(block, box.own[:, :m], box.border)
+                    return Outbox(np.concatenate([box.own, own], axis=1), scatter=theirs)
+
+                def back(block, box, k=k) -> Outbox:
+                    v, x, before = box.own[:, :m], box.own[:, m : m + 3], box.own[:, m + 3 : 2 * m + 3]
+                    new = next_of(v, before, box.own[:, 2 * m + 3 :] + box.given, k)
+                    return Outbox(np.concatenate([new, x, v] if k + 1 < degree else [new, x], axis=1), new)
+
+                rows = graph.step(graph.step(rows, out, 2 * m + 3, m), back, 3 * m + 3, 0, m)
+            return rows
+
+        rows, asked = stored(product(graph.start(first)), "basis"), min(count, m)
+        for k in range(rounds):
+            g = summed(rows, 2 * m + 3, lambda s: s.T @ s).reshape(2 * m + 3, -1)
+            vv, vs, ss, vx = g[:m, :m], g[:m, m + 3 :], g[m + 3 :, m + 3 :], g[:m, m : m + 3]
+            scale = 1 / np.sqrt(np.maximum(np.diag(vv), 1e-300))
+            size_, axes = np.linalg.eigh(vv * np.outer(scale, scale))
+            good = size_ > 1e-11 * size_[-1]
+            base = scale[:, None] * axes[:, good] / np.sqrt(size_[good])
+            values, inner = np.linalg.eigh(base.T @ ((vs + vs.T) / 2) @ base)
+            order = np.argsort(-np.abs(values), kind="stable")
+            values, turn = values[order], base @ inner[:, order]
+            left = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", turn, ss, turn) - 2 * values * np.einsum("ij,ik,kj->j", turn, (vs + vs.T) / 2, turn) + values**2 * np.einsum("ij,ik,kj->j", turn, vv, turn), 0))
+            top = max(float(np.abs(values[0])), 1e-300)
+            if len(values) >= asked and (m == graph.count or left[:asked].max() <= tolerance * top):
+                coef = turn.T @ vx
+                out = [(n, float(values[n]), *map(float, coef[n]), float(left[n])) for n in range(asked)]
+                return spark.createDataFrame(out, schema)
+            high = float(np.abs(values[-1]))
+            low = floor if -floor < high else -high  # all of larger magnitude are positive, or both ends grow
+            x = (top - (low + high) / 2) / max((high - low) / 2, 1e-300)
+            degree = int(np.clip(np.arccosh(SPREAD) / np.arccosh(max(x, 1 + 1e-12)), 1, DEGREE))
+            rows = stored(product(filtered_by(rows, turn, low, high, degree, k + 1)), "basis")
+        raise RuntimeError("the subspace doesn't converge")
+    finally:
+        graph.close()

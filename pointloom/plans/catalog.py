@@ -367,10 +367,31 @@ def plane_fit(spark, d):
     return rounded(p.agg(*[F.avg(v).alias(f"m{v}") for v in "xyz"], *[F.covar_pop(v[0], v[1]).alias(v) for v in geometry.PAIRS], off.alias("residual")))
 
 
+def _spectrum(spark, d, count: int) -> DataFrame:
+    p = pts(spark, d)
+    return graph.fourier(p, graph.adjacency(p, R, K), count)
+
+
 @query()
 def graph_fourier(spark, d):
-    p = pts(spark, d)
-    return graph.fourier(p, graph.adjacency(p, R, K), 20).select("n", F.round("eigenvalue", 6).alias("eigenvalue"))
+    """Coefficients up to their sign."""
+    return _spectrum(spark, d, 20).select("n", F.round("eigenvalue", 6).alias("eigenvalue"), *[F.round(F.abs(c), 4).alias(c) for c in "xyz"])
+
+
+#: A bound below the largest eigenvalue, the steps of a recurrence that grows above it, and its
+#: scale (which keeps the numbers small).
+BELOW, GROWTH, SHRINK = 8.3, 2500, 0.6
+
+
+@query(f"""WITH RECURSIVE {EDGES}, off AS (SELECT src, dst, w FROM adj WHERE src <> dst),
+sm AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM (SELECT src AS i, dst AS j, -w/2 AS v FROM off UNION ALL SELECT dst, src, -w/2 FROM off UNION ALL SELECT src, src, sum(w) FROM off GROUP BY src UNION ALL SELECT id, id, 0 FROM pts) GROUP BY i, j),
+op AS MATERIALIZED (SELECT i, j, {2 * SHRINK!r}::DOUBLE*(v-CASE WHEN i = j THEN {BELOW / 2 - 0.5!r} ELSE 0 END)/{BELOW / 2 + 0.5!r}::DOUBLE AS v FROM sm),
+it AS (SELECT 0 AS k, id, sin(id+1.0::DOUBLE) AS v, 0.0::DOUBLE AS b FROM pts UNION ALL SELECT k+1, i, sum(op.v*it.v)-{SHRINK * SHRINK!r}::DOUBLE*sum(CASE WHEN i = j THEN b ELSE 0 END), sum(CASE WHEN i = j THEN it.v ELSE 0 END) FROM it JOIN op ON j = it.id WHERE k < {GROWTH} GROUP BY k, i),
+u AS MATERIALIZED (SELECT id, v/sqrt(sum(v*v) OVER ()) AS v FROM it WHERE k = {GROWTH})
+SELECT 0::INT AS n, round((SELECT sum(a.v*sm.v*b.v) FROM sm JOIN u a ON a.id = i JOIN u b ON b.id = j), 6) AS eigenvalue, {', '.join(f'round(abs(sum(u.v*{c})), 4) AS {c}' for c in 'xyz')} FROM u JOIN pts USING (id)""")
+def graph_fourier_top(spark, d):
+    """The largest eigenvalue and its coefficients, up to their sign."""
+    return _spectrum(spark, d, 1).select("n", F.round("eigenvalue", 6).alias("eigenvalue"), *[F.round(F.abs(c), 4).alias(c) for c in "xyz"])
 
 
 # Local geometry
@@ -799,6 +820,9 @@ def fine_registration(spark, d):
     return rounded(compose.fine_registration(p, t, p, t, registration.IDENTITY, SMALL, radius=R, k=K, iterations=30), 4)
 
 
+from . import file_queries  # noqa: E402, F401  registers its own
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
