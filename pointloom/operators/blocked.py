@@ -180,13 +180,13 @@ class Graph:
         return rows.groupBy("block").cogroup(self.resident.groupBy("block")).applyInArrow(lambda sent, resident: one(resident, sent), _ROWS)
 
     def state(self, rows: DataFrame, names: list[str], width: int) -> DataFrame:
-        """(id, the first columns of the state)."""
+        """(id, the first columns of the state; null where they aren't numbers)."""
         columns = self.columns
 
         def one(sent: pa.Table, resident: pa.Table) -> pa.Table:
             block = _block(resident.combine_chunks().to_batches()[0], columns)
             own = _received(block, sent, width, 0, 0).own
-            return pa.Table.from_arrays([pa.array(block.data["id"]), *(pa.array(own[:, k]) for k in range(len(names)))], names=["id", *names])
+            return pa.Table.from_arrays([pa.array(block.data["id"]), *(pa.array(own[:, k], mask=np.isnan(own[:, k])) for k in range(len(names)))], names=["id", *names])
 
         own = rows.where(F.col("kind") == OWN)
         return own.groupBy("block").cogroup(self.resident.groupBy("block")).applyInArrow(one, "id long, " + ", ".join(f"{c} double" for c in names))
@@ -257,18 +257,26 @@ def _sent(block: Block, out: Outbox) -> pa.Table:
 
 def summed(rows: DataFrame, width: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """``of`` each block's state (an array of one size), summed over all blocks."""
+    return _reduced(rows, width, of, np.add, F.sum)
 
+
+def largest(rows: DataFrame, width: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The same with the greatest values; empty without blocks."""
+    return _reduced(rows, width, of, np.fmax, F.max)
+
+
+def _reduced(rows: DataFrame, width: int, of: Callable, both: Callable, agg: Callable) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for k in range(batch.num_rows):
-                v = of(batch.column(0)[k].values.to_numpy(zero_copy_only=False).reshape(-1, width)).reshape(-1)
-                total = v if total is None else total + v
+                v = np.asarray(of(batch.column(0)[k].values.to_numpy(zero_copy_only=False).reshape(-1, width)), float).reshape(-1)
+                total = v if total is None else both(total, v)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "s"])
 
     part = rows.where(F.col("kind") == OWN).select("v").mapInArrow(run, "k long, s double")
-    found = part.groupBy("k").agg(F.sum("s").alias("s")).collect()  # as many rows as the array has
+    found = part.groupBy("k").agg(agg("s").alias("s")).collect()  # as many rows as the array has
     out = np.zeros(len(found))
     for r in found:
         out[r.k] = r.s

@@ -632,6 +632,17 @@ def smooth_feature(spark, d):
     return rounded(smoothing.smooth_squared(p, graph.adjacency(p, R, K), mask, tolerance=1e-11), 4)
 
 
+@query(f"""WITH RECURSIVE {EDGES}, off AS (SELECT src, dst, w FROM adj WHERE src <> dst),
+sm AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM (SELECT src AS i, dst AS j, -w/2 AS v FROM off UNION ALL SELECT dst, src, -w/2 FROM off UNION ALL SELECT src, src, sum(w) FROM off GROUP BY src UNION ALL SELECT id, id, 1 FROM pts) GROUP BY i, j),
+om AS MATERIALIZED (SELECT 2/(max(r)+0.5::DOUBLE) AS o FROM (SELECT sum(abs(v)) AS r FROM sm GROUP BY i)),
+st AS MATERIALIZED (SELECT i, j, CASE WHEN i = j THEN 1 ELSE 0 END-o*v AS v, o*x AS cx, o*y AS cy, o*z AS cz FROM sm JOIN pts ON pts.id = i, om),
+it AS (SELECT 0 AS k, id, x, y, z FROM pts UNION ALL SELECT k+1, i, any_value(cx)+sum(v*x), any_value(cy)+sum(v*y), any_value(cz)+sum(v*z) FROM it JOIN st ON j = it.id WHERE k < {2 * STEPS} GROUP BY k, i)
+SELECT id, {_r('x y z', 5)} FROM it WHERE k = {2 * STEPS}""")
+def smooth_mean(spark, d):
+    p = pts(spark, d)
+    return rounded(smoothing.smooth_mean(p, graph.adjacency(p, R, K), 1.0, 1e-11), 5)
+
+
 def _simplify_sql(size: float | str, what: str = "cx, cy, cz, n, ", before: str = "") -> str:
     half = f"({size})*0.5" if isinstance(size, str) else size * 0.5
     kept = "ft AS (SELECT * FROM pts WHERE id IN (SELECT id FROM band WHERE feature))"

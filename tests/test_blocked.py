@@ -75,3 +75,52 @@ def test_curve_keeps_neighbours_together(spark):
     p = spark.range(4096).select("id", *[(F.shiftright("id", 4 * k) % 16).cast("double").alias(c) for k, c in enumerate("xyz")])
     at = p.withColumn("place", blocked.curve(p)).orderBy("place").limit(64).agg(*[F.max(c) for c in "xyz"]).first()
     assert tuple(at) == (3.0, 3.0, 3.0)
+
+
+def solved(p, e, w, rows, kind, size, feature=None):
+    from pointloom.operators import smoothing
+
+    w = w - np.diag(np.diag(w))
+    lap, mark = np.diag(w.sum(axis=1)) - w, np.isin(rows[:, 0], feature or [])
+    mask = None if feature is None else p.select("id", F.col("id").isin(feature).alias("feature"))
+    if kind == "smooth":
+        m = 0.9 * (0.8 + mark)
+        return smoothing.smooth(p, e, mask, size=size), np.linalg.solve(0.1 * lap + np.diag(m), m[:, None] * rows[:, 1:])
+    if kind == "squared":
+        m = 0.95 * (1 + mark)
+        return smoothing.smooth_squared(p, e, mask, tolerance=1e-10, size=size), np.linalg.solve(0.05 * lap.T @ lap + np.diag(m), m[:, None] * rows[:, 1:])
+    a = 6.0
+    return smoothing.smooth_mean(p, e, a, 1e-10, size=size), np.linalg.solve((lap + lap.T) / 2 + a * np.eye(len(rows)), a * rows[:, 1:])
+
+
+@pytest.mark.parametrize("kind", ["smooth", "squared", "mean"])
+@pytest.mark.parametrize("size", [1000, 9])
+def test_smoothers_equal_dense(spark, kind, size):
+    """In one block and in several, with a point that everybody refers to."""
+    p, rows = cloud(spark, 40)
+    e, w = directed(spark, 40, 3)
+    got, want = solved(p, e.where("dst < 1000"), w, rows, kind, size, [3, 17, 24] if kind != "mean" else None)
+    got = {r.id: (r.x, r.y, r.z) for r in got.collect()}
+    assert np.allclose([got[int(i)] for i in rows[:, 0]], want, atol=1e-8)
+
+
+@pytest.mark.parametrize("size", [1000, 9])
+def test_indefinite_systems_are_errors(spark, size):
+    from pointloom.operators import smoothing
+
+    p, _ = cloud(spark, 40)
+    e, _ = directed(spark, 40, 3)
+    with pytest.raises(Exception, match="definite"):
+        smoothing.smooth_mean(p, e.where("dst < 1000"), 0.01, size=size).collect()
+
+
+def test_smoothers_of_nothing(spark):
+    from pointloom.operators import smoothing
+
+    p, e = spark.createDataFrame([], "id long, x double, y double, z double"), spark.createDataFrame([], "src long, dst long, w double")
+    for f in (lambda: smoothing.smooth(p, e, None), lambda: smoothing.smooth_squared(p, e), lambda: smoothing.smooth_mean(p, e)):
+        assert f().collect() == []
+    one = spark.createDataFrame([(1, 2.0, None, 3.0)], "id long, x double, y double, z double")
+    for f in (lambda: smoothing.smooth(one, e, None), lambda: smoothing.smooth_squared(one, e), lambda: smoothing.smooth_mean(one, e)):
+        (r,) = f().collect()
+        assert (round(r.x, 9), r.y, round(r.z, 9)) == (2.0, None, 3.0)
