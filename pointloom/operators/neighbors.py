@@ -1,20 +1,17 @@
-"""Neighbour search as equi-joins on grid cells.
+"""Neighbour search as equi-joins on grid cells, and over a balanced partition.
 
 A radius search explodes each query point over the 27 cells around it and joins on the
 cell, which plans as a hash or sort-merge join; adaptive execution splits skewed cells.
 
-A search for the nearest uses cells of several sizes: a query starts at the largest size at
-which no cell around it is crowded, and goes on at larger ones while it has too few
-neighbours. So a dense region, a far point or a uniform cloud only
-ever meets cells of its own scale. Where cells are crowded, places are searched instead of
-points: of the points at one place only the k with the least ids can be among the nearest,
-and all queries at one place have the same answer.
+The nearest within a radius are searched in cells of several sizes: a query starts at the
+largest size at which no cell around it is crowded, and goes on at larger ones while it has too
+few neighbours. Where cells are crowded, places are searched instead of points: of the points
+at one place only the k with the least ids can be among the nearest, and all queries at one
+place have the same answer. The nearest at any distance come from :mod:`partition`.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,14 +19,13 @@ from pyspark.sql import functions as F
 
 from ..functions import spatial
 from ..functions.lineage import stored
+from . import partition
 
 #: Points of a cell from which it is crowded (or 8 k, if that is more).
 DENSE = 512
 #: A level's cells are a STEP-th of the level's before; a crowd that LEVELS of them don't part
 #: is searched as it is.
 STEP, LEVELS = 4, 20
-#: Queries left over from which on they are compared with all points directly.
-FEW = 200
 
 
 def _side(points: DataFrame, prefix: str, key: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -86,9 +82,8 @@ def _by_level(queries: DataFrame, cloud: DataFrame, base: float, limit: int, by:
     return [*out, queries]
 
 
-def _search(queries: DataFrame, cloud: DataFrame, k: int, base: float, want: int | None = None, widest: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """The at most k nearest within ``base``; with ``widest``, the search goes on beyond
-    until every query has ``want``."""
+def _search(queries: DataFrame, cloud: DataFrame, k: int, base: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """The at most k nearest within ``base``."""
     limit = max(DENSE, 8 * k)
     points, groups = queries, [queries]
     crowded = not _crowded(cloud, base, limit, by).isEmpty()
@@ -101,24 +96,12 @@ def _search(queries: DataFrame, cloud: DataFrame, k: int, base: float, want: int
     while groups:
         active = groups.pop() if left is None else left.unionByName(groups.pop())
         found = _ranked(radius_join(active, size, cloud, by), k)
-        if not groups and widest is None:
+        if not groups:
             done.append(found)
             break
-        left, full = _split(active, found, want or k)
+        left, full = _split(active, found, k)
         done.append(full)
-        size = size * STEP if groups else 2 * size
-    while widest is not None:
-        n = left.limit(FEW + 1).count()
-        if n <= FEW:
-            if n:
-                done.append(_direct(left, cloud, k))
-            break
-        if size >= widest:
-            done.append(_ranked(radius_join(left, widest, cloud), k))
-            break
-        left, full = _split(left, _ranked(radius_join(left, size, cloud), k), want or k)
-        done.append(full)
-        size *= 2
+        size *= STEP
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -134,31 +117,6 @@ def _split(active: DataFrame, found: DataFrame, want: int) -> tuple[DataFrame, D
     return stored(active.join(full, "id", "left_anti"), "left"), found.join(full, F.col("src") == F.col("id"), "left_semi")
 
 
-def _direct(queries: DataFrame, cloud: DataFrame, k: int) -> DataFrame:
-    """The k nearest of at most FEW queries: each task keeps its own k best of all its
-    points, so what it returns doesn't grow with the cloud."""
-    held = [(r.id, r.x, r.y, r.z) for r in queries.toLocalIterator()]
-    ids, at = np.array([h[0] for h in held], dtype=np.int64), np.array([h[1:] for h in held], dtype=float)
-
-    def run(batches):
-        best: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 3)))] * len(ids)
-        for batch in batches:
-            dst = batch.column(0).to_numpy()
-            p = np.stack([batch.column(c).to_numpy().astype(float) for c in (1, 2, 3)], axis=1)
-            for q, own in enumerate(at):
-                d = own - p
-                d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
-                kept = np.flatnonzero(d2 <= best[q][0][-1]) if len(best[q][0]) == k else np.arange(len(d2))
-                both, names, places = np.concatenate([best[q][0], d2[kept]]), np.concatenate([best[q][1], dst[kept]]), np.concatenate([best[q][2], p[kept]])
-                first = np.lexsort((names, both))[:k]
-                best[q] = both[first], names[first], places[first]
-        for q, (d2, names, places) in enumerate(best):
-            n = len(d2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ids[q])), pa.array(names), pa.array(d2), *(pa.array(np.full(n, v)) for v in at[q]), *(pa.array(places[:, c]) for c in range(3))], names=["src", "dst", "d2", "sx", "sy", "sz", "tx", "ty", "tz"])
-
-    return _ranked(cloud.select("id", *spatial.XYZ).mapInArrow(run, "src long, dst long, d2 double, sx double, sy double, sz double, tx double, ty double, tz double"), k)
-
-
 def hybrid(queries: DataFrame, radius: float, k: int, targets: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """The at most k nearest within ``radius``: edges with rank ``rn``, ties to the lower id.
     With ``by``, only points that are equal in these columns are neighbours.
@@ -170,23 +128,12 @@ def hybrid(queries: DataFrame, radius: float, k: int, targets: DataFrame | None
 
 def knn(queries: DataFrame, k: int, targets: DataFrame | None = None) -> DataFrame:
     """The k nearest of each query (fewer only if the cloud is smaller), self included, ties to
-    the lower id. Points with a null coordinate have no neighbours; ids are unique.
-
-    Cells start at the size that holds about k points where the middle 98 % of the cloud
-    lies, whatever lies outside."""
-    q = _located(queries)
-    cloud = q if targets is None else _located(targets)
-    ends = [f(c).alias(f"{p}{c}") for c in spatial.XYZ for p, f in (("lo", F.min), ("hi", F.max))]
-    box = cloud.agg(F.count(F.lit(1)).alias("n"), *ends, *[F.percentile_approx(c, [0.01, 0.99], 1000).alias(f"q{c}") for c in spatial.XYZ]).first()
-    reach = box if targets is None else q.agg(*ends).first()
-    if not box.n or reach.lox is None:
-        return _ranked(radius_join(q, 1.0, cloud), k)
-    spans = [max(box[f"hi{c}"], reach[f"hi{c}"]) - min(box[f"lo{c}"], reach[f"lo{c}"]) for c in spatial.XYZ]
-    widest = math.sqrt(sum(s * s for s in spans)) * 1.001 + 1e-9
-    sides = [box[f"q{c}"][1] - box[f"q{c}"][0] for c in spatial.XYZ]
-    least = (max(sides) or widest) / 1e4
-    base = min(widest, (math.prod(max(s, least) for s in sides) * k / box.n) ** (1 / 3))
-    return _search(q, cloud, k, base, min(k, box.n), widest)
+    the lower id. Points with a null coordinate have no neighbours; ids are unique."""
+    q = _located(queries).select(F.col("id").cast("long"), *[F.col(c).cast("double").alias(c) for c in spatial.XYZ])
+    if targets is None:
+        return partition.nearest(q, q, k, True)
+    t = _located(targets).select(F.col("id").cast("long"), *[F.col(c).cast("double").alias(c) for c in spatial.XYZ])
+    return partition.nearest(q, t, k, False)
 
 
 def nearest_other(points: DataFrame) -> DataFrame:
