@@ -65,3 +65,18 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
         discard(spark, *(p for p in held if p not in stay))
         if _written:
             _written[-1].extend(p for p in held if p in stay)
+
+
+@contextmanager
+def bucketed(df: DataFrame, columns: list[str], what: str = "held") -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, bucketed by ``columns`` into as many buckets as
+    a shuffle has partitions: joins and groups on these columns read it where it lies, as
+    often as they like. The table goes at the end."""
+    spark, name = df.sparkSession, f"{what}_{uuid.uuid4().hex}"
+    path, parts = f"{shared_dir(spark)}/{name}", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        df.repartition(parts, *columns).write.option("path", path).bucketBy(parts, *columns).sortBy(*columns).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(spark, path)

@@ -125,11 +125,10 @@ def boxed(tree: Tree, placed: DataFrame) -> Tree:
 
 def _placed(points: DataFrame, tree: Tree) -> DataFrame:
     """(leaf, id, x, y, z)."""
-    shared = points.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value.leaf_of(_places(batch, 1))), *batch.columns], names=["leaf", "id", "x", "y", "z"])
+            yield pa.RecordBatch.from_arrays([pa.array(tree.leaf_of(_places(batch, 1))), *batch.columns], names=["leaf", "id", "x", "y", "z"])
 
     return points.select("id", *spatial.XYZ).mapInArrow(run, "leaf long, id long, x double, y double, z double")
 
@@ -145,7 +144,6 @@ def _met(queries: DataFrame, placed: DataFrame, tree: Tree, k: int, home: bool)
     """Queries (leaf, id, x, y, z, reach) against the points of their leaf: the k nearest
     within their reach (kind 0); at ``home`` also the leaves that are left to visit (kind 1),
     and kind 2 in place of 0 where there are none."""
-    spark = placed.sparkSession
     crowds = queries.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > QUERIES).select("leaf", F.ceil(F.col("n") / QUERIES).alias("parts"))
     hot = {r.leaf: int(r.parts) for r in crowds.collect()}  # at most a row per leaf
     parts = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in hot.items() for v in pair]).cast("map<bigint,int>"), F.col("leaf")), F.lit(1)) if hot else F.lit(1)
@@ -153,7 +151,7 @@ def _met(queries: DataFrame, placed: DataFrame, tree: Tree, k: int, home: bool)
     one = placed.select("leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("side"), "id", "x", "y", "z", none.alias("reach"))
     two = queries.select("leaf", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(1).alias("side"), "id", "x", "y", "z", "reach")
     dealt = one.unionByName(two).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "side", "id")
-    shared = spark.sparkContext.broadcast(tree)
+    own = tree if home else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block, ids, points = None, [], None, None
@@ -175,7 +173,7 @@ def _met(queries: DataFrame, placed: DataFrame, tree: Tree, k: int, home: bool)
                 step = max(1, AT_ONCE // max(1, len(ids)))
                 for at in range(0, some.num_rows, step):
                     part = some.slice(at, step)
-                    yield from _answers(part.column(3).to_numpy(), _places(part, 4), part.column(7).to_numpy(zero_copy_only=False), ids, points, k, shared.value if home else None, key[0])
+                    yield from _answers(part.column(3).to_numpy(), _places(part, 4), part.column(7).to_numpy(zero_copy_only=False), ids, points, k, own, key[0])
 
     return dealt.mapInArrow(run, _FOUND)
 

@@ -7,6 +7,8 @@ driver only solves 3 x 3 or 6 x 6 systems. Clouds are never changed in place.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spatial
-from ..functions.lineage import stored
+from ..functions.lineage import bucketed, stored
 from . import neighbors
 
 Matrix = list[list[float]]
@@ -116,16 +118,83 @@ def _small_motion(a: np.ndarray, b: np.ndarray) -> Matrix:
     return axis_angle((x[:3] / angle).tolist() if angle else [0, 0, 1], angle, x[3:].tolist())
 
 
-def _normal_equations(rows: DataFrame, terms: list[tuple[list, object]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of J'J and -J'r over all rows for the given (Jacobian columns, residual)."""
+#: Columns of the target that a method reads.
+NEEDS = {"point": (), "plane": ("nx", "ny", "nz"), "color": ("nx", "ny", "nz", "gx", "gy", "gz", "i")}
+
+
+def step_sums(pairs: DataFrame, method: str = "point", color_share: float = 0.032) -> DataFrame:
+    """One row of the sums that a step of ICP is solved from.
+
+    point: :func:`cross_covariance`. Others: n, d2, the upper triangle of J'J (c0 .. c20) and
+    -J'r (c21 .. c26) of the rotation vector and translation. plane: residuals along the
+    target's normal (q-columns of the pairs). color: these, and differences between the
+    source's intensity ``si`` and the target's on its tangent plane."""
+    if method == "point":
+        return cross_covariance(pairs)
+    s, t, nv = ([F.col(f"{p}{c}") for c in "xyz"] for p in ("s", "t", "qn"))
+
+    def jacobian(v: list) -> list:
+        return [s[1] * v[2] - s[2] * v[1], s[2] * v[0] - s[0] * v[2], s[0] * v[1] - s[1] * v[0], *v]
+
+    gap = sum(((a - b) * c for a, b, c in zip(s, t, nv, strict=True)), F.lit(0.0))
+    terms = [(jacobian(nv), gap)]
+    if method == "color":
+        g = [F.col(f"qg{c}") for c in "xyz"]
+        along = [a - gap * c for a, c in zip(s, nv, strict=True)]
+        shade = F.col("qi") + sum((v * (a - b) for v, a, b in zip(g, along, t, strict=True)), F.lit(0.0)) - F.col("si")
+        slope = sum((v * c for v, c in zip(g, nv, strict=True)), F.lit(0.0))
+        flat = [v - slope * c for v, c in zip(g, nv, strict=True)]
+        w, v = math.sqrt(color_share), math.sqrt(1 - color_share)
+        terms = [([w * x for x in terms[0][0]], w * gap), ([v * x for x in jacobian(flat)], v * shade)]
     a = [sum((j[p] * j[q] for j, _ in terms), F.lit(0.0)) for p in range(6) for q in range(p, 6)]
     b = [sum((-j[p] * r for j, r in terms), F.lit(0.0)) for p in range(6)]
-    row = rows.agg(*[F.sum(c).alias(f"c{k}") for k, c in enumerate(a + b)]).first()
-    values = [v or 0.0 for v in row]
+    return pairs.agg(F.count(F.lit(1)).alias("n"), F.sum("d2").alias("d2"), *[F.sum(c).alias(f"c{k}") for k, c in enumerate(a + b)])
+
+
+def _solved(row, method: str) -> Matrix:
+    """The motion of a row of :func:`step_sums`."""
+    if method == "point":
+        return kabsch(row)
     m = np.zeros((6, 6))
-    for v, (p, q) in zip(values, [(p, q) for p in range(6) for q in range(p, 6)], strict=False):
-        m[p, q] = m[q, p] = v
-    return m, np.array(values[21:])
+    for k, (p, q) in enumerate((p, q) for p in range(6) for q in range(p, 6)):
+        m[p, q] = m[q, p] = row[f"c{k}"] or 0.0
+    return _small_motion(m, np.array([row[f"c{k}"] or 0.0 for k in range(21, 27)]))
+
+
+@contextmanager
+def matcher(target: DataFrame, distance: float, method: str = "point") -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function from a source cloud to its :func:`correspondences` with the target's columns
+    for the method (q...) and, for colour, the source's intensity ``si``.
+
+    The target is stored once, bucketed by cells of ``distance``: every call moves the source
+    only. Crowded cells go through the search that parts them."""
+    extra = list(NEEDS[method])
+    shade = ["i"] if method == "color" else []
+
+    def source_side(source: DataFrame) -> DataFrame:
+        return source.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").select(F.col("id").alias("src"), *[F.col(c).cast("double").alias(f"s{c}") for c in (*"xyz", *shade)])
+
+    known = target.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    if not neighbors._crowded(known, distance, neighbors.DENSE, ()).isEmpty():
+
+        def search(source: DataFrame) -> DataFrame:
+            pairs = correspondences(source, target, distance)
+            if extra:
+                pairs = pairs.join(target.select(F.col("id").alias("dst"), *[F.col(c).alias(f"q{c}") for c in extra]), "dst")
+            return pairs.join(source.select(F.col("id").alias("src"), F.col("i").alias("si")), "src") if shade else pairs
+
+        yield search
+        return
+    cells = known.select(F.col("id").alias("dst"), *[F.col(c).cast("double").alias(f"t{c}") for c in "xyz"], *[F.col(c).alias(f"q{c}") for c in extra])
+    with bucketed(cells.select("*", *spatial.cell(distance, prefix="t")), ["cx", "cy", "cz"], "target") as held:
+
+        def meet(source: DataFrame) -> DataFrame:
+            met = neighbors._probes(source_side(source), distance, "s").join(held, ["cx", "cy", "cz"]).withColumn("d2", spatial.sq_dist("s", "t"))
+            near = met.where(F.col("d2") < F.lit(distance * distance))
+            best = F.min(F.struct("d2", "dst", *[f"t{c}" for c in "xyz"], *[f"q{c}" for c in extra])).alias("m")
+            return near.groupBy("src", *[f"s{c}" for c in (*"xyz", *shade)]).agg(best).select("src", *[f"s{c}" for c in (*"xyz", *shade)], "m.*")
+
+        yield meet
 
 
 def icp(source: DataFrame, target: DataFrame, distance: float = 0.1, start: Matrix | None = None, iterations: int = 100, method: str = "point", tolerance: float = 1e-6, color_share: float = 0.032) -> tuple[Matrix, float, float]:
@@ -134,50 +203,23 @@ def icp(source: DataFrame, target: DataFrame, distance: float = 0.1, start: Matr
     point: closed-form motion of the pairs. plane: least squares along the target's normals
     (columns nx, ny, nz). color: plane plus intensity differences along the target's colour
     gradient (columns gx, gy, gz and intensity i on the target, i on the source). Stops
-    when fitness and rmse change by less than ``tolerance``."""
-    if method not in ("point", "plane", "color"):
+    when fitness and rmse change by less than ``tolerance``. A step is one job: the source's
+    probes meet the stored target, and the driver gets a row of sums."""
+    if method not in NEEDS:
         raise ValueError(f"unknown method {method!r}")
     total = np.asarray(start or IDENTITY, float)
     n = source.count()
     last = (-1.0, -1.0)
     fitness = rmse = 0.0
-    for _ in range(iterations):
-        pairs = correspondences(transform(source, total.tolist()), target, distance)
-        if method == "point":
-            row = cross_covariance(pairs).first()
+    with matcher(target, distance, method) as pairs_of:
+        for _ in range(iterations):
+            row = step_sums(pairs_of(transform(source, total.tolist())), method, color_share).first()
             count, d2 = row["n"], row["d2"] or 0.0
-        else:
-            pairs = stored(pairs, "pairs")
-            row = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum("d2").alias("d2")).first()
-            count, d2 = row["n"], row["d2"] or 0.0
-        fitness, rmse = (count / n if n else 0.0), (math.sqrt(d2 / count) if count else 0.0)
-        if abs(fitness - last[0]) < tolerance and abs(rmse - last[1]) < tolerance or not count:
-            break
-        last = (fitness, rmse)
-        if method == "point":
-            step = kabsch(row)
-        else:
-            extra = ["nx", "ny", "nz"] + (["gx", "gy", "gz", "i"] if method == "color" else [])
-            rows = pairs.join(target.select(F.col("id").alias("dst"), *[F.col(c).alias(f"q{c}") for c in extra]), "dst")
-            if method == "color":
-                rows = rows.join(source.select(F.col("id").alias("src"), F.col("i").alias("si")), "src")
-            s, t, nv = ([F.col(f"{p}{c}") for c in "xyz"] for p in ("s", "t", "qn"))
-
-            def jacobian(v: list) -> list:
-                return [s[1] * v[2] - s[2] * v[1], s[2] * v[0] - s[0] * v[2], s[0] * v[1] - s[1] * v[0], *v]
-
-            gap = sum(((a - b) * c for a, b, c in zip(s, t, nv, strict=True)), F.lit(0.0))
-            terms = [(jacobian(nv), gap)]
-            if method == "color":
-                g = [F.col(f"qg{c}") for c in "xyz"]
-                along = [a - gap * c for a, c in zip(s, nv, strict=True)]
-                shade = F.col("qi") + sum((v * (a - b) for v, a, b in zip(g, along, t, strict=True)), F.lit(0.0)) - F.col("si")
-                slope = sum((v * c for v, c in zip(g, nv, strict=True)), F.lit(0.0))
-                flat = [v - slope * c for v, c in zip(g, nv, strict=True)]
-                w, v = math.sqrt(color_share), math.sqrt(1 - color_share)
-                terms = [([w * x for x in terms[0][0]], w * gap), ([v * x for x in jacobian(flat)], v * shade)]
-            step = _small_motion(*_normal_equations(rows, terms))
-        total = np.asarray(step) @ total
+            fitness, rmse = (count / n if n else 0.0), (math.sqrt(d2 / count) if count else 0.0)
+            if abs(fitness - last[0]) < tolerance and abs(rmse - last[1]) < tolerance or not count:
+                break
+            last = (fitness, rmse)
+            total = np.asarray(_solved(row, method)) @ total
     return total.tolist(), fitness, rmse
 
 

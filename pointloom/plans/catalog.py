@@ -757,6 +757,45 @@ def coarse_registration(spark, d):
     return _icp(spark, d, lambda s, t: registration.coarse_registration(s.join(f, "id"), t.join(f, "id")))
 
 
+def _step_sql(method: str) -> str:
+    """The sums of one step over noisy clouds that overlap in part: every fourth row is in the
+    source only, every fifth in the target only; descriptors stand for normals and gradients."""
+    jac = lambda v: [f"sy*{v[2]}-sz*{v[1]}", f"sz*{v[0]}-sx*{v[2]}", f"sx*{v[1]}-sy*{v[0]}", *v]
+    gap = "((sx-tx)*nx+(sy-ty)*ny+(sz-tz)*nz)"
+    terms = [(jac(("nx", "ny", "nz")), gap, 1.0)]
+    if method == "color":
+        flat = tuple(f"(g{c}-(gx*nx+gy*ny+gz*nz)*n{c})" for c in "xyz")
+        shade = f"(i+{'+'.join(f'g{c}*(s{c}-{gap}*n{c}-t{c})' for c in 'xyz')}-si)"
+        terms = [(*terms[0][:2], 0.032), (jac(flat), shade, 1 - 0.032)]
+    sums = [" + ".join(f"{w!r}::DOUBLE*({j[p]})*({j[q]})" for j, _, w in terms) for p in range(6) for q in range(p, 6)]
+    sums += [" + ".join(f"-{w!r}::DOUBLE*({j[p]})*{r}" for j, r, w in terms) for p in range(6)]
+    return f"""WITH {PTS}, f AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+pa AS (SELECT id, {", ".join(f"{c}+e[{k}]*0.05::DOUBLE AS {c}" for k, c in zip((11, 12, 13), "xyz", strict=True))}, e[14] AS si FROM pts JOIN f USING (id) WHERE id % 5 <> 0),
+pb AS (SELECT id, x, y, z, e[4]/sqrt(e[4]*e[4]+e[5]*e[5]+e[6]*e[6]) AS nx, e[5]/sqrt(e[4]*e[4]+e[5]*e[5]+e[6]*e[6]) AS ny, e[6]/sqrt(e[4]*e[4]+e[5]*e[5]+e[6]*e[6]) AS nz, e[7] AS gx, e[8] AS gy, e[9] AS gz, e[10] AS i FROM pts JOIN f USING (id) WHERE id % 4 <> 0),
+{_near('pa', 'pb', '0.1::DOUBLE*0.1::DOUBLE', 1)}, m AS (SELECT nbr.*, si, nx, ny, nz, gx, gy, gz, i FROM nbr JOIN pa ON pa.id = src JOIN pb ON pb.id = dst)
+SELECT count(*) AS n, round(sum(d2), 6) AS d2, {", ".join(f"round(sum({c}), 6) + 0.0::DOUBLE AS c{k}" for k, c in enumerate(sums))} FROM m"""
+
+
+def _step(spark, d, method: str) -> DataFrame:
+    e = [F.col("feature")[k].cast("double") for k in range(14)]
+    p = pts(spark, d).select("id", "x", "y", "z").join(views.feat(spark, d).drop("cloud"), "id")
+    size = F.sqrt(e[3] * e[3] + e[4] * e[4] + e[5] * e[5])
+    source = p.where("id % 5 <> 0").select("id", *[(F.col(c) + e[k] * 0.05).alias(c) for k, c in zip((10, 11, 12), "xyz", strict=True)], e[13].alias("i"))
+    target = p.where("id % 4 <> 0").select("id", "x", "y", "z", *[(e[k] / size).alias(f"n{c}") for k, c in zip((3, 4, 5), "xyz", strict=True)], *[e[k].alias(f"g{c}") for k, c in zip((6, 7, 8), "xyz", strict=True)], e[9].alias("i"))
+    with registration.matcher(target, 0.1, method) as pairs_of:
+        return rounded(stored(registration.step_sums(pairs_of(source), method), "sums"))
+
+
+@query(_step_sql("plane"))
+def icp_plane_step(spark, d):
+    return _step(spark, d, "plane")
+
+
+@query(_step_sql("color"))
+def icp_color_step(spark, d):
+    return _step(spark, d, "color")
+
+
 _ANGLES = "a AS (SELECT s_suppkey AS scan, s_suppkey*0.01::DOUBLE AS f, s_suppkey*0.013::DOUBLE AS t FROM supplier)"
 
 
