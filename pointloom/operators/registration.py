@@ -263,15 +263,20 @@ def evaluate(source: DataFrame, target: DataFrame, threshold: float = 0.2) -> Da
     return hits.crossJoin(source.agg(F.count(F.lit(1)).alias("n"))).select(F.coalesce(F.try_divide("hits", "n"), F.lit(0.0)).alias("fitness"), F.coalesce(F.sqrt("mean"), F.lit(0.0)).alias("inlier_rmse"))
 
 
-def solve_matches(matches: DataFrame, rounds: int = 20, scale: float = 0.5) -> Matrix:
+def solve_matches(matches: DataFrame, rounds: int = 20, scale: float | None = None) -> Matrix:
     """The rigid motion of matched points (sx.. to tx..) by iteratively reweighted closed-form
-    solutions: weight (scale / (scale + residual^2))^2, so wrong matches fade out."""
+    solutions: weight (scale / (scale + residual^2))^2, so wrong matches fade out. Without a
+    ``scale`` it is the square of 1.4826 times the median residual of each round (a robust
+    deviation), so the unit of the coordinates doesn't matter."""
     m = IDENTITY
     for _ in range(rounds):
         moved = [sum((F.lit(float(r[k])) * F.col(f"s{c}") for k, c in enumerate("xyz")), F.lit(float(r[3]))) for r in m[:3]]
         r2 = sum(((a - F.col(f"t{c}")) ** 2 for a, c in zip(moved, "xyz", strict=True)), F.lit(0.0))
-        w = (F.lit(scale) / (F.lit(scale) + r2)) ** 2
-        held = matches.withColumn("w", w)
+        held, size = matches.withColumn("r2", r2), scale
+        if size is None:
+            ends = held.agg(F.percentile_approx("r2", 0.5, 10_000).alias("mid"), F.max("r2").alias("top")).first()
+            size = 1.4826**2 * (ends.mid or 0.0) or 1e-12 * (ends.top or 0.0) or 1.0
+        held = held.withColumn("w", (F.lit(size) / (F.lit(size) + F.col("r2"))) ** 2)
         sums = [F.sum("w").alias("n")] + [F.sum(F.col("w") * F.col(f"{p}{c}")).alias(f"{p}{c}") for p in "st" for c in "xyz"] + [F.sum(F.col("w") * F.col(f"s{a}") * F.col(f"t{b}")).alias(f"h{a}{b}") for a in "xyz" for b in "xyz"]
         new = kabsch(held.agg(*sums).first())
         if np.abs(np.asarray(new) - np.asarray(m)).max() < 1e-9:
@@ -280,6 +285,68 @@ def solve_matches(matches: DataFrame, rounds: int = 20, scale: float = 0.5) -> M
     return m
 
 
+def ransac_matches(matches: DataFrame, distance: float, tries: int = 2000, similar: float = 0.9, confidence: float = 0.999, seed: int = 0, batch: int = 64) -> tuple[Matrix, int]:
+    """(motion, matches within ``distance`` under it) of matched points of which many are wrong.
+
+    Triples of matches are drawn by hashes of their row and the seed (a bounded draw of 3 *
+    ``tries``); a triple whose edges differ in length between the clouds by more than the share
+    1 - ``similar`` can't be right and is dropped. The motions of ``batch`` triples at a time
+    are scored in one aggregate over all matches (its terms are columns, so nothing is
+    multiplied out), until a right triple has been drawn with ``confidence`` at the best share
+    of inliers so far. The best motion (ties: the earlier) is solved again from all its inliers
+    until they no longer change. Fewer than three matches, or no possible triple, give the
+    identity and no inliers. Rows are matches sx, sy, sz, tx, ty, tz; null ones don't count."""
+    cols = [f"{p}{c}" for p in "st" for c in "xyz"]
+    held = stored(matches.select(*cols).dropna(), "matches")
+    n = held.count()
+    order = F.xxhash64(*cols, F.lit(seed))
+    drawn = np.array([tuple(r) for r in held.orderBy(order, *cols).limit(3 * tries).collect()], float).reshape(-1, 2, 3)  # bounded
+    if n < 3:
+        return IDENTITY, 0
+    rng = np.random.default_rng(seed)
+    triples = np.array([rng.choice(len(drawn), 3, replace=False) for _ in range(tries)])
+    points = drawn[triples]  # try, corner, cloud, axis
+    sides = np.linalg.norm(points - np.roll(points, 1, axis=1), axis=3)
+    fits = (sides.min(axis=2) >= similar * sides.max(axis=2)).all(axis=1) & (sides.min(axis=(1, 2)) > 0)
+    motions = []
+    for p in points[fits]:
+        s, t = p[:, 0], p[:, 1]
+        row = {"n": 3, **{f"s{c}": s[:, k].sum() for k, c in enumerate("xyz")}, **{f"t{c}": t[:, k].sum() for k, c in enumerate("xyz")}}
+        row |= {f"h{a}{b}": float(s[:, i] @ t[:, j]) for i, a in enumerate("xyz") for j, b in enumerate("xyz")}
+        motions.append(kabsch(row))
+
+    def gap(m: Matrix):
+        moved = [sum((F.lit(float(r[k])) * F.col(f"s{c}") for k, c in enumerate("xyz")), F.lit(float(r[3]))) for r in m[:3]]
+        return sum(((a - F.col(f"t{c}")) * (a - F.col(f"t{c}")) for a, c in zip(moved, "xyz", strict=True)), F.lit(0.0))
+
+    best, hits, seen = IDENTITY, 0, np.flatnonzero(fits)
+    for at in range(0, len(motions), batch):
+        some = motions[at : at + batch]
+        counts = held.agg(*[F.count(F.when(gap(m) < distance * distance, 1)).alias(f"m{k}") for k, m in enumerate(some)]).first()
+        k = int(np.argmax(counts))
+        if counts[k] > hits:
+            best, hits = some[k], int(counts[k])
+        share = (hits / n) ** 3
+        if hits and (share >= 1 or seen[min(at + batch, len(motions)) - 1] + 1 >= math.log(1 - confidence) / math.log(1 - share)):
+            break
+    for _ in range(20):
+        inside = held.where(gap(best) < distance * distance)
+        new = kabsch(cross_covariance(inside.withColumn("d2", gap(best))).first())
+        count = held.where(gap(new) < distance * distance).count()
+        if count < hits or np.abs(np.asarray(new) - np.asarray(best)).max() < 1e-12:
+            break
+        best, hits = new, count
+    return best, hits
+
+
+def feature_ransac(source: DataFrame, target: DataFrame, distance: float, feature: str = "feature", tries: int = 2000, seed: int = 0) -> tuple[Matrix, int]:
+    """:func:`ransac_matches` of every source row and its nearest target row by descriptor."""
+    pairs = neighbors.feature_match(source, target, feature)
+    s = source.select(F.col("id").alias("id0"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    t = target.select(F.col("id").alias("id1"), *[F.col(c).alias(f"t{c}") for c in "xyz"])
+    return ransac_matches(pairs.join(s, "id0").join(t, "id1"), distance, tries, seed=seed)
+
+
 def coarse_registration(source: DataFrame, target: DataFrame, feature: str = "feature", subsample: int = -1) -> Matrix:
     """Registration from precomputed descriptors: nearest match in feature space for every
     source row, then the robust solution. Clouds have x, y, z and the feature array."""

@@ -39,16 +39,28 @@ def winsorize(scores: DataFrame, times: float = 6.0, col: str = "score") -> Data
     return normalize_clamp(capped, 2.0, "w_").drop("cap_", "w_", "g")
 
 
+#: Rows up to which the first of an order are kept in each task and merged in one; more are
+#: found by running counts over ranges.
+MERGED = 10_000
+
+
+def first_of(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of an order that leaves no ties."""
+    if n <= MERGED:
+        return rows.orderBy(*order).limit(max(0, n))
+    return running(rows, order, name="first_").where(F.col("first_") <= n).drop("first_")
+
+
 def topk(scores: DataFrame, n: int, by: str = "g", rule: str = "not_one") -> DataFrame:
     """The n highest below the clamp. not_one drops values equal to 1, below_one values of 1
     or more; ties go to the lower id."""
     keep = {"not_one": F.col(by) != 1, "below_one": F.col(by) < 1}[rule]
-    return scores.where(keep).orderBy(F.desc(by), "id").limit(n)
+    return first_of(scores.where(keep), [F.desc(by), F.asc("id")], n)
 
 
 def topk_extremes(scores: DataFrame, n: int, by: str = "score") -> DataFrame:
     """The n highest and the 2n lowest (3n rows, repeated where they overlap)."""
-    return scores.orderBy(F.desc(by), "id").limit(n).unionAll(scores.orderBy(F.asc(by), "id").limit(2 * n))
+    return first_of(scores, [F.desc(by), F.asc("id")], n).unionAll(first_of(scores, [F.asc(by), F.asc("id")], 2 * n))
 
 
 def weighted_sample(scores: DataFrame, n: int, by: str = "score", seed: int = 0) -> DataFrame:
@@ -57,7 +69,8 @@ def weighted_sample(scores: DataFrame, n: int, by: str = "score", seed: int = 0)
     bits of an MD5 digest, which any engine can repeat."""
     digest = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 1).cast("double") / F.lit(2.0**52 + 2)
-    return scores.where((F.col(by) > 0) & (F.col(by) != 1)).orderBy(-F.log(u) / F.col(by), "id").limit(n)
+    keyed = scores.where((F.col(by) > 0) & (F.col(by) != 1)).withColumn("key_", -F.log(u) / F.col(by))
+    return first_of(keyed, [F.asc("key_"), F.asc("id")], n).drop("key_")
 
 
 def sample_points(scores: DataFrame, n: int, method: str = "topk", by: str = "g", seed: int = 0) -> DataFrame:

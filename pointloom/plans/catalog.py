@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spatial
 from ..functions.lineage import stored
-from ..operators import compose, geometry, graph, neighbors, registration, sampling, smoothing
+from ..operators import compose, geometry, graph, neighbors, registration, sampling, smoothing, thinning
 from ..sources import shapes, views
 
 R, K = 0.15, 20
@@ -128,11 +128,38 @@ def scan_id(spark, d):
     return compose.scan_ids(views.table(spark, d, "pages"), "url", r"\d{3}").select("page_id", "scan_id")
 
 
-@query(f"""WITH u AS (SELECT id, (id+0.5::DOUBLE)*{shapes.STEPS[0]!r}::DOUBLE AS a, (id+0.5::DOUBLE)*{shapes.STEPS[1]!r}::DOUBLE AS b FROM range(20000) t(id)),
+@query(f"""WITH u AS (SELECT id, (id+0.5::DOUBLE)*{shapes.STEPS[0]!r}::DOUBLE AS a, (id+0.5::DOUBLE)*{shapes.STEPS[1]!r}::DOUBLE AS b FROM range((SELECT 40*count(*) FROM embeddings)) t(id)),
 h AS (SELECT id, 1.0::DOUBLE-2.0::DOUBLE*(a-floor(a)) AS h, {2 * math.pi!r}::DOUBLE*(b-floor(b)) AS a FROM u)
 SELECT id, round(10*sqrt(greatest(1-h*h, 0))*cos(a), 6) AS x, round(10*sqrt(greatest(1-h*h, 0))*sin(a), 6) AS y, round(10*h, 6) AS z FROM h""")
 def gen_sphere(spark, d):
-    return rounded(shapes.sphere(spark, 20_000))
+    """40 points for each vector."""
+    return rounded(shapes.sphere(spark, 40 * views.table(spark, d, "embeddings").count()))
+
+
+def _poisson_sql(passes: int = 5, rounds: int = 12) -> str:
+    """The passes and their rounds written out: a round keeps the open points without an open
+    rival of higher priority, and closes these and their rivals."""
+    out = f"""WITH n AS (SELECT count(*) AS n, {thinning.SHARE!r}::DOUBLE*sqrt({thinning.area("sphere")!r}::DOUBLE/count(*)) AS r FROM embeddings),
+u AS (SELECT id, (id+0.5::DOUBLE)*{shapes.STEPS[0]!r}::DOUBLE AS a, (id+0.5::DOUBLE)*{shapes.STEPS[1]!r}::DOUBLE AS b FROM range((SELECT {thinning.CANDIDATES}*n FROM n)) t(id)),
+h AS (SELECT id, 1.0::DOUBLE-2.0::DOUBLE*(a-floor(a)) AS h, {2 * math.pi!r}::DOUBLE*(b-floor(b)) AS a FROM u),
+l0 AS MATERIALIZED (SELECT id, 10*sqrt(greatest(1-h*h, 0))*cos(a) AS x, 10*sqrt(greatest(1-h*h, 0))*sin(a) AS y, 10*h AS z, ('0x' || substr(md5(id::VARCHAR || ':0'), 1, 13))::BIGINT AS p, r FROM h, n)"""
+    kept = []
+    for k in range(passes):
+        out += f", b{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY floor(x/(r/2)), floor(y/(r/2)), floor(z/(r/2)) ORDER BY p, id) AS rn FROM l{k}) WHERE rn = 1)"
+        out += f", e{k} AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM b{k} a, b{k} b WHERE (b.p, b.id) < (a.p, a.id) AND {D2} < a.r*a.r), o{k}_0 AS (SELECT id FROM b{k})"
+        for r in range(rounds):
+            out += f", k{k}_{r} AS MATERIALIZED (SELECT id FROM o{k}_{r} WHERE id NOT IN (SELECT a FROM e{k} WHERE b IN (SELECT id FROM o{k}_{r})))"
+            out += f", o{k}_{r + 1} AS MATERIALIZED (SELECT id FROM o{k}_{r} WHERE id NOT IN (SELECT id FROM k{k}_{r}) AND id NOT IN (SELECT a FROM e{k} WHERE b IN (SELECT id FROM k{k}_{r})))"
+        out += f", s{k} AS MATERIALIZED (SELECT * FROM b{k} WHERE id IN ({' UNION ALL '.join(f'SELECT id FROM k{k}_{r}' for r in range(rounds))}))"
+        out += f", l{k + 1} AS MATERIALIZED (SELECT * FROM l{k} a WHERE NOT EXISTS (SELECT 1 FROM s{k} b WHERE {D2} < a.r*a.r))"
+        kept.append(f"SELECT id, x, y, z, p FROM s{k}")
+    return f"{out}, s AS ({' UNION ALL '.join(kept)}) SELECT id, {_r('x y z')} FROM (SELECT * FROM s ORDER BY p, id LIMIT (SELECT n FROM n))"
+
+
+@query(_poisson_sql())
+def poisson_sphere(spark, d):
+    """As many points as there are vectors, evenly apart."""
+    return rounded(thinning.on_shape(spark, "sphere", views.table(spark, d, "embeddings").count()))
 
 
 # Neighbour search

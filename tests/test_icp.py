@@ -80,3 +80,28 @@ def test_no_pairs_and_unknown_methods(spark):
     with pytest.raises(ValueError):
         registration.icp(p, p, method="line")
     assert math.isclose(registration.rotation_angle(registration.z_rotation(0.3)), 0.3)
+
+
+@pytest.mark.parametrize("unit", [1.0, 1000.0])
+def test_wrong_matches(spark, unit):
+    """Seven of ten matches are wrong, the clouds overlap in part; any unit."""
+    rng = np.random.default_rng(6)
+    motion = registration.axis_angle([1.0, -2.0, 0.5], 1.9, [3.0 * unit, -unit, 2.0 * unit])
+    m = np.asarray(motion)
+    s = rng.normal(size=(600, 3)) * unit
+    t = s @ m[:3, :3].T + m[:3, 3] + rng.normal(size=s.shape) * 0.005 * unit
+    wrong = rng.random(600) < 0.7
+    t[wrong] = rng.normal(size=(int(wrong.sum()), 3)) * unit + m[:3, 3]
+    df = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(s, t, strict=True)] + [(None,) * 6], "sx double, sy double, sz double, tx double, ty double, tz double").repartition(3)
+    found, hits = registration.ransac_matches(df, 0.03 * unit)
+    error = registration.pose_error(found, motion)
+    assert error["rotation_error_deg"] < 0.2 and error["translation_error"] < 0.01 * unit
+    assert abs(hits - int((~wrong).sum())) <= 12
+    few = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(s, np.where(wrong[:, None] & (rng.random(600) < 0.4)[:, None], t, s @ m[:3, :3].T + m[:3, 3]), strict=True)], df.schema)
+    assert registration.pose_error(registration.solve_matches(few, 60), motion)["rotation_error_deg"] < 1.0
+
+
+def test_too_few_matches(spark):
+    cols = "sx double, sy double, sz double, tx double, ty double, tz double"
+    assert registration.ransac_matches(spark.createDataFrame([], cols), 0.1) == (registration.IDENTITY, 0)
+    assert registration.ransac_matches(spark.createDataFrame([(0.0,) * 6] * 5, cols), 0.1)[1] in (0, 5)

@@ -92,3 +92,15 @@ def test_few_leaves_are_visited():
     assert len(q) < 4 * 1000
     far = np.array([[500.0, 0.5, 0.5]])
     assert len(tree.touched(far, tree.bound(far, 1))[0]) < 200
+
+
+def test_first_rows_of_ranges(spark, monkeypatch):
+    """The same rows by a merge and by running counts."""
+    from pyspark.sql import functions as F
+
+    from pointloom.operators import sampling
+
+    rows = spark.range(500).repartition(4).select("id", (F.col("id") % 37 / 36).alias("g"))
+    small = [sorted(map(tuple, f.collect())) for f in (sampling.topk(rows, 60), sampling.topk_extremes(rows, 40, "g"), sampling.weighted_sample(rows, 50, "g", 3))]
+    monkeypatch.setattr(sampling, "MERGED", 0)
+    assert small == [sorted(map(tuple, f.collect())) for f in (sampling.topk(rows, 60), sampling.topk_extremes(rows, 40, "g"), sampling.weighted_sample(rows, 50, "g", 3))]
