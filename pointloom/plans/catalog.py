@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spatial
 from ..functions.lineage import stored
-from ..operators import compose, geometry, graph, neighbors, registration, sampling, smoothing, thinning
+from ..operators import compose, geometry, graph, neighbors, regions, registration, sampling, smoothing, thinning
 from ..sources import shapes, views
 
 R, K = 0.15, 20
@@ -600,6 +600,40 @@ def voxel_size(spark, d):
     return rounded(compose.voxel_size(*pair(spark, d)))
 
 
+#: Points of the farthest-point sample (its SQL picks one a step).
+FAR = 60
+
+
+@query(f"""WITH RECURSIVE {PTS}, st AS MATERIALIZED (SELECT id, x, y, z, 1e300::DOUBLE AS d2, (SELECT min(id) FROM pts) AS pick, 1e300::DOUBLE AS best, 0 AS rank FROM pts),
+it AS (SELECT * FROM st UNION ALL
+SELECT id, x, y, z, d2, first_value(id) OVER w, first_value(d2) OVER w, rank + 1 FROM (SELECT a.id, a.x, a.y, a.z, a.rank, least(a.d2, {D2}) AS d2 FROM it a JOIN pts b ON b.id = a.pick WHERE a.rank < {FAR - 1}) WINDOW w AS (ORDER BY d2 DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT rank::BIGINT AS rank, pick AS id, CASE WHEN rank > 0 THEN round(best, 6) END AS d2 FROM (SELECT DISTINCT rank, pick, best FROM it)""")
+def farthest_points(spark, d):
+    return rounded(thinning.farthest(pts(spark, d), FAR).select("rank", "id", "d2"))
+
+
+_GROW = 0.6, 0.12, 3
+
+
+@query(f"""WITH RECURSIVE {_normals_sql(CURV)}, g AS (SELECT normal.*, c FROM normal JOIN curv USING (id)), ed AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM nbr UNION ALL SELECT dst, src FROM nbr) WHERE a <> b),
+ok AS MATERIALIZED (SELECT a, b, abs(p.nx*q.nx+p.ny*q.ny+p.nz*q.nz) AS along, p.c < {_GROW[1]!r}::DOUBLE AS core FROM ed JOIN g p ON p.id = a JOIN g q ON q.id = b WHERE abs(p.nx*q.nx+p.ny*q.ny+p.nz*q.nz) > {math.cos(_GROW[0])!r}::DOUBLE AND q.c < {_GROW[1]!r}::DOUBLE),
+cc AS (SELECT id AS a, id AS b FROM g WHERE c < {_GROW[1]!r}::DOUBLE UNION SELECT cc.a, ok.b FROM cc JOIN ok ON ok.a = cc.b AND core), inside AS MATERIALIZED (SELECT a AS id, min(b) AS region FROM cc GROUP BY a),
+rim AS (SELECT a AS id, arg_min(b, (-along, b)) AS b FROM ok WHERE NOT core GROUP BY a), every AS (SELECT * FROM inside UNION ALL SELECT rim.id, region FROM rim JOIN inside ON inside.id = rim.b), sizes AS (SELECT region, count(*) AS size FROM every GROUP BY region HAVING count(*) >= {_GROW[2]})
+SELECT pts.id, coalesce(region, -1) AS region, coalesce(size, 0) AS size FROM pts LEFT JOIN (SELECT every.id, region, size FROM every JOIN sizes USING (region)) USING (id)""")
+def grow_regions(spark, d):
+    e = stored(near(spark, d), "near")
+    p = pts(spark, d).select("id").join(geometry.normals(e), "id").join(geometry.curvature(e), "id")
+    return regions.grow(stored(p, "surface"), e, *_GROW).fillna({"region": -1, "size": 0})
+
+
+@query(f"WITH {CURV}, ev AS (SELECT id, CASE WHEN p = 0 THEN q ELSE q+2*p*cos(phi) END AS hi, CASE WHEN p = 0 THEN q ELSE q+2*p*cos(phi+{2 * math.pi / 3!r}) END AS lo, q FROM e4) SELECT id, round(coalesce(3*q-lo-hi-CASE WHEN lo <> 0 THEN hi/lo END, 0), 4) + 0.0::DOUBLE AS curvature FROM ev JOIN cov USING (id) WHERE cov.k >= 6")
+def curvature_spread(spark, d):
+    """Where a neighbourhood spans space: with fewer points the least eigenvalue is rounding."""
+    e = near(spark, d)
+    wide = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k")).where("k >= 6").select("id")
+    return rounded(geometry.curvature(e, "spread").join(wide, "id", "left_semi"), 4)
+
+
 # Smoothing
 
 
@@ -718,6 +752,28 @@ def inverse_transform(spark, d):
     return rounded(registration.transform(pts(spark, d).select("id", "x", "y", "z"), registration.inverse(POSE)))
 
 
+@query(f"WITH {PTS} SELECT id, {_linear(registration.z_rotation(0.5, [1.0, 2.0, 3.0]))} FROM pts")
+def rotate_z(spark, d):
+    return rounded(registration.transform(pts(spark, d).select("id", "x", "y", "z"), registration.z_rotation(0.5, [1.0, 2.0, 3.0])))
+
+
+@query(f"WITH {PTS} SELECT id, {_linear(registration.random_pose(11, 5.0))} FROM pts")
+def random_pose(spark, d):
+    return rounded(registration.transform(pts(spark, d).select("id", "x", "y", "z"), registration.random_pose(11, 5.0)))
+
+
+@query()
+def ransac_matches(spark, d):
+    """The motion between two copies of a cloud from matches of which six in seven are wrong."""
+    p = pts(spark, d).select("id", "x", "y", "z")
+    t = registration.transform(p, POSE)
+    n = p.count()
+    wrong = F.when(F.col("id") % 7 == 0, F.col("id")).otherwise((F.col("id") * 31 + 17) % n)
+    pairs = p.select(wrong.alias("to"), *[F.col(c).alias(f"s{c}") for c in "xyz"]).join(t.select(F.col("id").alias("to"), *[F.col(c).alias(f"t{c}") for c in "xyz"]), "to")
+    m, _ = registration.ransac_matches(pairs, 0.001)
+    return spark.createDataFrame([(i, j, round(v, 4) + 0.0) for i, r in enumerate(m) for j, v in enumerate(r)], "i int, j int, v double")
+
+
 _PCA = ("xx", "yy", "zz", "xy", "xz", "yz")
 
 

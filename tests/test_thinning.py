@@ -57,3 +57,41 @@ def test_shapes(spark, shape):
     assert d.min() >= least
     assert d.min(axis=1).max() < 3 * least  # no holes
     assert thinning.on_shape(spark, shape, 0).where(F.col("id") >= 0).count() == 0
+
+
+def one_by_one(points, n, first=None):
+    ids = np.array(sorted(points))
+    xyz = np.array([points[i] for i in ids])
+    at = int(np.flatnonzero(ids == first)[0]) if first is not None else 0
+    out, d2, taken = [(0, int(ids[at]), None)], np.full(len(ids), np.inf), np.zeros(len(ids), bool)
+    while len(out) < min(n, len(ids)):
+        taken[at] = True
+        d = xyz - xyz[at]
+        d2 = np.minimum(d2, d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+        at = int(np.where(taken, -1, d2).argmax())
+        out.append((len(out), int(ids[at]), float(d2[at])))
+    return out
+
+
+@pytest.mark.parametrize(("kind", "n"), [("even", 120), ("ties", 60), ("copies", 200)])
+def test_farthest_points_one_by_one(spark, monkeypatch, kind, n):
+    """Small leaves and few candidates; a lattice, where many are as far; more than there are
+    places."""
+    from pointloom.operators import partition
+
+    monkeypatch.setattr(partition, "LEAF", 12)
+    monkeypatch.setattr(thinning, "SHOWN", 4)
+    rng = np.random.default_rng(3)
+    xyz = {"even": rng.random((300, 3)), "ties": np.array([(x, y, z) for x in range(5) for y in range(5) for z in range(4)], float), "copies": np.vstack([rng.random((60, 3)), np.full((50, 3), 0.5), np.full((30, 3), 0.25)])}[kind]
+    order = rng.permutation(len(xyz)).tolist()
+    points = {7 * i + 2: p for i, p in zip(order, xyz, strict=True)}
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in points.items()] + [(10**6, 1.0, None, 1.0)], "id long, x double, y double, z double").repartition(3)
+    for first in (None, 7 * order[70] + 2):
+        got = [(r.rank, r.id, r.d2) for r in thinning.farthest(df, n, first).orderBy("rank").collect()]
+        assert got == one_by_one(points, n, first)
+
+
+def test_farthest_of_nothing(spark):
+    df = spark.createDataFrame([(4, 0.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    assert thinning.farthest(df.limit(0), 5).collect() == thinning.farthest(df, 0).collect() == thinning.farthest(df, 3, 9).collect() == []
+    assert [tuple(r) for r in thinning.farthest(df, 3).collect()] == [(0, 4, 0.0, 0.0, 0.0, None)]
