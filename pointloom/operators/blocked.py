@@ -199,7 +199,7 @@ def _built(table: pa.Table, width: int) -> pa.Table:
     at = np.flatnonzero(kind == 0)
     at = at[np.argsort(a[at])]
     ids = table.column("id").take(pa.array(at)).to_numpy()
-    held = table.column("held").take(pa.array(at)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    held = table.column("held").take(pa.array(at)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)
     edge = np.flatnonzero(kind == 1)
     w = table.column("w").take(pa.array(edge)).to_numpy()
     outside = other[edge] != name
@@ -222,7 +222,7 @@ def _built(table: pa.Table, width: int) -> pa.Table:
 def _block(row: pa.RecordBatch, columns: tuple[str, ...]) -> Block:
     name = row.column(0)[0].as_py()
     ids, held, a, col, w, halo, halo_n, to, to_n, at = (row.column(k)[0].values.to_numpy(zero_copy_only=False) for k in range(1, 11))
-    data = {"id": ids} | dict(zip(columns, held.reshape(len(columns), -1), strict=True))
+    data = {"id": ids} | dict(zip(columns, held.reshape(len(columns), len(ids)), strict=True))
     stops = np.cumsum(to_n)
     return Block(name, data, a, col, w, list(zip(halo.tolist(), halo_n.tolist(), strict=True)), [(t, at[e - k : e]) for t, k, e in zip(to.tolist(), to_n.tolist(), stops.tolist(), strict=True)])
 

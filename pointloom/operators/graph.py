@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import stored
 from . import geometry, neighbors
-from .blocked import Graph, Outbox, summed
+from .blocked import Block, Graph, Inbox, Outbox, largest, summed
 
 
 def edges(points: DataFrame, radius: float, k: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -96,27 +96,53 @@ def high_pass_score(points: DataFrame, radius: float, k: int, by: tuple[str, ...
     return m.select(F.col("src").alias("id"), "k", (F.lit(math.exp(-2)) * F.col("k") * F.col("k") * sq).alias("score"))
 
 
-def largest_eigenvalue(points: DataFrame, adj: DataFrame, tolerance: float = 1e-9, steps: int = 10_000) -> float:
+#: Products between two looks at the norm.
+PRODUCTS = 4
+
+
+def largest_eigenvalue(points: DataFrame, adj: DataFrame, tolerance: float = 1e-9, steps: int = 10_000, size: int | None = None) -> float:
     """Magnitude of the adjacency's largest eigenvalue by power iteration from the vector of
-    ones: every write holds PER_WRITE products, each a join and an aggregate, and the driver
-    gets one norm. Ends when the estimate changes by less than ``tolerance`` of itself; it is
-    an error to reach ``steps``. 0 without edges."""
-    from .smoothing import PER_WRITE
-
-    held = stored(adj.select("src", "dst", "w"), "adjacency")
-    n = points.count()
-    v, last = points.select("id", F.lit(1 / math.sqrt(max(1, n))).alias("v")), -1.0
-    for _ in range(-(-steps // PER_WRITE)):
-        new = v
-        for _ in range(PER_WRITE):
-            new = held.join(new, held["dst"] == new["id"]).groupBy("src").agg(F.sum(F.col("w") * F.col("v")).alias("v")).withColumnRenamed("src", "id")
-        new = stored(new, "vector")
-        norm = math.sqrt(new.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0)
-        value = norm ** (1 / PER_WRITE)
-        if not norm or abs(value - last) <= tolerance * value:
-            return value
-        v, last = new.withColumn("v", F.col("v") / F.lit(norm)), value
-    raise RuntimeError("the power iteration doesn't converge")
+    ones: products exchange border values of blocks of the cloud (see :mod:`blocked`), a job
+    holds PRODUCTS of them, and the driver gets one norm. A graph whose blocks are alone is
+    iterated within them. Ends when the estimate changes by less than ``tolerance`` of itself;
+    it is an error to reach ``steps``. 0 without edges."""
+    graph = Graph(points.select("id", *"xyz"), adj.select("src", "dst", "w"), (), size)
+
+    def alone(block: Block) -> Outbox:
+        v, last = np.full((block.n, 1), 1 / math.sqrt(max(1, block.n))), -1.0
+        for _ in range(-(-steps // PRODUCTS)):
+            for _ in range(PRODUCTS):
+                v = block.times(v, np.zeros((0, 1)))
+            norm = float(np.sqrt((v * v).sum()))
+            value = norm ** (1 / PRODUCTS)
+            if not norm or abs(value - last) <= tolerance * value:
+                return Outbox(np.full((block.n, 1), value))
+            v, last = v / norm, value
+        raise RuntimeError("the power iteration doesn't converge")
+
+    try:
+        if graph.whole:
+            found = largest(graph.start(alone), 1, lambda s: s.max(axis=0, initial=0.0))
+            return float(found[0]) if len(found) else 0.0
+        n, last, norm = graph.count, -1.0, 1.0
+        rows = graph.start(lambda b: Outbox(v := np.full((b.n, 1), 1 / math.sqrt(n)), v))
+        for _ in range(-(-steps // PRODUCTS)):
+            for k in range(PRODUCTS):
+
+                def product(block: Block, box: Inbox, scale: float = norm if k == 0 else 1.0) -> Outbox:
+                    v = block.times(box.own, box.border) / scale
+                    return Outbox(v, v)
+
+                rows = graph.step(rows, product, 1, 1)
+            rows = stored(rows, "vector")
+            norm = math.sqrt(summed(rows, 1, lambda s: (s * s).sum(axis=0))[0])
+            value = norm ** (1 / PRODUCTS)
+            if not norm or abs(value - last) <= tolerance * value:
+                return value
+            last = value
+        raise RuntimeError("the power iteration doesn't converge")
+    finally:
+        graph.close()
 
 
 def haar_low_pass(points: DataFrame, adj: DataFrame, tolerance: float = 1e-9) -> DataFrame:

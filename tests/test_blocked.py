@@ -124,3 +124,12 @@ def test_smoothers_of_nothing(spark):
     for f in (lambda: smoothing.smooth(one, e, None), lambda: smoothing.smooth_squared(one, e), lambda: smoothing.smooth_mean(one, e)):
         (r,) = f().collect()
         assert (round(r.x, 9), r.y, round(r.z, 9)) == (2.0, None, 3.0)
+
+
+@pytest.mark.parametrize("size", [1000, 15])
+def test_largest_eigenvalue_in_blocks(spark, size):
+    p, _ = cloud(spark, 40)
+    e, w = directed(spark, 40, 3)
+    got = graph.largest_eigenvalue(p, e.where("dst < 1000"), 1e-6, size=size)
+    assert abs(got - np.abs(np.linalg.eigvals(w)).max()) < 1e-4
+    assert graph.largest_eigenvalue(p, e.limit(0), size=size) == graph.largest_eigenvalue(p.limit(0), e.limit(0)) == 0
