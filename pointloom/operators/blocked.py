@@ -135,8 +135,7 @@ class Graph:
         points_ = at.select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), F.col("slot").alias("a"), F.lit(0).alias("b"), none.alias("w"), "id", F.array(*[F.col(c) for c in columns]).cast("array<double>").alias("held"))
         edges_ = met.select(F.col("sb").alias("block"), F.lit(1).alias("kind"), F.col("db").alias("other"), F.col("ss").alias("a"), F.col("ds").alias("b"), "w", F.lit(None).cast("long").alias("id"), nothing.alias("held"))
         sends_ = met.where("sb <> db").select("db", "sb", "ds").distinct().select(F.col("db").alias("block"), F.lit(2).alias("kind"), F.col("sb").alias("other"), F.col("ds").alias("a"), F.lit(0).alias("b"), none.alias("w"), F.lit(None).cast("long").alias("id"), nothing.alias("held"))
-        crossing = sends_.limit(1).count()
-        self.whole = not crossing  # no block needs another
+        self.whole = met.where("sb <> db").isEmpty()  # no block needs another
         schema = "block long, ids array<long>, held array<double>, row array<int>, col array<int>, w array<double>, halo array<long>, halo_n array<int>, send array<long>, send_n array<int>, send_at array<int>"
         width = len(columns)
 
