@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_dir, stored
+from ..functions.lineage import scratch, shared_dir, stored, swept
 from . import sampling
 
 #: Points of a block.
@@ -124,28 +124,31 @@ class Graph:
 
     def __init__(self, points: DataFrame, edges: DataFrame, columns: tuple[str, ...] = (), size: int | None = None):
         self.spark, self.columns, size = points.sparkSession, columns, size or SIZE
-        self.parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        placed = points.select("id", *dict.fromkeys(("x", "y", "z", *columns))).withColumn("place", curve(points))
-        ranked = sampling.running(placed, [F.asc("place"), F.asc("id")]).withColumn("r", F.col("rank_") - 1)
-        at = stored(ranked.select("id", F.floor(F.col("r") / size).alias("block"), (F.col("r") % size).cast("int").alias("slot"), *[F.col(c).cast("double").alias(c) for c in columns]), "places")
-        self.count = at.count()
-        side = lambda k, b, s: at.select(F.col("id").alias(k), F.col("block").alias(b), F.col("slot").alias(s))
-        met = stored(edges.select("src", "dst", F.col("w").cast("double").alias("w")).join(side("src", "sb", "ss"), "src").join(side("dst", "db", "ds"), "dst").select("sb", "ss", "db", "ds", "w"), "edges")
-        none, nothing = F.lit(None).cast("double"), F.array().cast("array<double>")
-        points_ = at.select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), F.col("slot").alias("a"), F.lit(0).alias("b"), none.alias("w"), "id", F.array(*[F.col(c) for c in columns]).cast("array<double>").alias("held"))
-        edges_ = met.select(F.col("sb").alias("block"), F.lit(1).alias("kind"), F.col("db").alias("other"), F.col("ss").alias("a"), F.col("ds").alias("b"), "w", F.lit(None).cast("long").alias("id"), nothing.alias("held"))
-        sends_ = met.where("sb <> db").select("db", "sb", "ds").distinct().select(F.col("db").alias("block"), F.lit(2).alias("kind"), F.col("sb").alias("other"), F.col("ds").alias("a"), F.lit(0).alias("b"), none.alias("w"), F.lit(None).cast("long").alias("id"), nothing.alias("held"))
-        self.whole = met.where("sb <> db").isEmpty()  # no block needs another
-        schema = "block long, ids array<long>, held array<double>, row array<int>, col array<int>, w array<double>, halo array<long>, halo_n array<int>, send array<long>, send_n array<int>, send_at array<int>"
-        width = len(columns)
-
-        def build(table: pa.Table) -> pa.Table:
-            return _built(table.combine_chunks(), width)
-
-        built = points_.unionByName(edges_).unionByName(sends_).groupBy("block").applyInArrow(build, schema)
-        self.name = f"blocks_{uuid.uuid4().hex}"
-        self.path = f"{shared_dir(self.spark)}/{self.name}"
-        built.repartition(self.parts, "block").write.format("parquet").option("path", self.path).bucketBy(self.parts, "block").sortBy("block").saveAsTable(self.name)
+        with scratch(self.spark):
+            placed = points.select("id", *dict.fromkeys(("x", "y", "z", *columns))).withColumn("place", curve(points))
+            ranked = sampling.running(placed, [F.asc("place"), F.asc("id")]).withColumn("r", F.col("rank_") - 1)
+            at = stored(ranked.select("id", F.floor(F.col("r") / size).alias("block"), (F.col("r") % size).cast("int").alias("slot"), *[F.col(c).cast("double").alias(c) for c in columns]), "places")
+            self.count = at.count()
+            # no more partitions than blocks
+            self.parts = max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.count // size)))
+            side = lambda k, b, s: at.select(F.col("id").alias(k), F.col("block").alias(b), F.col("slot").alias(s))
+            met = stored(edges.select("src", "dst", F.col("w").cast("double").alias("w")).join(side("src", "sb", "ss"), "src").join(side("dst", "db", "ds"), "dst").select("sb", "ss", "db", "ds", "w"), "edges")
+            none, nothing = F.lit(None).cast("double"), F.array().cast("array<double>")
+            points_ = at.select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), F.col("slot").alias("a"), F.lit(0).alias("b"), none.alias("w"), "id", F.array(*[F.col(c) for c in columns]).cast("array<double>").alias("held"))
+            edges_ = met.select(F.col("sb").alias("block"), F.lit(1).alias("kind"), F.col("db").alias("other"), F.col("ss").alias("a"), F.col("ds").alias("b"), "w", F.lit(None).cast("long").alias("id"), nothing.alias("held"))
+            sends_ = met.where("sb <> db").select("db", "sb", "ds").distinct().select(F.col("db").alias("block"), F.lit(2).alias("kind"), F.col("sb").alias("other"), F.col("ds").alias("a"), F.lit(0).alias("b"), none.alias("w"), F.lit(None).cast("long").alias("id"), nothing.alias("held"))
+            self.whole = met.where("sb <> db").isEmpty()  # no block needs another
+            schema = "block long, ids array<long>, held array<double>, row array<int>, col array<int>, w array<double>, halo array<long>, halo_n array<int>, send array<long>, send_n array<int>, send_at array<int>"
+            width = len(columns)
+
+            def build(table: pa.Table) -> pa.Table:
+                return _built(table.combine_chunks(), width)
+
+            built = points_.unionByName(edges_).unionByName(sends_).groupBy("block").applyInArrow(build, schema)
+            self.name = f"blocks_{uuid.uuid4().hex}"
+            self.path = f"{shared_dir(self.spark)}/{self.name}"
+            with swept(self.spark):
+                built.repartition(self.parts, "block").write.format("parquet").option("path", self.path).bucketBy(self.parts, "block").sortBy("block").saveAsTable(self.name)
         self.resident = self.spark.table(self.name)
 
     def close(self) -> None:

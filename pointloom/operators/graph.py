@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import stored
+from ..functions.lineage import discard, scratch, stored
 from . import geometry, neighbors
 from .blocked import Block, Graph, Inbox, Outbox, largest, summed
 
@@ -156,7 +156,11 @@ def haar_low_pass(points: DataFrame, adj: DataFrame, tolerance: float = 1e-9) ->
 
 #: The degree of a filter at most, what a filter may spread the columns apart at most, and
 #: columns beside those asked for.
-DEGREE, SPREAD, SPARE = 16, 1e6, 12
+DEGREE, SPREAD, SPARE = 48, 1e6, 12
+#: Rows that refer to a point at most, for its row of the symmetric matrix to lie in its block.
+HUB = 256
+#: Numbers that the exchanges of one job move at about most (256 MB); then the state is stored.
+MOVED = 1 << 25
 
 
 def fourier(points: DataFrame, adj: DataFrame, count: int = 100, tolerance: float = 1e-7, rounds: int = 200, size: int | None = None) -> DataFrame:
@@ -167,7 +171,8 @@ def fourier(points: DataFrame, adj: DataFrame, count: int = 100, tolerance: floa
     Subspace iteration: ``count`` + SPARE columns, filtered by Chebyshev polynomials that damp
     what lies below the smallest of them, and turned to the best eigenvectors in between
     (Rayleigh-Ritz). Products exchange border values of blocks of the cloud (see
-    :mod:`blocked`); the driver gets sums of products of the columns, (2 (count + SPARE) + 3)^2
+    :mod:`blocked`), in jobs of as many products as move MOVED numbers; a job's files replace
+    those of the job before, so the disk in use doesn't grow with the products; the driver gets sums of products of the columns, (2 (count + SPARE) + 3)^2
     numbers. Ends when the residuals ||S v - lambda v|| of all asked for are at most
     ``tolerance`` of the largest eigenvalue; ``rounds`` guards against an endless run and is
     an error. A coefficient's sign is that of an arbitrary direction; eigenvalues that lie
@@ -175,17 +180,31 @@ def fourier(points: DataFrame, adj: DataFrame, count: int = 100, tolerance: floa
 
     Ids are unique; null coordinates count as 0; an empty cloud has no rows."""
     spark, schema = points.sparkSession, "n int, eigenvalue double, x double, y double, z double, residual double"
-    off = adj.where("src <> dst").select("src", "dst", "w")
-    both = off.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d")).join(off.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("e")), "id", "full")
-    # rows' discs: no eigenvalue lies below (what leaves a point - what enters it) / 2
-    floor = min(0.0, (both.agg(F.min((F.coalesce("d", F.lit(0.0)) - F.coalesce("e", F.lit(0.0))) / 2)).first()[0] or 0.0))
-    held = points.select("id", *"xyz").join(both.select("id", F.coalesce("d", F.lit(0.0)).alias("d")), "id", "left").fillna(0.0, ["d"])
-    held = held.withColumns({f"s{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in "xyz"})
-    graph = Graph(held, off, ("d", "sx", "sy", "sz"), size)
+    with scratch(spark):
+        off = stored(adj.where("src <> dst").select("src", "dst", F.col("w").cast("double").alias("w")), "off")
+        both = off.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d")).join(off.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("e"), F.count(F.lit(1)).alias("k")), "id", "full")
+        both = stored(both.select("id", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("e", F.lit(0.0)).alias("e"), "k"), "degrees")
+        # rows' discs: no eigenvalue lies below (what leaves a point - what enters it) / 2
+        low, most = both.agg(F.min((F.col("d") - F.col("e")) / 2), F.max("k")).first()
+        floor, even = min(0.0, low or 0.0), (most or 0) <= HUB
+        if even:  # (W + W') / 2 by rows: neighbours' values are gathered, nothing is scattered
+            off = off.select("src", "dst", F.col("w") / 2).union(off.select("dst", "src", F.col("w") / 2)).toDF("src", "dst", "w").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+        held = points.select("id", *"xyz").join(both.select("id", "d"), "id", "left").fillna(0.0, ["d"])
+        held = held.withColumns({f"s{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in "xyz"})
+        graph = Graph(held, off, ("d", "sx", "sy", "sz"), size)
+    steps: list[str] = []
     try:
         m, whole = min(graph.count, count + SPARE), graph.whole
         if not m:
             return spark.createDataFrame([], schema)
+        scattered = not (whole or even)
+
+        def renewed(rows: DataFrame) -> DataFrame:
+            """The state stored, and the one before deleted."""
+            rows = stored(rows, "basis")
+            discard(spark, *steps)
+            steps[:] = [rows._stored_at]
+            return rows
 
         def noise(ids: np.ndarray, k: int, seed: int) -> np.ndarray:
             """Numbers from -1 to 1 that depend on the id, the column and the seed."""
@@ -195,30 +214,32 @@ def fourier(points: DataFrame, adj: DataFrame, count: int = 100, tolerance: floa
                     z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
             return z.astype(float) / 2.0**63 - 1
 
-        def mid(block, v: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """A block's share of S v at its own points and at its border's."""
+        def mid(block, v: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+            """S v at a block's own points, and what it has for its border's if rows are scattered."""
+            if even:
+                return block.data["d"][:, None] * v - block.times(v, border), None
             mine, theirs = block.transposed(v)
             return block.data["d"][:, None] * v - (block.times(v, border) + mine) / 2, -theirs / 2
 
         def first(block) -> Outbox:
             v = noise(block.data["id"], m, 0)
-            return Outbox(np.concatenate([v, np.stack([block.data[f"s{c}"] for c in "xyz"], axis=1)], axis=1), v)
+            return Outbox(v, v)
 
         def product(rows: DataFrame) -> DataFrame:
-            """[V, X] to [V, X, S V]."""
+            """V to [V, X, S V]."""
 
             def out(block, box) -> Outbox:
-                own, theirs = mid(block, box.own[:, :m], box.border)
-                return Outbox(np.concatenate([box.own, own], axis=1), scatter=theirs)
+                own, theirs = mid(block, box.own, box.border)
+                return Outbox(np.concatenate([box.own, *(block.data[f"s{c}"][:, None] for c in "xyz"), own], axis=1), scatter=theirs)
 
             def back(block, box) -> Outbox:
                 return Outbox(np.concatenate([box.own[:, : m + 3], box.own[:, m + 3 :] + box.given], axis=1))
 
-            made = graph.step(rows, out, m + 3, m)
-            return made if whole else graph.step(made, back, 2 * m + 3, 0, m)
+            made = graph.step(rows, out, m, m)
+            return graph.step(made, back, 2 * m + 3, 0, m) if scattered else made
 
         def filtered_by(rows: DataFrame, turn: np.ndarray, low: float, high: float, degree: int, seed: int) -> DataFrame:
-            """[V, X, S V] to [p(S) V turn, X]: the scaled Chebyshev polynomial of a degree that
+            """[V, X, S V] to p(S) V turn: the scaled Chebyshev polynomial of a degree that
             stays within 1 from ``low`` to ``high``."""
             centre, half = (low + high) / 2, (high - low) / 2
 
@@ -226,15 +247,14 @@ def fourier(points: DataFrame, adj: DataFrame, count: int = 100, tolerance: floa
                 v = box.own[:, :m] @ turn
                 if v.shape[1] < m:
                     v = np.concatenate([v, noise(block.data["id"], m - v.shape[1], seed)], axis=1)
-                state = np.concatenate([v, box.own[:, m : m + 3], np.zeros_like(v)], axis=1)
-                return alone(block, state) if whole else Outbox(state, v)
+                return alone(block, v) if whole else Outbox(v, v)
 
-            def alone(block, state: np.ndarray) -> Outbox:
-                v, before = state[:, :m], state[:, m + 3 :]
+            def alone(block, v: np.ndarray) -> Outbox:
+                before = np.zeros_like(v)
                 for k in range(degree):
                     sv, _ = mid(block, v, np.zeros((0, m)))
                     v, before = next_of(v, before, sv, k), v
-                return Outbox(np.concatenate([v, state[:, m : m + 3]], axis=1), v)
+                return Outbox(v, v)
 
             def next_of(v: np.ndarray, before: np.ndarray, sv: np.ndarray, k: int) -> np.ndarray:
                 new = (sv - centre * v) / half
@@ -242,20 +262,28 @@ def fourier(points: DataFrame, adj: DataFrame, count: int = 100, tolerance: floa
 
             rows = graph.step(rows, begin, 2 * m + 3, 0)
             for k in range(0 if whole else degree):
+                width = 2 * m if k else m  # [V, V before] but for the first
+
+                def gathered(block, box, k=k) -> Outbox:
+                    v = box.own[:, :m]
+                    new = next_of(v, box.own[:, m:], mid(block, v, box.border)[0], k)
+                    return Outbox(np.concatenate([new, v], axis=1) if k + 1 < degree else new, new)
 
                 def out(block, box) -> Outbox:
                     own, theirs = mid(block, box.own[:, :m], box.border)
                     return Outbox(np.concatenate([box.own, own], axis=1), scatter=theirs)
 
-                def back(block, box, k=k) -> Outbox:
-                    v, x, before = box.own[:, :m], box.own[:, m : m + 3], box.own[:, m + 3 : 2 * m + 3]
-                    new = next_of(v, before, box.own[:, 2 * m + 3 :] + box.given, k)
-                    return Outbox(np.concatenate([new, x, v] if k + 1 < degree else [new, x], axis=1), new)
+                def back(block, box, k=k, width=width) -> Outbox:
+                    v = box.own[:, :m]
+                    new = next_of(v, box.own[:, m:width], box.own[:, width:] + box.given, k)
+                    return Outbox(np.concatenate([new, v], axis=1) if k + 1 < degree else new, new)
 
-                rows = graph.step(graph.step(rows, out, 2 * m + 3, m), back, 3 * m + 3, 0, m)
+                rows = graph.step(graph.step(rows, out, width, m), back, width + m, 0, m) if scattered else graph.step(rows, gathered, width, m)
+                if (k + 1) % max(1, MOVED // (6 * m * graph.count)) == 0:
+                    rows = renewed(rows)
             return rows
 
-        rows, asked = stored(product(graph.start(first)), "basis"), min(count, m)
+        rows, asked = renewed(product(graph.start(first))), min(count, m)
         for k in range(rounds):
             g = summed(rows, 2 * m + 3, lambda s: s.T @ s).reshape(2 * m + 3, -1)
             vv, vs, ss, vx = g[:m, :m], g[:m, m + 3 :], g[m + 3 :, m + 3 :], g[:m, m : m + 3]
@@ -276,7 +304,8 @@ def fourier(points: DataFrame, adj: DataFrame, count: int = 100, tolerance: floa
             low = floor if -floor < high else -high  # all of larger magnitude are positive, or both ends grow
             x = (top - (low + high) / 2) / max((high - low) / 2, 1e-300)
             degree = int(np.clip(np.arccosh(SPREAD) / np.arccosh(max(x, 1 + 1e-12)), 1, DEGREE))
-            rows = stored(product(filtered_by(rows, turn, low, high, degree, k + 1)), "basis")
+            rows = renewed(product(filtered_by(rows, turn, low, high, degree, k + 1)))
         raise RuntimeError("the subspace doesn't converge")
     finally:
         graph.close()
+        discard(spark, *steps)

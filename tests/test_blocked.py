@@ -71,6 +71,51 @@ def test_fourier_equals_dense(spark, n, count, size):
     assert max(r.residual for r in got) <= 1e-6 * abs(values[order[0]])
 
 
+@pytest.mark.parametrize("hub", [256, 3])
+def test_fourier_keeps_the_files_of_one_step(spark, monkeypatch, hub):
+    """The disk in use must not grow with the products: rows gathered (no hubs) or scattered."""
+    from pathlib import Path
+
+    from pointloom.functions import lineage
+
+    top, seen = Path(lineage.shared_dir(spark)), []
+    before = {f.name for f in top.iterdir()}
+
+    def counted(rows, *more, of=blocked.summed):
+        seen.append(sorted(f.name.split("-")[0].split("_")[0] for f in top.iterdir() if f.name not in before))
+        return of(rows, *more)
+
+    monkeypatch.setattr(graph, "summed", counted)
+    monkeypatch.setattr(graph, "HUB", hub, raising=False)
+    monkeypatch.setattr(graph, "MOVED", 1, raising=False)  # a job for each product
+    p, rows = cloud(spark, 30)
+    e, w = directed(spark, 30, 4)
+    w = w - np.diag(np.diag(w))
+    got = graph.fourier(p, e.where("dst < 1000"), 3, size=15).orderBy("n").collect()
+    lap = np.diag(w.sum(axis=1)) - w
+    values = np.linalg.eigvalsh((lap + lap.T) / 2)
+    assert np.allclose([r.eigenvalue for r in got], values[np.argsort(-np.abs(values))][:3], atol=1e-9)
+    assert len(seen) > 1 and set(map(tuple, seen)) == {("basis", "blocks")}
+    assert {f.name for f in top.iterdir()} == before
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    import os
+    import time
+
+    from pointloom.functions import lineage
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: {f for d in env.blockManager().diskBlockManager().localDirsString() for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_")}
+    before = files()
+    got = lineage.stored(spark.range(100).repartition(3, "id"), "shuffled")
+    for _ in range(100):  # they are deleted in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and got.count() == 100
+
+
 def test_curve_keeps_neighbours_together(spark):
     p = spark.range(4096).select("id", *[(F.shiftright("id", 4 * k) % 16).cast("double").alias(c) for k, c in enumerate("xyz")])
     at = p.withColumn("place", blocked.curve(p)).orderBy("place").limit(64).agg(*[F.max(c) for c in "xyz"]).first()
