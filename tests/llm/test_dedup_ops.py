@@ -45,6 +45,25 @@ def test_repeats_equal_brute_force(spark, monkeypatch, crowd, load, length):
     assert got == brute_repeats(rows, length)
 
 
+def test_crowded_buckets_give_runs(spark, monkeypatch):
+    """A stretch of a crowded bucket is one row with its maximal runs, not a row a start."""
+    monkeypatch.setattr(substrings, "CROWD", 5)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a = word(900)
+    rows = [(k, a[: 20 * k] + "#" + word(3) + a[20 * k + 4 :]) for k in range(1, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made, dealt = [], substrings.dealt_suffixes
+    monkeypatch.setattr(substrings, "dealt_suffixes", lambda *a: made.append(dealt(*a)) or made[-1])
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digests(df).collect())
+    assert got == brute_repeats(rows)
+    runs = [[tuple(x) for x in r.runs] for r in made[0].collect()]
+    assert runs and all(lo < hi for r in runs for lo, hi in r)
+    assert all(x[1] < y[0] for r in runs for x, y in zip(r, r[1:]))  # apart, in order
+    keys = substrings.repeated_spans(df.selectExpr("doc_id AS k1", "doc_id AS k2", "text"))
+    assert "Generate explode(runs" not in keys._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cut_keeps_odd_columns(spark):
     t = "".join(random.Random(1).choice("abcdef ") for _ in range(500))
     df = spark.createDataFrame([(1, "x" + t, 1, 2, 3, 4), (2, t + "y", 1, 2, 3, 4)], "doc_id long, text string, spans_ int, k1 int, k1_ int, `to.1` int")
