@@ -344,6 +344,24 @@ def test_one_repeated_id_does_not_fill_the_fit(spark, graded):
     assert len(quality.train(many, labels, fit_rows=20).labels) == 20
 
 
+def test_the_driver_gets_the_model_of_the_fit_not_its_rows(spark, graded, monkeypatch):
+    docs, labels, _ = graded
+    got = []
+    for name in ("collect", "toArrow", "toPandas"):
+
+        def noted(self, *args, plain=getattr(type(docs), name)):
+            out = plain(self, *args)
+            got.append(out.nbytes if hasattr(out, "nbytes") else len(str(out)))
+            return out
+
+        monkeypatch.setattr(type(docs), name, noted)
+    model = quality.train(docs, labels)
+    parts = (model.idf, model.basis, model.vectors, model.labels)
+    # an escaped byte has up to four characters
+    assert len(model.labels) > 100 and 0 < sum(got) < 4 * sum(x.nbytes for x in parts) + 10_000
+    assert sum(x.nbytes for x in parts) < 4 * quality.TERMS * len(model.labels) / 4
+
+
 def test_pipeline_equals_brute_force_on_odd_rows(spark, graded, tmp_path):
     docs, labels, _ = graded
     rng = random.Random(11)
