@@ -303,3 +303,45 @@ def test_ransac_finds_the_plane(spark):
     flat = np.c_[rng.random((80, 2)), np.zeros(80)]
     found = registration.ransac_planes(cloud(spark, np.r_[flat, rng.random((20, 3)) + 1]), 0.01, 40, 50, 2, 3)
     assert len(found) == 1 and found[0]["inliers"] >= 80
+
+
+def naive_classes(rows, radius):
+    ids = sorted(r[0] for r in rows)
+    place = {r[0]: r[1:] for r in rows}
+    near = {a: [] for a in ids}
+    for a in ids:
+        for b in ids:
+            p, q = place[a], place[b]
+            if a != b and None not in p + q and sum((u - v) * (u - v) for u, v in zip(p, q, strict=True)) < radius * radius:
+                near[a].append(b)
+    label = {}
+    for a in ids:
+        todo = [] if a in label else [a]
+        while todo:
+            if (b := todo.pop()) not in label:
+                label[b] = a
+                todo += near[b]
+    return sorted((a, label[a], len(near[a])) for a in ids)
+
+
+@pytest.mark.parametrize(("radius", "held", "met"), [(0.15, 65_536, 131_072), (0.3, 40, 90), (1.0, 65_536, 131_072)])
+def test_radius_classes_equal_brute_force(spark, monkeypatch, radius, held, met):
+    monkeypatch.setattr(neighbors, "HELD", held)
+    monkeypatch.setattr(neighbors, "MET", met)
+    rng = np.random.default_rng(5)
+    at = np.concatenate([rng.normal(0, 0.4, (250, 3)), rng.integers(-4, 5, (150, 3)) * radius, np.tile([[2.0, -2.0, 2.0]], (60, 1)), rng.uniform(-30, 30, (40, 3))]).tolist()
+    huge = [[1e300, 0.0, 0.0], [1e300, 0.0, radius / 2], [-1e17, 1.0, 1.0], [-1e17, 1.0, 1.0], [1e17, 1.0, 1.0], [9.0e15, 0.0, 0.0], [9.0e15 + 2, 0.0, 0.0]]
+    odd = [[None, 0.0, 0.0], [float("nan"), 0.0, 0.0], [float("inf"), 0.0, 0.0], [float("inf"), 0.0, 0.0], [-0.0, 0.0, 0.0]]
+    rows = [(k * 7 - 300, *p) for k, p in enumerate(at + huge + odd)]
+    got = neighbors.radius_classes(spark.createDataFrame(rows, "id long, x double, y double, z double"), radius)
+    assert got.columns == ["id", "class_id", "links"]
+    assert sorted(map(tuple, got.collect())) == naive_classes(rows, radius)
+
+
+def test_radius_classes_have_a_row_for_each_point_and_all_links(spark):
+    grid = spark.range(900).select("id", *[(F.col("id") % n / 100).cast("double").alias(c) for c, n in (("x", 10), ("y", 9), ("z", 10))])
+    got = neighbors.radius_classes(grid, 1.0)
+    pairs = neighbors.radius_join(grid, 1.0).where("src <> dst")
+    assert got.count() == 900 and got.agg(F.sum("links")).first()[0] == pairs.count() == 900 * 899
+    assert got.select("class_id").distinct().collect() == [(0,)]
+    assert neighbors.radius_classes(grid.limit(0), 1.0).count() == 0
