@@ -64,6 +64,29 @@ def test_crowded_buckets_give_runs(spark, monkeypatch):
     assert "Generate explode(runs" not in keys._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize(("crowd", "length", "letters", "ends"), [(2000, 400, " '", ("", "", "", "")), (2000, 512, "!A", ("-", "-+", "=", "=%")), (0, 512, "!A", ("-", "-+", "=", "=%"))])
+def test_regular_texts_that_differ_stay(spark, monkeypatch, crowd, length, letters, ends):
+    """Thue-Morse words of 512 letters, on which every polynomial modulo 2^64 may agree: as
+    whole stretches, in a sorted bucket and among dealt suffixes."""
+    monkeypatch.setattr(substrings, "CROWD", crowd)
+    words = ["".join(p[k.bit_count() & 1] for k in range(512)) for p in (letters, letters[::-1])]
+    rows = [(0, ends[0] + words[0] + ends[1]), (1, ends[2] + words[1] + ends[3])]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digests(spark.createDataFrame(rows, "doc_id long, text string"), length=length).collect())
+    assert got == brute_repeats(rows, length)
+    assert [g[2] for g in got] == [0, 0]
+
+
+def test_names_tell_regular_texts_apart():
+    bits = np.array([k.bit_count() & 1 for k in range(1024)])
+    for a, b in ((32, 39), (97, 98), (48, 49), (65, 113)):
+        raw = np.concatenate([np.where(bits, a, b), np.where(bits, b, a)]).astype(np.uint8)
+        for length in (128, 400, 512, 1024):
+            start = np.arange(len(raw) - length + 1)
+            names = substrings.Namer().names(raw, start, length)
+            assert len(np.unique(names)) == len({raw[k : k + length].tobytes() for k in start})
+            assert len({(int(n), raw[k : k + length].tobytes()) for n, k in zip(names, start)}) == len(np.unique(names))
+
+
 def test_cut_keeps_odd_columns(spark):
     t = "".join(random.Random(1).choice("abcdef ") for _ in range(500))
     df = spark.createDataFrame([(1, "x" + t, 1, 2, 3, 4), (2, t + "y", 1, 2, 3, 4)], "doc_id long, text string, spans_ int, k1 int, k1_ int, `to.1` int")
