@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spatial
 from ..functions.lineage import stored
-from . import geometry, graph, neighbors, registration, sampling, smoothing
+from . import geometry, graph, neighbors, partition, registration, sampling, smoothing
 
 COLORS = ("r", "g", "b")
 
@@ -84,11 +84,14 @@ def compare(source: DataFrame, target: DataFrame, simple_source: DataFrame, simp
     """One row per method: ICP on the clouds as they are and simplified, point and plane,
     with pose errors and the fit of the whole source."""
     rows = []
+    whole = None  # the target in its leaves, which every fit is measured against
     for name, s, t in (("original", source, target), ("simplified", simple_source, simple_target)):
-        normal = geometry.normals(graph.edges(t, distance * 3, 30))
-        for method, against in (("point", t), ("plane", t.join(normal, "id"))):
-            found, _, _ = registration.icp(s, stored(against, "target"), distance, iterations=iterations, method=method)
-            fit = registration.evaluate(registration.transform(source, found), target).first()
+        near = neighbors.knn(t.where(partition.FINITE), 30).where(F.col("d2") < (distance * 3) ** 2)
+        held = partition.Held(t.join(geometry.normals(near), "id", "left"), registration.NEEDS["plane"])
+        whole = whole or held
+        for method in ("point", "plane"):
+            found, _, _ = registration.icp(s, t, distance, iterations=iterations, method=method, held=held)
+            fit = registration.evaluate(registration.transform(source, found), target, held=whole).first()
             rows.append((name, method, *(float(v) for v in registration.pose_error(found, truth).values()), float(fit.fitness), float(fit.inlier_rmse)))
     return source.sparkSession.createDataFrame(rows, "clouds string, method string, rotation_error_deg double, translation_error double, rotation_error_rad double, translation_difference double, fitness double, inlier_rmse double")
 

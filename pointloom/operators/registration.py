@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spatial
 from ..functions.lineage import bucketed, stored
-from . import neighbors
+from . import neighbors, partition
 
 Matrix = list[list[float]]
 IDENTITY: Matrix = np.eye(4).tolist()
@@ -161,13 +161,19 @@ def _solved(row, method: str) -> Matrix:
     return _small_motion(m, np.array([row[f"c{k}"] or 0.0 for k in range(21, 27)]))
 
 
+#: Points of a cell from which on the leaves of a partition are searched instead of cells.
+FULL = 16
+
+
 @contextmanager
-def matcher(target: DataFrame, distance: float, method: str = "point") -> Iterator[Callable[[DataFrame], DataFrame]]:
+def matcher(target: DataFrame, distance: float, method: str = "point", held: partition.Held | None = None) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A function from a source cloud to its :func:`correspondences` with the target's columns
     for the method (q...) and, for colour, the source's intensity ``si``.
 
-    The target is stored once, bucketed by cells of ``distance``: every call moves the source
-    only. Crowded cells go through the search that parts them."""
+    The target is stored once: bucketed by cells of ``distance``, so that every call moves the
+    source only, or, where cells have more than FULL points, in the leaves of a partition, whose
+    number of distances doesn't grow with the density. ``held``: the target is there already,
+    with the method's columns."""
     extra = list(NEEDS[method])
     shade = ["i"] if method == "color" else []
 
@@ -175,21 +181,21 @@ def matcher(target: DataFrame, distance: float, method: str = "point") -> Iterat
         return source.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").select(F.col("id").alias("src"), *[F.col(c).cast("double").alias(f"s{c}") for c in (*"xyz", *shade)])
 
     known = target.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
-    if not neighbors._crowded(known, distance, neighbors.DENSE, ()).isEmpty():
+    if held or not neighbors._crowded(known, distance, min(FULL, neighbors.DENSE), ()).isEmpty():
+        leaves, hot = held or partition.Held(target, tuple(extra)), []
 
         def search(source: DataFrame) -> DataFrame:
-            pairs = correspondences(source, target, distance)
-            if extra:
-                pairs = pairs.join(target.select(F.col("id").alias("dst"), *[F.col(c).alias(f"q{c}") for c in extra]), "dst")
-            return pairs.join(source.select(F.col("id").alias("src"), F.col("i").alias("si")), "src") if shade else pairs
+            if not hot:  # a step moves the source a little, so the first one's crowds will do
+                hot.append(leaves.crowds(source, distance))
+            return leaves.within(source, distance, tuple(shade), hot[0])
 
         yield search
         return
     cells = known.select(F.col("id").alias("dst"), *[F.col(c).cast("double").alias(f"t{c}") for c in "xyz"], *[F.col(c).alias(f"q{c}") for c in extra])
-    with bucketed(cells.select("*", *spatial.cell(distance, prefix="t")), ["cx", "cy", "cz"], "target") as held:
+    with bucketed(cells.select("*", *spatial.cell(distance, prefix="t")), ["cx", "cy", "cz"], "target") as near_:
 
         def meet(source: DataFrame) -> DataFrame:
-            met = neighbors._probes(source_side(source), distance, "s").join(held, ["cx", "cy", "cz"]).withColumn("d2", spatial.sq_dist("s", "t"))
+            met = neighbors._probes(source_side(source), distance, "s").join(near_, ["cx", "cy", "cz"]).withColumn("d2", spatial.sq_dist("s", "t"))
             near = met.where(F.col("d2") < F.lit(distance * distance))
             best = F.min(F.struct("d2", "dst", *[f"t{c}" for c in "xyz"], *[f"q{c}" for c in extra])).alias("m")
             return near.groupBy("src", *[f"s{c}" for c in (*"xyz", *shade)]).agg(best).select("src", *[f"s{c}" for c in (*"xyz", *shade)], "m.*")
@@ -197,21 +203,22 @@ def matcher(target: DataFrame, distance: float, method: str = "point") -> Iterat
         yield meet
 
 
-def icp(source: DataFrame, target: DataFrame, distance: float = 0.1, start: Matrix | None = None, iterations: int = 100, method: str = "point", tolerance: float = 1e-6, color_share: float = 0.032) -> tuple[Matrix, float, float]:
+def icp(source: DataFrame, target: DataFrame, distance: float = 0.1, start: Matrix | None = None, iterations: int = 100, method: str = "point", tolerance: float = 1e-6, color_share: float = 0.032, held: partition.Held | None = None) -> tuple[Matrix, float, float]:
     """(transform, fitness, inlier rmse) of source onto target.
 
     point: closed-form motion of the pairs. plane: least squares along the target's normals
     (columns nx, ny, nz). color: plane plus intensity differences along the target's colour
     gradient (columns gx, gy, gz and intensity i on the target, i on the source). Stops
     when fitness and rmse change by less than ``tolerance``. A step is one job: the source's
-    probes meet the stored target, and the driver gets a row of sums."""
+    probes meet the stored target, and the driver gets a row of sums. ``held``: see
+    :func:`matcher`."""
     if method not in NEEDS:
         raise ValueError(f"unknown method {method!r}")
     total = np.asarray(start or IDENTITY, float)
     n = source.count()
     last = (-1.0, -1.0)
     fitness = rmse = 0.0
-    with matcher(target, distance, method) as pairs_of:
+    with matcher(target, distance, method, held) as pairs_of:
         for _ in range(iterations):
             row = step_sums(pairs_of(transform(source, total.tolist())), method, color_share).first()
             count, d2 = row["n"], row["d2"] or 0.0
@@ -255,10 +262,11 @@ def two_stage_icp(source: DataFrame, target: DataFrame, distance: float = 0.1, o
     return product(second, first), fitness, rmse
 
 
-def evaluate(source: DataFrame, target: DataFrame, threshold: float = 0.2) -> DataFrame:
+def evaluate(source: DataFrame, target: DataFrame, threshold: float = 0.2, held: partition.Held | None = None) -> DataFrame:
     """One row (fitness, inlier_rmse): share of source points with a target point nearer
-    than ``threshold``, and the root mean square of their distances (0 without any)."""
-    pairs = correspondences(source, target, threshold)
+    than ``threshold``, and the root mean square of their distances (0 without any). ``held``:
+    the target in its leaves."""
+    pairs = held.within(source, threshold, hot=held.crowds(source, threshold)) if held else correspondences(source, target, threshold)
     hits = pairs.agg(F.count(F.lit(1)).alias("hits"), F.avg("d2").alias("mean"))
     return hits.crossJoin(source.agg(F.count(F.lit(1)).alias("n"))).select(F.coalesce(F.try_divide("hits", "n"), F.lit(0.0)).alias("fitness"), F.coalesce(F.sqrt("mean"), F.lit(0.0)).alias("inlier_rmse"))
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import geometry, neighbors, registration
+from pointloom.functions.lineage import stored
+from pointloom.operators import compose, geometry, neighbors, partition, registration
 
 
 def surfaces(n, seed=0):
@@ -72,6 +73,82 @@ def test_crowded_target(spark, monkeypatch):
         assert many == {tuple(r) for r in pairs_of(p).select("src", "dst", "d2", "si", "qi", "qnx").collect()}
 
 
+def _nearest(source, target, distance):
+    """{src: (dst, d2)} by brute force; ties go to the lower id."""
+    near = {}
+    for i, p in source:
+        best = min(((p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2]), j) for j, q in target)
+        if best[0] < distance * distance:
+            near[i] = (best[1], best[0])
+    return near
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_held_equals_brute_force(spark, monkeypatch, hot):
+    """Many leaves; places with many points, a lattice with ties, points far away and without a
+    place; queries that are dealt to several tasks."""
+    monkeypatch.setattr(partition, "LEAF", 16)
+    monkeypatch.setattr(partition, "MARKS", 2)
+    rng = np.random.default_rng(8)
+    lattice = np.stack(np.meshgrid(*[np.arange(6) / 8] * 3), -1).reshape(-1, 3)
+    xyz = np.vstack([rng.normal(size=(600, 3)) * 0.2, lattice, np.repeat(rng.random((3, 3)), 50, axis=0), [[90.0, 0, 0], [1e200, 0, 0]]])
+    ids = rng.permutation(len(xyz)).tolist()
+    asked = np.vstack([lattice + 1 / 16, xyz[::3] + 0.01, np.repeat(xyz[:1], 300, axis=0), [[90.0, 0.25, 0], [90.0, 0.2, 0]]])
+    odd = [(None, 0.0, 0.0), (float("nan"), 0.0, 0.0), (0.0, float("inf"), 0.0), (0.0, 0.0, float("-inf"))]
+    schema = "id long, x double, y double, z double, i double"
+    rows = lambda names, points: [(n, *map(float, p), float(n)) for n, p in zip(names, points, strict=True)]
+    none = [(10_000 + k, *p, 0.0) for k, p in enumerate(odd)]
+    target = spark.createDataFrame(rows(ids, xyz) + none, schema).repartition(5)
+    source = spark.createDataFrame(rows(range(len(asked)), asked) + none, schema).repartition(3)
+    if hot:
+        monkeypatch.setattr(partition, "QUERIES", 40)
+    held = partition.Held(target.withColumn("n", F.col("i") * 2), ("n",))
+    crowds = held.crowds(source, 0.25)
+    assert bool(crowds) == hot and len(held.marks) > 20
+    got = held.within(source, 0.25, ("i",), crowds).collect()
+    want = _nearest(enumerate(asked.tolist()), list(zip(ids, xyz.tolist(), strict=True)), 0.25)
+    assert {r.src: (r.dst, r.d2) for r in got} == want and len(got) == len(want)
+    assert all(r.qn == 2.0 * r.dst and r.si == float(r.src) for r in got)
+    empty = partition.Held(target.limit(0))
+    assert empty.within(source, 0.25).count() == 0 and held.within(source.limit(0), 0.25).count() == 0
+
+
+def test_a_step_in_a_dense_cloud_is_one_query(spark):
+    """Cells hold hundreds of points: a step goes through a few leaves a point, in one query."""
+    n = 16_000
+    p = stored(spark.createDataFrame([(k, *map(float, q)) for k, q in enumerate(np.random.default_rng(5).random((n, 3)) * 0.3)], "id long, x double, y double, z double").repartition(3))
+    sc = spark.sparkContext
+    with registration.matcher(p, 0.1) as pairs_of:
+        pairs_of(p)
+        sc.setJobGroup("step", "a step")
+        try:
+            pairs = pairs_of(registration.transform(p, registration.z_rotation(0.001)))
+            assert registration.step_sums(pairs).first().n == n
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert len(sc.statusTracker().getJobIdsForGroup("step")) <= 4  # one for each of its stages
+    held = partition.Held(p)
+    assert held._visits(p, 0.01, ()).count() < 8 * n
+
+
+def test_compare(spark):
+    """The whole clouds come back onto each other, the thinned ones nearly; points without a
+    place count as misses."""
+    p = frame(spark, surfaces(400)).select("id", "x", "y", "z")
+    odd = spark.createDataFrame([(10_000, None, 0.0, 0.0), (10_001, float("nan"), 0.0, 0.0)], p.schema)
+    motion = registration.axis_angle([0.0, 0.0, 1.0], 0.01, [0.004, -0.003, 0.002])
+    s, t = p.unionByName(odd), registration.transform(p, motion).unionByName(odd)
+    rows = compose.compare(s, t, s.where("id % 3 = 0"), t.where("id % 3 <> 1"), motion, iterations=8).collect()
+    assert [(r.clouds, r.method) for r in rows] == [(c, m) for c in ("original", "simplified") for m in ("point", "plane")]
+    for r in rows:
+        assert r.rotation_error_deg < 0.2 and r.translation_error < 0.005 and r.inlier_rmse < 0.01
+        assert r.fitness == 600 / 602
+    assert all(r.rotation_error_deg < 1e-5 for r in rows[:2])
+    found = registration.transform(s, motion)
+    plain, there = (registration.evaluate(found, t, 0.2, held).first() for held in (None, partition.Held(t)))
+    assert plain.fitness == there.fitness and math.isclose(plain.inlier_rmse, there.inlier_rmse, abs_tol=1e-12)
+
+
 def test_no_pairs_and_unknown_methods(spark):
     p = frame(spark, surfaces(50))
     far = registration.transform(p, registration.axis_angle([0, 0, 1], 0.0, [100, 0, 0]))
