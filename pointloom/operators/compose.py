@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,16 +85,20 @@ def class_merge(points: DataFrame, first: list[int], second: list[int], radius:
 def compare(source: DataFrame, target: DataFrame, simple_source: DataFrame, simple_target: DataFrame, truth: registration.Matrix, distance: float = 0.1, iterations: int = 30) -> DataFrame:
     """One row per method: ICP on the clouds as they are and simplified, point and plane,
     with pose errors and the fit of the whole source."""
-    rows = []
-    whole = None  # the target in its leaves, which every fit is measured against
-    for name, s, t in (("original", source, target), ("simplified", simple_source, simple_target)):
+    held = {}
+    for name, t in (("original", target), ("simplified", simple_target)):
         near = neighbors.knn(t.where(partition.FINITE), 30).where(F.col("d2") < (distance * 3) ** 2)
-        held = partition.Held(t.join(geometry.normals(near), "id", "left"), registration.NEEDS["plane"])
-        whole = whole or held
-        for method in ("point", "plane"):
-            found, _, _ = registration.icp(s, t, distance, iterations=iterations, method=method, held=held)
-            fit = registration.evaluate(registration.transform(source, found), target, held=whole).first()
-            rows.append((name, method, *(float(v) for v in registration.pose_error(found, truth).values()), float(fit.fitness), float(fit.inlier_rmse)))
+        held[name] = partition.Held(t.join(geometry.normals(near), "id", "left"), registration.NEEDS["plane"])
+
+    def row(run: tuple[str, DataFrame, DataFrame, str]) -> tuple:
+        name, s, t, method = run
+        found, _, _ = registration.icp(s, t, distance, iterations=iterations, method=method, held=held[name])
+        fit = registration.evaluate(registration.transform(source, found), target, held=held["original"]).first()
+        return (name, method, *(float(v) for v in registration.pose_error(found, truth).values()), float(fit.fitness), float(fit.inlier_rmse))
+
+    runs = [(*cloud, method) for cloud in (("original", source, target), ("simplified", simple_source, simple_target)) for method in ("point", "plane")]
+    with ThreadPoolExecutor(len(runs)) as pool:  # a run's steps are short jobs, one after the other; they write nothing
+        rows = list(pool.map(inheritable_thread_target(source.sparkSession)(row), runs))
     return source.sparkSession.createDataFrame(rows, "clouds string, method string, rotation_error_deg double, translation_error double, rotation_error_rad double, translation_difference double, fitness double, inlier_rmse double")
 
 
